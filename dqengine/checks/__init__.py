@@ -1,5 +1,5 @@
 """Registered queries and the SQL each is checked with."""
 
-from dqengine.checks import profiling
+from dqengine.checks import healing, planning, profiling
 
-ALL_MODULES = (profiling,)
+ALL_MODULES = (profiling, planning, healing)

@@ -31,15 +31,16 @@ def exact_quantiles(
     probabilities: Sequence[float],
     by: Sequence[str] = (),
     direct_rows: int = DIRECT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Rows ``(by..., column_name, probability, value)``; value is NULL without data.
 
-    Eager: it counts rows first to choose the method for each group.
+    Eager: it counts rows first (unless ``rows`` tells) to choose the method.
     """
     columns, by = list(columns), list(by)
     df = df.select(*[col(c) for c in dict.fromkeys(by + columns)])
     if not by:
-        if df.count() <= direct_rows:
+        if (df.count() if rows is None else rows) <= direct_rows:
             return _direct(df, columns, probabilities, by)
         return _narrowed(df, columns, probabilities, by, direct_rows)
     large = (
@@ -63,12 +64,15 @@ def quantile_values(
     columns: Sequence[str],
     probabilities: Sequence[float],
     direct_rows: int = DIRECT_ROWS,
+    rows: int | None = None,
 ) -> dict[str, dict[float, float | None]]:
     """The few whole-table quantiles as plain numbers, one per column and probability."""
     result: dict[str, dict[float, float | None]] = {c: {} for c in columns}
     if not columns:
         return result
-    for row in exact_quantiles(df, columns, probabilities, direct_rows=direct_rows).collect():
+    for row in exact_quantiles(
+        df, columns, probabilities, direct_rows=direct_rows, rows=rows
+    ).collect():
         result[row["column_name"]][row["probability"]] = row["value"]
     for found in result.values():
         for p in probabilities:
