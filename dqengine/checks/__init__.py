@@ -1,5 +1,5 @@
 """Registered queries and the SQL each is checked with."""
 
-from dqengine.checks import healing, planning, profiling
+from dqengine.checks import auditing, healing, history, monitoring, planning, profiling
 
-ALL_MODULES = (profiling, planning, healing)
+ALL_MODULES = (profiling, planning, healing, auditing, history, monitoring)

@@ -32,7 +32,9 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def _null_sums(df: DataFrame) -> list[Column]:
-    return [F.count_if(col(c).isNull()).alias(f"__null{i}") for i, c in enumerate(df.columns)]
+    return [
+        (F.count("*") - F.count(col(c))).alias(f"__null{i}") for i, c in enumerate(df.columns)
+    ]
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -63,15 +65,17 @@ def missing_cells(df: DataFrame) -> DataFrame:
     return wide.select(F.coalesce(total, F.lit(0)).alias("missing_cells"))
 
 
-def _moments(df: DataFrame, numeric: Sequence[str]) -> Column:
-    """Mean and deviation of every numeric column, as one scalar subquery."""
+def _with_moments(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """The table with the mean and deviation of every numeric column, as one subquery."""
+    if not numeric:
+        return df
     fields = []
     for i, c in enumerate(numeric):
         fields += [
-            F.avg(col(c)).alias(f"m{i}"),
+            F.avg(col(c)).cast("double").alias(f"m{i}"),
             F.stddev_samp(col(c).cast("double")).alias(f"s{i}"),
         ]
-    return df.agg(F.struct(*fields).alias("moments")).scalar()
+    return df.withColumn("__z", df.agg(F.struct(*fields).alias("moments")).scalar())
 
 
 def z_score(value: Column, mean: Column, deviation: Column) -> Column:
@@ -79,13 +83,12 @@ def z_score(value: Column, mean: Column, deviation: Column) -> Column:
     return F.abs(F.try_divide(value.cast("double") - mean, deviation))
 
 
-def _outlier_sums(df: DataFrame, threshold: float) -> list[Column]:
-    numeric = numeric_columns(df)
-    if not numeric:
-        return []
-    moments = _moments(df, numeric)
+def _outlier_sums(numeric: Sequence[str], threshold: float) -> list[Column]:
+    """Outlier count per column, over a table from ``_with_moments``."""
     return [
-        F.count_if(z_score(col(c), moments[f"m{i}"], moments[f"s{i}"]) > threshold).alias(f"__out{i}")
+        F.count_if(
+            z_score(col(c), F.col(f"__z.m{i}"), F.col(f"__z.s{i}")) > threshold
+        ).alias(f"__out{i}")
         for i, c in enumerate(numeric)
     ]
 
@@ -94,7 +97,9 @@ def outlier_counts(df: DataFrame, rules: QualityRules = RULES) -> DataFrame:
     """Rows ``(column_name, affected_rows, total_rows)`` of z-score outliers, zero included."""
     df = nan_to_null(df)
     numeric = numeric_columns(df)
-    wide = df.agg(F.count("*").alias("total_rows"), *_outlier_sums(df, rules.outlier_std_threshold))
+    wide = _with_moments(df, numeric).agg(
+        F.count("*").alias("total_rows"), *_outlier_sums(numeric, rules.outlier_std_threshold)
+    )
     entries = [
         F.struct(F.lit(c).alias("column_name"), F.col(f"__out{i}").alias("affected_rows"))
         for i, c in enumerate(numeric)
@@ -246,10 +251,10 @@ def find_issues(
     df = nan_to_null(df)
     numeric = numeric_columns(df)
     duplicates = duplicate_count(df, fingerprint_rows).scalar()
-    wide = df.agg(
+    wide = _with_moments(df, numeric).agg(
         F.count("*").alias("total_rows"),
         *_null_sums(df),
-        *_outlier_sums(df, rules.outlier_std_threshold),
+        *_outlier_sums(numeric, rules.outlier_std_threshold),
     ).withColumn("__dup", duplicates)
     entries = [
         _issue(NULL_VALUES, c, F.col(f"__null{i}"), "full_scan") for i, c in enumerate(df.columns)
@@ -327,10 +332,10 @@ def recalculated_score(
     df = nan_to_null(df)
     numeric = numeric_columns(df)
     zero = F.lit(0).cast("long")
-    wide = df.agg(
+    wide = _with_moments(df, numeric).agg(
         F.count("*").alias("total_rows"),
         *_null_sums(df),
-        *_outlier_sums(df, rules.outlier_std_threshold),
+        *_outlier_sums(numeric, rules.outlier_std_threshold),
     )
     nulls = sum((F.col(f"__null{i}") for i in range(len(df.columns))), zero)
     outliers = sum((F.col(f"__out{i}") for i in range(len(numeric))), zero)
