@@ -272,20 +272,24 @@ def heal(
     actions: Sequence[Action],
     rules: QualityRules = RULES,
     measure: bool = True,
-    checkpoint_after: int = 4,
+    write_end: bool = False,
+    write_after: int = 4,
     direct_rows: int = DIRECT_ROWS,
 ) -> Healed:
     """Apply the actions in order, each on the result of the one before.
 
     Actions that cannot run are logged and skipped. ``measure`` counts changed cells and
-    removed rows for the log. Every ``checkpoint_after`` row-changing stages the table is
-    written to the shared checkpoint folder, which bounds the plan and the recomputation.
+    removed rows for the log. Between stages the table is written to the shared folder
+    after a step that shuffles it, and after every ``write_after`` row-changing steps:
+    later scans then neither repeat the shuffle nor carry an ever longer plan.
+    ``write_end`` does the same with the final table, for callers that scan it again.
     """
     current = nan_to_null(df)
     entries: list[dict] = []
     unsaved = 0
     stages = _stages(actions)
     for number, stage in enumerate(stages):
+        last = number + 1 == len(stages)
         ready, failed = [], {}
         for action in stage:
             reason = _problem(current, action)
@@ -311,23 +315,28 @@ def heal(
                 entries.append(_entry(action, None, None, None, None, len(entries)))
                 unsaved += _changes_rows(action)
                 continue
-            if action.method in DEDUPLICATE:
-                after = (
-                    current.count()
-                    if action.options.get("keys")
-                    else rows - duplicate_count(before).first()["duplicates"]
-                )
-            elif action.method == CUSTOM:
-                after = current.count()
+            if action.method in DEDUPLICATE or action.method == CUSTOM:
+                if last and not write_end:
+                    after = _rows_after(before, current, action, rows)
+                else:
+                    current, unsaved = materialize(current), -1
+                    after = current.count()
             elif action.method in DROP_NULL_ROWS or action.method in Z_FILTERS:
                 after, cells = rows - cells, 0
             entries.append(_entry(action, rows, after, cells or 0, None, len(entries)))
             unsaved += _changes_rows(action)
-        if unsaved >= checkpoint_after and number + 1 < len(stages):
+        shuffled = any(a.method in DEDUPLICATE or a.method in ORDERED_FILLS for a in ready)
+        if unsaved > 0 and (shuffled or unsaved >= write_after) and (write_end or not last):
             current, unsaved = materialize(current), 0
     return Healed(current, entries)
 
 
+def _rows_after(before: DataFrame, after: DataFrame, action: Action, rows: int) -> int:
+    if action.method == CUSTOM or action.options.get("keys"):
+        return after.count()
+    return rows - duplicate_count(before).first()["duplicates"]
+
+
 def _measure(
     df: DataFrame, actions: Sequence[Action], stat: Statistic, rules: QualityRules
 ) -> dict[str, int]:

@@ -112,12 +112,12 @@ def feed_metrics(
     stored = snapshots.agg(F.count_if(_today("fetched_at", as_of)).alias("n")).scalar()
     return sources.agg(
         F.count("*").alias("total_sources"), F.count_if(F.col("is_active")).alias("active_sources")
-    ).withColumns(
-        {
-            "snapshots_today": stored,
-            "recent_fetches": log["ok"],
-            "failed_fetches": log["bad"],
-        }
+    ).withColumns({"snapshots_today": stored, "__log": log}).select(
+        "total_sources",
+        "active_sources",
+        "snapshots_today",
+        F.col("__log.ok").alias("recent_fetches"),
+        F.col("__log.bad").alias("failed_fetches"),
     )
 
 
@@ -133,7 +133,7 @@ def tick_summary(
         F.count_if(F.col("status").isin("PROCESSING", "FAILED") & recent).alias("new_datasets"),
         F.count_if(alert).alias("quality_alerts"),
         F.count_if((F.col("status") == "PROCESSING") & old).alias("stalled"),
-    ).select(due.alias("api_fetches"), "new_datasets", "quality_alerts", "stalled")
+    ).withColumn("api_fetches", due)
     return counts.where(
         (F.col("api_fetches") > 0)
         | (F.col("new_datasets") > 0)

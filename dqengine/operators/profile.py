@@ -185,13 +185,10 @@ def estimated_duplicates(df: DataFrame, key: str | Column, fraction: float) -> D
             F.coalesce(F.sum(F.col("__copies") - 1), F.lit(0)).alias("sampled_duplicates"),
         )
     )
-    total = df.agg(F.count("*").alias("n")).scalar()
-    estimate = F.floor(
-        F.coalesce(F.try_divide(F.col("sampled_duplicates") * 1.0, F.col("sampled_rows")), F.lit(0.0))
-        * total
-    )
-    return per_row.select(
-        "sampled_rows", "sampled_duplicates", total.alias("total_rows"), estimate.alias("affected_rows")
+    share = F.try_divide(F.col("sampled_duplicates") * 1.0, F.col("sampled_rows"))
+    estimate = F.floor(F.coalesce(share, F.lit(0.0)) * F.col("total_rows"))
+    return per_row.withColumn("total_rows", df.agg(F.count("*").alias("n")).scalar()).withColumn(
+        "affected_rows", estimate
     )
 
 
@@ -363,14 +360,18 @@ def quality_report(df: DataFrame, name: str, issues: DataFrame) -> DataFrame:
             ).alias("score"),
         ).alias("s")
     ).scalar()
-    return shape(df).select(
-        F.lit(name).alias("dataset_name"),
-        "total_records",
-        "total_columns",
-        worst["n"].alias("issue_count"),
-        worst["high"].alias("high_issue_count"),
-        worst["score"].alias("quality_score"),
-        (worst["n"] > 0).alias("needs_attention"),
+    return (
+        shape(df)
+        .withColumn("__s", worst)
+        .select(
+            F.lit(name).alias("dataset_name"),
+            "total_records",
+            "total_columns",
+            F.col("__s.n").alias("issue_count"),
+            F.col("__s.high").alias("high_issue_count"),
+            F.col("__s.score").alias("quality_score"),
+            (F.col("__s.n") > 0).alias("needs_attention"),
+        )
     )
 
 

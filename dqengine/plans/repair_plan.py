@@ -15,6 +15,7 @@ from dqengine.schemas import (
     EXECUTION_ORDER,
     HANDLE_NULLS,
     HANDLE_OUTLIERS,
+    ISSUE_SCHEMA,
     NULL_VALUES,
     OUTLIERS,
     REMOVE_DUPLICATES,
@@ -42,6 +43,10 @@ def column_statistics(
     """Rows ``(column_name, mean_value, median_value, std_value)`` of numeric columns."""
     df = nan_to_null(df)
     names = list(columns) if columns is not None else numeric_columns(df)
+    if not names:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, mean_value double, std_value double, median_value double"
+        )
     sums = []
     for i, c in enumerate(names):
         sums += [
@@ -219,13 +224,13 @@ def propose_actions(
     statistics: DataFrame,
     learning_confidence: float | Column = DEFAULT_LEARNING_CONFIDENCE,
     preferred_methods: Sequence[str] = (),
+    numeric: Sequence[str] = (),
 ) -> DataFrame:
     """One row per proposed repair; estimated issues and LOW outliers give none.
 
-    ``issues`` and ``statistics`` have at most a few rows per table column, so their join
-    is tiny whatever the size of the table.
+    ``numeric`` names the numeric columns. ``issues`` and ``statistics`` have at most a few
+    rows per table column, so their join is tiny whatever the size of the table.
     """
-    known = statistics.withColumn("__numeric", F.lit(True))
     learned = (
         learning_confidence
         if isinstance(learning_confidence, Column)
@@ -235,8 +240,8 @@ def propose_actions(
     proposed = (
         issues.withColumn("action_type", _action_type())
         .where("action_type is not null")
-        .join(known, "column_name", "left")
-        .withColumn("is_numeric", F.coalesce("__numeric", F.lit(False)))
+        .join(statistics, "column_name", "left")
+        .withColumn("is_numeric", F.coalesce(F.col("column_name").isin(*numeric), F.lit(False)))
         .withColumn("__share", percent(F.col("affected_rows"), F.col("total_rows")))
         .withColumn("recommended_method", _recommended())
         .withColumn("confidence", confidence(F.col("recommended_method"), learned, preferred_methods))
@@ -269,6 +274,11 @@ def propose_actions(
     )
 
 
+def kept_issues(issues: DataFrame) -> DataFrame:
+    """The issue list as a local table (a few rows per column), computed once."""
+    return issues.sparkSession.createDataFrame(issues.collect(), ISSUE_SCHEMA)
+
+
 def plan_for(
     df: DataFrame,
     issues: DataFrame,
@@ -276,9 +286,16 @@ def plan_for(
     preferred_methods: Sequence[str] = (),
     direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
-    """Proposed repairs of a table with the given issues."""
-    statistics = column_statistics(df, direct_rows=direct_rows)
-    return propose_actions(issues, statistics, learning_confidence, preferred_methods)
+    """Proposed repairs of a table with the given issues.
+
+    Computes the issues once, and statistics only for numeric columns that miss values.
+    """
+    rows = issues.collect()
+    missing = {r["column_name"] for r in rows if r["issue_type"] == NULL_VALUES}
+    numeric = [c for c in numeric_columns(df) if c in missing]
+    statistics = column_statistics(df, numeric, direct_rows=direct_rows)
+    kept = issues.sparkSession.createDataFrame(rows, ISSUE_SCHEMA)
+    return propose_actions(kept, statistics, learning_confidence, preferred_methods, numeric_columns(df))
 
 
 def plan_summary(actions: DataFrame) -> DataFrame:

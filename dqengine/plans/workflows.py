@@ -14,29 +14,26 @@ from dqengine.plans.repair_plan import (
     DEFAULT_LEARNING_CONFIDENCE,
     apply_decisions,
     as_actions,
+    kept_issues,
     plan_for,
 )
-from dqengine.schemas import DEFAULT_THRESHOLDS, ISSUE_SCHEMA, SeverityThresholds
-
-
-def _kept(issues: DataFrame) -> DataFrame:
-    """The issue list as a small local table (a few rows per column), computed once."""
-    return issues.sparkSession.createDataFrame(issues.collect(), ISSUE_SCHEMA)
+from dqengine.schemas import DEFAULT_THRESHOLDS, SeverityThresholds
 
 
 def validation_report(before: DataFrame, after: DataFrame, actions_run: int) -> DataFrame:
     """One row comparing two one-row quality reports."""
     pick = F.struct("quality_score", "issue_count").alias("r")
-    old, new = before.select(pick).scalar(), after.select(pick).scalar()
-    return before.select(
-        old["quality_score"].alias("original_quality_score"),
-        new["quality_score"].alias("final_quality_score"),
-        (new["quality_score"] - old["quality_score"]).alias("quality_improvement"),
-        old["issue_count"].alias("original_issues_count"),
-        new["issue_count"].alias("final_issues_count"),
-        (old["issue_count"] - new["issue_count"]).alias("issues_resolved"),
+    old_score, new_score = F.col("quality_score"), F.col("__new.quality_score")
+    old_issues, new_issues = F.col("issue_count"), F.col("__new.issue_count")
+    return before.withColumn("__new", after.select(pick).scalar()).select(
+        old_score.alias("original_quality_score"),
+        new_score.alias("final_quality_score"),
+        (new_score - old_score).alias("quality_improvement"),
+        old_issues.alias("original_issues_count"),
+        new_issues.alias("final_issues_count"),
+        (old_issues - new_issues).alias("issues_resolved"),
         F.lit(actions_run).cast("long").alias("healing_actions_executed"),
-        F.when(new["quality_score"] >= old["quality_score"], "PASSED")
+        F.when(new_score >= old_score, "PASSED")
         .otherwise("IMPROVEMENT_NEEDED")
         .alias("validation_status"),
     )
@@ -54,11 +51,11 @@ def repair_feed(
     df: DataFrame, name: str, limits: SeverityThresholds = DEFAULT_THRESHOLDS, measure: bool = True
 ) -> FeedRepair:
     """Profile, run every recommended repair without approval, and validate the result."""
-    issues = _kept(find_issues(df, limits))
+    issues = kept_issues(find_issues(df, limits))
     actions = plan_for(df, issues)
     steps = as_actions(actions)
-    healed = heal(df, steps, measure=measure)
-    after = find_issues(healed.df, limits)
+    healed = heal(df, steps, measure=measure, write_end=True)
+    after = kept_issues(find_issues(healed.df, limits))
     validation = validation_report(
         quality_report(df, name, issues),
         quality_report(healed.df, f"HEALED_{name}", after),
@@ -200,10 +197,11 @@ def process_dataset(
     execute_auto_approved: bool = False,
 ) -> ProcessedDataset:
     """Profile, run only the automatic repairs, and list what an operator must approve."""
-    issues = _kept(find_issues(df, limits))
+    issues = kept_issues(find_issues(df, limits))
     actions = plan_for(df, issues, learning_confidence, preferred_methods)
     run = ["AUTO_EXECUTED", "AUTO_APPROVED"] if execute_auto_approved else ["AUTO_EXECUTED"]
-    healed = heal(df, as_actions(actions.where(F.col("approval_status").isin(*run))))
+    steps = as_actions(actions.where(F.col("approval_status").isin(*run)))
+    healed = heal(df, steps, write_end=True)
     waiting = not actions.where("approval_status = 'NEEDS_APPROVAL'").isEmpty()
     status = "PENDING_APPROVAL" if waiting else "COMPLETED"
     report = quality_report(df, name, issues)
