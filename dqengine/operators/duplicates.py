@@ -42,6 +42,19 @@ def _split(df: DataFrame, fingerprint_rows: int) -> tuple[DataFrame, DataFrame]
     return unique, candidates
 
 
+def row_copies(df: DataFrame, fingerprint_rows: int = FINGERPRINT_ROWS) -> DataFrame:
+    """Distinct rows with ``copies``, the number of times each occurs."""
+    df = groupable(df)
+    copies = F.count("*").alias("copies")
+    parts = _split(df, fingerprint_rows)
+    if parts is None:
+        return df.groupBy(*[col(c) for c in df.columns]).agg(copies)
+    unique, candidates = parts
+    return unique.withColumn("copies", F.lit(1).cast("long")).unionByName(
+        candidates.groupBy(*[col(c) for c in df.columns]).agg(copies)
+    )
+
+
 def duplicate_count(df: DataFrame, fingerprint_rows: int = FINGERPRINT_ROWS) -> DataFrame:
     """One row ``duplicates``: rows equal to an earlier row on every column."""
     df = groupable(df)

@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +14,8 @@ from pyspark.sql import types as T
 from dqengine.functions.columns import col
 
 ROWS_PER_CHUNK = 5_000_000
-MAX_CHUNKS = 256
+MAX_CHUNKS = 10_000
+BOUND_ACCURACY = 100_000
 
 
 def _as_number(df: DataFrame, column: str) -> Column:
@@ -25,18 +27,17 @@ def _as_number(df: DataFrame, column: str) -> Column:
     return col(column).cast("double")
 
 
-def _chunk_number(value: Column, bounds: list[float]) -> Column:
-    """Number of bounds not above the value, found by halving; a NULL sorts first."""
-
-    def descend(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value < F.lit(bounds[middle]), descend(low, middle)).otherwise(
-            descend(middle + 1, high)
-        )
-
-    return F.when(value.isNull(), F.lit(-1)).otherwise(descend(0, len(bounds)))
+def _with_chunk(df: DataFrame, position: Column, bounds: list[float]) -> DataFrame:
+    """Adds ``__chunk``: which stretch of the order a row lies in; a NULL sorts first."""
+    if not bounds:
+        return df.withColumn("__chunk", F.when(position.isNull(), -1).otherwise(0))
+    # Bucketizer looks the value up by binary search, so the number of bounds may be large.
+    bucketizer = Bucketizer(
+        splits=[-math.inf, *bounds, math.inf], inputCol="__pos", outputCol="__bucket"
+    )
+    cut = bucketizer.transform(df.withColumn("__pos", F.coalesce(position, F.lit(-math.inf))))
+    chunk = F.when(position.isNull(), -1).otherwise(F.col("__bucket").cast("int"))
+    return cut.withColumn("__chunk", chunk).drop("__pos", "__bucket")
 
 
 def fill_along(
@@ -74,8 +75,8 @@ def fill_along(
     chunks = min(MAX_CHUNKS, math.ceil(rows / rows_per_chunk))
     position = _as_number(df, order_by[0])
     grid = [i / chunks for i in range(1, chunks)]
-    bounds = df.agg(F.percentile_approx(position, grid, 10_000).alias("b")).first()["b"]
-    chunked = df.withColumn("__chunk", _chunk_number(position, sorted(set(bounds or []))))
+    bounds = df.agg(F.percentile_approx(position, grid, BOUND_ACCURACY).alias("b")).first()["b"]
+    chunked = _with_chunk(df, position, sorted(set(bounds or [])))
 
     window = Window.partitionBy(*[col(c) for c in keys], "__chunk").orderBy(*ordering)
     local = chunked.withColumn("__filled", nearest(window, value))

@@ -319,8 +319,10 @@ def heal(
                 if last and not write_end:
                     after = _rows_after(before, current, action, rows)
                 else:
-                    current, unsaved = materialize(current), -1
-                    after = current.count()
+                    current = materialize(current)
+                    after, unsaved = current.count(), 0
+                    entries.append(_entry(action, rows, after, 0, None, len(entries)))
+                    continue
             elif action.method in DROP_NULL_ROWS or action.method in Z_FILTERS:
                 after, cells = rows - cells, 0
             entries.append(_entry(action, rows, after, cells or 0, None, len(entries)))

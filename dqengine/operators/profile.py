@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dqengine.functions.columns import col, groupable, nan_to_null, numeric_columns, percent
 from dqengine.functions.quantiles import DIRECT_ROWS, exact_quantiles, quantile_values
-from dqengine.operators.duplicates import FINGERPRINT_ROWS, duplicate_count
+from dqengine.operators.duplicates import FINGERPRINT_ROWS, duplicate_count, row_copies
 from dqengine.schemas import (
     DEFAULT_THRESHOLDS,
     DUPLICATES,
@@ -376,7 +376,11 @@ def quality_report(df: DataFrame, name: str, issues: DataFrame) -> DataFrame:
 
 
 def problem_rows(
-    df: DataFrame, rules: QualityRules = RULES, min_values: int = 1000, direct_rows: int = DIRECT_ROWS
+    df: DataFrame,
+    rules: QualityRules = RULES,
+    min_values: int = 1000,
+    direct_rows: int = DIRECT_ROWS,
+    fingerprint_rows: int = FINGERPRINT_ROWS,
 ) -> DataFrame:
     """Distinct rows that need attention, their reasons and how many table rows they stand for.
 
@@ -395,8 +399,7 @@ def problem_rows(
     reasons.append(F.when(F.col("copies") > 1, "DUPLICATE"))
     first_is_problem = F.size(F.filter(F.col("reasons"), lambda r: r != "DUPLICATE")) > 0
     return (
-        df.groupBy(*[col(c) for c in df.columns])
-        .agg(F.count("*").alias("copies"))
+        row_copies(df, fingerprint_rows)
         .withColumn("reasons", F.array_compact(F.array(*reasons)))
         .where(F.size("reasons") > 0)
         .withColumn(
