@@ -144,8 +144,9 @@ def k03_sliding(spark, d):
 )
 def k04(spark, d):
     stream = _land(table(spark, d, "actions_log"), "actions")
-    started = stream.where("execution_status = 'EXECUTING'").select("action_id", "dataset_id", "action_at")
-    return _plain(_drain(J.stalled_jobs(started, stream, "dataset_id", "action_at"), "stalled"))
+    executing = F.col("execution_status") == "EXECUTING"
+    stalled = J.stalled_jobs(stream, executing, "dataset_id", "action_at")
+    return _plain(_drain(stalled.select("action_id", "dataset_id", "action_at"), "stalled"))
 
 
 @check(

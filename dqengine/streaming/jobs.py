@@ -120,23 +120,23 @@ STALL_MINUTES = 10
 
 
 def stalled_jobs(
-    started: DataFrame, progress: DataFrame, key: str, time: str, delay: str = "1 minute"
+    events: DataFrame, is_start: Column, key: str, time: str, delay: str = "1 minute"
 ) -> DataFrame:
     """Starts that no later event of the same key followed within ten minutes.
 
-    A left outer stream-stream join: the watermark is the timer. The join key also holds
-    the ten-minute slot, which spreads the events of one busy key over the state store.
+    A left outer stream-stream join: the watermark, taken from all events, is the timer.
+    The join key also holds the ten-minute slot, which spreads the events of one busy key
+    over the state store.
     """
     seconds = STALL_MINUTES * 60
 
     def slot(column: str) -> Column:
         return F.floor(F.unix_seconds(F.col(column)) / seconds)
 
-    begun = started.withWatermark(time, delay).withColumn("__slot", slot(time))
-    later = (
-        progress.select(F.col(key).alias("__key"), F.col(time).alias("__later"))
-        .withWatermark("__later", delay)
-        .withColumn("__at", F.explode(F.array(slot("__later"), slot("__later") - 1)))
+    timed = events.withWatermark(time, delay)
+    begun = timed.where(is_start).withColumn("__slot", slot(time))
+    later = timed.select(F.col(key).alias("__key"), F.col(time).alias("__later")).withColumn(
+        "__at", F.explode(F.array(slot("__later"), slot("__later") - 1))
     )
     followed = (
         (F.col(key) == F.col("__key"))

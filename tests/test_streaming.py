@@ -75,9 +75,8 @@ def test_stalled_jobs_across_batches(spark, tmp_path):
     feed.land([("ok", _minutes(0), "START"), ("edge", _minutes(3), "START"), ("slow", _minutes(2), "START")])
     feed.land([("ok", _minutes(5), "DONE"), ("edge", _minutes(13), "DONE"), ("slow", _minutes(13), "DONE")])
     feed.land([("later", _minutes(60), "START")])
-    stream = feed.stream()
-    started = stream.where("status = 'START'")
-    J.write_stream(J.stalled_jobs(started, stream, "job", "ts"), out, state, J.DRAIN).awaitTermination()
+    stalled = J.stalled_jobs(feed.stream(), F.col("status") == "START", "job", "ts")
+    J.write_stream(stalled, out, state, J.DRAIN).awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert [(r["job"], r["status"]) for r in rows] == [("slow", "START")]
 
