@@ -1,15 +1,17 @@
 """Exact interpolated quantiles that never gather a whole column in one task.
 
 The built-in ``percentile`` is exact but keeps every distinct value of a group in one
-aggregation buffer. It is used only for groups whose row count was checked. Larger
-groups are narrowed instead: every round scans the columns once, counts the rows around
-a bracket and cuts the bracket with an approximate grid, until few rows remain between
-its two ends. All buffers are bounded, and the counts make the result exact whatever
-error the grid has.
+aggregation buffer, so it is used only below a checked row count. Whole tables beyond it
+take two scans: approximate quantiles bracket each wanted rank, then the rows below the
+bracket are counted and the few values inside are sorted. Beyond the size at which those
+few are still few, and for large groups, the bracket is narrowed over several rounds.
+All buffers are bounded, and the counts make the result exact whatever error the
+approximation has.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -20,6 +22,8 @@ from dqengine.functions.columns import col, groupable
 from dqengine.session import materialize
 
 DIRECT_ROWS = 2_000_000
+SMALL_ROWS = 200_000
+BRACKETED_ROWS = 100_000_000
 GRID_CELLS = 128
 GRID_ACCURACY = 10_000
 MAX_ROUNDS = 40
@@ -40,8 +44,14 @@ def exact_quantiles(
     columns, by = list(columns), list(by)
     df = df.select(*[col(c) for c in dict.fromkeys(by + columns)])
     if not by:
-        if (df.count() if rows is None else rows) <= direct_rows:
+        rows = df.count() if rows is None else rows
+        if rows <= min(direct_rows, SMALL_ROWS):
             return _direct(df, columns, probabilities, by)
+        if rows <= direct_rows * (BRACKETED_ROWS // DIRECT_ROWS):
+            found = _bracketed(df, columns, probabilities)
+            if found is not None:
+                schema = "column_name string, probability double, value double"
+                return df.sparkSession.createDataFrame(found, schema)
         return _narrowed(df, columns, probabilities, by, direct_rows)
     large = (
         df.groupBy(*[col(c) for c in by]).count().where(F.col("count") > direct_rows).drop("count")
@@ -105,6 +115,66 @@ def _direct(
     return wide.select(*[col(c) for c in by], F.inline(F.array(*entries)))
 
 
+def _bracketed(
+    df: DataFrame, columns: list[str], probabilities: Sequence[float]
+) -> list[tuple[str, float, float | None]] | None:
+    """Two scans; None if an approximate bracket missed its rank.
+
+    A bracket spans a fixed small share of the rows, and a value that fills more than that
+    is itself an end of the bracket, so the values strictly inside are few.
+    """
+    margin = 2.0 / GRID_ACCURACY
+    ends = [min(1.0, max(0.0, p + m)) for p in probabilities for m in (-margin, margin)]
+    values = [col(c).cast("double") for c in columns]
+    sketch = df.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+        *[F.percentile_approx(v, ends, GRID_ACCURACY).alias(f"e{i}") for i, v in enumerate(values)],
+    ).first()
+
+    wanted, measures = [], []
+    for i, c in enumerate(columns):
+        for j, p in enumerate(probabilities):
+            if not sketch[f"n{i}"]:
+                wanted.append((c, p, None, None, 0))
+                continue
+            low, high = sketch[f"e{i}"][2 * j], sketch[f"e{i}"][2 * j + 1]
+            v, k = values[i], len(wanted)
+            inside = F.when((v > low) & (v < high), v)
+            measures += [
+                F.count_if(v < low).alias(f"less{k}"),
+                F.count_if(v == low).alias(f"low{k}"),
+                F.count_if(v == high).alias(f"high{k}"),
+                F.sort_array(F.collect_list(inside)).alias(f"mid{k}"),
+            ]
+            wanted.append((c, p, low, high, sketch[f"n{i}"]))
+    counts = df.agg(F.lit(0).alias("__none"), *measures).first()
+
+    found = []
+    for k, (c, p, low, high, n) in enumerate(wanted):
+        if not n:
+            found.append((c, float(p), None))
+            continue
+        position = p * (n - 1)
+        rank = math.floor(position)
+        around = []
+        for r in (rank, math.ceil(position)):
+            at = r - counts[f"less{k}"]
+            middle = counts[f"mid{k}"]
+            same = 0 if low == high else counts[f"high{k}"]
+            if at < 0 or at >= counts[f"low{k}"] + len(middle) + same:
+                return None
+            if at < counts[f"low{k}"]:
+                around.append(low)
+            elif at < counts[f"low{k}"] + len(middle):
+                around.append(middle[at - counts[f"low{k}"]])
+            else:
+                around.append(high)
+        above, below = math.ceil(position) - position, position - rank
+        value = around[0] if below == 0 else above * around[0] + below * around[1]
+        found.append((c, float(p), value))
+    return found
+
+
 def _narrowed(
     df: DataFrame,
     columns: list[str],

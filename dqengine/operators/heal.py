@@ -463,7 +463,8 @@ def heal_by_group(
     hot group costs no more than others; they are broadcast only if the groups are few.
     """
     current = nan_to_null(df)
-    for stage in _stages(actions):
+    stages = _stages(actions)
+    for stage in stages:
         for action in stage:
             reason = _problem(current, action)
             if reason:
@@ -471,7 +472,8 @@ def heal_by_group(
         columns = current.columns
         if any(_needs(a) for a in stage):
             stats, names = _group_statistics(current, stage, group, direct_rows)
-            few = current.select(*[col(c) for c in group]).distinct().count() <= GROUP_BROADCAST
+            stats = materialize(stats)
+            few = stats.count() <= GROUP_BROADCAST
             same = reduce(
                 lambda a, b: a & b,
                 [col(c).eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(group)],
@@ -490,6 +492,8 @@ def heal_by_group(
                 current = current.select(*[col(c) for c in columns])
             current = _rewrite(current, action, stat, rules)
         current = current.select(*[col(c) for c in columns if c in current.columns])
+        if stage is not stages[-1] and any(a.method in DEDUPLICATE for a in stage):
+            current = materialize(current)
     return current
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from dqengine.functions import quantiles as Q
 from dqengine.functions.quantiles import exact_quantiles, most_frequent_values, quantile_values
 
 SHARES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
@@ -26,13 +27,40 @@ def frame(spark):
     return spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(7)
 
 
-def test_narrowing_equals_numpy(frame):
+def test_narrowing_equals_numpy(frame, monkeypatch):
+    monkeypatch.setattr(Q, "_bracketed", lambda *a: None)
     found = quantile_values(frame, frame.columns, SHARES, direct_rows=20)
     for name, values in _columns().items():
         for p in SHARES:
             assert found[name][p] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
+def test_two_scans_equal_numpy(frame, monkeypatch):
+    monkeypatch.setattr(Q, "SMALL_ROWS", 10)
+    monkeypatch.setattr(Q, "_narrowed", None)
+    found = quantile_values(frame, frame.columns, SHARES)
+    for name, values in _columns().items():
+        for p in SHARES:
+            assert found[name][p] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
+
+
+def test_a_missed_bracket_is_narrowed(frame, monkeypatch):
+    monkeypatch.setattr(Q, "SMALL_ROWS", 10)
+    monkeypatch.setattr(Q, "_bracketed", lambda *a: None)
+    assert quantile_values(frame, ["spread"], [0.5])["spread"][0.5] == pytest.approx(
+        np.quantile(_columns()["spread"], 0.5)
+    )
+
+
+def test_coarse_sketch_stays_exact(frame, monkeypatch):
+    monkeypatch.setattr(Q, "SMALL_ROWS", 10)
+    monkeypatch.setattr(Q, "GRID_ACCURACY", 20)
+    found = quantile_values(frame, ["spread", "hot"], [0.05, 0.5, 0.95])
+    for name in ("spread", "hot"):
+        for p in (0.05, 0.5, 0.95):
+            assert found[name][p] == pytest.approx(np.quantile(_columns()[name], p))
+
+
 def test_direct_equals_numpy(frame):
     found = quantile_values(frame, ["spread"], SHARES)
     for p in SHARES:
@@ -44,6 +72,9 @@ def test_nulls_and_empty_columns(spark):
     found = quantile_values(df, ["a", "b"], [0.5])
     assert found["a"][0.5] == 2.0
     assert found["b"][0.5] is None
+    for rows in (0, 1):
+        bracketed = quantile_values(df, ["a", "b"], [0.5], direct_rows=rows)
+        assert bracketed == {"a": {0.5: 2.0}, "b": {0.5: None}}
     narrowed = quantile_values(df, ["a", "b"], [0.5], direct_rows=0)
     assert narrowed["a"][0.5] == 2.0
     assert narrowed["b"][0.5] is None
