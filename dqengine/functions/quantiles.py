@@ -2,17 +2,18 @@
 
 The built-in ``percentile`` is exact but keeps every distinct value of a group in one
 aggregation buffer, so it is used only below a checked row count. Whole tables beyond it
-take two scans: approximate quantiles bracket each wanted rank, then the rows below the
-bracket are counted and the few values inside are sorted. Beyond the size at which those
-few are still few, and for large groups, the bracket is narrowed over several rounds.
-All buffers are bounded, and the counts make the result exact whatever error the
-approximation has.
+take three light scans: quantiles of a sample bracket each wanted rank, the rows around
+the brackets are counted, and the few values inside are grouped and ranked. Where those
+few would be many, and for large groups, the bracket is narrowed over several rounds.
+All buffers are bounded, and the counts make the result exact whatever error the sample
+or the sketch has.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +24,8 @@ from dqengine.session import materialize
 
 DIRECT_ROWS = 2_000_000
 SMALL_ROWS = 200_000
-BRACKETED_ROWS = 100_000_000
+SAMPLE_ROWS = 2_000_000
+SAMPLE_SIGMAS = 6
 GRID_CELLS = 128
 GRID_ACCURACY = 10_000
 MAX_ROUNDS = 40
@@ -47,11 +49,10 @@ def exact_quantiles(
         rows = df.count() if rows is None else rows
         if rows <= min(direct_rows, SMALL_ROWS):
             return _direct(df, columns, probabilities, by)
-        if rows <= direct_rows * (BRACKETED_ROWS // DIRECT_ROWS):
-            found = _bracketed(df, columns, probabilities)
-            if found is not None:
-                schema = "column_name string, probability double, value double"
-                return df.sparkSession.createDataFrame(found, schema)
+        found = _bracketed(df, columns, probabilities, rows, direct_rows)
+        if found is not None:
+            schema = "column_name string, probability double, value double"
+            return df.sparkSession.createDataFrame(found, schema)
         return _narrowed(df, columns, probabilities, by, direct_rows)
     large = (
         df.groupBy(*[col(c) for c in by]).count().where(F.col("count") > direct_rows).drop("count")
@@ -115,66 +116,139 @@ def _direct(
     return wide.select(*[col(c) for c in by], F.inline(F.array(*entries)))
 
 
+@dataclass(frozen=True)
+class _Target:
+    """One wanted quantile: its column, its share, and open or closed bracket ends."""
+
+    column: str
+    share: float
+    low: float | None
+    high: float | None
+
+    def inside(self, value: Column) -> Column:
+        above = F.lit(True) if self.low is None else value > self.low
+        return above if self.high is None else above & (value < self.high)
+
+
+def _brackets(
+    df: DataFrame, columns: list[str], probabilities: Sequence[float], rows: int
+) -> list[_Target]:
+    """Bracket ends from quantiles of a sample, wide enough to be missed hardly ever."""
+    margin, sample = 2.0 / GRID_ACCURACY, df
+    if rows > SAMPLE_ROWS:
+        margin += SAMPLE_SIGMAS * math.sqrt(0.25 / SAMPLE_ROWS)
+        sample = df.sample(SAMPLE_ROWS / rows, seed=7)
+    ends = [(p - margin, p + margin) for p in probabilities]
+    asked = [min(1.0, max(0.0, e)) for pair in ends for e in pair]
+    sketch = sample.agg(
+        *[
+            F.percentile_approx(col(c).cast("double"), asked, GRID_ACCURACY).alias(f"e{i}")
+            for i, c in enumerate(columns)
+        ]
+    ).first()
+    targets = []
+    for i, c in enumerate(columns):
+        for j, (p, (below, above)) in enumerate(zip(probabilities, ends)):
+            low, high = sketch[f"e{i}"][2 * j : 2 * j + 2] if sketch[f"e{i}"] else (None, None)
+            targets.append(
+                _Target(c, float(p), low if below > 0.0 else None, high if above < 1.0 else None)
+            )
+    return targets
+
+
 def _bracketed(
-    df: DataFrame, columns: list[str], probabilities: Sequence[float]
+    df: DataFrame, columns: list[str], probabilities: Sequence[float], rows: int, direct_rows: int
 ) -> list[tuple[str, float, float | None]] | None:
-    """Two scans; None if an approximate bracket missed its rank.
+    """Three scans; None if a bracket missed its rank or holds too many rows.
 
-    A bracket spans a fixed small share of the rows, and a value that fills more than that
-    is itself an end of the bracket, so the values strictly inside are few.
+    A bracket spans a small share of the rows. A value that fills more than that share is
+    itself an end of the bracket, so it does not count as inside.
     """
-    margin = 2.0 / GRID_ACCURACY
-    ends = [min(1.0, max(0.0, p + m)) for p in probabilities for m in (-margin, margin)]
-    values = [col(c).cast("double") for c in columns]
-    sketch = df.agg(
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
-        *[F.percentile_approx(v, ends, GRID_ACCURACY).alias(f"e{i}") for i, v in enumerate(values)],
-    ).first()
+    targets = _brackets(df, columns, probabilities, rows)
+    measures = [F.count(col(c)).alias(f"n_{i}") for i, c in enumerate(columns)]
+    for k, t in enumerate(targets):
+        value, none = col(t.column).cast("double"), F.lit(0).cast("long")
+        measures += [
+            (none if t.low is None else F.count_if(value < t.low)).alias(f"less{k}"),
+            (none if t.low is None else F.count_if(value == t.low)).alias(f"low{k}"),
+            F.count_if(t.inside(value)).alias(f"mid{k}"),
+            (none if t.high in (None, t.low) else F.count_if(value == t.high)).alias(f"high{k}"),
+        ]
+    counts = df.agg(*measures).first()
 
-    wanted, measures = [], []
-    for i, c in enumerate(columns):
-        for j, p in enumerate(probabilities):
-            if not sketch[f"n{i}"]:
-                wanted.append((c, p, None, None, 0))
-                continue
-            low, high = sketch[f"e{i}"][2 * j], sketch[f"e{i}"][2 * j + 1]
-            v, k = values[i], len(wanted)
-            inside = F.when((v > low) & (v < high), v)
-            measures += [
-                F.count_if(v < low).alias(f"less{k}"),
-                F.count_if(v == low).alias(f"low{k}"),
-                F.count_if(v == high).alias(f"high{k}"),
-                F.sort_array(F.collect_list(inside)).alias(f"mid{k}"),
-            ]
-            wanted.append((c, p, low, high, sketch[f"n{i}"]))
-    counts = df.agg(F.lit(0).alias("__none"), *measures).first()
+    known: dict[tuple[int, int], float] = {}
+    picks: list[tuple[int, int]] = []
+    for k, t in enumerate(targets):
+        n = counts[f"n_{columns.index(t.column)}"]
+        if not n:
+            continue
+        position = t.share * (n - 1)
+        first_mid = counts[f"less{k}"] + counts[f"low{k}"]
+        first_high = first_mid + counts[f"mid{k}"]
+        for rank in {math.floor(position), math.ceil(position)}:
+            if counts[f"less{k}"] <= rank < first_mid:
+                known[(k, rank)] = t.low
+            elif first_mid <= rank < first_high and counts[f"mid{k}"] <= direct_rows:
+                picks.append((k, rank - first_mid))
+            elif first_high <= rank < first_high + counts[f"high{k}"]:
+                known[(k, rank)] = t.high
+            else:
+                return None
+    for k, at, value in _ranked_inside(df, targets, picks):
+        known[(k, at + counts[f"less{k}"] + counts[f"low{k}"])] = value
 
     found = []
-    for k, (c, p, low, high, n) in enumerate(wanted):
+    for k, t in enumerate(targets):
+        n = counts[f"n_{columns.index(t.column)}"]
         if not n:
-            found.append((c, float(p), None))
+            found.append((t.column, t.share, None))
             continue
-        position = p * (n - 1)
-        rank = math.floor(position)
-        around = []
-        for r in (rank, math.ceil(position)):
-            at = r - counts[f"less{k}"]
-            middle = counts[f"mid{k}"]
-            same = 0 if low == high else counts[f"high{k}"]
-            if at < 0 or at >= counts[f"low{k}"] + len(middle) + same:
-                return None
-            if at < counts[f"low{k}"]:
-                around.append(low)
-            elif at < counts[f"low{k}"] + len(middle):
-                around.append(middle[at - counts[f"low{k}"]])
-            else:
-                around.append(high)
-        above, below = math.ceil(position) - position, position - rank
-        value = around[0] if below == 0 else above * around[0] + below * around[1]
-        found.append((c, float(p), value))
+        position = t.share * (n - 1)
+        rank, after = math.floor(position), math.ceil(position)
+        value = known[(k, rank)]
+        if after != rank:
+            value = (after - position) * value + (position - rank) * known[(k, after)]
+        found.append((t.column, t.share, value))
     return found
 
 
+def _ranked_inside(
+    df: DataFrame, targets: list[_Target], picks: list[tuple[int, int]]
+) -> list[tuple[int, int, float]]:
+    """``(target, place, value)`` of the wanted places inside brackets of bounded size."""
+    if not picks:
+        return []
+    needed = sorted({k for k, _ in picks})
+    hits = {k: targets[k].inside(col(targets[k].column).cast("double")) for k in needed}
+    any_hit = reduce(lambda a, b: a | b, hits.values())
+    cells = [
+        F.when(hit, F.struct(F.lit(k).alias("k"), col(targets[k].column).cast("double").alias("v")))
+        for k, hit in hits.items()
+    ]
+    counted = (
+        df.where(any_hit)
+        .select(F.inline(F.array_compact(F.array(*cells))))
+        .groupBy("k", "v")
+        .agg(F.count("*").alias("c"))
+    )
+    running = Window.partitionBy("k").orderBy("v")
+    ranked = counted.withColumn("upto", F.sum("c").over(running))
+    wanted = reduce(
+        lambda a, b: a | b,
+        [
+            (F.col("k") == k) & (F.col("upto") > at) & (F.col("upto") - F.col("c") <= at)
+            for k, at in picks
+        ],
+    )
+    rows = ranked.where(wanted).collect()
+    return [
+        (k, at, row["v"])
+        for k, at in picks
+        for row in rows
+        if row["k"] == k and row["upto"] - row["c"] <= at < row["upto"]
+    ]
+
+
 def _narrowed(
     df: DataFrame,
     columns: list[str],

@@ -50,9 +50,9 @@ def fill_along(
 ) -> DataFrame:
     """Replace a missing value by the nearest earlier (or later) one of the same key.
 
-    Above ``rows_per_chunk`` rows the order is cut at its quantiles, each (key, chunk) is
-    filled on its own, and one carried value per (key, chunk) bridges the cuts. No window
-    then holds more than a chunk of a hot key.
+    If a key has more than ``rows_per_chunk`` rows the order is cut at its quantiles, each
+    (key, chunk) is filled on its own, and one carried value per (key, chunk) bridges the
+    cuts. No window then holds more than a chunk of a hot key.
     """
     keys, order_by = list(keys), list(order_by)
     value = col(column)
@@ -67,8 +67,10 @@ def fill_along(
             window.rowsBetween(0, Window.unboundedFollowing)
         )
 
-    rows = df.count()
-    if rows <= rows_per_chunk:
+    sizes = df.groupBy(*[col(c) for c in keys]).agg(F.count("*").alias("n"))
+    size = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
+    rows = size["rows"] or 0
+    if (size["largest"] or 0) <= rows_per_chunk:
         window = Window.partitionBy(*[col(c) for c in keys]).orderBy(*ordering)
         return df.withColumn(column, nearest(window, value))
 

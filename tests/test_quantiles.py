@@ -35,8 +35,10 @@ def test_narrowing_equals_numpy(frame, monkeypatch):
             assert found[name][p] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
-def test_two_scans_equal_numpy(frame, monkeypatch):
+@pytest.mark.parametrize("sample_rows", [10**6, 900])
+def test_brackets_equal_numpy(frame, monkeypatch, sample_rows):
     monkeypatch.setattr(Q, "SMALL_ROWS", 10)
+    monkeypatch.setattr(Q, "SAMPLE_ROWS", sample_rows)
     monkeypatch.setattr(Q, "_narrowed", None)
     found = quantile_values(frame, frame.columns, SHARES)
     for name, values in _columns().items():
@@ -44,12 +46,18 @@ def test_two_scans_equal_numpy(frame, monkeypatch):
             assert found[name][p] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
 
 
-def test_a_missed_bracket_is_narrowed(frame, monkeypatch):
+@pytest.mark.parametrize("shift", [-1000.0, 1000.0])
+def test_a_missed_bracket_is_narrowed(frame, monkeypatch, shift):
     monkeypatch.setattr(Q, "SMALL_ROWS", 10)
-    monkeypatch.setattr(Q, "_bracketed", lambda *a: None)
-    assert quantile_values(frame, ["spread"], [0.5])["spread"][0.5] == pytest.approx(
-        np.quantile(_columns()["spread"], 0.5)
-    )
+    monkeypatch.setattr(Q, "_brackets", lambda *a: [Q._Target("hot", 0.5, shift, shift + 1)])
+    assert quantile_values(frame, ["hot"], [0.5])["hot"][0.5] == np.quantile(_columns()["hot"], 0.5)
+
+
+def test_a_full_bracket_is_narrowed(frame, monkeypatch):
+    monkeypatch.setattr(Q, "SMALL_ROWS", 10)
+    monkeypatch.setattr(Q, "_brackets", lambda *a: [Q._Target("spread", 0.5, None, None)])
+    found = quantile_values(frame, ["spread"], [0.5], direct_rows=100)
+    assert found["spread"][0.5] == pytest.approx(np.quantile(_columns()["spread"], 0.5))
 
 
 def test_coarse_sketch_stays_exact(frame, monkeypatch):
@@ -67,15 +75,15 @@ def test_direct_equals_numpy(frame):
         assert found["spread"][p] == pytest.approx(np.quantile(_columns()["spread"], p), rel=1e-12)
 
 
-def test_nulls_and_empty_columns(spark):
+def test_nulls_and_empty_columns(spark, monkeypatch):
     df = spark.createDataFrame([(1.0, None), (None, None), (3.0, None)], "a double, b double")
     found = quantile_values(df, ["a", "b"], [0.5])
     assert found["a"][0.5] == 2.0
     assert found["b"][0.5] is None
-    for rows in (0, 1):
-        bracketed = quantile_values(df, ["a", "b"], [0.5], direct_rows=rows)
-        assert bracketed == {"a": {0.5: 2.0}, "b": {0.5: None}}
-    narrowed = quantile_values(df, ["a", "b"], [0.5], direct_rows=0)
+    bracketed = quantile_values(df, ["a", "b"], [0.5], direct_rows=1)
+    assert bracketed == {"a": {0.5: 2.0}, "b": {0.5: None}}
+    monkeypatch.setattr(Q, "_bracketed", lambda *a: None)
+    narrowed = quantile_values(df, ["a", "b"], [0.5], direct_rows=1)
     assert narrowed["a"][0.5] == 2.0
     assert narrowed["b"][0.5] is None
 
