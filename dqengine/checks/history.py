@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dqengine.checks.planning import plan_ctes
 from dqengine.checks.registry import check
+from dqengine.checks.sql import issues_cte
 from dqengine.operators import learning as L
+from dqengine.operators.profile import find_issues
+from dqengine.plans.repair_plan import plan_for
+from dqengine.schemas import SeverityThresholds
 from dqengine.session import scratch_path
 from dqengine.sources.views import EVENT_CLOCK, table
 
@@ -116,6 +121,52 @@ def a06(spark, d):
     return _rounded(L.learned_auto_approval(_patterns(spark, d)), "auto_approval_threshold")
 
 
+LIMITS = (
+    "lim as (select cast(least(20, 15 + 2 * count(*) filter (where pattern like '%null_handling%' and success_rate > 0.8)) as double) as null_high "
+    f"from rated where agent_name = 'DataQualityAgent' and {GOOD})"
+)
+LEARNED_LIMITS = SeverityThresholds("(select null_high from lim)", 8.0, 10.0, 5.0)
+
+
+@check(
+    "p11_graded_issues_learned_limits",
+    ("lineitem_dirty", "learning_log"),
+    f"with {PATTERNS}, {LIMITS}, {issues_cte('lineitem_dirty', LEARNED_LIMITS)} "
+    "select issue_type, column_name, affected_rows, percentage, severity from issues",
+)
+def p11_learned(spark, d):
+    learned = L.learned_inputs(_patterns(spark, d))
+    issues = find_issues(table(spark, d, "lineitem_dirty"), learned.limits)
+    return issues.select("issue_type", "column_name", "affected_rows", "percentage", "severity")
+
+
+SURE = (
+    "coalesce((select least(avg(confidence), 1e0) from rated where agent_name = 'DataHealingAgent' and confidence > 0.3), 0.5e0)"
+)
+CHOICE = (
+    "(select coalesce((select choice from (select *, case when pattern like '%FILL_MEDIAN%' and success_rate > 0.9 then 'FILL_MEDIAN' "
+    "when pattern like '%FILL_MEAN%' and success_rate > 0.85 then 'FILL_MEAN' end as choice from rated "
+    f"where agent_name = 'DataHealingAgent' and {GOOD}) where choice is not null order by success_rate, confidence, pattern desc limit 1), "
+    "'FILL_MEDIAN'))"
+)
+
+
+@check(
+    "l04_actions_after_learning",
+    ("lineitem_dirty", "learning_log"),
+    f"with {PATTERNS}, "
+    + plan_ctes("lineitem_dirty", SURE, f"{CHOICE}, 'FILL_MODE', 'KEEP_FIRST', 'CAP_OUTLIERS'")
+    + " select action_id, recommended_method, severity, confidence, risk_level, disposition, approval_status from actions",
+)
+def l04_learned(spark, d):
+    learned = L.learned_inputs(_patterns(spark, d))
+    lines = table(spark, d, "lineitem_dirty")
+    plan = plan_for(lines, find_issues(lines), learned.confidence, learned.methods)
+    return plan.select(
+        "action_id", "recommended_method", "severity", "confidence", "risk_level", "disposition", "approval_status"
+    )
+
+
 FEEDBACK = "action_id, agent_name, feedback_type, feedback_text, rating, context, feedback_at"
 
 

@@ -7,14 +7,18 @@ and feedback acts on them through sums, so every step combines before it shuffle
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dqengine.schemas import SeverityThresholds
+
 # Limits, weights and word lists of the learning rules.
 CONFIDENT = 0.3
 SUCCESSFUL = 0.7
+DEFAULT_CONFIDENCE = 0.5
 FULL_CONFIDENCE_ATTEMPTS = 10
 FEEDBACK_DAYS = 30
 REJECTION_DAYS = 60
@@ -173,6 +177,30 @@ def learned_auto_approval(patterns: DataFrame, agent: str = "PipelineOrchestrato
     )
 
 
+@dataclass(frozen=True)
+class Learned:
+    """What profiling and planning take from the history, as plain values."""
+
+    limits: SeverityThresholds
+    confidence: float
+    methods: tuple[str, ...]
+
+
+def learned_inputs(patterns: DataFrame, planner: str = "DataHealingAgent") -> Learned:
+    """Limits, planning confidence (0.5 without confident patterns) and preferred methods.
+
+    Reads three one-row results; the patterns are scanned once for each.
+    """
+    limits = learned_thresholds(patterns).drop("focus_areas").first().asDict()
+    sure = agent_recommendations(patterns.where(F.col("agent_name") == planner)).first()
+    methods = learned_methods(patterns, planner).first()
+    return Learned(
+        SeverityThresholds(**limits),
+        sure["overall_confidence"] if sure else DEFAULT_CONFIDENCE,
+        tuple(methods),
+    )
+
+
 def parsed_feedback(feedback: DataFrame) -> DataFrame:
     """Feedback with the method, target and severity its text hints at."""
     text = F.lower(F.coalesce("feedback_text", F.lit("")))

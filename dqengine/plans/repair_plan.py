@@ -274,9 +274,9 @@ def propose_actions(
     )
 
 
-def kept_issues(issues: DataFrame) -> DataFrame:
-    """The issue list as a local table (a few rows per column), computed once."""
-    return issues.sparkSession.createDataFrame(issues.collect(), ISSUE_SCHEMA)
+def local_copy(df: DataFrame) -> DataFrame:
+    """A result of a few rows per column (issues, statistics, a report), computed once."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
 def plan_for(
@@ -289,11 +289,12 @@ def plan_for(
     """Proposed repairs of a table with the given issues.
 
     Computes the issues once, and statistics only for numeric columns that miss values.
+    Both are local afterwards, so the plan can be read again without scanning the table.
     """
     rows = issues.collect()
     missing = {r["column_name"] for r in rows if r["issue_type"] == NULL_VALUES}
     numeric = [c for c in numeric_columns(df) if c in missing]
-    statistics = column_statistics(df, numeric, direct_rows=direct_rows)
+    statistics = local_copy(column_statistics(df, numeric, direct_rows=direct_rows))
     kept = issues.sparkSession.createDataFrame(rows, ISSUE_SCHEMA)
     return propose_actions(kept, statistics, learning_confidence, preferred_methods, numeric_columns(df))
 

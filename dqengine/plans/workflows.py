@@ -14,7 +14,7 @@ from dqengine.plans.repair_plan import (
     DEFAULT_LEARNING_CONFIDENCE,
     apply_decisions,
     as_actions,
-    kept_issues,
+    local_copy,
     plan_for,
 )
 from dqengine.schemas import DEFAULT_THRESHOLDS, SeverityThresholds
@@ -51,11 +51,11 @@ def repair_feed(
     df: DataFrame, name: str, limits: SeverityThresholds = DEFAULT_THRESHOLDS, measure: bool = True
 ) -> FeedRepair:
     """Profile, run every recommended repair without approval, and validate the result."""
-    issues = kept_issues(find_issues(df, limits))
+    issues = local_copy(find_issues(df, limits))
     actions = plan_for(df, issues)
     steps = as_actions(actions)
     healed = heal(df, steps, measure=measure, write_end=True)
-    after = kept_issues(find_issues(healed.df, limits))
+    after = local_copy(find_issues(healed.df, limits))
     validation = validation_report(
         quality_report(df, name, issues),
         quality_report(healed.df, f"HEALED_{name}", after),
@@ -197,14 +197,14 @@ def process_dataset(
     execute_auto_approved: bool = False,
 ) -> ProcessedDataset:
     """Profile, run only the automatic repairs, and list what an operator must approve."""
-    issues = kept_issues(find_issues(df, limits))
+    issues = local_copy(find_issues(df, limits))
     actions = plan_for(df, issues, learning_confidence, preferred_methods)
     run = ["AUTO_EXECUTED", "AUTO_APPROVED"] if execute_auto_approved else ["AUTO_EXECUTED"]
     steps = as_actions(actions.where(F.col("approval_status").isin(*run)))
     healed = heal(df, steps, write_end=True)
     waiting = not actions.where("approval_status = 'NEEDS_APPROVAL'").isEmpty()
     status = "PENDING_APPROVAL" if waiting else "COMPLETED"
-    report = quality_report(df, name, issues)
+    report = local_copy(quality_report(df, name, issues))
     summary = report.withColumns(
         {
             "status": F.lit(status),

@@ -212,3 +212,13 @@ def test_outcome_rows(spark):
 def test_top_lists(spark):
     df = spark.createDataFrame([("R", "HANDLE_NULLS", 3), ("Q", "REMOVE_X", 1)], "raw_action string, rejected_action string, rejections long")
     assert tuple(L.top_rejections(df, 1).first()) == ("Handle Nulls", 3)
+
+
+def test_learned_inputs_for_profile_and_plan(spark):
+    agent = "DataHealingAgent"
+    found = L.learned_inputs(_patterns(spark, (agent, "FILL_MEAN_a", 0.9, 0.8), ("X", "y_z", 0.9, 0.4)))
+    assert found.confidence == pytest.approx(0.8)
+    assert found.methods == ("FILL_MEAN", "FILL_MODE", "KEEP_FIRST", "CAP_OUTLIERS")
+    assert found.limits.null_high == 15.0 and found.limits.outlier_high == 5.0
+    nothing = L.learned_inputs(_patterns(spark, ("X", "y_z", 0.9, 0.4)))
+    assert nothing.confidence == 0.5 and nothing.methods[0] == "FILL_MEDIAN"
