@@ -119,6 +119,8 @@ def test_processing_waits_for_approval(dirty):
 def test_clean_table_completes(spark):
     done = W.process_dataset(spark.range(50).withColumn("v", F.col("id") * 1.0), "clean")
     assert done.status == "COMPLETED" and done.actions.count() == 0
+    kinds = [r["action_type"] for r in done.action_log.collect()]
+    assert "NO_ISSUES_FOUND" in kinds and "HEALING_PLAN_COMPLETE" not in kinds
 
 
 def test_auto_approved_can_be_executed(spark):
@@ -127,6 +129,8 @@ def test_auto_approved_can_be_executed(spark):
     done = W.process_dataset(df, "d", execute_auto_approved=True)
     assert [e["method"] for e in done.healed.entries] == ["FILL_MODE"]
     assert done.summary.first()["final_quality_score"] == 100.0
+    log = {r["action_type"]: r["action_details"] for r in done.action_log.collect()}
+    assert log["AUTO_EXECUTION_COMPLETE"] == "Auto-executed 1 actions. Quality score: 96.0% to 100.0% (+4.0%)"
 
 
 def test_decisions_are_matched_by_id(spark, dirty):
