@@ -1,10 +1,11 @@
 """Exact interpolated quantiles that never gather a whole column in one task.
 
 The built-in ``percentile`` is exact but keeps every distinct value of a group in one
-aggregation buffer, so it is used only below a checked row count. Whole tables beyond it
-take three light scans: quantiles of a sample bracket each wanted rank, the rows around
-the brackets are counted, and the few values inside are grouped and ranked. Where those
-few would be many, and for large groups, the bracket is narrowed over several rounds.
+aggregation buffer, so it is used only for a small table. Groups of checked size are
+counted and sorted. Larger tables take three light scans: quantiles of a sample bracket
+each wanted rank, the rows around the brackets are counted, and the few values inside are
+grouped and ranked. Where those few would be many, and for large groups, the bracket is
+narrowed over several rounds.
 All buffers are bounded, and the counts make the result exact whatever error the sample
 or the sketch has.
 """
@@ -39,8 +40,9 @@ def exact_quantiles(
     direct_rows: int = DIRECT_ROWS,
     rows: int | None = None,
 ) -> DataFrame:
-    """Rows ``(by..., column_name, probability, value)``; value is NULL without data.
+    """Rows ``(by..., column_name, probability, value)``.
 
+    A whole column without data has a NULL value, a group without data has no row.
     Eager: it counts rows first (unless ``rows`` tells) to choose the method.
     """
     columns, by = list(columns), list(by)
@@ -48,7 +50,7 @@ def exact_quantiles(
     if not by:
         rows = df.count() if rows is None else rows
         if rows <= min(direct_rows, SMALL_ROWS):
-            return _direct(df, columns, probabilities, by)
+            return _direct(df, columns, probabilities)
         found = _bracketed(df, columns, probabilities, rows, direct_rows)
         if found is not None:
             schema = "column_name string, probability double, value double"
@@ -58,14 +60,14 @@ def exact_quantiles(
         df.groupBy(*[col(c) for c in by]).count().where(F.col("count") > direct_rows).drop("count")
     )
     if large.isEmpty():
-        return _direct(df, columns, probabilities, by)
+        return _sorted_groups(df, columns, probabilities, by)
     # At most rows / direct_rows groups can be this large, so the list is broadcast.
     large = materialize(large)
     keys = large.select(*[col(c).alias(f"__k{i}") for i, c in enumerate(by)])
     same = _all_equal([(col(c), F.col(f"__k{i}")) for i, c in enumerate(by)])
     small_part = df.join(F.broadcast(keys), same, "left_anti")
     large_part = df.join(F.broadcast(keys), same, "left_semi")
-    return _direct(small_part, columns, probabilities, by).unionByName(
+    return _sorted_groups(small_part, columns, probabilities, by).unionByName(
         _narrowed(large_part, columns, probabilities, by, direct_rows)
     )
 
@@ -95,10 +97,8 @@ def _all_equal(pairs: list[tuple[Column, Column]]) -> Column:
     return reduce(lambda a, b: a & b, [left.eqNullSafe(right) for left, right in pairs])
 
 
-def _direct(
-    df: DataFrame, columns: list[str], probabilities: Sequence[float], by: list[str]
-) -> DataFrame:
-    wide = df.groupBy(*[col(c) for c in by]).agg(
+def _direct(df: DataFrame, columns: list[str], probabilities: Sequence[float]) -> DataFrame:
+    wide = df.agg(
         *[
             F.percentile(col(c), [float(p) for p in probabilities]).alias(f"__q{i}")
             for i, c in enumerate(columns)
@@ -113,7 +113,57 @@ def _direct(
         for i, c in enumerate(columns)
         for j, p in enumerate(probabilities)
     ]
-    return wide.select(*[col(c) for c in by], F.inline(F.array(*entries)))
+    return wide.select(F.inline(F.array(*entries)))
+
+
+def _long(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """One row ``(__k..., column_name, __v)`` per value that is there."""
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("column_name"), col(c).cast("double").alias("__v"))
+            for c in columns
+        ]
+    )
+    return df.select(
+        *[col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.inline(cells)
+    ).where(F.col("__v").isNotNull())
+
+
+def _sorted_groups(
+    df: DataFrame, columns: list[str], probabilities: Sequence[float], by: list[str]
+) -> DataFrame:
+    """Many groups of checked size: counted values, sorted within each group.
+
+    Sorting spills to disk, while one buffer of values per group would not.
+    """
+    keys = [f"__k{i}" for i in range(len(by))] + ["column_name"]
+    counted = _long(df, columns, by).groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+    group = Window.partitionBy(*keys)
+    ranked = counted.withColumn("__upto", F.sum("__c").over(group.orderBy("__v"))).withColumn(
+        "__n", F.sum("__c").over(group)
+    )
+
+    def at(rank: Column) -> Column:
+        covers = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
+        return F.max(F.when(covers, F.col("__v")))
+
+    picks = []
+    for j, p in enumerate(probabilities):
+        position = F.lit(float(p)) * (F.col("__n") - 1)
+        picks += [at(F.floor(position)).alias(f"__low{j}"), at(F.ceil(position)).alias(f"__high{j}")]
+    found = ranked.groupBy(*keys, "__n").agg(*picks)
+    entries = []
+    for j, p in enumerate(probabilities):
+        position = F.lit(float(p)) * (F.col("__n") - 1)
+        low, high = F.col(f"__low{j}"), F.col(f"__high{j}")
+        between = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
+        value = F.when(F.floor(position) == F.ceil(position), low).otherwise(between)
+        entries.append(F.struct(F.lit(float(p)).alias("probability"), value.alias("value")))
+    return found.select(
+        *[F.col(f"__k{i}").alias(c) for i, c in enumerate(by)],
+        "column_name",
+        F.inline(F.array(*entries)),
+    )
 
 
 @dataclass(frozen=True)
@@ -257,16 +307,7 @@ def _narrowed(
     direct_rows: int,
 ) -> DataFrame:
     keys = [f"__k{i}" for i in range(len(by))] + ["column_name"]
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("column_name"), col(c).cast("double").alias("__v"))
-            for c in columns
-        ]
-    )
-    values = df.select(
-        *[col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.inline(cells)
-    ).where(F.col("__v").isNotNull())
-
+    values = _long(df, columns, by)
     sizes = materialize(values.groupBy(*keys).agg(F.count("*").alias("__n")))
     positions = sizes.select(
         *keys,
