@@ -320,7 +320,7 @@ def _log_sql(view: str, dataset: str) -> str:
         "'PENDING_APPROVAL', null from actions union all "
         "select 'PipelineOrchestrator', concat('AUTO_APPROVED_', action_type), "
         "printf('Auto-approved %s severity action affecting %d records (%.1f%%) - below approval threshold', "
-        "severity, affected_rows, percentage), 'COMPLETED', 'AUTO_APPROVED' from actions "
+        "severity, affected_rows, share), 'COMPLETED', 'AUTO_APPROVED' from actions "
         "where approval_status = 'AUTO_APPROVED' union all "
         "select 'PipelineOrchestrator', 'DATASET_PROCESSING_COMPLETE', "
         f"printf('Processing complete for {dataset} - Status: %s, Quality Score: %.1f/100', status, score), {done} from s, w"

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqengine.functions.columns import nan_to_null
+from dqengine.functions.columns import nan_to_null, percent
 from dqengine.operators.heal import Healed, heal
 from dqengine.operators.profile import find_issues, quality_report, recalculated_score
 from dqengine.plans.repair_plan import (
@@ -199,7 +199,7 @@ def processing_log(
                 F.concat(
                     F.lit("Auto-approved "), F.col("severity"),
                     F.format_string(" severity action affecting %d records (", "affected_rows"),
-                    F.format_string("%.1f%%", "percentage"),
+                    F.format_string("%.1f%%", percent(F.col("affected_rows"), F.col("total_rows"))),
                     F.lit(") - below approval threshold"),
                 ),
                 "COMPLETED",
