@@ -4,12 +4,69 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dqengine.llm import bpe
+from dqengine.llm import bpe, line_quality, mixing
 from dqengine.llm.registry import register, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+@register("op3_line_quality")
+def op3(spark, sf_dir):
+    return line_quality.line_quality(table(spark, sf_dir, "documents")).drop("host")
+
+
+#: The mix in SQL: sizes, filled targets, ranks, the cut, and the document that closes the gap.
+MIXING_SQL = """
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+    (cast(('0x' || substr(md5('42:' || coalesce(cast(doc_id as varchar), 'null')), 1, 13)) as bigint) + 0.5e0)
+      / 4503599627370496e0 as u
+  from documents),
+s as (
+  select source, cast(sum(size) as bigint) as source_size,
+    (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight
+  from d group by source),
+w as (
+  select *, row_number() over f as place,
+    ((sum(source_size) over ()) - coalesce(sum(3 * source_size) over b, 0))
+      / ((sum(weight) over ()) - coalesce(sum(weight) over b, 0)) as level
+  from s
+  window f as (order by 3 * source_size / weight, source nulls last),
+         b as (order by 3 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)),
+t as (
+  select source, source_size, coalesce(least(3e0 * source_size, weight * (
+    select arg_min(level, place) from w where level * weight < 3 * source_size)), 3e0 * source_size) as target
+  from w),
+r as (
+  select *, case when source_size > 0 then target / source_size else 0e0 end as ratio from t),
+k as (
+  select d.*, r.source_size, r.target, cast(floor(ratio) as bigint) as whole, ratio - floor(ratio) as p,
+    (ratio - floor(ratio)) * r.source_size as rest
+  from d join r on d.source is not distinct from r.source),
+g as (
+  select source, u, rest, sum(size) as words from k where p > 0 group by source, u, rest),
+c as (
+  select *, sum(words) over (partition by source order by u) as upto from g),
+cut as (
+  select source, min(u) as cut, arg_min(rest - (upto - words), u) as gap from c where upto >= rest group by source),
+fit as (
+  select k.source, min({'off': abs(size - gap), 'u': u}) as fit, max(gap) as gap
+  from k join cut on k.source is not distinct from cut.source where p > 0 and u >= cut group by k.source),
+x as (
+  select k.*, case when p > 0 and (k.u < cut or (fit.fit['off'] < fit.gap and k.u = fit.fit['u'])) then 1 else 0 end as extra
+  from k left join cut on k.source is not distinct from cut.source
+    left join fit on k.source is not distinct from fit.source)
+select doc_id, source, size, source_size, target, cast(whole + extra as integer) as copies,
+  cast(size * (whole + extra) as bigint) as taken
+from x
+"""
+
+
+@register("op6_pareto_mix", MIXING_SQL)
+def op6(spark, sf_dir):
+    return mixing.allocate(table(spark, sf_dir, "documents"))
+
+
 @register("op9_bpe_round_trip")
 def op9(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
