@@ -9,6 +9,7 @@ from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ class Bounded(dict):
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20):
     """Cut Arrow batches so that the texts of one piece stay near ``most_bytes``; a longer text is a piece alone."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if total and total + size > most_bytes:

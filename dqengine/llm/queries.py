@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from dqengine.llm import bpe, line_quality, mixing
+from dqengine.llm import bpe, line_quality, mixing, simhash
 from dqengine.llm.registry import register, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -67,6 +67,12 @@ def op6(spark, sf_dir):
     return mixing.allocate(table(spark, sf_dir, "documents"))
 
 
+@register("op8_simhash_near_duplicates")
+def op8(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, most_bits=2)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @register("op9_bpe_round_trip")
 def op9(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
