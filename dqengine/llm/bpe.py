@@ -26,7 +26,7 @@ CHUNK, OVERLAP = 65_536, 1_024
 #: A pre-token that ends this close to the end of its chunk may end elsewhere in the whole text.
 MARGIN = 3
 #: Pieces a Python worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 class Vocabulary:
