@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from dqengine.llm import bpe, line_quality, mixing, simhash
+from dqengine.llm import bpe, line_quality, mixing, prefix_counts, simhash
 from dqengine.llm.registry import register, table
 
+BYTE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -62,6 +64,13 @@ from x
 """
 
 
+@register("op5_prefix_token_counts")
+def op5(spark, sf_dir):
+    counted = prefix_counts.prefix_counts(table(spark, sf_dir, "documents"), BYTE_JSON)
+    counted = counted.withColumn("n_tokens", prefix_counts.total(F.col("counts")))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 @register("op6_pareto_mix", MIXING_SQL)
 def op6(spark, sf_dir):
     return mixing.allocate(table(spark, sf_dir, "documents"))
