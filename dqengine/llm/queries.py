@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dqengine.llm import bpe, line_quality, mixing, prefix_counts, simhash
+from dqengine.llm import bpe, line_quality, mixing, prefix_counts, simhash, token_files
 from dqengine.llm.registry import register, table
+from dqengine.session import scratch_path
 
 BYTE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -64,6 +65,14 @@ from x
 """
 
 
+@register("op4_simple8b_token_files")
+def op4(spark, sf_dir):
+    files = token_files.write(
+        table(spark, sf_dir, "documents"), scratch_path(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json")
+    )
+    return token_files.checksums(files)
+
+
 @register("op5_prefix_token_counts")
 def op5(spark, sf_dir):
     counted = prefix_counts.prefix_counts(table(spark, sf_dir, "documents"), BYTE_JSON)
