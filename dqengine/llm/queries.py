@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dqengine.llm import bpe, line_quality, mixing, prefix_counts, simhash, token_files
+from dqengine.llm import bpe, html_text, line_quality, mixing, prefix_counts, simhash, token_files, url_filter, warc
 from dqengine.llm.registry import register, table
 from dqengine.session import scratch_path
 
@@ -13,6 +13,26 @@ BYTE_JSON = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+URL_RULES = {
+    "org/": url_filter.ALLOW,
+    "example.org/es/": url_filter.BLOCK,
+    "example.org/en/1": url_filter.BLOCK,
+    "com/fr/": url_filter.ALLOW,
+    "com/de/": url_filter.BLOCK,
+}
+
+
+@register("op1_url_filter")
+def op1(spark, sf_dir):
+    model = url_filter.train(url_filter.seed_urls())
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), model, URL_RULES)
+
+
+@register("op2_html_text")
+def op2(spark, sf_dir):
+    return html_text.html_text(table(spark, sf_dir, "pages"))
+
+
 @register("op3_line_quality")
 def op3(spark, sf_dir):
     return line_quality.line_quality(table(spark, sf_dir, "documents")).drop("host")
@@ -94,3 +114,9 @@ def op8(spark, sf_dir):
 @register("op9_bpe_round_trip")
 def op9(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+@register("op10_warc_transactions")
+def op10(spark, sf_dir):
+    files = warc.write(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.captures(warc.read(files, keep_payload=False))
