@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dqengine.llm import bpe, html_text, line_quality, mixing, prefix_counts, simhash, token_files, url_filter, warc
+from dqengine.llm import bpe, html_text, line_quality, mixing, neighbours, prefix_counts, simhash, token_files, url_filter, warc
 from dqengine.llm.registry import register, table
 from dqengine.session import scratch_path
 
@@ -105,6 +105,11 @@ def op6(spark, sf_dir):
     return mixing.allocate(table(spark, sf_dir, "documents"))
 
 
+@register("op7_nn_descent")
+def op7(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, most=20)
+
+
 @register("op8_simhash_near_duplicates")
 def op8(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, most_bits=2)
