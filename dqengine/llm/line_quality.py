@@ -241,4 +241,6 @@ def clean(
         length = F.col("row")[length_column]
         renewed = F.char_length(new).cast(docs.schema[length_column].dataType)
         columns[length_column] = F.when(F.size("hits") > 0, renewed).otherwise(length)
-    return judged.filter("kept").select(*[value.alias(c) for c, value in columns.items()])
+    out = F.struct(*[value.alias(c) for c, value in columns.items()])
+    # Not a filter: pushed down, it would carry the hashing of all windows into the lambda over them.
+    return judged.select(F.explode(F.when(F.col("kept"), F.array(out))).alias("row")).select("row.*")
