@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dqengine.llm.common import Bounded, ship, small_batches, whole_text
+from dqengine.llm.common import Bounded, ship, small_batches, stand_ins, whole_text
 
 CHUNK, OVERLAP = 65_536, 1_024
 #: A pre-token that ends this close to the end of its chunk may end elsewhere in the whole text.
@@ -35,13 +35,25 @@ class Vocabulary:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.find = regex.compile(pattern)
+        self.matches = regex.compile(pattern).findall
+        # Two bytes that make one token show whether two characters stand in one pre-token.
+        probes = {bytes([b]): b for b in range(256)}
+        for first in b"a1":
+            probes.update({bytes([first, b]): len(probes) + b for b in range(128, 256)})
+        probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks=probes, special_tokens={}).encode_ordinary
+        self.shadow = stand_ins(lambda c: any(len(probe(x + c)) == len(c.encode()) for x in "a1"))
         encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.ids = Bounded(lambda piece: np.array(encode(piece), "<u4").tobytes(), REMEMBERED)
         self.token = np.empty(max(ranks.values()) + 1, object)
         for token, rank in ranks.items():
             self.token[rank] = token
 
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text, as the library takes them."""
+        shadow = self.shadow(text)
+        found = self.matches(shadow)
+        return found if shadow is text else pieces_of(text, np.cumsum(list(map(len, found))).tolist())
+
     def encode(self, pieces: list[str]) -> bytes:
         """Ids of the pieces, in order, as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.ids.__getitem__, pieces))
@@ -55,12 +67,12 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def ends(find, text: str, start: int = 0) -> list[int]:
+def ends(split, text: str, start: int = 0) -> list[int]:
     """Where the pre-tokens of a text end, counted from ``start``."""
-    return (np.cumsum(list(map(len, find.findall(text))), dtype=np.int64) + start).tolist() if text else []
+    return (np.cumsum(list(map(len, split(text))), dtype=np.int64) + start).tolist() if text else []
 
 
-def stitch(find, text: str, scans: list[tuple[int, int, list[int]]]) -> list[int]:
+def stitch(split, text: str, scans: list[tuple[int, int, list[int]]]) -> list[int]:
     """Ends of the whole text's pre-tokens from the scans (start, end, pre-token ends) of its chunks.
 
     Where two neighbouring scans do not fall into step inside their overlap, as in one long run of letters, the
@@ -78,7 +90,7 @@ def stitch(find, text: str, scans: list[tuple[int, int, list[int]]]) -> list[int
         else:
             done += certain
             last = done[-1] if done else 0
-            current = ends(find, text[last:next_stop], last)
+            current = ends(split, text[last:next_stop], last)
         stop = next_stop
     return done + current
 
@@ -106,7 +118,7 @@ def encode(
     def single(batches):
         known = vocabulary(path, pattern)
         for batch in small_batches(batches, "text"):
-            ids = [known.encode(known.find.findall(text)) for text in batch.column("text").to_pylist()]
+            ids = [known.encode(known.split(text)) for text in batch.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())})
 
     short = rows.filter(size <= chunk).mapInArrow(single, encoded)
@@ -125,7 +137,7 @@ def encode(
         known = vocabulary(path, pattern)
         for batch in small_batches(batches, "text"):
             cuts = [
-                ends(known.find, text, number * chunk)
+                ends(known.split, text, number * chunk)
                 for text, number in zip(batch.column("text").to_pylist(), batch.column("number").to_pylist())
             ]
             yield batch.append_column("cuts", pa.array(cuts, pa.list_(pa.int64())))
@@ -139,7 +151,7 @@ def encode(
             (number * chunk, number * chunk + len(part), list(cuts))
             for number, part, cuts in zip(parts["number"], parts["text"], parts["cuts"])
         ]
-        ids = known.encode(pieces_of(text, stitch(known.find, text, scans)))
+        ids = known.encode(pieces_of(text, stitch(known.split, text, scans)))
         return pd.DataFrame({"doc_id": [group["doc_id"].iloc[0]] * copies, "ids": [ids] * copies})
 
     long = chunks.mapInArrow(scan, scanned).groupBy(*key).applyInPandas(joined, encoded)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
+from unicodedata import category
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,28 @@ class Bounded(dict):
         return value
 
 
+@lru_cache(maxsize=1)
+def young_letters() -> list[str]:
+    """Letters and numbers of ``regex`` that the Unicode version of Python's own database does not know yet."""
+    known = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    return [c for c in regex.findall(r"[\p{L}\p{N}]", known) if category(c) == "Cn"]
+
+
+def stand_ins(joins: Callable[[str], bool]) -> Callable[[str], str]:
+    """A function that makes ``regex`` split a text like a library with an older Unicode version.
+
+    ``joins`` says whether the library takes a character as a letter or number. Those that it does not are replaced
+    by a character of no class, so the result has the places of the text.
+    """
+    odd = sorted(ord(c) for c in young_letters() if not joins(c))
+    if not odd:
+        return lambda text: text
+    breaks = [i for i in range(1, len(odd)) if odd[i] != odd[i - 1] + 1]
+    ranges = [(odd[a], odd[b - 1]) for a, b in zip([0, *breaks], [*breaks, len(odd)])]
+    found = regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+    return lambda text: found.sub("\ue000", text) if not text.isascii() and found.search(text) else text
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20):
     """Cut Arrow batches so that the texts of one piece stay near ``most_bytes``; a longer text is a piece alone."""
     for batch in batches:

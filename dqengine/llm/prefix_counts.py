@@ -19,8 +19,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers.pre_tokenizers import ByteLevel
 
-from dqengine.llm.common import Bounded, ship, small_batches, whole_text
+from dqengine.llm.common import Bounded, ship, small_batches, stand_ins, whole_text
 
 #: Pre-tokens, and pairs of tokens, a Python worker remembers.
 REMEMBERED = 300_000
@@ -68,6 +69,8 @@ class PrefixCounter:
         self.specials = regex.compile("|".join(regex.escape(s) for s in self.special)) if self.special else None
         self.find_any = regex.compile(PATTERN).findall
         self.find_ascii = re.compile(ASCII_PATTERN, re.ASCII).findall
+        library = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        self.shadow = stand_ins(lambda c: any(len(library(x + c)) == 1 for x in "a1"))
         self.double_space = regex.compile(r"\s\s").search
         self.spines: dict[tuple[int, bool], list[tuple[int, float]]] = {}
         self.fits = Bounded(self._fits, REMEMBERED)
@@ -153,10 +156,13 @@ class PrefixCounter:
         """Counts after each character of a text without special tokens."""
         if not text:
             return np.zeros(0, np.int32)
-        pieces = (self.find_ascii if text.isascii() else self.find_any)(text)
-        inner = list(map(self.inner.__getitem__, pieces))
+        shadow = self.shadow(text)
+        pieces = (self.find_ascii if text.isascii() else self.find_any)(shadow)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         stops = np.cumsum(lengths)
+        if shadow is not text:
+            pieces = [text[b - n : b] for b, n in zip(stops.tolist(), lengths.tolist())]
+        inner = list(map(self.inner.__getitem__, pieces))
         counts = np.concatenate(inner)
         totals = np.cumsum(counts[stops - 1], dtype=np.int32)
         before = np.concatenate([[0], totals[:-1]]).astype(np.int32)
