@@ -60,8 +60,8 @@ def targets(sizes: DataFrame, most_copies: int = 3, weights: tuple[int, ...] = (
 
 
 def _rank(u: Column, p: Column, preference: Column) -> Column:
-    """Random odds over inclusion odds, brought into (0, 1) without changing their order."""
-    ratio = (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p) * preference)
+    """Random odds over inclusion odds, brought into (0, 1) without changing their order; null if p is 0."""
+    ratio = F.try_divide(u / (F.lit(1.0) - u), p / (F.lit(1.0) - p) * preference)
     return ratio / (F.lit(1.0) + ratio)
 
 

@@ -55,9 +55,10 @@ def frequent_lines(rows, documents: int, share: float) -> dict:
     """Removable lines by host; rows are (text, host)."""
     with_line, of_host = defaultdict(set), defaultdict(set)
     for text, host in rows:
-        of_host[host].add(sketch(text))
+        own = sketch(text)
+        of_host[host].add(own)
         for line in filter(None, normal_lines(text)):
-            with_line[host, line].add(sketch(text))
+            with_line[host, line].add(own)
     out = defaultdict(set)
     for (host, line), found in with_line.items():
         if len(found) > documents and len(found) > share * len(of_host[host]):

@@ -30,7 +30,7 @@ def corpus():
         if i % 3 == 0:
             lines.insert(rnd.randrange(len(lines)), shared[i % 4].replace("2021", str(1900 + i)))
         if i % 10 == 0:
-            lines = [rnd.choice(shared) for _ in range(8)] + lines[:1]
+            lines = [*shared, sentence(3)]
         if i % 17 == 0:
             lines = lines[:2] * 5
         rows.append((i, "\n".join(lines), "en", rnd.choice(("a", "b", None)), 1))
