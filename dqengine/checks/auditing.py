@@ -97,10 +97,9 @@ def _sections(rel: str, first: str, second: str, names: tuple[str, str, str]) ->
 @check(
     "m06_processing_report",
     ("quality_issues", "actions_log"),
-    f"with recent as ({RECENT_SQL}) "
-    + _sections("quality_issues", "issue_type", "severity", ("issues_by_type", "issues_by_severity", "total_issues"))
+    _sections("quality_issues", "issue_type", "severity", ("issues_by_type", "issues_by_severity", "total_issues"))
     + " union all "
-    + _sections("recent", "agent_name", "execution_status", ("actions_by_agent", "actions_by_status", "total_actions")),
+    + _sections("actions_log", "agent_name", "execution_status", ("actions_by_agent", "actions_by_status", "total_actions")),
 )
 def m06(spark, d):
     return A.processing_report(table(spark, d, "quality_issues"), table(spark, d, "actions_log"))
@@ -213,10 +212,9 @@ def m13_hourly(spark, d):
 @check(
     "m14_action_metrics",
     ("actions_log",),
-    "with r as (select * from actions_log order by action_at desc, action_id desc limit 50) "
     "select count(*) as total_actions, count(*) filter (where execution_status = 'COMPLETED') as completed, "
     "count(*) filter (where execution_status in ('PENDING_APPROVAL', 'EXECUTING')) as pending, "
-    "count(distinct agent_name) as active_agents from r",
+    "count(distinct agent_name) as active_agents from actions_log",
 )
 def m14(spark, d):
     return A.action_metrics(table(spark, d, "actions_log"))

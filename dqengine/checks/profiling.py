@@ -175,7 +175,7 @@ def _problem_ctes(view: str) -> str:
     "array_to_string(reasons, ',') as reasons from p where len(reasons) > 0",
 )
 def p09(spark, d):
-    rows = P.problem_rows(table(spark, d, EV), min_values=0)
+    rows = P.problem_rows(table(spark, d, EV))
     return rows.withColumn("reasons", F.array_join("reasons", ","))
 
 
@@ -189,7 +189,7 @@ def p09(spark, d):
 )
 def p10(spark, d):
     lines = table(spark, d, LI)
-    return P.null_columns_in(P.problem_rows(lines, min_values=0), lines)
+    return P.null_columns_in(P.problem_rows(lines), lines)
 
 
 for _v, _short in ((LI, "lineitem"), (EV, "events"), (DOC, "documents")):
@@ -228,9 +228,9 @@ def p13(spark, d):
     )
 
 
-@check("p14_auto_profile")
+@check("p14_exact_profile", (LI,), f"with {issues_cte(LI)} select {ISSUES} from issues")
 def p14(spark, d):
-    return P.find_issues_auto(table(spark, d, LI), key="l_orderkey")
+    return P.profile(table(spark, d, LI))
 
 
 @check(

@@ -33,6 +33,53 @@ def s01(spark, d):
     return files.read_csv(spark, path)
 
 
+@check("s01_csv_documents", (), "select doc_id, text, lang, source, n_chars from documents")
+def s01_documents(spark, d):
+    path = scratch_path(spark, "documents") + ".csv"
+    store.export(table(spark, d, "documents"), path, "csv")
+    return files.read_table(spark, path)
+
+
+@check("s01_csv_conversations", (), "select conv_id, turn, role, text from conversations")
+def s01_conversations(spark, d):
+    path = scratch_path(spark, "conversations") + ".csv"
+    store.export(table(spark, d, "conversations"), path, "csv")
+    return files.read_table(spark, path)
+
+
+@check(
+    "s01_csv_codes",
+    (),
+    "select p_partkey, concat(p_size, 'D') as code, cast(p_size as double) + 0.5e0 as number from part",
+)
+def s01_codes(spark, d):
+    path = scratch_path(spark, "codes") + ".csv"
+    code = F.concat(F.col("p_size").cast("string"), F.lit("D")).alias("code")
+    number = (F.col("p_size").cast("double") + 0.5).alias("number")
+    store.export(table(spark, d, "part").select("p_partkey", code, number), path, "csv")
+    return files.read_table(spark, path)
+
+
+@check("s02_json_documents", (), "select doc_id, text, lang, source, n_chars from documents")
+def s02_documents(spark, d):
+    path = scratch_path(spark, "documents") + ".json"
+    store.export(table(spark, d, "documents"), path, "json")
+    return files.read_table(spark, path)
+
+
+@check("s02_mixed_folder", (), "select s_suppkey, s_name from supplier union all select c_custkey, c_name from customer")
+def s02_mixed(spark, d):
+    """A folder with JSON lines and with files that are one array."""
+    path = scratch_path(spark, "mixed")
+    store.export(table(spark, d, "supplier").select("s_suppkey", "s_name"), path, "json")
+    customers = table(spark, d, "customer").select(
+        (F.col("c_custkey") % 4).alias("part"), F.struct(F.col("c_custkey").alias("s_suppkey"), F.col("c_name").alias("s_name")).alias("r")
+    )
+    lists = customers.groupBy("part").agg(F.to_json(F.collect_list("r")).alias("value")).repartition(4, "part")
+    lists.select("value").write.mode("append").text(path)
+    return files.read_json(spark, path)
+
+
 @check(
     "s01_csv_missing_values",
     (LI,),
@@ -205,6 +252,22 @@ def s08(spark, d):
     return feeds.records_table(feeds.plain_records(payloads))
 
 
+@check("s08_awkward_records", (), "select event_id as \"VOID\", event_id + 9007199254740992 as \"a b\", cast(null as varchar) as never from events")
+def s08_awkward(spark, d):
+    fields = [F.col("event_id").alias("VOID"), (F.col("event_id") + 9007199254740992).alias("a b"), F.lit(None).cast("string").alias("never")]
+    payloads = table(spark, d, "events").select(
+        F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("payload")
+    )
+    return feeds.records_table(feeds.plain_records(payloads))
+
+
+@check("s08_rejected_payloads", (), "select event_id, 'not JSON' as reason from events where event_id % 7 = 0")
+def s08_rejected(spark, d):
+    broken = F.when(F.col("event_id") % 7 == 0, F.lit("{\"k\": ")).otherwise(F.col("props"))
+    payloads = table(spark, d, "events").select("event_id", broken.alias("payload"))
+    return feeds.rejected_payloads(payloads).drop("payload")
+
+
 @check("s09_unwrapped_records", (), "select event_id, value from events")
 def s09(spark, d):
     grouped = _grouped(table(spark, d, "events"))
@@ -268,6 +331,25 @@ def s12(spark, d):
     )
 
 
+@check(
+    "s12_decoded_snapshots",
+    ("feed_snapshots",),
+    "select snapshot_id, source_id, cast(json_extract(payload, '$.k') as bigint) as k, fetched_at from feed_snapshots "
+    "qualify row_number() over (partition by source_id order by fetched_at desc, snapshot_id desc) = 1",
+)
+def s12_decoded(spark, d):
+    """Half of the snapshots are CSV, with the wanted column after another one."""
+    as_csv = F.col("snapshot_id") % 2 == 0
+    k = F.get_json_object("payload", "$.k")
+    mixed = table(spark, d, "feed_snapshots").withColumns(
+        {
+            "payload": F.when(as_csv, F.concat(F.lit("other,k\nx,"), k)).otherwise(F.col("payload")),
+            "snapshot_format": F.when(as_csv, "CSV").otherwise("json"),
+        }
+    )
+    return feeds.decoded_snapshots(feeds.latest_snapshots(mixed), "k bigint")
+
+
 @check(
     "s13_recent_snapshots",
     ("feed_snapshots",),

@@ -44,11 +44,22 @@ def _plain(df):
     )
 
 
+@check("k01_rejected_payloads", (), "select cast(event_id as varchar) as payload, 'not JSON' as reason from events where false union all select concat('{', event_id), 'not JSON' from events where event_id % 5 = 0")
+def k01_rejected(spark, d):
+    landing, out = scratch_path(spark, "landing"), scratch_path(spark, "rejected")
+    id_text = F.col("event_id").cast("string")
+    table(spark, d, "events").select(
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{"), id_text)).otherwise(F.col("props")).alias("value")
+    ).write.text(landing)
+    J.keep_rejected(J.landed_payloads(spark, landing), out, scratch_path(spark, "rejected-state"), J.DRAIN).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @check(
     "k01_feed_ingest",
     (),
     f"with {SIZES} select group_id, 'C' as unit, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as time, value "
-    "from events join g on event_id // 24 = group_id where c > 1",
+    "from events join g on event_id // 24 = group_id",
 )
 def k01(spark, d):
     landing, out = scratch_path(spark, "landing"), scratch_path(spark, "feed-out")

@@ -79,11 +79,12 @@ def issues_by_dataset(issues: DataFrame) -> DataFrame:
     return issues.orderBy("dataset_id", F.desc("detected_at"))
 
 
-def processing_report(issues: DataFrame, actions: DataFrame, limit: int = RECENT) -> DataFrame:
+def processing_report(issues: DataFrame, actions: DataFrame, latest: int | None = None) -> DataFrame:
     """Counts per dataset as ``(dataset_id, section, item, n)``.
 
-    Issues by type and by severity, the latest actions by agent and by status, and both
-    totals (item NULL); each log is read once with grouping sets.
+    Issues by type and by severity, actions by agent and by status, and both totals (item
+    NULL); each log is read once with grouping sets. ``latest`` counts only that many of
+    each dataset's newest actions.
     """
 
     def sections(df: DataFrame, first: str, second: str, names: tuple[str, str, str]) -> DataFrame:
@@ -110,9 +111,8 @@ def processing_report(issues: DataFrame, actions: DataFrame, limit: int = RECENT
     found = sections(
         issues, "issue_type", "severity", ("issues_by_type", "issues_by_severity", "total_issues")
     )
-    latest = recent_actions_by_dataset(actions, limit)
     done = sections(
-        latest,
+        actions if latest is None else recent_actions_by_dataset(actions, latest),
         "agent_name",
         "execution_status",
         ("actions_by_agent", "actions_by_status", "total_actions"),
@@ -193,9 +193,10 @@ def hourly_score_trend(datasets: DataFrame, hours: int = 6) -> DataFrame:
     )
 
 
-def action_metrics(actions: DataFrame, limit: int = RECENT) -> DataFrame:
-    """One row over the latest actions."""
-    return recent_actions(actions, limit).agg(
+def action_metrics(actions: DataFrame, latest: int | None = None) -> DataFrame:
+    """One row over all actions, or over the ``latest`` so many."""
+    counted = actions if latest is None else recent_actions(actions, latest)
+    return counted.agg(
         F.count("*").alias("total_actions"),
         F.count_if(F.col("execution_status") == "COMPLETED").alias("completed"),
         F.count_if(F.col("execution_status").isin(*PENDING_STATES)).alias("pending"),

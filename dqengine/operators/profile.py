@@ -292,27 +292,25 @@ def find_issues_sampled(
     return _graded(wide, entries, limits)
 
 
-def find_issues_auto(
+def profile(
     df: DataFrame,
+    mode: str = "exact",
     key: str | Column | None = None,
-    mode: str = "auto",
+    fraction: float = 0.1,
     limits: SeverityThresholds | None = None,
     rules: QualityRules = RULES,
 ) -> DataFrame:
-    """Exact for ordinary tables, sampled above the row or column limits (one count)."""
-    if mode not in ("auto", "exact", "sampled"):
-        raise ValueError(f"unknown mode: {mode}")
-    rows = df.count() if mode != "exact" else 0
-    if mode == "auto":
-        wide_table = len(df.columns) > rules.sampled_columns_above
-        mode = "sampled" if rows > rules.sampled_rows_above or wide_table else "exact"
+    """Issues by the mode that is asked for; the size of the table never decides.
+
+    ``exact`` reads all rows for everything; ``sampled`` estimates duplicates and outliers from a sample of the
+    rows, ``fraction`` of them by the hash of ``key`` (by default of the whole row).
+    """
     if mode == "exact":
         return find_issues(df, limits or DEFAULT_THRESHOLDS, rules)
-    if rows <= rules.sample_rows:
-        return find_issues(df, limits or SAMPLED_THRESHOLDS, rules)
+    if mode != "sampled":
+        raise ValueError(f"unknown mode: {mode}")
     if key is None:
         key = F.xxhash64(*[col(c) for c in groupable(df).columns])
-    fraction = rules.sample_rows / rows
     return find_issues_sampled(df, key, fraction, limits or SAMPLED_THRESHOLDS, rules)
 
 
@@ -378,7 +376,7 @@ def quality_report(df: DataFrame, name: str, issues: DataFrame) -> DataFrame:
 def problem_rows(
     df: DataFrame,
     rules: QualityRules = RULES,
-    min_values: int = 1000,
+    min_values: int = 0,
     direct_rows: int = DIRECT_ROWS,
     fingerprint_rows: int = FINGERPRINT_ROWS,
 ) -> DataFrame:
@@ -386,8 +384,8 @@ def problem_rows(
 
     Equal rows are combined before the shuffle, so a table full of copies of one row is
     no hot spot. The first copy of a row is a problem only for its other reasons; every
-    further copy is a problem as a duplicate. Columns with at most ``min_values`` values
-    are not checked for outliers.
+    further copy is a problem as a duplicate. A caller may leave columns with at most
+    ``min_values`` values out of the outlier check.
     """
     df = groupable(nan_to_null(df))
     numeric = numeric_columns(df)

@@ -27,9 +27,6 @@ class QualityRules:
     duplicate_threshold: float = 0.02
     outlier_std_threshold: float = 3.0
     iqr_factor: float = 1.5
-    sampled_rows_above: int = 100_000
-    sampled_columns_above: int = 50
-    sample_rows: int = 50_000
     alert_score: float = 70.0
 
 

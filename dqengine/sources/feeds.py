@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from dqengine.functions.columns import col
 from dqengine.operators.audit import latest_per_key
+from dqengine.sources.files import MISSING_MARKERS, infer_types, without_markers
 
 # Keys searched for rows, in order.
 SERIES_KEYS = ("hourly", "daily", "data", "results", "records", "items")
@@ -33,12 +34,12 @@ def _json(payload: Column) -> Column:
     return F.try_parse_json(payload)
 
 
-def _series(document: Column, key: str) -> Column:
-    """The object under a key if all its values are lists of one length above 1, else NULL."""
+def _series(document: Column, key: str, least: int) -> Column:
+    """The object under a key if all its values are lists of one length, ``least`` or more, else NULL."""
     lists = F.try_variant_get(document, f"$.{key}", "map<string,array<variant>>")
     values = F.map_values(lists)
     same = F.forall(
-        values, lambda a: a.isNotNull() & (F.size(a) > 1) & (F.size(a) == F.size(F.get(values, F.lit(0))))
+        values, lambda a: a.isNotNull() & (F.size(a) >= least) & (F.size(a) == F.size(F.get(values, F.lit(0))))
     )
     return F.when((F.size(values) > 0) & same, lists)
 
@@ -54,15 +55,18 @@ def _scalars(document: Column, key: Column) -> Column:
     return F.map_filter(top, keep)
 
 
-def with_series(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """Adds the parsed document, the first series found and the key it lies under."""
+def with_series(df: DataFrame, payload: str = "payload", least: int = 2) -> DataFrame:
+    """Adds the parsed document, the first series found and the key it lies under.
+
+    A series has ``least`` rows: lists of one value may also be plain lists.
+    """
     document = F.col("__doc")
-    found = [F.struct(F.lit(k).alias("key"), _series(document, k).alias("lists")) for k in SERIES_KEYS]
+    found = [F.struct(F.lit(k).alias("key"), _series(document, k, least).alias("lists")) for k in SERIES_KEYS]
     first = F.get(F.filter(F.array(*found), lambda s: s["lists"].isNotNull()), F.lit(0))
     return df.withColumn("__doc", _json(F.col(payload))).withColumn("__series", first)
 
 
-def expand_series(df: DataFrame, payload: str = "payload") -> DataFrame:
+def expand_series(df: DataFrame, payload: str = "payload", least: int = 2) -> DataFrame:
     """One ``record`` (VARIANT) per position of a columnar payload.
 
     Scalar top-level fields are repeated on every record and win over a series of the same
@@ -74,7 +78,7 @@ def expand_series(df: DataFrame, payload: str = "payload") -> DataFrame:
     own = F.map_filter(lists, lambda k, v: ~F.map_contains_key(F.col("__meta"), k))
     at = F.transform_values(own, lambda k, v: F.get(v, F.col("__i")))
     return (
-        with_series(df, payload)
+        with_series(df, payload, least)
         .where("__series is not null")
         .withColumn("__meta", meta)
         .withColumn("__i", F.explode(F.sequence(F.lit(0), length - 1)))
@@ -83,21 +87,27 @@ def expand_series(df: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def plain_records(df: DataFrame, payload: str = "payload") -> DataFrame:
+def plain_records(df: DataFrame, payload: str = "payload", least: int = 2) -> DataFrame:
     """One ``record`` per list element, or per payload, for payloads without a series."""
     document = F.col("__doc")
     whole = F.coalesce(F.try_variant_get(document, "$", "array<variant>"), F.array(document))
     return (
-        with_series(df, payload)
+        with_series(df, payload, least)
         .where("__series is null and __doc is not null")
         .withColumn("record", F.explode(whole))
         .drop("__doc", "__series", payload)
     )
 
 
-def feed_records(df: DataFrame, payload: str = "payload") -> DataFrame:
+def feed_records(df: DataFrame, payload: str = "payload", least: int = 2) -> DataFrame:
     """Records of all payloads: series expanded, everything else one record per object."""
-    return expand_series(df, payload).unionByName(plain_records(df, payload))
+    return expand_series(df, payload, least).unionByName(plain_records(df, payload, least))
+
+
+def rejected_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Rows whose payload cannot be read as JSON, with the ``reason``; no reader of records returns them."""
+    reason = F.when(F.col(payload).isNull(), "no payload").when(F.trim(payload) == "", "empty payload")
+    return df.where(_json(F.col(payload)).isNull()).withColumn("reason", F.coalesce(reason, F.lit("not JSON")))
 
 
 def unwrap_records(df: DataFrame, payload: str = "payload") -> DataFrame:
@@ -116,20 +126,47 @@ def unwrap_records(df: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
-def records_schema(df: DataFrame, record: str = "record") -> str:
-    """Column list of the records in DDL, found by one aggregation over all of them."""
-    shape = df.agg(F.schema_of_variant_agg(F.col(record)).alias("s")).first()["s"]
-    if not shape or not shape.startswith("OBJECT<"):
-        return "value VARIANT"
-    shape = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", shape)
-    shape = re.sub(r"\bVOID\b", "STRING", shape).replace("OBJECT<", "STRUCT<")
-    return shape[len("STRUCT<") : -1]
+def _storable(kind: T.DataType) -> T.DataType:
+    """Types of a table: what was never seen is text, and fractions are double where a double holds them."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _storable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_storable(kind.elementType))
+    if isinstance(kind, T.NullType):
+        return T.StringType()
+    if isinstance(kind, T.DecimalType) and 0 < kind.scale and kind.precision <= 15:
+        return T.DoubleType()
+    return kind
 
 
-def records_table(df: DataFrame, schema: str | None = None, record: str = "record") -> DataFrame:
+def records_schema(df: DataFrame, record: str = "record") -> T.StructType:
+    """Columns of the records, found by one aggregation over all of them."""
+    shape = df.agg(F.schema_of_variant_agg(F.col(record)).alias("s")).first()["s"]
+    if not shape or not shape.startswith("OBJECT<"):
+        return T.StructType([T.StructField("value", T.VariantType())])
+    # Names are quoted where they could be taken for types.
+    parts = re.split(r"(`(?:[^`]|``)*`)", shape)
+    ddl = "".join(p if i % 2 else p.replace("OBJECT<", "STRUCT<") for i, p in enumerate(parts))
+    return _storable(T.DataType.fromDDL(ddl))
+
+
+def _ddl(kind: T.DataType) -> str:
+    """A type in SQL, with all names quoted."""
+    if isinstance(kind, T.StructType):
+        fields = ", ".join(f"`{f.name.replace('`', '``')}`: {_ddl(f.dataType)}" for f in kind.fields)
+        return f"struct<{fields}>"
+    if isinstance(kind, T.ArrayType):
+        return f"array<{_ddl(kind.elementType)}>"
+    return kind.simpleString()
+
+
+def records_table(
+    df: DataFrame, schema: str | T.StructType | None = None, record: str = "record"
+) -> DataFrame:
     """Records as columns; nested objects become dotted columns, lists stay lists."""
     schema = records_schema(df, record) if schema is None else schema
-    struct = F.try_variant_get(F.col(record), "$", f"struct<{schema}>")
+    kind = f"struct<{schema}>" if isinstance(schema, str) else _ddl(schema)
+    struct = F.try_variant_get(F.col(record), "$", kind)
     others = [col(c) for c in df.columns if c != record]
     return flatten(df.select(*others, struct.alias("__r")), "__r")
 
@@ -171,15 +208,57 @@ def _csv_lines(payload: Column) -> Column:
     return F.transform(lines, lambda s: F.translate(s, "\u0001\u0002", "\r\n"))
 
 
-def csv_records(df: DataFrame, schema: str, payload: str = "payload") -> DataFrame:
-    """Rows of CSV payloads with a header line, read with the given columns."""
-    others = [col(c) for c in df.columns if c != payload]
-    return (
-        df.select(*others, F.posexplode(_csv_lines(F.col(payload))).alias("__line", "__text"))
+def _csv_cells(line: Column) -> Column:
+    """Cells of one CSV line, without their quotes; an empty cell without quotes is null."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    inner = lambda c: F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(cells, lambda c: F.when(c.startswith('"'), inner(c)).when(c != "", c))
+
+
+def csv_records(
+    df: DataFrame, schema: str | T.StructType | None = None, payload: str = "payload"
+) -> DataFrame:
+    """Rows of CSV payloads, cells matched to columns by the header line of their own payload.
+
+    ``schema`` names the columns wanted; one that a payload lacks is null there. Without it all names of all headers
+    become columns, and types are found by one aggregation, as for an uploaded file.
+    """
+    others = [c for c in df.columns if c != payload]
+    rows = (
+        df.select(*map(col, others), _csv_lines(F.col(payload)).alias("__lines"))
+        .select(*map(col, others), _csv_cells(F.get("__lines", F.lit(0))).alias("__names"), F.posexplode("__lines").alias("__line", "__text"))
         .where((F.col("__line") > 0) & (F.trim("__text") != ""))
-        .select(*others, F.from_csv("__text", schema, {"multiLine": "true"}).alias("__row"))
-        .select(*others, "__row.*")
+        .withColumn("__cells", _csv_cells(F.col("__text")))
     )
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if schema is None:
+        found = rows.select(F.explode("__names").alias("n")).where("n is not null").distinct().orderBy("n").collect()
+        kinds = {r.n: "string" for r in found}
+    else:
+        kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+
+    def cell(name: str) -> Column:
+        at = F.array_position("__names", F.lit(name)).cast("int")
+        return F.when(at > 0, F.get("__cells", at - 1))
+
+    values = [cell(n).try_cast(kind).alias(n) for n, kind in kinds.items()]
+    if schema is not None:
+        return rows.select(*map(col, others), *values)
+    typed = infer_types(without_markers(rows.select(*values)))
+    kinds = {f.name: f.dataType.simpleString() for f in typed.schema.fields}
+    known = [
+        F.when(~cell(n).isin(*MISSING_MARKERS), cell(n)).try_cast(kind).alias(n) for n, kind in kinds.items()
+    ]
+    return rows.select(*map(col, others), *known)
+
+
+def decoded_snapshots(snapshots: DataFrame, schema: str) -> DataFrame:
+    """Rows of stored payloads, each decoded by its own ``snapshot_format``: JSON of any shape, or CSV."""
+    kind = F.lower("snapshot_format")
+    drop = ("snapshot_format", "records_count")
+    from_json = records_table(feed_records(snapshots.where(kind == "json").drop(*drop)), schema)
+    return from_json.unionByName(csv_records(snapshots.where(kind == "csv").drop(*drop), schema))
 
 
 def records_count() -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqengine.functions.columns import col
-from dqengine.sources.feeds import flatten
 
 # Texts that mean "missing" in an uploaded CSV file.
 MISSING_MARKERS = (
@@ -18,21 +16,20 @@ MISSING_MARKERS = (
 UNSUPPORTED = ("xlsx", "xlsm", "xls")
 
 
-def text_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8, or ISO-8859-1 if any line of the file is not valid UTF-8."""
-    invalid = spark.read.text(path).where(~F.is_valid_utf8("value"))
-    return "UTF-8" if invalid.isEmpty() else "ISO-8859-1"
+# A number as it is written; Java's suffixes (10D, 20F) and hexadecimal forms are codes, not numbers.
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+NUMBER = r"(?i)^\s*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|inf|infinity)\s*$"
 
 
-def _infer(df: DataFrame) -> DataFrame:
+def infer_types(df: DataFrame) -> DataFrame:
     """Types found by one aggregation over all rows: whole numbers, numbers, booleans, text."""
     checks: list[Column] = []
     for i, c in enumerate(df.columns):
         value = col(c)
         checks += [
             F.count(value).alias(f"n{i}"),
-            F.count(value.try_cast("bigint")).alias(f"i{i}"),
-            F.count(value.try_cast("double")).alias(f"d{i}"),
+            F.count_if(value.rlike(WHOLE) & value.try_cast("bigint").isNotNull()).alias(f"i{i}"),
+            F.count_if(value.rlike(NUMBER) & value.try_cast("double").isNotNull()).alias(f"d{i}"),
             F.count_if(value.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"b{i}"),
         ]
     found = df.agg(*checks).first()
@@ -50,60 +47,112 @@ def _infer(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def read_csv(
-    spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False
-) -> DataFrame:
-    """CSV with a header. ``multi_line`` allows line breaks in quotes but reads a file in one task."""
-    reader = (
-        spark.read.option("header", "true")
-        .option("encoding", text_encoding(spark, path))
-        .option("multiLine", str(multi_line).lower())
-        .option("escape", '"')
-    )
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    raw = reader.option("inferSchema", "false").csv(path)
-    if not raw.columns:
-        return raw
-    cleaned = raw.select(
-        *[F.when(~col(c).isin(*MISSING_MARKERS), col(c)).alias(c) for c in raw.columns]
+def without_markers(df: DataFrame) -> DataFrame:
+    """Texts that mean "missing" as null."""
+    return df.select(*[F.when(~col(c).isin(*MISSING_MARKERS), col(c)).alias(c) for c in df.columns])
+
+
+def _csv_files(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
+    """File, encoding, and whether a line break stands inside quotes, of every file; found in one distributed scan.
+
+    A quoted line break leaves a line with an odd number of quotes. Lines that are not valid UTF-8 make their file
+    ISO-8859-1.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    found = lines.groupBy("file").agg(
+        F.count_if(~F.is_valid_utf8("value")).alias("foreign"),
+        F.count_if(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("open"),
     )
-    return _infer(cleaned)
+    rows = found.orderBy("file").collect()
+    return [(r.file, "ISO-8859-1" if r.foreign else "UTF-8", r.open > 0) for r in rows]
 
 
-def _is_json_lines(spark: SparkSession, path: str) -> bool:
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    if not head:
-        return True
-    try:
-        return isinstance(json.loads(head[0]["value"]), dict)
-    except ValueError:
-        return False
+def read_csv(
+    spark: SparkSession, path: str, schema: str | None = None, multi_line: bool | None = None
+) -> DataFrame:
+    """CSV files with a header.
+
+    Files with a line break inside quotes are read whole, one per task; all others are split. ``multi_line`` forces
+    one or the other for all files. Columns are matched by their names in the header.
+    """
+    groups: dict[tuple[str, bool], list[str]] = {}
+    for file, encoding, quoted in _csv_files(spark, path):
+        groups.setdefault((encoding, quoted if multi_line is None else multi_line), []).append(file)
+    tables = []
+    for (encoding, whole), paths in groups.items():
+        reader = spark.read.options(header="true", encoding=encoding, multiLine=str(whole).lower(), escape='"')
+        if schema is not None:
+            reader = reader.schema(schema)
+        tables.append(reader.option("inferSchema", "false").csv(paths))
+    if not tables:
+        return spark.createDataFrame([], schema or T.StructType([]))
+    raw = tables[0]
+    for more in tables[1:]:
+        raw = raw.unionByName(more, allowMissingColumns=True)
+    if schema is not None or not raw.columns:
+        return raw
+    return infer_types(without_markers(raw))
+
+
+def _json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Files whose lines are objects or arrays, and files that are one document; judged by all lines of a file."""
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"))
+    record = F.col("value").rlike(r"^[\[{]") & F.try_parse_json("value").isNotNull()
+    found = lines.where("value <> ''").groupBy("file").agg(F.count_if(~record).alias("other")).orderBy("file")
+    rows = found.collect()
+    return [r.file for r in rows if not r.other], [r.file for r in rows if r.other]
+
+
+def _common(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A type that holds the values of both."""
+    if a == b:
+        return a
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        kinds = {f.name: f.dataType for f in a.fields}
+        for f in b.fields:
+            kinds[f.name] = _common(kinds[f.name], f.dataType) if f.name in kinds else f.dataType
+        return T.StructType([T.StructField(n, k) for n, k in kinds.items()])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_common(a.elementType, b.elementType))
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return T.DoubleType()
+    return T.StringType()
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON lines, one array of objects, or one object of equally long lists."""
-    lines = _is_json_lines(spark, path)
-    reader = spark.read.option("multiLine", str(not lines).lower())
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.json(path)
-    kinds = [f.dataType.typeName() for f in df.schema.fields]
-    if kinds and all(k == "array" for k in kinds) and len(df.take(2)) == 1:
-        return df.select(F.inline(F.arrays_zip(*[col(c) for c in df.columns])))
+    """JSON lines, arrays of objects, or objects of equally long lists; a folder may hold files of all kinds.
+
+    If every column is a list, and in every record all lists have one length, the records are columns of values and
+    their positions become rows, however many records there are.
+    """
+    lines, documents = _json_files(spark, path)
+    sources = [(paths, str(whole).lower()) for paths, whole in ((lines, False), (documents, True)) if paths]
+    if not sources:
+        return spark.createDataFrame([], schema or T.StructType([]))
+    wanted = schema
+    if wanted is None and len(sources) > 1:
+        wanted = _common(*[spark.read.option("multiLine", m).json(p).schema for p, m in sources])
+    reader = spark.read if wanted is None else spark.read.schema(wanted)
+    tables = [reader.option("multiLine", m).json(p) for p, m in sources]
+    df = tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
+    if df.columns and all(isinstance(f.dataType, T.ArrayType) for f in df.schema.fields):
+        sizes = [F.size(col(c)) for c in df.columns]
+        even = F.coalesce(F.least(*sizes, sizes[0]) == F.greatest(*sizes, sizes[0]), F.lit(False))
+        if not df.agg(F.count_if(~even)).first()[0]:
+            return df.select(F.inline(F.arrays_zip(*[col(c) for c in df.columns])))
     return df
 
 
 READERS = {"csv": read_csv, "json": read_json}
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read by format or extension; empty files and unknown formats are refused."""
+def read_table(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
+    """Read by format or extension, with the options of that reader; empty files and unknown formats are refused."""
     kind = (fmt or path.rstrip("/").rsplit(".", 1)[-1]).lower()
     if kind not in READERS:
         hint = " (spreadsheets are not read; export them as CSV)" if kind in UNSUPPORTED else ""
         raise ValueError(f"Unsupported file format: {kind}{hint}")
-    df = READERS[kind](spark, path)
+    df = READERS[kind](spark, path, **options)
     if not df.columns:
         raise ValueError("No columns found in file")
     if df.isEmpty():
@@ -111,11 +160,6 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     return df
 
 
-def normalised(df: DataFrame) -> DataFrame:
-    """Nested objects of a JSON table as dotted columns."""
-    return flatten(df)
-
-
 def preview(df: DataFrame, order_by: list[str], n: int = 10) -> DataFrame:
     """The first rows in a stated order."""
     return df.orderBy(*[col(c) for c in order_by]).limit(n)

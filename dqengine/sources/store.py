@@ -79,7 +79,9 @@ def processed_data(spark: SparkSession, root: str, dataset_id: str) -> DataFrame
 def export(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write as CSV with a header, or as JSON lines; nested cells become text in CSV."""
     if fmt == "csv":
-        stringify_complex(df).write.option("header", "true").option("escape", '"').csv(path)
+        stringify_complex(df).write.options(
+            header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"
+        ).csv(path)
     elif fmt == "json":
         df.write.option("ignoreNullFields", "false").json(path)
     else:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from dqengine.operators.learning import FULL_CONFIDENCE_ATTEMPTS
 from dqengine.operators.profile import find_issues, quality_report
 from dqengine.schemas import DEFAULT_THRESHOLDS, RULES, SeverityThresholds
-from dqengine.sources.feeds import expand_series, records_table
+from dqengine.sources.feeds import feed_records, records_table, rejected_payloads
 
 EVERY_HALF_MINUTE = {"processingTime": "30 seconds"}
 DRAIN = {"availableNow": True}
@@ -49,8 +49,19 @@ def _start(df: DataFrame, out: str, checkpoint: str, trigger: dict, mode: str =
 def ingest_feed(
     payloads: DataFrame, schema: str, out: str, checkpoint: str, trigger: dict = EVERY_HALF_MINUTE
 ) -> StreamingQuery:
-    """Expand columnar payloads as they land; the columns must be given."""
-    return _start(records_table(expand_series(payloads), schema), out, checkpoint, trigger)
+    """Rows of payloads of any shape as they land; the columns must be given.
+
+    A series gives its rows also if it has only one. ``keep_rejected`` keeps the payloads
+    that cannot be read.
+    """
+    return _start(records_table(feed_records(payloads, least=1), schema), out, checkpoint, trigger)
+
+
+def keep_rejected(
+    payloads: DataFrame, out: str, checkpoint: str, trigger: dict = EVERY_HALF_MINUTE
+) -> StreamingQuery:
+    """Payloads that cannot be read, with the reason, as they land."""
+    return _start(rejected_payloads(payloads), out, checkpoint, trigger)
 
 
 def score_batches(

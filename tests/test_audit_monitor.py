@@ -115,18 +115,21 @@ def test_shortening(spark, length, expected):
     assert len(spark.range(1).select(A.shortened(F.lit("x" * length))).first()[0]) == expected
 
 
-def test_report_uses_only_recent_actions(spark):
+def test_report_over_all_or_the_latest_actions(spark):
     issues = spark.createDataFrame([(1, "N", "HIGH"), (1, "N", "LOW")], "dataset_id long, issue_type string, severity string")
     actions = spark.createDataFrame(
         [(i, 1, "A", "COMPLETED" if i < 5 else "FAILED", i) for i in range(8)],
         "action_id long, dataset_id long, agent_name string, execution_status string, action_at int",
     )
-    got = {(r["section"], r["item"]): r["n"] for r in A.processing_report(issues, actions, limit=4).collect()}
+    got = {(r["section"], r["item"]): r["n"] for r in A.processing_report(issues, actions, latest=4).collect()}
     assert got == {
         ("issues_by_type", "N"): 2, ("issues_by_severity", "HIGH"): 1, ("issues_by_severity", "LOW"): 1,
         ("total_issues", None): 2, ("actions_by_agent", "A"): 4, ("actions_by_status", "FAILED"): 3,
         ("actions_by_status", "COMPLETED"): 1, ("total_actions", None): 4,
     }
+    whole = {(r["section"], r["item"]): r["n"] for r in A.processing_report(issues, actions).collect()}
+    assert whole["total_actions", None] == 8 and whole["actions_by_status", "COMPLETED"] == 5
+    assert A.action_metrics(actions).first()["total_actions"] == 8
 
 
 def test_completion_rule(spark):

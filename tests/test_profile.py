@@ -98,15 +98,14 @@ def test_problem_rows_weights(spark):
     assert again == found
 
 
-def test_auto_mode_limits(spark):
-    narrow = spark.range(100)
-    wide = spark.range(60_000).select(*[F.col("id").alias(f"c{i}") for i in range(51)])
+def test_size_never_decides_the_mode(spark):
     methods = lambda df: {r["analysis_method"] for r in df.collect()}
-    assert methods(P.find_issues_auto(narrow)) == set()
-    nulls = wide.withColumn("n", F.lit(None).cast("string"))
-    assert "selective_rows" in methods(P.find_issues_auto(nulls, key="c0"))
+    for rows in (1_000, 100_001):
+        table = spark.range(rows).select((F.col("id") % 900).alias("k"), F.lit(None).cast("string").alias("n"))
+        assert methods(P.profile(table)) == {"full_scan"}
+        assert "selective_rows" in methods(P.profile(table, "sampled"))
     with pytest.raises(ValueError):
-        P.find_issues_auto(narrow, mode="guess")
+        P.profile(spark.range(3), mode="guess")
 
 
 def test_hash_sample_share_and_stability(spark):

@@ -100,8 +100,21 @@ def test_feed_ingest_reads_new_files_once(spark, tmp_path):
     for i in range(3):
         (folder / f"{i}.json").write_text('{"hourly": {"t": [%d, %d]}, "id": %d}\n{"id": 1}\n' % (i, i + 1, i))
         J.ingest_feed(J.landed_payloads(spark, str(folder)), "id int, t int", out, state, J.DRAIN).awaitTermination()
-    got = sorted((r["id"], r["t"]) for r in spark.read.parquet(out).collect())
-    assert got == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3)]
+    rows = spark.read.parquet(out).collect()
+    assert sorted((r["id"], r["t"]) for r in rows if r["t"] is not None) == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3)]
+    assert [r["id"] for r in rows if r["t"] is None] == [1, 1, 1]  # plain objects are rows too
+
+
+def test_feed_ingest_keeps_every_shape(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    shapes = ['{"hourly": {"t": [1, 2]}}', '{"daily": {"t": [3]}}', '{"t": 4}', '[{"t": 5}, {"t": 6}]', "{broken"]
+    (folder / "a.json").write_text("\n".join(shapes))
+    payloads = J.landed_payloads(spark, str(folder))
+    J.ingest_feed(payloads, "t int", out, str(tmp_path / "s1"), J.DRAIN).awaitTermination()
+    assert sorted(r["t"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5, 6]
+    J.keep_rejected(payloads, f"{out}-rejected", str(tmp_path / "s2"), J.DRAIN).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(f"{out}-rejected").collect()] == [("{broken", "not JSON")]
 
 
 @pytest.mark.parametrize("slide", [None, "30 minutes"])
