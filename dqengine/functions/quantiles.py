@@ -19,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqengine.functions.columns import col, groupable
 from dqengine.session import materialize
@@ -455,15 +456,25 @@ def _pick(values: DataFrame, gather: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def most_frequent_values(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
-    """Most frequent value of each column as text; the smallest wins a tie.
+def most_frequent_values(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
+    """Most frequent value of each column; the smallest wins a tie.
 
-    One grouped count per column: the distinct values stay spread over the shuffle and
-    only one row per column reaches the driver.
+    Plain values come as text, which casts back without loss; arrays, structs and binary as
+    what they are. One grouped count per column: the distinct values stay spread over the
+    shuffle and only one row per column reaches the driver.
     """
     if not columns:
         return {}
     df = groupable(df)
+    whole = [c for c in columns if isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.BinaryType))]
+    found: dict[str, object] = {}
+    for c in whole:
+        counted = df.where(col(c).isNotNull()).groupBy(col(c).alias("__v")).agg(F.count("*").alias("__c"))
+        top = counted.orderBy(F.desc("__c"), F.asc("__v")).first()
+        found[c] = top["__v"] if top else None
+    plain = [c for c in columns if c not in whole]
+    if not plain:
+        return found
     tops = [
         df.where(col(c).isNotNull())
         .groupBy(col(c).alias("__v"))
@@ -471,8 +482,8 @@ def most_frequent_values(df: DataFrame, columns: Sequence[str]) -> dict[str, str
         .orderBy(F.desc("__c"), F.asc("__v"))
         .limit(1)
         .select(F.lit(c).alias("column_name"), F.col("__v").cast("string").alias("value"))
-        for c in columns
+        for c in plain
     ]
     rows = reduce(DataFrame.unionAll, tops).collect()
-    found = {row["column_name"]: row["value"] for row in rows}
+    found |= {row["column_name"]: row["value"] for row in rows}
     return {c: found.get(c) for c in columns}

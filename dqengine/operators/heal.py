@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -261,12 +262,27 @@ def _read_statistics(
 
 def _literals(df: DataFrame, numbers: dict[tuple[str, str], object]) -> Statistic:
     def stat(column: str, kind: str) -> Column:
-        value = F.lit(numbers[(column, kind)])
-        return value.cast(df.schema[column].dataType if kind == "mode" else "double")
+        number = numbers[(column, kind)]
+        if kind != "mode":
+            return F.lit(number).cast("double")
+        wanted = df.schema[column].dataType
+        if number is None or isinstance(number, str):
+            return F.lit(number).cast(wanted)
+        one = df.sparkSession.createDataFrame([(number,)], T.StructType([T.StructField("mode", wanted)]))
+        return one.scalar()
 
     return stat
 
 
+def _failure(run: Callable[[], object]) -> str | None:
+    """What a step failed with, in one line, or None."""
+    try:
+        run()
+    except PySparkException as error:
+        return str(error).strip().split("\n")[0][:300] or type(error).__name__
+    return None
+
+
 def heal(
     df: DataFrame,
     actions: Sequence[Action],
@@ -297,12 +313,25 @@ def heal(
                 failed[action.key] = reason
             else:
                 ready.append(action)
-        rows, numbers = _read_statistics(current, ready, direct_rows, measure)
+        try:
+            rows, numbers = _read_statistics(current, ready, direct_rows, measure)
+        except PySparkException:
+            # Find the actions whose numbers cannot be read; the others go on.
+            for action in list(ready):
+                if error := _failure(lambda a=action: _read_statistics(current, [a], direct_rows, False)):
+                    failed[action.key] = error
+                    ready.remove(action)
+            rows, numbers = _read_statistics(current, ready, direct_rows, measure)
+        stat = _literals(current, numbers)
+        for action in list(ready):
+            # Analysis finds what cannot run on this table before anything is counted.
+            if error := _failure(lambda a=action: _rewrite(current, a, stat, rules).schema):
+                failed[action.key] = error
+                ready.remove(action)
         for action in list(ready):
             if action.method == "FILL_MODE" and numbers[(action.column, "mode")] is None:
                 failed[action.key] = f"column {action.column} has no value"
                 ready.remove(action)
-        stat = _literals(current, numbers)
         counts = _measure(current, ready, stat, rules) if measure else {}
         for action in stage:
             if action.key in failed:

@@ -102,7 +102,8 @@ def processing_log(
                 "PipelineOrchestrator",
                 "DATASET_PROCESSING_START",
                 F.format_string(
-                    f"Starting processing for {name} (%d records, %d columns)",
+                    "Starting processing for %s (%d records, %d columns)",
+                    F.lit(name),
                     "total_records",
                     "total_columns",
                 ),

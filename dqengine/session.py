@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +44,33 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.gettempdir() + "/dqengine-checkpoints"
 
 
+#: Scratch paths handed out in this process and not released yet.
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is ever overwritten there."""
-    return f"{shared_dir(spark)}/dqengine/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/dqengine/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+@contextmanager
+def scratch_job(spark: SparkSession) -> Iterator[None]:
+    """Frees, at its end, all scratch data written inside it.
+
+    What a job returns must be stored or collected before the end: tables that read scratch
+    data are gone afterwards.
+    """
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scratch[before:]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        del _scratch[before:]
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

@@ -151,3 +151,20 @@ def test_before_after(people):
     fixed = repair(repair(people, "FILL_MEDIAN", "age"), "KEEP_FIRST")
     rows = {r["phase"]: tuple(r)[1:] for r in H.compare_before_after(people, fixed).collect()}
     assert rows == {"before": (6, 4, 1), "after": (5, 1, 0)}
+
+
+def test_modes_keep_their_type(spark):
+    rows = [(1, [1, 2], bytearray(b"\xff\xfe"), ("x", 1)), (2, [1, 2], bytearray(b"\xff\xfe"), ("x", 1)), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, a array<int>, b binary, s struct<t: string, n: int>")
+    healed = heal(df, [Action("HANDLE_NULLS", "FILL_MODE", c) for c in ("a", "b", "s")])
+    got = healed.df.where("k = 3").first()
+    assert (got.a, bytes(got.b), tuple(got.s)) == ([1, 2], b"\xff\xfe", ("x", 1))
+    assert healed.df.schema.simpleString() == df.schema.simpleString()
+
+
+def test_a_failing_action_is_logged_and_the_fold_goes_on(spark):
+    df = spark.createDataFrame([(1.0, "a"), (None, None)], "x double, t string")
+    broken = Action("HANDLE_NULLS", "CUSTOM_TRANSFORMATION", None, options={"transform": lambda d: d.select("missing")})
+    healed = heal(df, [broken, Action("HANDLE_NULLS", "FILL_MEAN", "x")])
+    assert healed.df.where("x is null").count() == 0
+    assert len(healed.entries) == 2
