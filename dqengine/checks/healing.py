@@ -32,7 +32,8 @@ MODE = "(select {c} from {r} where {c} is not null group by {c} order by count(*
 @check(
     "h01_fill_mean",
     (LI,),
-    replaced(LI, l_quantity=f"round(coalesce(l_quantity, (select avg(l_quantity) from {LI})), 6)"),
+    "with a as (select avg(l_quantity) as mean from " + LI + ") "
+    + replaced(LI, f"{LI}, a", l_quantity="round(coalesce(l_quantity, mean), 6)"),
 )
 def h01(spark, d):
     return rounded(repair(table(spark, d, LI), "FILL_MEAN", "l_quantity"), "l_quantity")
@@ -80,6 +81,11 @@ def h06(spark, d):
     return repair(table(spark, d, LI), "KEEP_FIRST")
 
 
+@check("h06_keep_first_by_fingerprint", (LI,), f"select distinct * from {LI}")
+def h06_fingerprint(spark, d):
+    return repair(table(spark, d, LI), "KEEP_FIRST", fingerprint_rows=0)
+
+
 @check("h07_keep_last", (EV,), f"select distinct * from {EV}")
 def h07(spark, d):
     return repair(table(spark, d, EV), "KEEP_LAST")
@@ -343,6 +349,18 @@ for _method, _name, _window in (
     )
 
 
+for _method, _name, _window in (
+    ("FILL_FORWARD", "h18_fill_forward_in_ranges", "last_value(value ignore nulls) over (order by ts nulls first, event_id rows between unbounded preceding and current row)"),
+    ("FILL_BACKWARD", "h18_fill_backward_in_ranges", "first_value(value ignore nulls) over (order by ts nulls first, event_id rows between current row and unbounded following)"),
+):
+    # No key, a timestamp first, and ranges far smaller than the table.
+    check(_name, (EV,), replaced(EV, value=_window))(
+        lambda spark, d, m=_method: repair(
+            table(spark, d, EV), m, "value", order_by=["ts", "event_id"], rows_per_chunk=300
+        )
+    )
+
+
 @check("h18_drop_rows", (EV,), f"select * from {EV} where event_type is not null")
 def h18_rows(spark, d):
     return repair(table(spark, d, EV), "DROP_ROWS", "event_type")

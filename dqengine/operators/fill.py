@@ -1,4 +1,4 @@
-"""Forward and backward fill along an order, safe for hot keys and for tables without a key."""
+"""Forward and backward fill along an order, without one window over a hot key or a whole table."""
 
 from __future__ import annotations
 
@@ -6,38 +6,13 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from dqengine.functions.columns import col
+from dqengine.functions.columns import col, groupable
+from dqengine.session import materialize
 
-ROWS_PER_CHUNK = 5_000_000
-MAX_CHUNKS = 10_000
-BOUND_ACCURACY = 100_000
-
-
-def _as_number(df: DataFrame, column: str) -> Column:
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(col(column).cast("timestamp")).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(col(column)).cast("double")
-    return col(column).cast("double")
-
-
-def _with_chunk(df: DataFrame, position: Column, bounds: list[float]) -> DataFrame:
-    """Adds ``__chunk``: which stretch of the order a row lies in; a NULL sorts first."""
-    if not bounds:
-        return df.withColumn("__chunk", F.when(position.isNull(), -1).otherwise(0))
-    # Bucketizer looks the value up by binary search, so the number of bounds may be large.
-    bucketizer = Bucketizer(
-        splits=[-math.inf, *bounds, math.inf], inputCol="__pos", outputCol="__bucket"
-    )
-    cut = bucketizer.transform(df.withColumn("__pos", F.coalesce(position, F.lit(-math.inf))))
-    chunk = F.when(position.isNull(), -1).otherwise(F.col("__bucket").cast("int"))
-    return cut.withColumn("__chunk", chunk).drop("__pos", "__bucket")
+ROWS_PER_CHUNK = 1_000_000
 
 
 def fill_along(
@@ -50,13 +25,17 @@ def fill_along(
 ) -> DataFrame:
     """Replace a missing value by the nearest earlier (or later) one of the same key.
 
-    If a key has more than ``rows_per_chunk`` rows the order is cut at its quantiles, each
-    (key, chunk) is filled on its own, and one carried value per (key, chunk) bridges the
-    cuts. No window then holds more than a chunk of a hot key.
+    Rows that ``order_by`` leaves equal follow each other by their other columns; nulls come
+    first. If a key has more than ``rows_per_chunk`` rows the table is dealt out in ranges of
+    that whole order, so that many rows with one order value are split as well. Each (key,
+    range) is filled on its own, and one carried value per (key, range) bridges the cuts. The
+    result is that of one window per key.
     """
     keys, order_by = list(keys), list(order_by)
     value = col(column)
-    ordering = [col(c).asc_nulls_first() for c in order_by]
+    rest = [c for c in groupable(df).columns if c not in order_by and c not in keys]
+    total_order = [*order_by, *rest]
+    ordering = [col(c).asc_nulls_first() for c in total_order]
 
     def nearest(window: Window, source: Column) -> Column:
         if forward:
@@ -69,21 +48,17 @@ def fill_along(
 
     sizes = df.groupBy(*[col(c) for c in keys]).agg(F.count("*").alias("n"))
     size = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("largest")).first()
-    rows = size["rows"] or 0
     if (size["largest"] or 0) <= rows_per_chunk:
         window = Window.partitionBy(*[col(c) for c in keys]).orderBy(*ordering)
         return df.withColumn(column, nearest(window, value))
 
-    chunks = min(MAX_CHUNKS, math.ceil(rows / rows_per_chunk))
-    position = _as_number(df, order_by[0])
-    grid = [i / chunks for i in range(1, chunks)]
-    bounds = df.agg(F.percentile_approx(position, grid, BOUND_ACCURACY).alias("b")).first()["b"]
-    chunked = _with_chunk(df, position, sorted(set(bounds or [])))
-
+    ranges = df.repartitionByRange(math.ceil(size["rows"] / rows_per_chunk), *ordering)
+    # Written once, so that every later step sees the same cuts.
+    chunked = materialize(ranges.withColumn("__chunk", F.spark_partition_id()), "ranges")
     window = Window.partitionBy(*[col(c) for c in keys], "__chunk").orderBy(*ordering)
     local = chunked.withColumn("__filled", nearest(window, value))
 
-    order = F.when(value.isNotNull(), F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order_by)]))
+    order = F.when(value.isNotNull(), F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(total_order)]))
     pick = F.max_by if forward else F.min_by
     edge = chunked.groupBy(
         *[col(c).alias(f"__key{i}") for i, c in enumerate(keys)], F.col("__chunk").alias("__at")

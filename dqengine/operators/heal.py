@@ -24,8 +24,8 @@ from dqengine.functions.quantiles import (
     most_frequent_values,
     quantile_values,
 )
-from dqengine.operators.duplicates import drop_duplicate_rows, duplicate_count, keep_one_per_key
-from dqengine.operators.fill import fill_along
+from dqengine.operators.duplicates import FINGERPRINT_ROWS, drop_duplicate_rows, duplicate_count, keep_one_per_key
+from dqengine.operators.fill import ROWS_PER_CHUNK, fill_along
 from dqengine.operators.profile import z_score
 from dqengine.schemas import (
     EXECUTION_LOG_SCHEMA,
@@ -203,7 +203,7 @@ def _rewrite(df: DataFrame, action: Action, stat: Statistic, rules: QualityRules
         if keys:
             keep = "last" if method.endswith("LAST") else "first"
             return keep_one_per_key(df, keys, action.options["order_by"], keep)
-        return drop_duplicate_rows(df)
+        return drop_duplicate_rows(df, action.options.get("fingerprint_rows", FINGERPRINT_ROWS))
     if method in Z_FILTERS:
         return df.where(_within(action, stat, rules))
     if method in CLIPS:
@@ -222,6 +222,7 @@ def _rewrite(df: DataFrame, action: Action, stat: Statistic, rules: QualityRules
             action.options["order_by"],
             action.options.get("keys", ()),
             forward=ORDERED_FILLS[method],
+            rows_per_chunk=action.options.get("rows_per_chunk", ROWS_PER_CHUNK),
         )
     if method == DROP_COLUMNS:
         return df.select(*[col(c) for c in df.columns if c != name])
