@@ -150,7 +150,9 @@ def m09(spark, d):
     "select source_id, source_name, fetch_interval, is_active from feed_sources",
 )
 def m10(spark, d):
-    return table(spark, d, "feed_sources").orderBy(F.desc("source_id"))
+    path = scratch_path(spark, "sources")
+    A.register_sources(table(spark, d, "feed_sources"), path)
+    return A.list_sources(spark.read.parquet(path))
 
 
 def _removal(spark, d):

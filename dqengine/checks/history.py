@@ -173,7 +173,7 @@ FEEDBACK = "action_id, agent_name, feedback_type, feedback_text, rating, context
 @check("a07_stored_feedback", ("feedback",), f"select {FEEDBACK} from feedback")
 def a07(spark, d):
     path = scratch_path(spark, "feedback")
-    table(spark, d, "feedback").write.mode("append").parquet(path)
+    L.store_feedback(table(spark, d, "feedback"), path)
     return spark.read.parquet(path)
 
 

@@ -210,11 +210,7 @@ def l08(spark, d):
     f"with {plan_ctes(LI)} select action_id, cast(row_number() over (order by execution_rank, column_name) as integer) as step from actions",
 )
 def l09(spark, d):
-    from pyspark.sql import Window
-
-    # A plan has a few rows per table column, so one window holds all of it.
-    order = Window.partitionBy(F.lit(1)).orderBy("execution_rank", "column_name")
-    return _plan(spark, d, LI).select("action_id", F.row_number().over(order).alias("step"))
+    return R.with_steps(_plan(spark, d, LI)).select("action_id", "step")
 
 
 @check(

@@ -148,6 +148,16 @@ def issue_log_rows(issues: DataFrame, dataset_id: str) -> DataFrame:
     )
 
 
+def register_sources(sources: DataFrame, path: str) -> None:
+    """Append feeds to the registry below ``path``; one without an interval is fetched by hand only."""
+    append_rows(sources.fillna(0, ["fetch_interval"]).fillna(True, ["is_active"]), path)
+
+
+def list_sources(sources: DataFrame) -> DataFrame:
+    """Registered feeds, newest first; a range-partitioned sort."""
+    return sources.orderBy(F.desc("source_id"))
+
+
 def remove_sources(
     sources: DataFrame, snapshots: DataFrame, removals: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

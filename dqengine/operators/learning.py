@@ -201,6 +201,13 @@ def learned_inputs(patterns: DataFrame, planner: str = "DataHealingAgent") -> Le
     )
 
 
+def store_feedback(feedback: DataFrame, path: str) -> None:
+    """Append human feedback to its log; ratings outside 1 to 5 are brought to the nearer end."""
+    rating = F.greatest(F.lit(1), F.least(F.lit(5), F.col("rating"))).cast(feedback.schema["rating"].dataType)
+    known = F.when(F.col("rating").isNotNull(), rating)
+    feedback.withColumn("rating", known).write.mode("append").parquet(path)
+
+
 def parsed_feedback(feedback: DataFrame) -> DataFrame:
     """Feedback with the method, target and severity its text hints at."""
     text = F.lower(F.coalesce("feedback_text", F.lit("")))

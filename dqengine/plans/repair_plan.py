@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqengine.functions.columns import col, nan_to_null, numeric_columns, percent, round_cents
@@ -328,6 +328,15 @@ def apply_decisions(actions: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def with_steps(actions: DataFrame) -> DataFrame:
+    """The plan with ``step``, the place of each action in the execution.
+
+    A plan has a few rows per table column, so one window holds all of it.
+    """
+    order = Window.partitionBy(F.lit(1)).orderBy("execution_rank", F.col("column_name").asc_nulls_first())
+    return actions.withColumn("step", F.row_number().over(order))
+
+
 def as_actions(actions: DataFrame, method: str = "recommended_method") -> list[Action]:
     """The plan as steps in execution order; a plan has at most a few rows per column."""
     rows = actions.select(
