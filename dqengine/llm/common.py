@@ -79,6 +79,13 @@ class Bounded(dict):
         return value
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 @lru_cache(maxsize=1)
 def young_letters() -> list[str]:
     """Letters and numbers of ``regex`` that the Unicode version of Python's own database does not know yet."""
@@ -101,6 +108,11 @@ def stand_ins(joins: Callable[[str], bool]) -> Callable[[str], str]:
     return lambda text: found.sub("\ue000", text) if not text.isascii() and found.search(text) else text
 
 
+def one_each(files: DataFrame) -> DataFrame:
+    """A list of files dealt out one to a task. A few rows that stand for much work would else share one task."""
+    return files.repartition(max(1, files.count()))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4 << 20):
     """Cut Arrow batches so that the texts of one piece stay near ``most_bytes``; a longer text is a piece alone."""
     for batch in batches:

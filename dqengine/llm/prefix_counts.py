@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers.pre_tokenizers import ByteLevel
 
-from dqengine.llm.common import Bounded, ship, small_batches, stand_ins, whole_text
+from dqengine.llm.common import Bounded, byte_alphabet, ship, small_batches, stand_ins, whole_text
 
 #: Pre-tokens, and pairs of tokens, a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
+#: A pair of tokens is one number.
+PAIR = 1 << 24
 
 # The split of byte-level pre-tokenisers, and its parts that need care at the end of a prefix.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -32,13 +35,6 @@ ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Counts for a byte-level BPE file of the tokenizers library, without added begin or end tokens."""
 
@@ -93,14 +89,15 @@ class PrefixCounter:
             self.spines[token, right] = spine
         return self.spines[token, right]
 
-    def _fits(self, pair: tuple[int, int]) -> bool:
+    def _fits(self, pair: int) -> bool:
         """Whether two tokens stay side by side: no merge across their border comes before those inside them.
 
         Of equal ranks the left place merges first, so an equal rank counts inside the left token, not the right.
         """
         merges = self.merges
-        for x, x_until in self._spine(pair[0], True):
-            for y, y_until in self._spine(pair[1], False):
+        left, right = divmod(pair, PAIR)
+        for x, x_until in self._spine(left, True):
+            for y, y_until in self._spine(right, False):
                 across = merges.get((x, y))
                 if across and across[0] < x_until and across[0] <= y_until:
                     return False
@@ -136,21 +133,22 @@ class PrefixCounter:
                 if token is not None:
                     found.append((at, token))
             for at, token in reversed(found):
-                if fits[last[at], token] if at else whole[token]:
+                if fits[last[at] * PAIR + token] if at else whole[token]:
                     last[end], count[end] = token, count[at] + 1
                     break
         return count
 
-    def _inner(self, piece: str) -> np.ndarray:
-        """Counts after each character of a pre-token."""
+    def _inner(self, piece: str) -> bytes:
+        """Counts after each character of a pre-token, as 32-bit integers."""
         data = piece.encode()
-        counts = np.array(self.byte_counts(data), np.int32)
-        if len(data) != len(piece):
-            stops = np.cumsum([len(c.encode()) for c in piece])
-            return counts[stops]
+        counts = self.byte_counts(data)
         if piece in LONG_CONTRACTIONS:  # without its last letter it is two pre-tokens
             counts[2] = 2
-        return counts[1:]
+        if len(data) == len(piece):
+            return struct.pack(f"={len(data)}i", *counts[1:])
+        # A character ends before each byte that does not continue one.
+        ends = [i for i in range(1, len(data)) if data[i] & 0xC0 != 0x80]
+        return struct.pack(f"={len(piece)}i", *[counts[i] for i in ends], counts[-1])
 
     def _plain(self, text: str) -> np.ndarray:
         """Counts after each character of a text without special tokens."""
@@ -163,7 +161,7 @@ class PrefixCounter:
         if shadow is not text:
             pieces = [text[b - n : b] for b, n in zip(stops.tolist(), lengths.tolist())]
         inner = list(map(self.inner.__getitem__, pieces))
-        counts = np.concatenate(inner)
+        counts = np.frombuffer(bytearray().join(inner), np.int32)
         totals = np.cumsum(counts[stops - 1], dtype=np.int32)
         before = np.concatenate([[0], totals[:-1]]).astype(np.int32)
         counts += np.repeat(before, lengths)
