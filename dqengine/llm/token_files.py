@@ -30,9 +30,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
-from tokenizers.pre_tokenizers import ByteLevel
 
-from dqengine.llm.common import Bounded, ship, small_batches, whole_text
+from dqengine.llm.common import Bounded, byte_alphabet, ship, small_batches, whole_text
 from dqengine.session import materialize
 
 MAGIC = b"S8B1"
@@ -218,16 +217,17 @@ class WordEncoder:
             raise ValueError("the pre-tokens must be the matches of one pattern")
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.letters = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.tokenize = self.library.model.tokenize
+        self.letters = {byte: letter for letter, byte in byte_alphabet().items()}
         #: A word in lower case and what follows it, without apostrophes and special tokens.
         self.simple = re.compile(rb"([a-z]+)([^a-z0-9'<\s]*)").fullmatch
-        self.pieces = Bounded(self._piece, REMEMBERED)
+        self.pieces = Bounded(self._piece, 2 * REMEMBERED)
         self.parts = Bounded(self._part, REMEMBERED)
 
     def _piece(self, piece: str | bytes) -> bytes:
-        piece = piece.decode() if isinstance(piece, bytes) else piece
-        found = self.library.model.tokenize(self.letters(piece)[0][0])
-        return np.array([t.id for t in found], "<u4").tobytes()
+        data = piece if isinstance(piece, bytes) else piece.encode()
+        found = self.tokenize("".join(map(self.letters.__getitem__, data)))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def _part(self, part: bytes) -> bytes:
         if part.isascii():
