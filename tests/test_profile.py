@@ -92,8 +92,11 @@ def test_iqr_fences_are_exclusive_on_both_paths(spark):
 def test_problem_rows_weights(spark):
     rows = [(1.0, "a")] * 3 + [(2.0, "b"), (None, "c"), (None, "c")]
     df = spark.createDataFrame(rows, "x double, t string")
+    few = {r["t"]: (r["reasons"], r["problem_rows"]) for r in P.problem_rows(df, min_values=1000).collect()}
+    assert few == {"a": (["DUPLICATE"], 2), "c": (["NULL", "DUPLICATE"], 2)}
+    # By default small columns are checked for outliers too.
     found = {r["t"]: (r["reasons"], r["problem_rows"]) for r in P.problem_rows(df).collect()}
-    assert found == {"a": (["DUPLICATE"], 2), "c": (["NULL", "DUPLICATE"], 2)}
+    assert found == few | {"b": (["OUTLIER:x"], 1)}
     again = {r["t"]: (r["reasons"], r["problem_rows"]) for r in P.problem_rows(df, fingerprint_rows=0).collect()}
     assert again == found
 
