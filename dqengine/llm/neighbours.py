@@ -93,6 +93,13 @@ def _unpacked(lists: pd.Series, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(lists), kind), np.array([len(x) // size for x in lists], np.int64)
 
 
+def _by_block(block: np.ndarray, *values: np.ndarray) -> list[tuple]:
+    """For every block its number and the bytes of its part of each column of values."""
+    order = np.argsort(block, kind="stable")
+    key, packed = _packed(block[order], *[v[order] for v in values])
+    return list(zip(key.tolist(), *packed))
+
+
 class Graph:
     """A neighbour graph over the distinct vectors of a table.
 
@@ -150,20 +157,18 @@ class Graph:
             np.fill_diagonal(scores, -np.inf)
             most = min(s.neighbours, len(ids) - 1)
             if not most:
-                return pd.DataFrame({"block": block_of(ids, blocks), "id": ids, "ids": [b""] * len(ids), "scores": [b""] * len(ids)})
+                return pd.DataFrame([], columns=["block", "own", "ids", "scores"])
             best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+            own, value = np.repeat(ids, most), np.take_along_axis(scores, best, axis=1).ravel()
             return pd.DataFrame(
-                {
-                    "block": block_of(ids, blocks), "id": ids, "ids": _rows(ids[best]),
-                    "scores": _rows(np.take_along_axis(scores, best, axis=1)),
-                }
+                _by_block(block_of(own, blocks), own, ids[best].ravel(), value), columns=["block", "own", "ids", "scores"]
             )
 
         found = (
             planted.join(sizes, ["tree", "leaf"])
             .withColumn("piece", cut)
             .groupBy("tree", "leaf", "piece")
-            .applyInPandas(nearest, "block int, id long, ids binary, scores binary")
+            .applyInPandas(nearest, "block int, own binary, ids binary, scores binary")
         )
         width_bytes = s.neighbours
 
@@ -182,7 +187,7 @@ class Graph:
         return self._merged(bare, found)[0]
 
     def _merged(self, nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
-        """Nodes with better neighbours taken from ``found`` (block, id, ids, scores), and the places that changed."""
+        """Nodes with better neighbours taken from ``found`` (block, and packed own, ids, scores), and the places that changed."""
         most, blocks = self.s.neighbours, self.blocks
 
         def merge(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
@@ -193,9 +198,9 @@ class Graph:
             scores = _matrix(old["scores"], np.float32, most)
             there = ids != EMPTY
             place = np.broadcast_to(np.arange(len(own))[:, None], ids.shape)
-            more, lengths = _unpacked(new["ids"], np.int64)
+            more, _ = _unpacked(new["ids"], np.int64)
             values, _ = _unpacked(new["scores"], np.float32)
-            owner = np.repeat(np.searchsorted(own, new["id"].to_numpy()), lengths)
+            owner = np.searchsorted(own, _unpacked(new["own"], np.int64)[0])
             owner, found_ids, found_scores, flags, at = _best(
                 np.r_[place[there], owner], np.r_[ids[there], more], np.r_[scores[there], values],
                 np.r_[np.zeros(int(there.sum()), bool), np.ones(len(more), bool)], most,
@@ -232,17 +237,18 @@ class Graph:
                 to, score = ids[there], scores[there]
                 # The nearest of one batch are enough for those of all.
                 to, own, score, _, _ = _best(to, own, score, np.zeros(len(to), bool), most)
-                key, (sent, scored) = _packed(to, own, score)
-                yield pd.DataFrame({"block": block_of(key, blocks), "id": key, "ids": sent, "scores": scored})
+                yield pd.DataFrame(
+                    _by_block(block_of(to, blocks), to, own, score), columns=["block", "own", "ids", "scores"]
+                )
 
-        edges = nodes.select("id", "ids", "scores").mapInPandas(turned, "block int, id long, ids binary, scores binary")
+        edges = nodes.select("id", "ids", "scores").mapInPandas(turned, "block int, own binary, ids binary, scores binary")
 
         def gather(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             own = np.sort(old["id"].to_numpy())
             old = old.sort_values("id")
-            ids, lengths = _unpacked(new["ids"], np.int64)
+            ids, _ = _unpacked(new["ids"], np.int64)
             scores, _ = _unpacked(new["scores"], np.float32)
-            owner = np.repeat(np.searchsorted(own, new["id"].to_numpy()), lengths)
+            owner = np.searchsorted(own, _unpacked(new["own"], np.int64)[0])
             owner, ids, _, _, _ = _best(owner, ids, scores, np.zeros(len(ids), bool), most)
             back = [b""] * len(own)
             key, (lists,) = _packed(owner, ids)
@@ -277,25 +283,27 @@ class Graph:
                 once[1:] = (row[1:] != row[:-1]) | (to[1:] != to[:-1])
                 row, to, new = row[once], to[once], new[once]
                 block = block_of(to, blocks)
-                order = np.lexsort((block, row))
+                order = np.lexsort((row, block))
                 row, to, new, block = row[order], to[order], new[order], block[order]
-                key, (targets, flags) = _packed(row * np.int64(blocks) + block, to, new)
-                half = _rows(_matrix(batch["vec"], np.float32, width).astype(np.float16))
-                at = (key // blocks).tolist()
-                own = batch["id"].to_numpy()
-                yield pd.DataFrame(
-                    {
-                        "block": (key % blocks).astype(np.int32), "id": own[at], "vec": [half[i] for i in at],
-                        "low": low[at], "to": targets, "new": flags,
-                    }
-                )
-
-        sent = self.nodes.mapInPandas(send, "block int, id long, vec binary, low float, to binary, new binary")
+                half = _matrix(batch["vec"], np.float32, width).astype(np.float16)
+                own, out = batch["id"].to_numpy(), []
+                starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
+                for a, b in zip(starts, [*starts[1:], len(block)]):
+                    member, counts = np.unique(row[a:b], return_counts=True)
+                    packed = own[member], half[member], low[member], counts.astype(np.int64), to[a:b], new[a:b]
+                    out.append((block[a], *[np.ascontiguousarray(x).tobytes() for x in packed]))
+                yield pd.DataFrame(out, columns=["block", "own", "vec", "low", "counts", "to", "new"])
+
+        sent = self.nodes.mapInPandas(
+            send, "block int, own binary, vec binary, low binary, counts binary, to binary, new binary"
+        )
 
         def meet(group: pd.DataFrame) -> pd.DataFrame:
-            vectors = _matrix(group["vec"], np.float16, width).astype(np.float32)
-            ids, low = group["id"].to_numpy(), group["low"].to_numpy()
-            to, lengths = _unpacked(group["to"], np.int64)
+            ids, _ = _unpacked(group["own"], np.int64)
+            vectors = np.frombuffer(b"".join(group["vec"]), np.float16).reshape(-1, width).astype(np.float32)
+            low, _ = _unpacked(group["low"], np.float32)
+            lengths, _ = _unpacked(group["counts"], np.int64)
+            to, _ = _unpacked(group["to"], np.int64)
             new, _ = _unpacked(group["new"], bool)
             member = np.repeat(np.arange(len(ids)), lengths)
             order = np.argsort(to, kind="stable")
@@ -317,13 +325,15 @@ class Graph:
                 others.append(who[best][better])
                 scores.append(value[better])
             if not owners:
-                return pd.DataFrame({"block": [], "id": [], "ids": [], "scores": []})
+                return pd.DataFrame([], columns=["block", "own", "ids", "scores"])
             owner, other, score = np.concatenate(owners), np.concatenate(others), np.concatenate(scores)
             owner, found, score, _, _ = _best(owner, ids[other], score, np.zeros(len(owner), bool), s.neighbours)
-            key, (packed, scored) = _packed(owner, found, score)
-            return pd.DataFrame({"block": block_of(ids[key], blocks), "id": ids[key], "ids": packed, "scores": scored})
+            own = ids[owner]
+            return pd.DataFrame(
+                _by_block(block_of(own, blocks), own, found, score), columns=["block", "own", "ids", "scores"]
+            )
 
-        found = sent.groupBy("block").applyInPandas(meet, "block int, id long, ids binary, scores binary")
+        found = sent.groupBy("block").applyInPandas(meet, "block int, own binary, ids binary, scores binary")
         return self._merged(self.nodes, found)
 
     def search(self, queries: DataFrame, most: int) -> DataFrame:
@@ -351,51 +361,78 @@ class Graph:
             self.nodes.select("id", "vec").join(wanted, "id", "left_semi").mapInPandas(enter, state_schema), "beams"
         )
 
+        asked_schema = "block int, query binary, qvec binary, counts binary, todo binary"
+
+        def packed(queries: np.ndarray, vectors: np.ndarray, place: np.ndarray, todo: np.ndarray) -> pd.DataFrame:
+            """Nodes asked for, by block: its queries with their vectors, and the number and ids of each one's nodes."""
+            block, out = block_of(todo, blocks), []
+            order = np.lexsort((place, block))
+            block, place, todo = block[order], place[order], todo[order]
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
+            for a, b in zip(starts, [*starts[1:], len(block)]):
+                which, counts = np.unique(place[a:b], return_counts=True)
+                row = queries[which], vectors[which], counts.astype(np.int64), todo[a:b]
+                out.append((block[a], *[np.ascontiguousarray(x).tobytes() for x in row]))
+            return pd.DataFrame(out, columns=["block", "query", "qvec", "counts", "todo"])
+
+        def unpacked(asked: pd.DataFrame):
+            query, _ = _unpacked(asked["query"], np.int64)
+            vectors = np.frombuffer(b"".join(asked["qvec"]), np.float32).reshape(-1, width)
+            counts, _ = _unpacked(asked["counts"], np.int64)
+            todo, _ = _unpacked(asked["todo"], np.int64)
+            query, first, place = np.unique(query, return_index=True, return_inverse=True)
+            return query, vectors[first], np.repeat(place, counts), todo
+
         def ask(batches):
             """The best nodes of each beam that are not expanded yet, sent to their blocks."""
             for batch in batches:
-                for query, vec, ids, done in zip(batch["id"], batch["vec"], batch["ids"], batch["done"]):
-                    todo = np.frombuffer(ids, np.int64)[: s.beam][~np.frombuffer(done, bool)[: s.beam]]
-                    if len(todo):
-                        block = block_of(todo, blocks)
-                        order = np.argsort(block, kind="stable")
-                        key, (packed,) = _packed(block[order], todo[order])
-                        yield pd.DataFrame({"block": key, "query": query, "qvec": vec, "todo": packed})
-
-        asked_schema = "block int, query long, qvec binary, todo binary"
+                if not len(batch):
+                    continue
+                wanted = [
+                    np.frombuffer(ids, np.int64)[: s.beam][~np.frombuffer(done, bool)[: s.beam]]
+                    for ids, done in zip(batch["ids"], batch["done"])
+                ]
+                place = np.repeat(np.arange(len(batch)), list(map(len, wanted)))
+                vectors = _matrix(batch["vec"], np.float32, width)
+                yield packed(batch["id"].to_numpy(), vectors, place, np.concatenate(wanted))
 
         def expand(nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             """The neighbours, in either direction, of the nodes asked for, sent on to their blocks."""
-            out = []
-            if len(asked):
-                order = np.argsort(nodes["id"].to_numpy())
-                own = nodes["id"].to_numpy()[order]
-                lists = [a + b for a, b in zip(nodes["ids"].to_numpy()[order], nodes["back"].to_numpy()[order])]
-                for query, vec, todo in zip(asked["query"], asked["qvec"], asked["todo"]):
-                    at = np.searchsorted(own, np.frombuffer(todo, np.int64))
-                    near = np.unique(np.frombuffer(b"".join(lists[i] for i in at.tolist()), np.int64))
-                    near = near[near != EMPTY]
-                    block = block_of(near, blocks)
-                    order = np.argsort(block, kind="stable")
-                    key, (packed,) = _packed(block[order], near[order])
-                    out += [(b, query, vec, p) for b, p in zip(key.tolist(), packed)]
-            return pd.DataFrame(out, columns=["block", "query", "qvec", "todo"])
+            if not len(asked):
+                return pd.DataFrame([], columns=["block", "query", "qvec", "counts", "todo"])
+            order = np.argsort(nodes["id"].to_numpy())
+            own = nodes["id"].to_numpy()[order]
+            lists = [a + b for a, b in zip(nodes["ids"].to_numpy()[order], nodes["back"].to_numpy()[order])]
+            query, vectors, place, todo = unpacked(asked)
+            at = np.searchsorted(own, todo)
+            order = np.argsort(place, kind="stable")
+            place, at = place[order], at[order]
+            starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+            near = []
+            for a, b in zip(starts, [*starts[1:], len(place)]):
+                found = np.unique(np.frombuffer(b"".join(lists[i] for i in at[a:b].tolist()), np.int64))
+                near.append(found[found != EMPTY])
+            return packed(query, vectors, np.repeat(place[starts], list(map(len, near))), np.concatenate(near))
 
         def score(nodes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
             out = []
             if len(asked):
                 order = np.argsort(nodes["id"].to_numpy())
                 own = nodes["id"].to_numpy()[order]
-                vectors = _matrix(nodes["vec"], np.float32, width)[order]
-                for query, group in asked.groupby("query"):
-                    ids = np.unique(np.frombuffer(b"".join(group["todo"]), np.int64))
-                    q = np.frombuffer(group["qvec"].iloc[0], np.float32).copy()
-                    q[-1] = 0.0
-                    value = vectors[np.searchsorted(own, ids)] @ q
+                stored = _matrix(nodes["vec"], np.float32, width)[order]
+                query, vectors, place, todo = unpacked(asked)
+                vectors = vectors.copy()
+                vectors[:, -1] = 0.0
+                order = np.argsort(place, kind="stable")
+                place, todo = place[order], todo[order]
+                starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+                for a, b in zip(starts, [*starts[1:], len(place)]):
+                    ids = np.unique(todo[a:b])
+                    value = stored[np.searchsorted(own, ids)] @ vectors[place[a]]
                     if len(ids) > kept:
                         best = np.argpartition(-value, kept - 1)[:kept]
                         ids, value = ids[best], value[best]
-                    out.append((query, ids.tobytes(), value.astype(np.float32).tobytes()))
+                    out.append((query[place[a]], ids.tobytes(), value.astype(np.float32).tobytes()))
             return pd.DataFrame(out, columns=["id", "ids", "scores"])
 
         def take(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
