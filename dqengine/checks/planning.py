@@ -181,21 +181,21 @@ def l07(spark, d):
     "l08_reasoning",
     (LI,),
     f"with {plan_ctes(LI)} select action_id, concat_ws(' | ', "
-    "case when action_type = 'HANDLE_NULLS' then printf('Column ''%s'' has %.1f%% null values (%d rows)', column_name, share, affected_rows) end, "
-    "case when action_type = 'HANDLE_NULLS' and is_numeric then printf('Column is numeric: mean=%.2f, median=%.2f', mean_value, median_value) end, "
+    "case when action_type = 'HANDLE_NULLS' then printf('''%s'' lacks a value in %.1f%% of the rows (%d)', column_name, share, affected_rows) end, "
+    "case when action_type = 'HANDLE_NULLS' and is_numeric then printf('Holds numbers with mean %.2f and median %.2f', mean_value, median_value) end, "
     "case when action_type = 'HANDLE_NULLS' and is_numeric then case when abs(mean_value - median_value) < std_value * 0.1 "
-    "then 'Mean and median are similar: distribution appears normal' "
-    "else 'Mean differs from median: distribution may be skewed, prefer median' end end, "
-    "case when action_type = 'HANDLE_NULLS' and share < 5 then 'Low null percentage: filling is safe and preserves data' end, "
-    "case when action_type = 'HANDLE_NULLS' and share > 30 then 'High null percentage: consider if column is useful or if deletion is better' end, "
-    "case when action_type = 'REMOVE_DUPLICATES' then printf('Found %d duplicate rows (%.1f%% of dataset)', affected_rows, share) end, "
-    "case when action_type = 'REMOVE_DUPLICATES' then 'Duplicates reduce data quality and may skew analysis' end) as thoughts, "
-    "concat_ws(' | ', case when recommended_method = 'FILL_MEDIAN' then 'FILL_MEAN (if distribution is normal)' end, "
-    "case when recommended_method = 'FILL_MEDIAN' then 'DELETE_ROWS (if nulls are non-random)' end, "
-    "case when action_type = 'REMOVE_DUPLICATES' then 'KEEP_LAST (if newer records preferred)' end, "
-    "case when action_type = 'REMOVE_DUPLICATES' then 'Manual review (if duplicates seem intentional)' end) as alternatives, "
-    "concat_ws(' | ', case when action_type = 'HANDLE_NULLS' and share > 20 then printf('Imputing %.1f%% of data may introduce bias', share) end, "
-    "case when action_type = 'REMOVE_DUPLICATES' and share > 20 then 'May remove legitimate repeated measurements' end) as risks "
+    "then 'Mean and median agree, so the values look symmetric' "
+    "else 'Mean and median differ, so the values look skewed and the median is safer' end end, "
+    "case when action_type = 'HANDLE_NULLS' and share < 5 then 'Few gaps: filling them changes little and keeps all rows' end, "
+    "case when action_type = 'HANDLE_NULLS' and share > 30 then 'Many gaps: ask whether the column is worth keeping' end, "
+    "case when action_type = 'REMOVE_DUPLICATES' then printf('%d rows repeat an earlier one (%.1f%% of the table)', affected_rows, share) end, "
+    "case when action_type = 'REMOVE_DUPLICATES' then 'Repeated rows weigh too much in every total' end) as thoughts, "
+    "concat_ws(' | ', case when recommended_method = 'FILL_MEDIAN' then 'FILL_MEAN (for symmetric values)' end, "
+    "case when recommended_method = 'FILL_MEDIAN' then 'DELETE_ROWS (if the gaps follow a pattern)' end, "
+    "case when action_type = 'REMOVE_DUPLICATES' then 'KEEP_LAST (if later rows are corrections)' end, "
+    "case when action_type = 'REMOVE_DUPLICATES' then 'Review by hand (if rows may repeat on purpose)' end) as alternatives, "
+    "concat_ws(' | ', case when action_type = 'HANDLE_NULLS' and share > 20 then printf('%.1f%% of the column would be invented values', share) end, "
+    "case when action_type = 'REMOVE_DUPLICATES' and share > 20 then 'Rows that are rightly equal would go as well' end) as risks "
     "from actions",
 )
 def l08(spark, d):

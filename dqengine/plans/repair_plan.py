@@ -173,36 +173,36 @@ def _reasoning() -> list[Column]:
         F.array(
             F.when(
                 nulls,
-                F.format_string("Column '%s' has %.1f%% null values (%d rows)", "column_name", share, n),
+                F.format_string("'%s' lacks a value in %.1f%% of the rows (%d)", "column_name", share, n),
             ),
             F.when(
                 numeric,
                 F.format_string(
-                    "Column is numeric: mean=%.2f, median=%.2f", "mean_value", "median_value"
+                    "Holds numbers with mean %.2f and median %.2f", "mean_value", "median_value"
                 ),
             ),
             F.when(
                 numeric,
-                F.when(symmetric, "Mean and median are similar: distribution appears normal").otherwise(
-                    "Mean differs from median: distribution may be skewed, prefer median"
+                F.when(symmetric, "Mean and median agree, so the values look symmetric").otherwise(
+                    "Mean and median differ, so the values look skewed and the median is safer"
                 ),
             ),
-            F.when(nulls & (share < 5), "Low null percentage: filling is safe and preserves data"),
+            F.when(nulls & (share < 5), "Few gaps: filling them changes little and keeps all rows"),
             F.when(
                 nulls & (share > 30),
-                "High null percentage: consider if column is useful or if deletion is better",
+                "Many gaps: ask whether the column is worth keeping",
             ),
-            F.when(copies, F.format_string("Found %d duplicate rows (%.1f%% of dataset)", n, share)),
-            F.when(copies, "Duplicates reduce data quality and may skew analysis"),
+            F.when(copies, F.format_string("%d rows repeat an earlier one (%.1f%% of the table)", n, share)),
+            F.when(copies, "Repeated rows weigh too much in every total"),
         )
     )
     median = nulls & (F.col("recommended_method") == "FILL_MEDIAN")
     alternatives = F.array_compact(
         F.array(
-            F.when(median, "FILL_MEAN (if distribution is normal)"),
-            F.when(median, "DELETE_ROWS (if nulls are non-random)"),
-            F.when(copies, "KEEP_LAST (if newer records preferred)"),
-            F.when(copies, "Manual review (if duplicates seem intentional)"),
+            F.when(median, "FILL_MEAN (for symmetric values)"),
+            F.when(median, "DELETE_ROWS (if the gaps follow a pattern)"),
+            F.when(copies, "KEEP_LAST (if later rows are corrections)"),
+            F.when(copies, "Review by hand (if rows may repeat on purpose)"),
         )
     )
     deleting = nulls & (F.col("recommended_method") == "DELETE_ROWS")
@@ -210,10 +210,10 @@ def _reasoning() -> list[Column]:
         F.array(
             F.when(
                 nulls & (share > 20),
-                F.format_string("Imputing %.1f%% of data may introduce bias", share),
+                F.format_string("%.1f%% of the column would be invented values", share),
             ),
-            F.when(deleting, F.format_string("Will lose %d records", n)),
-            F.when(copies & (share > 20), "May remove legitimate repeated measurements"),
+            F.when(deleting, F.format_string("%d rows would go", n)),
+            F.when(copies & (share > 20), "Rows that are rightly equal would go as well"),
         )
     )
     return [thoughts.alias("thoughts"), alternatives.alias("alternatives"), risks.alias("risks")]

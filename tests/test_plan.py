@@ -83,9 +83,9 @@ def test_reasoning_and_options(spark):
     plan = _plan(spark, [("NULL_VALUES", "n", 40, "HIGH"), ("DUPLICATES", None, 30, "HIGH")])
     nulls, copies = plan["HANDLE_NULLS:n"], plan["REMOVE_DUPLICATES:*"]
     assert nulls["options"][0]["description"] == "Fill with mean value (10.00)"
-    assert "Mean and median are similar: distribution appears normal" in nulls["thoughts"]
+    assert "Mean and median agree, so the values look symmetric" in nulls["thoughts"]
     assert nulls["risks"] == ["Imputing 40.0% of data may introduce bias"]
-    assert copies["risks"] == ["May remove legitimate repeated measurements"]
+    assert copies["risks"] == ["Rows that are rightly equal would go as well"]
 
 
 @pytest.fixture(scope="module")
