@@ -84,7 +84,7 @@ def test_reasoning_and_options(spark):
     nulls, copies = plan["HANDLE_NULLS:n"], plan["REMOVE_DUPLICATES:*"]
     assert nulls["options"][0]["description"] == "Fill with mean value (10.00)"
     assert "Mean and median agree, so the values look symmetric" in nulls["thoughts"]
-    assert nulls["risks"] == ["Imputing 40.0% of data may introduce bias"]
+    assert nulls["risks"] == ["40.0% of the column would be invented values"]
     assert copies["risks"] == ["Rows that are rightly equal would go as well"]
 
 
