@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dqengine.llm.common import ship, small_batches, whole_text
+from dqengine.llm.common import one_each, ship, small_batches, whole_text
 from dqengine.session import materialize
 
 #: A file is closed when it has so many bytes.
@@ -229,7 +229,7 @@ def read(files: DataFrame, keep_payload: bool = True) -> DataFrame:
                             rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return files.select("file").repartition(F.col("file")).mapInArrow(scan, RECORD)
+    return one_each(files.select("file")).mapInArrow(scan, RECORD)
 
 
 def transactions(records: DataFrame) -> DataFrame:
