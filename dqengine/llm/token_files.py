@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from dqengine.llm.common import Bounded, byte_alphabet, ship, small_batches, whole_text
+from dqengine.llm.common import Bounded, byte_alphabet, one_each, ship, small_batches, whole_text
 from dqengine.session import materialize
 
 MAGIC = b"S8B1"
@@ -336,8 +336,7 @@ def _scan(files: DataFrame, column: str, digest, kind: pa.DataType) -> DataFrame
                         rows, held = [], 0
                 yield _table(rows, name, kind)
 
-    spread = files.select("file", "first").repartition(F.col("file"))
-    return spread.mapInArrow(scan, f"doc_id long, start long, n_tokens long, {column}")
+    return one_each(files.select("file", "first")).mapInArrow(scan, f"doc_id long, start long, n_tokens long, {column}")
 
 
 def _table(rows: list[tuple], name: str, kind: pa.DataType) -> pa.RecordBatch:
