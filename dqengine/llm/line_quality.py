@@ -3,21 +3,24 @@
 All of it is DataFrame work. Lines are normalised (lower case, runs of white space as one space, runs of digits as
 one 0) and hashed. A line that occurs in more different documents of a host than allowed is removed, and a document
 that keeps too little is rejected. Copies of one document, also with a few words changed, count as one document, so
-that a group of copies does not make its own lines look like boilerplate: documents are told apart by the smallest
-and the largest hash of their 8-word windows.
+that a group of copies does not make its own lines look like boilerplate. Candidates for that share the smallest and
+the largest hash of their 8-word windows, and where it decides about a line their whole texts are compared: different
+documents that have a long passage in common count each.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqengine.llm.common import GAP, whole_text
 from dqengine.session import materialize
 
 WINDOW = 8
+#: Texts of a family that the others are compared with in the first round; doubled in every further one, up to the most.
+LEADERS, MOST_LEADERS = 4, 64
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -75,9 +78,10 @@ def measure(
     """One slim row per document, without its text.
 
     ``doc_id``, ``host``, ``digest`` (hash of the text), ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-    ``n_repeat_words`` (long), ``sketch`` (equal for copies, also for most with a few words changed), ``lines`` (hash
-    and words of each normalised line that has a word). A null text is empty: no words, no lines. Null ids and hosts
-    are kept; documents without a host share one. ``carry_row`` adds the whole input row as the struct ``row``.
+    ``n_repeat_words`` (long), ``sketch`` (equal for copies, also for most with a few words changed, and for some
+    different documents too), ``lines`` (hash and words of each normalised line that has a word). A null text is empty:
+    no words, no lines. Null ids and hosts are kept; documents without a host share one. ``carry_row`` adds the whole
+    input row as the struct ``row``.
     """
     carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry_row else []
     rows = docs.select(
@@ -123,28 +127,136 @@ def measure(
     )
 
 
-def removable_lines(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def _key(*columns: str) -> Column:
+    """One number for a host, null too, and the other columns."""
+    host, *others = columns
+    return F.xxhash64(F.col(host).isNull(), F.coalesce(F.col(host).cast("string"), F.lit("")), *others)
+
+
+def _shingles(words: Column, n: int) -> Column:
+    """Hashes of all runs of ``n`` words, each once, with ``n - 1`` blanks at both ends so that every word is in ``n``."""
+    edge = F.array_repeat(F.lit(""), n - 1)
+    padded = F.concat(edge, words, edge)
+    places = F.sequence(F.lit(1), F.size(words) + (n - 1))
+    every = _let(padded, lambda w: F.transform(places, lambda i: F.xxhash64(F.slice(w, i, n))))
+    return F.when(F.size(words) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<long>"))
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether two texts are copies but for scattered words.
+
+    A changed word spoils eight windows and two pairs of words, a passage of ``m`` own words ``m + 7`` and ``m + 1``.
+    With two windows for each five pairs or more, what differs is three words at a place on average, in either text.
+    """
+
+    def scattered(x: str, y: str) -> Column:
+        windows = F.size(F.array_except(f"{x}.windows", f"{y}.windows"))
+        pairs = F.size(F.array_except(f"{x}.pairs", f"{y}.pairs"))
+        return windows * 2 >= pairs * 5
+
+    return scattered(a, b) & scattered(b, a)
+
+
+def _lines_of_different_texts(found: DataFrame, undecided: DataFrame, texts: DataFrame) -> DataFrame:
+    """``at``, ``documents`` of the undecided lines that more different documents have than their limit.
+
+    ``found`` has the lines (``at``) of each text (``digest``) of a family (host and sketch), ``undecided`` ``at`` and
+    ``limit``, ``texts`` ``host``, ``digest`` and ``text``. In every round some texts of each family lead, and those
+    that are near to one are its copies; the others go on to the next round while a line of theirs is undecided.
+    """
+    rows = materialize(found.join(undecided, "at"), "line-texts")
+    slim = rows.select("family", "digest", "own").distinct()
+    needed = slim.select("own").distinct()
+    words = F.filter(F.split("text", GAP), lambda x: x != "")
+    shingled = (
+        texts.withColumn("own", _key("host", "digest"))
+        .join(needed, "own", "left_semi")
+        .groupBy("own")
+        .agg(F.any_value("text").alias("text"))
+        .select("own", words.alias("words"))
+        .select("own", _shingles(F.col("words"), WINDOW).alias("windows"), _shingles(F.col("words"), 2).alias("pairs"))
+    )
+    rest = materialize(slim.join(shingled, "own"), "texts")
+    settled = rows.select("family", "digest", F.lit(None).cast("long").alias("copy_of")).limit(0)
+    count, out = LEADERS, None
+    while True:
+        first = Window.partitionBy("family").orderBy("digest")
+        leading = (
+            rest.select("family", "digest")
+            .withColumn("n", F.row_number().over(first))
+            .filter(F.col("n") <= count)
+            .select("family", "digest")
+        )
+        leaders = materialize(rest.join(leading, ["family", "digest"]), "leaders")
+        near = (
+            rest.alias("a")
+            .join(leaders.alias("b"), "family")
+            .filter((F.col("a.digest") == F.col("b.digest")) | _near("a", "b"))
+            .groupBy("family", F.col("a.digest").alias("digest"))
+            .agg(F.min("b.digest").alias("copy_of"))
+        )
+        settled = materialize(settled.unionByName(near), "copies")
+        counted = materialize(
+            rows.join(settled, ["family", "digest"], "left")
+            .groupBy("at", "limit", "family", "copy_of")
+            .agg(F.lit(1).alias("one"))
+            .groupBy("at", "limit")
+            .agg(F.count("copy_of").alias("documents"), F.max(F.col("copy_of").isNull()).alias("more")),
+            "line-documents",
+        )
+        over = counted.filter(F.col("documents") > F.col("limit")).select("at", "documents")
+        out = over if out is None else materialize(out.unionByName(over), "lines")
+        going = counted.filter(F.col("more") & (F.col("documents") <= F.col("limit"))).select("at")
+        rows = materialize(rows.join(going, "at", "left_semi"), "line-texts")
+        if rows.isEmpty():
+            return out
+        left = rows.select("family", "digest").distinct().join(settled, ["family", "digest"], "left_anti")
+        rest = materialize(rest.join(left, ["family", "digest"], "left_semi"), "texts")
+        count = min(2 * count, MOST_LEADERS)
+
+
+def removable_lines(measured: DataFrame, texts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``host``, ``line``, ``documents``: the lines too frequent on their host.
 
-    Occurrences are made distinct per (host, line, sketch) first and counted by (host, line) from partial counts, so
-    a line of a third of all documents is no hot task.
+    Occurrences are made distinct per (host, line, text) first and counted by (host, line) from partial counts, so a
+    line of a third of all documents is no hot task. The number of sketches is the least number of different
+    documents, and that of texts the most: only for lines with the limit between them are ``texts`` (``host``,
+    ``text``) compared. ``documents`` is the number that was counted when the line was known to be over its limit.
     """
     documents = (
         measured.select("host", "sketch").distinct().groupBy("host").agg(F.count("*").alias("host_documents"))
     )
+    found = measured.select(
+        "host", "sketch", "digest", F.explode(F.array_distinct("lines.line")).alias("line")
+    ).distinct()
     counted = (
-        measured.select("host", "sketch", F.explode(F.array_distinct("lines.line")).alias("line"))
-        .distinct()
+        found.groupBy("host", "line", "sketch")
+        .agg(F.count("*").alias("texts"))
         .groupBy("host", "line")
-        .agg(F.count("*").alias("documents"))
-        .filter(F.col("documents") > limits.line_documents)
+        .agg(F.count("*").alias("sketches"), F.sum("texts").alias("texts"))
+        .filter(F.col("texts") > limits.line_documents)
     )
-    return (
+    limit = F.greatest(F.lit(float(limits.line_documents)), F.col("host_documents") * limits.line_share)
+    counted = materialize(
         counted.alias("c")
         .join(documents.alias("d"), F.col("c.host").eqNullSafe(F.col("d.host")))
-        .filter(F.col("documents") > F.col("host_documents") * limits.line_share)
-        .select("c.host", "line", "documents")
+        .select("c.host", "line", "sketches", "texts", limit.alias("limit"), _key("c.host", "line").alias("at"))
+        .filter(F.col("texts") > F.col("limit")),
+        "line-counts",
+    )
+    over = counted.filter(F.col("sketches") > F.col("limit")).select("host", "line", F.col("sketches").alias("documents"))
+    undecided = counted.filter(F.col("sketches") <= F.col("limit")).select("at", "limit")
+    if undecided.isEmpty():
+        return over
+    more = _lines_of_different_texts(
+        found.select(
+            _key("host", "line").alias("at"), _key("host", "sketch").alias("family"), "digest",
+            _key("host", "digest").alias("own"),
+        ),
+        undecided,
+        texts.withColumn("digest", F.xxhash64("text")),
     )
+    return over.unionByName(counted.join(more, "at").select("host", "line", "documents"))
 
 
 def _with_hits(rows: DataFrame, lines: Column, frequent: DataFrame, name: str, limits: Limits) -> DataFrame:
@@ -195,6 +307,10 @@ def judge(measured: DataFrame, frequent: DataFrame, limits: Limits = Limits()) -
     )
 
 
+def _texts(docs: DataFrame, text_column: str, host_column: str) -> DataFrame:
+    return docs.select(F.col(f"`{host_column}`").alias("host"), whole_text(text_column).alias("text"))
+
+
 def line_quality(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source",
     limits: Limits = Limits(),
@@ -204,7 +320,7 @@ def line_quality(
     Repeated rows are judged each. Columns of other names are not read.
     """
     measured = materialize(measure(docs, id_column, text_column, host_column), "line-quality")
-    frequent = materialize(removable_lines(measured, limits), "lines")
+    frequent = materialize(removable_lines(measured, _texts(docs, text_column, host_column), limits), "lines")
     return judge(measured, frequent, limits).drop("sketch", "lines", "hits", "digest")
 
 
@@ -231,7 +347,7 @@ def clean(
     text if named. The texts are measured again rather than written out or joined with their verdicts.
     """
     measured = materialize(measure(docs, id_column, text_column, host_column), "line-quality")
-    frequent = materialize(removable_lines(measured, limits), "lines")
+    frequent = materialize(removable_lines(measured, _texts(docs, text_column, host_column), limits), "lines")
     judged = judge(measure(docs, id_column, text_column, host_column, carry_row=True), frequent, limits)
     text = F.col("row")[text_column]
     new = F.when(F.size("hits") > 0, _without(text, F.col("hits"))).otherwise(text)

@@ -73,6 +73,24 @@ def test_cleaning_both_ways(spark, corpus):
         assert Counter(map(tuple, kept.collect())) == want
 
 
+@pytest.mark.parametrize("own", [20, 60, 150])
+def test_different_documents_of_one_passage_count_each(spark, own):
+    rnd = random.Random(own)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage = [" ".join(word() for _ in range(30)) for _ in range(10)]
+    rows = [(i, "\n".join([*passage, " ".join(word() for _ in range(own))]), "en", "a", 1) for i in range(100)]
+    family = [" ".join(word() for _ in range(30)) for _ in range(12)]
+    for i in range(100, 200):  # copies with a word changed: one document, or few
+        text = " ".join([*family]).split(" ")
+        text[15] = word()
+        text = [" ".join(text[a : a + 30]) for a in range(0, 360, 30)]
+        rows.append((i, "\n".join(text), "en", None, 1))
+    got = line_quality.line_quality(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.removed_words for r in got if r.doc_id < 100} == {300}
+    assert all(r.kept == (own >= 0.2 * (300 + own)) for r in got if r.doc_id < 100)
+    assert all(r.kept and not r.removed_words for r in got if r.doc_id >= 100)
+
+
 def test_quality_edges(spark, edge_docs, no_docs):
     assert line_quality.clean(edge_docs).columns == edge_docs.columns
     assert line_quality.line_quality(edge_docs).count() == edge_docs.count()
