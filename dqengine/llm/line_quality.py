@@ -29,7 +29,8 @@ class Limits:
     """``min_words``, ``max_repeat_percent``: rules inside a text.
 
     A line is removed when more than ``max(line_documents, line_share * documents of the host)`` different documents
-    of its host have it. A document is rejected when less than ``keep_share`` of its words are left.
+    of its host have it, or more than ``most_documents`` (at least ``line_documents``), however large the host is. A
+    document is rejected when less than ``keep_share`` of its words are left.
     ``broadcast_lines``: up to so many removable lines go to all tasks; more are joined by a shuffle, with the same
     result.
     """
@@ -38,6 +39,7 @@ class Limits:
     max_repeat_percent: int = 30
     line_documents: int = 20
     line_share: float = 0.05
+    most_documents: int = 20
     keep_share: float = 0.2
     broadcast_lines: int = 10_000
 
@@ -236,7 +238,8 @@ def removable_lines(measured: DataFrame, texts: DataFrame, limits: Limits = Limi
         .agg(F.count("*").alias("sketches"), F.sum("texts").alias("texts"))
         .filter(F.col("texts") > limits.line_documents)
     )
-    limit = F.greatest(F.lit(float(limits.line_documents)), F.col("host_documents") * limits.line_share)
+    share = F.least(F.col("host_documents") * limits.line_share, F.lit(float(limits.most_documents)))
+    limit = F.greatest(F.lit(float(limits.line_documents)), share)
     counted = materialize(
         counted.alias("c")
         .join(documents.alias("d"), F.col("c.host").eqNullSafe(F.col("d.host")))

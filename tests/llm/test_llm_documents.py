@@ -91,6 +91,15 @@ def test_different_documents_of_one_passage_count_each(spark, own):
     assert all(r.kept and not r.removed_words for r in got if r.doc_id >= 100)
 
 
+def test_limit_does_not_grow_with_the_host(spark):
+    rnd = random.Random(8)
+    text = lambda: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(25))
+    hot = lambda i: "\nA line of few among many" if i % 3 == 0 and i < 270 else "\nA rare line" if 300 <= i < 360 else ""
+    rows = [(i, text() + hot(i), "en", "hot" if i % 3 == 0 else f"h{i % 30}", 1) for i in range(6000)]
+    got = line_quality.line_quality(spark.createDataFrame(rows, DOCS)).collect()  # 90 of the 2,000 documents of "hot"
+    assert {r.doc_id for r in got if r.removed_words} == set(range(0, 270, 3))
+
+
 def test_quality_edges(spark, edge_docs, no_docs):
     assert line_quality.clean(edge_docs).columns == edge_docs.columns
     assert line_quality.line_quality(edge_docs).count() == edge_docs.count()
