@@ -3,7 +3,8 @@
 A source whose target is r times its size takes floor(r) whole copies of each of its documents for certain. For the
 rest every document has the inclusion probability p = r - floor(r). Documents are ranked by random odds divided by
 inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken in that order as long as the words taken stay within the
-target. One further document, whose size fits what is then missing best, closes the gap. All of it is DataFrame work.
+target. One further document, whose size fits what is then missing best, closes the gap; rows of one id are one
+document there, with the sum of their sizes. All of it is DataFrame work.
 """
 
 from __future__ import annotations
@@ -132,6 +133,9 @@ def sampling_plan(prepared: DataFrame, most_copies: int = 3, weights: tuple[int,
     fits = (
         _joined(ranked, cuts)
         .filter(F.col("rank") >= F.col("cut"))
+        # All rows of one rank are taken together, so it is their sum that has to fit.
+        .groupBy("source", "rank")
+        .agg(F.sum("size").alias("size"), F.max("cut").alias("cut"), F.max("gap").alias("gap"))
         .groupBy(F.col("source").alias("_s"))
         .agg(
             F.max("cut").alias("cut"),

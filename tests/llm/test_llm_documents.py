@@ -132,6 +132,17 @@ def test_mix(spark, corpus, edge_docs, edge_rows, no_docs):
     assert mixing.allocate(no_docs).collect() == [] and mixing.mix(no_docs).collect() == []
 
 
+def test_rows_of_one_id_close_the_gap_together(spark):
+    rows = [(i, "w " * 3000, "en", "ab"[i % 2], 1) for i in range(1200)]
+    rows += [(None, "w " * 500, "en", s, 1) for s in "ab" for _ in range(1000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    late = [seed for seed in range(200) if plain.random_number(None, seed) > 0.9][:3]  # null ids rank behind the cut
+    for seed in late:
+        got = mixing.allocate(docs, seed=seed).groupBy("source")
+        for r in got.agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+            assert abs(r.taken - r.target) <= 1500
+
+
 def test_preference_raises_the_odds(spark):
     rows = [(i, "one two three", "ab"[i % 2], 9.0 if i % 4 < 2 else 1.0) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, liked double")
