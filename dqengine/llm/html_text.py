@@ -23,8 +23,13 @@ from dqengine.llm.common import ship, small_batches
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Never shown. ``noscript`` is shown only where scripts are off, and the content of the others is a fallback.
 HIDDEN = frozenset(
-    "head title script style template noscript datalist iframe object audio video canvas svg math param".split()
+    "head title script style template noscript datalist iframe object audio video canvas param".split()
 )
+#: Not drawn inside ``svg`` and inside ``math``, whose other text is shown.
+NOT_DRAWN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask marker pattern".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
 #: Blocks, with the blank lines that stand before and after them.
 BLOCKS = dict.fromkeys(
     "address article aside center dd details dialog div dl dt fieldset figcaption figure footer form header hgroup "
@@ -33,6 +38,10 @@ BLOCKS = dict.fromkeys(
 #: A start tag on the left ends the open elements on the right, unless one of the elements after the bar is nearer.
 _CELLS, _ROWS = frozenset(("td", "th")), frozenset(("tr", "td", "th"))
 _GROUPS = frozenset(("thead", "tbody", "tfoot"))
+#: What holds only parts of a table, and those parts. Anything else in there is shown before the table.
+_FRAME = _GROUPS | {"table", "tr"}
+_PARTS = _GROUPS | _ROWS | {"caption", "col", "colgroup"}
+_ANYWHERE = frozenset("script style template".split())
 ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu"))),
     "dt": (frozenset(("dt", "dd")), frozenset(("dl",))),
@@ -48,11 +57,39 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 #: A block start tag ends an open paragraph inside these.
 BORDERS = frozenset(("td", "th", "table", "caption", "button", "object", "body", "html"))
 SPACE = re.compile(r"[ \t\n\r\f]+")
-CSS_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS_COMMENT = re.compile(r"/\*.*?(\*/|$)", re.S)
+SCREEN = re.compile(r"@media\b\s*(.*)", re.I | re.S)
 NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 SEEN = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
+def _on_screen(media: str) -> bool:
+    """Whether a list of media holds all screens, without further conditions."""
+    names = [" ".join(m.split()).lower().removeprefix("only ") for m in media.split(",")]
+    return any(name in ("", "all", "screen") for name in names)
+
+
+def hidden_selectors(css: str) -> set[str]:
+    """Selectors of the rules that hide their elements on every screen; rules inside other at-rules do not count."""
+    css, at = CSS_COMMENT.sub(" ", css), 0
+    out: set[str] = set()
+    rules: list[tuple[str, list[str]]] = []  # of the open rules what stands before the brace, and their declarations
+    for brace in re.finditer(r"[{}]", css):
+        before, at = css[at : brace.start()], brace.end()
+        if brace[0] == "{":
+            own, _, prelude = before.rpartition(";")
+            if rules:
+                rules[-1][1].append(own)
+            rules.append((prelude.strip(), []))
+        elif rules:
+            selectors, own = rules.pop()
+            media = [SCREEN.fullmatch(outer) for outer, _ in rules]
+            if not selectors.startswith("@") and all(m and _on_screen(m[1]) for m in media):
+                if NOT_SHOWN.search(";".join([*own, before])):
+                    out.update(s.strip().lower() for s in selectors.split(","))
+    return out
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -68,7 +105,8 @@ class Tree(HTMLParser):
         self.root = Node("html")
         self.open = [self.root]
         self.count: Counter[str] = Counter()
-        self.hidden: set[str] = set()
+        self.styles: list[Node] = []
+        self.outside: dict[int, Node] = {}  # what holds the elements that stand before the table they were written in
 
     def _close(self, at: int) -> None:
         for node in self.open[at:]:
@@ -83,17 +121,44 @@ class Tree(HTMLParser):
                 self._close(at)
             at -= 1
 
+    def _table(self) -> int:
+        """The place of the innermost open table; only called if there is one."""
+        return next(at for at in range(len(self.open) - 1, 0, -1) if self.open[at].tag == "table")
+
+    def _add(self, child: Node | str) -> None:
+        """Into the innermost open element, or before the table if it is no part of that."""
+        loose = child.strip(" \t\n\r\f") if isinstance(child, str) else child.tag not in _PARTS | _ANYWHERE
+        if not loose or self.open[-1].tag not in _FRAME or not self.count["table"]:
+            self.open[-1].children.append(child)
+            return
+        at = self._table()
+        table = self.open[at]
+        holder = self.outside.get(id(table), self.open[at - 1])
+        around = holder.children
+        around.insert(next(i for i in range(len(around) - 1, -1, -1) if around[i] is table), child)
+        if isinstance(child, Node):
+            self.outside[id(child)] = holder
+
     def _push(self, tag: str, attributes: dict[str, str | None]) -> None:
+        if any(self.count[a] and tag in names for a, names in NOT_DRAWN.items()):
+            attributes["hidden"] = ""
         node = Node(tag, attributes)
-        self.open[-1].children.append(node)
+        self._add(node)
         self.open.append(node)
         self.count[tag] += 1
+        if tag == "style":
+            self.styles.append(node)
 
     def handle_starttag(self, tag, attrs):
         attributes = dict(attrs)
         if tag == "html":
             self.root.attributes |= attributes
             return
+        if tag in _PARTS and self.outside and self.count["table"]:
+            for at in range(self._table() + 1, len(self.open)):
+                if id(self.open[at]) in self.outside:
+                    self._close(at)
+                    break
         if tag in ENDS:
             self._close_until(*ENDS[tag])
         if tag in BLOCKS or tag in ("td", "th", "tr"):
@@ -101,12 +166,14 @@ class Tree(HTMLParser):
         if tag in _CELLS and self.open[-1].tag in _GROUPS | {"table"}:
             self._push("tr", {})
         if tag in VOID:
-            self.open[-1].children.append(Node(tag, attributes))
+            self._add(Node(tag, attributes))
         else:
             self._push(tag, attributes)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if (self.count["svg"] or self.count["math"]) and self.open[-1].tag == tag:
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "br":
@@ -123,11 +190,15 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.open[-1].tag == "style":
-            for selectors, body in CSS_RULE.findall(data):
-                if NOT_SHOWN.search(body):
-                    self.hidden.update(s.strip().lower() for s in selectors.split(","))
-        self.open[-1].children.append(data)
+        self._add(data)
+
+    def hidden(self) -> set[str]:
+        """The selectors of what the style sheets of the page hide."""
+        out: set[str] = set()
+        for node in self.styles:
+            if _on_screen(node.attributes.get("media") or ""):
+                out |= hidden_selectors("".join(c for c in node.children if isinstance(c, str)))
+        return out
 
 
 class Page:
@@ -226,6 +297,7 @@ def render(html: str) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    hidden = tree.hidden()
     pages = [Page()]
     tables: list[list[list[tuple[str, int]]]] = []
     counters: list[int | None] = []
@@ -243,6 +315,8 @@ def render(html: str) -> str:
         if visible is None:  # leave
             if tag in ("ul", "ol", "menu") and counters:
                 counters.pop()
+            if tag == "text":  # of a drawing, at a place of its own
+                page.text(" ")
             if tag == "pre":
                 pre -= 1
                 page.verbatim()
@@ -263,7 +337,7 @@ def render(html: str) -> str:
                 if tag in ("ul", "ol", "menu") and not counters:
                     page.end_line(1)
             continue
-        shown, own = _shown(node, tree.hidden, visible)
+        shown, own = _shown(node, hidden, visible)
         if not shown:
             continue
         if tag == "br":
@@ -277,6 +351,8 @@ def render(html: str) -> str:
                 stack.extend((child, own) for child in reversed(node.children))
                 continue
             pages.append(Page())
+        elif tag == "text":
+            page.text(" ")
         elif tag == "tr" and tables:
             tables[-1].append([])
         elif tag == "table":
@@ -303,10 +379,8 @@ def render(html: str) -> str:
         children = node.children
         if tag == "details" and "open" not in node.attributes:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
-        if tag == "table":  # captions come first, text between the cells has no place
-            children = [c for c in children if isinstance(c, Node)]
-        if tag in ("tr", "thead", "tbody", "tfoot"):
-            children = [c for c in children if isinstance(c, Node)]
+        if tag in _FRAME:  # the space between the cells has no place
+            children = [c for c in children if isinstance(c, Node) or c.strip(" \t\n\r\f")]
         stack.extend((child, own) for child in reversed(children))
     return pages[0].whole().strip("\n")
 

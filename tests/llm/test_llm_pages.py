@@ -111,6 +111,27 @@ def test_layout(html, text):
     assert html_text.render(html) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<style>@media print{.nav{display:none}}</style><p class=nav>yes", "yes"),
+        ("<style>@media (max-width:9px){.a{display:none}} @media screen{.b{display:none}}</style><i class=a>yes</i><i class=b>no</i>", "yes"),
+        ("<style>@import 'x'; .a{display:none}/* .c{display:none} */@media print, all{ .b {display:none} }</style><i class=a>no</i><i class=b>no</i><i class=c>yes</i>", "yes"),
+        ("<style>@media screen{@supports (x:y){.a{display:none}}}.b{display:none;i{color:red}}</style><i class=a>yes</i><i class=b>no</i>", "yes"),
+        ("<style media=print>.a{display:none}</style><i class=a>yes</i>", "yes"),
+        ("<p>a<svg><title>no</title><desc/><path d=x /><text>one</text><text>two</text><style>.q{}</style></svg>b", "a one two b"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"),
+        ("<table>stray<tr><td>cell</table>", "stray\n\ncell"),
+        ("<table><tr>one<td>a</td>two<td>b</tr>three<tbody>four</table>x", "onetwothreefour\n\na  b\n\nx"),
+        ("<table><b>loose<tr><td>a<tr><td>b</table>", "loose\n\na\nb"),
+        ("<table><tr><td>o<table>in<tr><td>i</table></table>", "oin\n\ni"),
+        ("<tr>a<td>b</td></tr><tbody>c</tbody><thead>d", "a bcd"),
+    ],
+)
+def test_layout_keeps_what_is_shown(html, text):
+    assert html_text.render(html) == text
+
+
 def test_html_never_fails():
     rnd = random.Random(1)
     parts = ["<p>", "</p>", "<table>", "</table>", "<tr>", "<td>", "</td>", "<li>", "<ul>", "</ul>", "x", "&amp", "<", "<pre>",
