@@ -1,8 +1,9 @@
 """WARC archives: writing captures, reading records, and joining them into transactions.
 
 A capture is three records: the response (or a revisit, if an equal payload was captured before), the request, and
-metadata. Request and metadata name the response's record in ``WARC-Concurrent-To``. ``transactions`` joins the
-records that were read through these identifiers and gives one nested row per capture.
+metadata. Request and metadata name the response's record in ``WARC-Concurrent-To``; in archives of others any record
+may name any other. ``transactions`` joins the records that these identifiers connect and gives one nested row per
+capture.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqengine.llm.common import one_each, ship, small_batches, whole_text
+from dqengine.llm.links import components
 from dqengine.session import materialize
 
 #: A file is closed when it has so many bytes.
@@ -28,7 +30,7 @@ NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "warc-capture")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 RECORD = (
-    "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, "
+    "record_id string, type string, concurrent_to array<string>, refers_to string, target_uri string, date string, "
     "headers map<string,string>, http_status string, http_headers map<string,string>, fields map<string,string>, "
     "payload_bytes long, payload_digest string, payload binary"
 )
@@ -148,28 +150,83 @@ def write(
     return materialize(ready.mapInArrow(store, "file string"), "warc-files")
 
 
-def members(stream, piece: int = 1 << 20) -> Iterator[bytes]:
-    """The unpacked gzip members of a file, one at a time."""
-    unpacker, parts, data = zlib.decompressobj(31), [], b""
-    while True:
-        data = data or stream.read(piece)
-        if not data:
-            break
-        parts.append(unpacker.decompress(data))
-        data = unpacker.unused_data
+def unpacked(stream, piece: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file in pieces: those of its gzip members one after the other, or as they are if it has none."""
+    data = stream.read(piece)
+    if not data.startswith(b"\x1f"):
+        while data:
+            yield data
+            data = stream.read(piece)
+        return
+    unpacker = zlib.decompressobj(31)
+    while data:
+        yield unpacker.decompress(data, 16 * piece)
+        data = unpacker.unconsumed_tail
         if unpacker.eof:
-            yield b"".join(parts)
-            unpacker, parts = zlib.decompressobj(31), []
-    if any(parts):
-        yield b"".join(parts)
+            data, unpacker = unpacker.unused_data, zlib.decompressobj(31)
+        data = data or stream.read(piece)
+    yield unpacker.flush()
 
 
-def _head(data: bytes) -> tuple[str, dict[str, str], bytes]:
-    """First line, headers with lower-case names, and the rest."""
-    head, _, rest = data.partition(b"\r\n\r\n")
+def _length(headers: dict[str, str]) -> int | None:
+    value = headers.get("content-length", "").partition(",")[0]
+    return int(value) if value.isascii() and value.isdigit() else None
+
+
+def split_records(stream) -> Iterator[bytes]:
+    """The records of a file, one at a time: each may be a gzip member, several may share one, or none is packed.
+
+    A record ends by its Content-Length; without one it goes on to the next record. What is between records is skipped,
+    and the last one of a file that was cut off is given as far as it goes.
+    """
+    pieces, buffer = unpacked(stream), bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        buffer.extend(piece or b"")
+        return piece is not None
+
+    def find(mark: bytes, start: int) -> int:
+        """Where the mark is after ``start``, reading on as far as needed; -1 if it does not come."""
+        while (at := buffer.find(mark, start)) < 0:
+            start = max(start, len(buffer) - len(mark) + 1)
+            if not more():
+                return -1
+        return at
+
+    while True:
+        while not buffer.startswith(b"WARC/"):
+            at = buffer.find(b"\nWARC/")
+            del buffer[: at + 1 if at >= 0 else max(0, len(buffer) - 5)]
+            if at < 0 and not more():
+                return
+        head = find(b"\r\n\r\n", 0)
+        length = _length(_head(bytes(buffer[:head]))[1]) if head >= 0 else None
+        if length is None:
+            at = find(b"\r\n\r\nWARC/", head) if head >= 0 else -1
+            end = at if at >= 0 else len(buffer)
+        else:
+            end = head + 4 + length
+            while len(buffer) < end and more():
+                pass
+        yield bytes(buffer[:end])
+        del buffer[:end]
+
+
+def _pairs(head: bytes) -> tuple[str, list[tuple[str, str]]]:
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
     pairs = (line.split(":", 1) for line in lines if ":" in line)
-    return first, {k.strip().lower(): v.strip() for k, v in pairs}, rest
+    return first, [(k.strip().lower(), v.strip()) for k, v in pairs]
+
+
+def _head(data: bytes) -> tuple[str, dict[str, str], bytes]:
+    """First line, headers with lower-case names (repeated ones with all values, by commas), and the rest."""
+    head, _, rest = data.partition(b"\r\n\r\n")
+    first, pairs = _pairs(head)
+    headers: dict[str, str] = {}
+    for name, value in pairs:
+        headers[name] = f"{headers[name]}, {value}" if name in headers else value
+    return first, headers, rest
 
 
 def parse(data: bytes, keep_payload: bool) -> dict | None:
@@ -177,12 +234,13 @@ def parse(data: bytes, keep_payload: bool) -> dict | None:
     if not data.startswith(b"WARC/"):
         return None
     _, headers, rest = _head(data)
-    block = rest[: int(headers.get("content-length", len(rest)))]
+    length = _length(headers)
+    block = rest if length is None else rest[:length]
     kind = headers.get("warc-type")
     row = {
         "record_id": headers.get("warc-record-id"),
         "type": kind,
-        "concurrent_to": headers.get("warc-concurrent-to"),
+        "concurrent_to": [v.strip() for v in headers.get("warc-concurrent-to", "").split(",") if v.strip()],
         "refers_to": headers.get("warc-refers-to"),
         "target_uri": headers.get("warc-target-uri"),
         "date": headers.get("warc-date"),
@@ -195,7 +253,7 @@ def parse(data: bytes, keep_payload: bool) -> dict | None:
             row |= {"payload_bytes": len(payload), "payload_digest": digest(payload)}
             row["payload"] = payload if keep_payload else None
         else:  # what was not stored again is described by the headers
-            row["payload_bytes"] = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+            row["payload_bytes"] = _length(http)
             row["payload_digest"] = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
     elif kind == "metadata":
         row["fields"] = list(_head(b"\r\n" + block)[1].items())
@@ -203,14 +261,14 @@ def parse(data: bytes, keep_payload: bool) -> dict | None:
 
 
 def read(files: DataFrame, keep_payload: bool = True) -> DataFrame:
-    """The records of WARC files as rows; see ``RECORD``. ``files`` has the column ``file``.
+    """The records of WARC files, packed or not, as rows; see ``RECORD``. ``files`` has the column ``file``.
 
     The digest of a response is computed from the payload that was read, that of a revisit is its header's.
     """
     ship(files.sparkSession)
-    kinds = {"headers": "m", "http_headers": "m", "fields": "m", "payload_bytes": "l", "payload": "b"}
+    kinds = {"concurrent_to": "a", "headers": "m", "http_headers": "m", "fields": "m", "payload_bytes": "l", "payload": "b"}
     names = [part.split()[0] for part in RECORD.split(", ")]
-    types = {"m": pa.map_(pa.string(), pa.string()), "l": pa.int64(), "b": pa.binary()}
+    types = {"a": pa.list_(pa.string()), "m": pa.map_(pa.string(), pa.string()), "l": pa.int64(), "b": pa.binary()}
     schema = pa.schema([(n, types.get(kinds.get(n), pa.string())) for n in names])
 
     def scan(batches):
@@ -219,8 +277,8 @@ def read(files: DataFrame, keep_payload: bool = True) -> DataFrame:
                 files, path = fs.FileSystem.from_uri(uri)
                 rows, size = [], 0
                 with files.open_input_stream(path, compression=None) as stream:
-                    for member in members(stream):
-                        row = parse(member, keep_payload)
+                    for record in split_records(stream):
+                        row = parse(record, keep_payload)
                         if row:
                             rows.append(row)
                             size += 500 + len(row.get("payload") or b"")
@@ -235,26 +293,54 @@ def read(files: DataFrame, keep_payload: bool = True) -> DataFrame:
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: the response or revisit with its ``requests`` and ``metadata``.
 
-    They are joined where their ``concurrent_to`` is the capture's ``record_id``. Both are lists, empty if none was
-    read; there is one of each in archives of ``write``. Records that belong to no capture are left out.
+    Records belong together where ``concurrent_to``, of either of two records and over others in between, connects
+    them; if several captures are connected, each has the requests and metadata of all. Both are lists, empty if none
+    was read; there is one of each in archives of ``write``. Records that belong to no capture are left out.
     """
-    captures = records.filter(F.col("type").isin("response", "revisit")).drop("concurrent_to", "fields")
-    about = records.filter(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
+    is_capture = F.col("type").isin("response", "revisit")
+    captures = records.filter(is_capture).drop("concurrent_to", "fields")
+    about = records.filter(F.col("type").isin("request", "metadata"))
+    named = materialize(
+        records.filter("record_id is not null").select("record_id", is_capture.alias("capture"), "concurrent_to"),
+        "warc-names",
+    )
+    edges = named.select(
+        "capture", "record_id", F.size("concurrent_to").alias("n"), F.explode("concurrent_to").alias("other")
+    )
+    ids = named.filter("capture").select(F.col("record_id").alias("other"))
+    # Every record names one capture and no capture names a record: then no chains need to be followed.
+    plain = edges.filter("capture or n > 1").isEmpty() and edges.join(ids, "other", "left_anti").isEmpty()
+    if plain:
+        about = about.withColumn("root", F.get("concurrent_to", F.lit(0)))
+        captures = captures.withColumn("root", F.col("record_id"))
+    else:
+        roots = materialize(components(edges.select(F.col("record_id").alias("a"), F.col("other").alias("b"))), "roots")
+        roots = roots.withColumnRenamed("node", "record_id")
+        about = about.join(roots, "record_id")
+        captures = captures.join(roots, "record_id", "left")
 
     def of(kind: str, *columns: str):
         return F.collect_list(F.when(F.col("type") == kind, F.struct(*columns)))
 
-    grouped = about.groupBy(F.col("concurrent_to").alias("record_id")).agg(
-        of("request", "record_id", "target_uri", "headers").alias("requests"),
-        of("metadata", "record_id", "fields").alias("metadata"),
+    grouped = (
+        about.filter("root is not null")
+        .groupBy("root")
+        .agg(
+            of("request", "record_id", "target_uri", "headers").alias("requests"),
+            of("metadata", "record_id", "fields").alias("metadata"),
+        )
     )
-    joined = captures.join(grouped, "record_id", "left")
+    joined = captures.join(grouped, "root", "left").drop("root")
     return joined.withColumns({c: F.coalesce(c, F.array()) for c in ("requests", "metadata")})
 
 
 def captures(records: DataFrame) -> DataFrame:
     """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to`` (a page) of each capture."""
-    found = transactions(records).select(
+    slim = records.select(
+        "record_id", "type", "concurrent_to", "refers_to", "fields", "payload_bytes", "payload_digest",
+        F.lit(None).cast("string").alias("target_uri"), F.lit(None).cast("map<string,string>").alias("headers"),
+    )
+    found = transactions(materialize(slim, "warc-records")).select(
         "record_id",
         F.col("metadata")[0]["fields"]["page-id"].cast("long").alias("page_id"),
         "payload_bytes",

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import random
 from collections import Counter
 
@@ -180,6 +182,46 @@ def test_foreign_and_broken_records():
     assert warc.parse(b"WARC/1.0\r\nWARC-Type: revisit\r\n\r\n", True)["payload_digest"] is None
 
 
+def _foreign(kind, name, *concurrent, block=b"", length=True):
+    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *[f"WARC-Concurrent-To: <{c}>" for c in concurrent]]
+    lines += [f"Content-Length: {len(block)}"] if length else []
+    return "\r\n".join(["WARC/1.0", *lines, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+def test_transactions_of_other_archives(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    records = [
+        _foreign("warcinfo", "info", block=b"WARC/1.0 in a block\r\n\r\nWARC/1.0"),
+        _foreign("request", "q1"), _foreign("response", "r1", "q1", block=http + b"one"),  # named by the response
+        _foreign("response", "r2", block=http + b"two" * 500_000), _foreign("request", "q2", "r2"),
+        _foreign("metadata", "m2", "q2", block=b"page-id: 2\r\n"),  # a chain
+        _foreign("response", "r3", "q3", "m3", block=http), _foreign("request", "q3"), _foreign("metadata", "m3"),
+        _foreign("response", "r4", block=http), _foreign("metadata", "m9", "lost"),
+    ]
+    forms = {
+        "members": b"".join(map(gzip.compress, records)), "one": gzip.compress(b"".join(records)),
+        "plain": b"".join(records), "blocks": b"".join(gzip.compress(b"".join(records)[a : a + 999]) for a in range(0, 1_600_000, 999)),
+    }
+    for form, data in forms.items():
+        (tmp_path / form).write_bytes(data)
+        files = spark.createDataFrame([(f"file://{tmp_path}/{form}",)], "file string")
+        got = {
+            r.record_id: ([x.record_id for x in r.requests], [x.record_id for x in r.metadata], r.payload_bytes)
+            for r in warc.transactions(warc.read(files)).collect()
+        }
+        assert got == {
+            "<r1>": (["<q1>"], [], 3), "<r2>": (["<q2>"], ["<m2>"], 1_500_000),
+            "<r3>": (["<q3>"], ["<m3>"], 0), "<r4>": ([], [], 0),
+        }
+
+
+def test_records_without_length_and_cut_off():
+    data = b"junk\r\n" + _foreign("metadata", "a", block=b"x", length=False) + _foreign("metadata", "b", block=b"y" * 99)
+    for form in (data[:-40], gzip.compress(data[:-40])):
+        got = [warc.parse(r, True)["record_id"] for r in warc.split_records(io.BytesIO(form))]
+        assert got == ["<a>", "<b>"]
+
+
 SMALL = neighbours.Settings(neighbours=20, reverse=20, trees=2, leaf=60, block=100, beam=60, kept=80)
 
 
