@@ -12,7 +12,7 @@ Nodes live in blocks of bounded size. A block task holds its nodes and those sen
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -30,8 +30,9 @@ class Settings:
     """``neighbours`` and ``reverse``: length of a node's lists. ``trees``, ``leaf``: the random projections.
 
     NN-descent ends after ``rounds``, or when under ``still`` of all list places changed. ``sent``: candidates that a
-    node gets from one common neighbour. ``beam``: nodes a query keeps expanding; ``kept``: nodes it remembers;
-    ``hops``: the most rounds of a search. ``block``: nodes of a block, on average.
+    node gets from one common neighbour. ``beam``: nodes a query keeps expanding; ``kept``: nodes it remembers.
+    ``block``: nodes of a block, on average. A search has no most rounds. The numbers hold for one block; ``grown``
+    gives those of a larger table.
     """
 
     neighbours: int = 40
@@ -43,10 +44,18 @@ class Settings:
     sent: int = 8
     beam: int = 160
     kept: int = 256
-    hops: int = 4
     block: int = 2048
     seed: int = 7
 
+    def grown(self, nodes: int) -> Settings:
+        """``trees``, ``rounds``, ``sent``, ``beam`` and ``kept`` follow the logarithm of the number of nodes."""
+        more = max(0, int(np.ceil(np.log2(max(1, nodes / self.block)))))
+        wider = more * self.beam // 16
+        return replace(
+            self, trees=self.trees + more, rounds=self.rounds + more, sent=self.sent + more // 2,
+            beam=self.beam + wider, kept=self.kept + wider,
+        )
+
 
 def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
     mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -110,9 +119,10 @@ class Graph:
     NODE = "block int, id long, vec binary, ids binary, scores binary, fresh binary, back binary"
 
     def __init__(self, distinct: DataFrame, dimensions: int, settings: Settings):
-        self.distinct, self.width, self.s = distinct, dimensions + 1, settings
+        self.distinct, self.width = distinct, dimensions + 1
         self.spark = distinct.sparkSession
         self.count = distinct.count()
+        self.s = settings = settings.grown(self.count)
         self.blocks = max(1, -(-self.count // settings.block))
         self.nodes = self._start()
         changed = self.count
@@ -446,7 +456,7 @@ class Graph:
             _, ids, scores, done, _ = _best(one, np.r_[ids, more], np.r_[scores, value], np.r_[done, np.zeros(len(more), bool)], kept)
             return pd.DataFrame({"id": [old["id"].iloc[0]], "vec": [vec], "ids": [ids.tobytes()], "scores": [scores.tobytes()], "done": [done.tobytes()], "open": int((~done[: s.beam]).sum())})
 
-        for _ in range(s.hops):
+        while True:  # every round expands nodes for good, so it ends
             asked = state.mapInPandas(ask, asked_schema)
             lists = self.nodes.select("block", "id", "ids", "back")
             near = lists.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(expand, asked_schema)

@@ -270,6 +270,29 @@ def test_nearest(spark):
     assert set(equal[:10]) <= {40, *range(2000, 2300)} or got[2000][0][1] < -float(np.dot(rows[40][1], rows[40][1]))
 
 
+@pytest.mark.parametrize("n", [2_000, 12_000])
+def test_recall_of_production_settings_as_the_table_grows(spark, n):
+    rnd = np.random.default_rng(n)
+    vectors = rnd.normal(size=(n, 32)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = neighbours.nearest(table, lambda i: i % 200 == 0).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids"))
+    hits = 0
+    for r in got.collect():
+        scores = vectors @ vectors[r.query_id]
+        scores[r.query_id] = -np.inf
+        hits += len({*np.argsort(-scores)[:20].tolist()} & {*r.ids})
+    recall = hits / (20 * (n // 200))
+    print(f"recall on {n} rows: {recall:.4f}")
+    assert recall >= 0.97
+
+
+def test_budgets_grow_with_the_table():
+    one, large, huge = (neighbours.Settings().grown(n) for n in (2_000, 200_000, 200_000_000))
+    assert one == neighbours.Settings()
+    for name in ("trees", "rounds", "sent", "beam", "kept"):
+        assert getattr(one, name) < getattr(large, name) < getattr(huge, name)
+
+
 def test_nearest_of_few(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.nearest(spark.createDataFrame([], schema), lambda i: i % 20 == 0).collect() == []
