@@ -5,7 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from dqengine.llm import bpe, html_text, line_quality, mixing, neighbours, prefix_counts, simhash, token_files, url_filter, warc
+from dqengine.llm import (
+    bpe,
+    html_text,
+    line_quality,
+    mixing,
+    neighbours,
+    prefix_counts,
+    simhash,
+    suffix_dedup,
+    token_files,
+    url_filter,
+    warc,
+)
 from dqengine.llm.registry import register, table
 from dqengine.session import scratch_path
 
@@ -125,3 +137,8 @@ def op9(spark, sf_dir):
 def op10(spark, sf_dir):
     files = warc.write(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return warc.captures(warc.read(files, keep_payload=False))
+
+
+@register("op13_suffix_array_dedup")
+def op13(spark, sf_dir):
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), length=50)
