@@ -9,9 +9,11 @@ from dqengine.llm import (
     bpe,
     html_text,
     line_quality,
+    merkle,
     mixing,
     neighbours,
     prefix_counts,
+    prefix_trie,
     simhash,
     suffix_dedup,
     token_files,
@@ -139,6 +141,16 @@ def op10(spark, sf_dir):
     return warc.captures(warc.read(files, keep_payload=False))
 
 
+@register("op11_prefix_trie")
+def op11(spark, sf_dir):
+    return prefix_trie.prefix_trie(*prefix_trie.rebuilt_turns(table(spark, sf_dir, "conversations")))
+
+
+@register("op12_merkle_manifest")
+def op12(spark, sf_dir):
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
 @register("op13_suffix_array_dedup")
 def op13(spark, sf_dir):
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents"), length=50)
