@@ -7,15 +7,13 @@ given by the caller.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dqengine.functions.columns import col
 from dqengine.operators.audit import latest_per_key
-from dqengine.sources.files import MISSING_MARKERS, infer_types, without_markers
+from dqengine.sources.files import MISSING_MARKERS, infer_types, type_ddl, variant_type, without_markers
 
 # Keys searched for rows, in order.
 SERIES_KEYS = ("hourly", "daily", "data", "results", "records", "items")
@@ -61,8 +59,9 @@ def with_series(df: DataFrame, payload: str = "payload", least: int = 2) -> Data
     A series has ``least`` rows: lists of one value may also be plain lists.
     """
     document = F.col("__doc")
-    found = [F.struct(F.lit(k).alias("key"), _series(document, k, least).alias("lists")) for k in SERIES_KEYS]
-    first = F.get(F.filter(F.array(*found), lambda s: s["lists"].isNotNull()), F.lit(0))
+    found = [_series(document, k, least) for k in SERIES_KEYS]
+    # The first that is one; the keys after it are not converted.
+    first = F.coalesce(*[F.when(f.isNotNull(), F.struct(F.lit(k).alias("key"), f.alias("lists"))) for k, f in zip(SERIES_KEYS, found)])
     return df.withColumn("__doc", _json(F.col(payload))).withColumn("__series", first)
 
 
@@ -144,20 +143,7 @@ def records_schema(df: DataFrame, record: str = "record") -> T.StructType:
     shape = df.agg(F.schema_of_variant_agg(F.col(record)).alias("s")).first()["s"]
     if not shape or not shape.startswith("OBJECT<"):
         return T.StructType([T.StructField("value", T.VariantType())])
-    # Names are quoted where they could be taken for types.
-    parts = re.split(r"(`(?:[^`]|``)*`)", shape)
-    ddl = "".join(p if i % 2 else p.replace("OBJECT<", "STRUCT<") for i, p in enumerate(parts))
-    return _storable(T.DataType.fromDDL(ddl))
-
-
-def _ddl(kind: T.DataType) -> str:
-    """A type in SQL, with all names quoted."""
-    if isinstance(kind, T.StructType):
-        fields = ", ".join(f"`{f.name.replace('`', '``')}`: {_ddl(f.dataType)}" for f in kind.fields)
-        return f"struct<{fields}>"
-    if isinstance(kind, T.ArrayType):
-        return f"array<{_ddl(kind.elementType)}>"
-    return kind.simpleString()
+    return _storable(variant_type(shape))
 
 
 def records_table(
@@ -165,7 +151,7 @@ def records_table(
 ) -> DataFrame:
     """Records as columns; nested objects become dotted columns, lists stay lists."""
     schema = records_schema(df, record) if schema is None else schema
-    kind = f"struct<{schema}>" if isinstance(schema, str) else _ddl(schema)
+    kind = f"struct<{schema}>" if isinstance(schema, str) else type_ddl(schema)
     struct = F.try_variant_get(F.col(record), "$", kind)
     others = [col(c) for c in df.columns if c != record]
     return flatten(df.select(*others, struct.alias("__r")), "__r")
@@ -198,20 +184,29 @@ def stringify_complex(df: DataFrame) -> DataFrame:
     )
 
 
+# One field of a CSV text: quoted, up to its closing quote or the end, or anything that does not start with a quote.
+_FIELD = r'(?:"(?:[^"]++|"")*+(?:"[^,\r\n]*+|\z)|[^",\r\n][^,\r\n]*+|)'
+_RECORD = rf"({_FIELD}(?:,{_FIELD})*+)(?:\r?\n|\r|\z)"
+_CELL = r',("(?:[^"]++|"")*+(?:"[^,]*+|\z)|[^,]*+)'
+#: Payloads with more different cell names than this need a schema.
+MOST_NAMES = 10_000
+
+
 def _csv_lines(payload: Column) -> Column:
-    """Lines of a CSV text; a line break inside quotes does not end a line."""
-    parts = F.split(payload, '"')
-    guarded = F.transform(
-        parts, lambda s, i: F.when(i % 2 == 1, F.translate(s, "\r\n", "\u0001\u0002")).otherwise(s)
-    )
-    lines = F.split(F.array_join(guarded, '"'), r"\r?\n")
-    return F.transform(lines, lambda s: F.translate(s, "\u0001\u0002", "\r\n"))
+    """Records of a CSV text; a line break inside quotes does not end one."""
+    return F.regexp_extract_all(payload, F.lit(_RECORD), F.lit(1))
 
 
 def _csv_cells(line: Column) -> Column:
-    """Cells of one CSV line, without their quotes; an empty cell without quotes is null."""
-    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    inner = lambda c: F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    """Cells of one CSV record, without their quotes; an empty cell without quotes is null."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
+
+    def inner(cell: Column) -> Column:
+        """What stands in the quotes and after them; a doubled quote is one."""
+        quoted = F.regexp_extract(cell, r'^"((?:[^"]++|"")*+)', 1)
+        rest = cell.substr(F.length(quoted) + 3, F.length(cell))
+        return F.concat(F.replace(quoted, F.lit('""'), F.lit('"')), rest)
+
     return F.transform(cells, lambda c: F.when(c.startswith('"'), inner(c)).when(c != "", c))
 
 
@@ -233,7 +228,10 @@ def csv_records(
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if schema is None:
-        found = rows.select(F.explode("__names").alias("n")).where("n is not null").distinct().orderBy("n").collect()
+        found = rows.select(F.explode("__names").alias("n")).where("n is not null").distinct().orderBy("n")
+        found = found.limit(MOST_NAMES + 1).collect()
+        if len(found) > MOST_NAMES:
+            raise ValueError(f"More than {MOST_NAMES} different names in the headers; give a schema")
         kinds = {r.n: "string" for r in found}
     else:
         kinds = {f.name: f.dataType.simpleString() for f in schema.fields}

@@ -1,4 +1,7 @@
+import csv
+import io
 import json
+import random
 from datetime import datetime
 
 import duckdb
@@ -39,6 +42,89 @@ def test_csv_line_breaks_in_quotes(spark, tmp_path):
     assert [r["b"] for r in _rows(files.read_csv(spark, str(path), multi_line=True))] == ["x\ny", "z"]
 
 
+def _write_all(folder, texts):
+    folder.mkdir()
+    for name, text in texts.items():
+        (folder / name).write_bytes(text if isinstance(text, bytes) else text.encode())
+    return str(folder)
+
+
+@pytest.fixture
+def tiny_parts(spark):
+    """Files are cut into parts of 300 bytes."""
+    conf = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_csv_folder_of_three_headers(spark, tmp_path):
+    path = _write_all(tmp_path / "h", {"1.csv": "a,b\n1,x\n2,NA\n", "2.csv": "b,a\nz,3\n", "3.csv": "a,b,c\n4,w,5\n"})
+    rows = {(1, "x", None), (2, None, None), (3, "z", None), (4, "w", 5)}
+    df = files.read_csv(spark, path)
+    assert df.columns == ["a", "b", "c"] and {tuple(r) for r in df.collect()} == rows
+    assert {tuple(r) for r in files.read_csv(spark, path, schema="a int, b string, d date").collect()} == {
+        (a, b, None) for a, b, _ in rows
+    }
+
+
+def test_csv_headers_and_encodings(spark, tmp_path):
+    latin = 'näme,n\r\n"Mü\r\nller",1\r\n\r\n5" pipe,2\r\n"a ""q"", b",3\r\n'.encode("latin-1")
+    path = _write_all(tmp_path / "e", {"l.csv": latin, "u.csv": "\ufeffn,näme\n4,é\n"})
+    got = {tuple(r) for r in files.read_csv(spark, path).select("näme", "n").collect()}
+    assert got == {("Mü\r\nller", 1), ('5" pipe', 2), ('a "q", b', 3), ("é", 4)}
+    path = _write_all(tmp_path / "n", {"a.csv": '"a\nx",,b,b\n1,2,3,4\n"5","",NA,6\n'})
+    df = files.read_csv(spark, path)
+    assert df.columns == ["a\nx", "_c1", "b", "b.1"]
+    assert {tuple(r) for r in df.collect()} == {(1, 2, 3, 4), (5, None, None, 6)}
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_records_across_parts(spark, tmp_path, tiny_parts, end):
+    rnd = random.Random(1)
+    parts = ("a", "b", '"', ",", "\n", "\r\n", "é", " x", '""')
+    rows = [[str(i), *("".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in "pq")] for i in range(400)]
+    rows[200][1] = "long\n" * 300  # a record over several parts
+    buffer = io.StringIO()
+    writer = csv.writer(buffer, lineterminator=end)
+    writer.writerow(["i", "p", "q"])
+    writer.writerows(rows)
+    path = _write_all(tmp_path / "m", {"a.csv": buffer.getvalue(), "b.csv": "i,p,q\n"})
+    df = files.read_csv(spark, path)
+    want = {(int(i), *(None if c in files.MISSING_MARKERS else c for c in cells)) for i, *cells in rows}
+    assert {tuple(r) for r in df.collect()} == want and df.count() == 400
+    assert files._lines(spark, path).rdd.getNumPartitions() > 20
+
+
+def test_json_lines_are_judged_one_by_one(spark, tmp_path):
+    lines = '{"a": 1}\n{"a": 2}\n{"a":\n{"a": 4} x\n\n{"a": 5},\n7\n[{"a": 6}, 8]\n{"a": 9007199254740993}\n{"a": 1.5}\n'
+    path = _write_all(tmp_path / "j", {"l.json": lines})
+    assert sorted(str(r["a"]) for r in _rows(files.read_json(spark, path))) == ["1.0", "1.5", "2.0", "6.0", "9007199254740993.0"]
+    rejected = {(r["text"], r["reason"]) for r in _rows(files.rejected_json(spark, path))}
+    assert rejected == {
+        ('{"a":', "not JSON"), ('{"a": 4} x', "not JSON"), ('{"a": 5},', "not JSON"), ("7", "no object"), ("8", "no object"),
+    }
+
+
+def test_json_documents_are_split_at_their_elements(spark, tmp_path, tiny_parts):
+    records = [{"a": i, "s": 'x}"]{\\' * (i % 3), "n": {"k": [{"z": 1}]}} for i in range(60)]
+    texts = {
+        "pretty.json": json.dumps(records, indent=1),
+        "one_line.json": json.dumps(records),
+        "lines.json": "\ufeff[\n" + ",\n".join(map(json.dumps, records)) + "\n]\n",
+        "single.json": json.dumps(records[7], indent=2),
+        "none.json": "[\n]\n",
+        "broken.json": '{\n"a": 1\n"s": "no comma"\n}',
+    }
+    path = _write_all(tmp_path / "d", texts)
+    got = sorted((r["a"], r["s"]) for r in _rows(files.read_json(spark, path)))
+    assert got == sorted([(r["a"], r["s"]) for r in records] * 3 + [(7, records[7]["s"])])
+    assert {r["file"].rsplit("/", 1)[-1] for r in _rows(files.rejected_json(spark, path))} == {"broken.json"}
+
+
 def test_json_shapes(spark, tmp_path):
     (tmp_path / "lines.json").write_text('{"a": 1}\n{"a": 2}\n')
     (tmp_path / "array.json").write_text('[\n{"a": 1},\n{"a": 2}\n]')
@@ -119,6 +205,12 @@ def test_csv_payloads_and_counts(spark):
     assert _rows(feeds.csv_records(df, "id int, note string")) == [
         {"id": 1, "note": "a, b\nc"}, {"id": 2, "note": "plain"},
     ]
+    odd = _payloads(spark, 'id,note\n1,p\x01q\x02r\n2,"a\x01\n""b"""\n3,5" pipe\n4,"x"y\n5,"open\nto the end')
+    assert [r["note"] for r in _rows(feeds.csv_records(odd))] == [
+        "p\x01q\x02r", 'a\x01\n"b"', '5" pipe', "xy", "open\nto the end",
+    ]
+    long = "é\n" * 20_000
+    assert _rows(feeds.csv_records(_payloads(spark, f'a\n"{long}"\n'), "a string")) == [{"a": long}]
     rows = [(1, text, "csv"), (2, '{"hourly": {"t": [1, 2, 3]}}', "json"), (3, "[1, 2]", "json"), (4, "{}", "json"), (5, "{", "json"), (6, "x", "text")]
     counted = feeds.ingest_payloads(spark.createDataFrame(rows, "source_id int, payload string, snapshot_format string"))
     assert {r["source_id"]: r["records_count"] for r in counted.collect()} == {1: 2, 2: 3, 3: 2, 4: 1, 5: None, 6: None}
