@@ -3,9 +3,11 @@
 All of it is DataFrame work. Lines are normalised (lower case, runs of white space as one space, runs of digits as
 one 0) and hashed. A line that occurs in more different documents of a host than allowed is removed, and a document
 that keeps too little is rejected. Copies of one document, also with a few words changed, count as one document, so
-that a group of copies does not make its own lines look like boilerplate. Candidates for that share the smallest and
-the largest hash of their 8-word windows, and where it decides about a line their whole texts are compared: different
-documents that have a long passage in common count each.
+that a group of copies does not make its own lines look like boilerplate.
+
+The different documents of a line are counted by one rule, whatever their number: its texts are gone through in the
+order of their hashes, and a text counts unless it is a copy (but for scattered words, see ``_near``) of one that
+counted before. Whole texts are compared. The count stops when it is over the limit.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from dqengine.llm.common import GAP, whole_text
 from dqengine.session import materialize
 
 WINDOW = 8
-#: Texts of a family that the others are compared with in the first round; doubled in every further one, up to the most.
-LEADERS, MOST_LEADERS = 4, 64
+#: Texts of a line that one round goes through; at least as many as the limit and a few, or most lines take two rounds.
+BATCH = 32
+#: Up to so many keys go to all tasks instead of shuffling all texts.
+MOST_KEYS = 1_000_000
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -28,9 +32,8 @@ SYMBOLS = r"[#*$%&|<>]"
 class Limits:
     """``min_words``, ``max_repeat_percent``: rules inside a text.
 
-    A line is removed when more than ``max(line_documents, line_share * documents of the host)`` different documents
-    of its host have it, or more than ``most_documents`` (at least ``line_documents``), however large the host is. A
-    document is rejected when less than ``keep_share`` of its words are left.
+    A line is removed when more than ``line_documents`` different documents of its host have it, however large the
+    host is. A document is rejected when less than ``keep_share`` of its words are left.
     ``broadcast_lines``: up to so many removable lines go to all tasks; more are joined by a shuffle, with the same
     result.
     """
@@ -38,8 +41,6 @@ class Limits:
     min_words: int = 20
     max_repeat_percent: int = 30
     line_documents: int = 20
-    line_share: float = 0.05
-    most_documents: int = 20
     keep_share: float = 0.2
     broadcast_lines: int = 10_000
 
@@ -80,10 +81,9 @@ def measure(
     """One slim row per document, without its text.
 
     ``doc_id``, ``host``, ``digest`` (hash of the text), ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-    ``n_repeat_words`` (long), ``sketch`` (equal for copies, also for most with a few words changed, and for some
-    different documents too), ``lines`` (hash and words of each normalised line that has a word). A null text is empty:
-    no words, no lines. Null ids and hosts are kept; documents without a host share one. ``carry_row`` adds the whole
-    input row as the struct ``row``.
+    ``n_repeat_words`` (long), ``lines`` (hash and words of each normalised line that has a word). A null text is
+    empty: no words, no lines. Null ids and hosts are kept; documents without a host share one. ``carry_row`` adds the
+    whole input row as the struct ``row``.
     """
     carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry_row else []
     rows = docs.select(
@@ -119,9 +119,6 @@ def measure(
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("windows")).cast("long").alias("n_repeat_words"),
-        F.when(F.size("windows") > 0, F.xxhash64(F.array_min("windows"), F.array_max("windows")))
-        .otherwise(F.xxhash64("words"))
-        .alias("sketch"),
         F.transform(
             "plain", lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words"))
         ).alias("lines"),
@@ -144,122 +141,114 @@ def _shingles(words: Column, n: int) -> Column:
     return F.when(F.size(words) > 0, F.array_distinct(every)).otherwise(F.array().cast("array<long>"))
 
 
-def _near(a: str, b: str) -> Column:
+def _shingled(text: Column) -> Column:
+    """What ``_near`` compares of a text: its runs of 8 and of 2 words."""
+    words = F.filter(F.split(text, GAP), lambda x: x != "")
+    return _let(words, lambda w: F.struct(_shingles(w, WINDOW).alias("windows"), _shingles(w, 2).alias("pairs")))
+
+
+def _near(a: Column, b: Column) -> Column:
     """Whether two texts are copies but for scattered words.
 
     A changed word spoils eight windows and two pairs of words, a passage of ``m`` own words ``m + 7`` and ``m + 1``.
     With two windows for each five pairs or more, what differs is three words at a place on average, in either text.
     """
 
-    def scattered(x: str, y: str) -> Column:
-        windows = F.size(F.array_except(f"{x}.windows", f"{y}.windows"))
-        pairs = F.size(F.array_except(f"{x}.pairs", f"{y}.pairs"))
+    def scattered(x: Column, y: Column) -> Column:
+        windows = F.size(F.array_except(x["windows"], y["windows"]))
+        pairs = F.size(F.array_except(x["pairs"], y["pairs"]))
         return windows * 2 >= pairs * 5
 
     return scattered(a, b) & scattered(b, a)
 
 
-def _lines_of_different_texts(found: DataFrame, undecided: DataFrame, texts: DataFrame) -> DataFrame:
-    """``at``, ``documents`` of the undecided lines that more different documents have than their limit.
+def _of_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """``own`` and ``text`` of the texts with these keys; a list of checked size goes to the texts, not they to it."""
+    keys = materialize(keys.select("own").distinct(), "text-keys")
+    if keys.count() <= MOST_KEYS:
+        keys = F.broadcast(keys)
+    return texts.join(keys, "own", "left_semi").groupBy("own").agg(F.any_value("text").alias("text"))
+
 
-    ``found`` has the lines (``at``) of each text (``digest``) of a family (host and sketch), ``undecided`` ``at`` and
-    ``limit``, ``texts`` ``host``, ``digest`` and ``text``. In every round some texts of each family lead, and those
-    that are near to one are its copies; the others go on to the next round while a line of theirs is undecided.
+def _counted_texts(members: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """For every line (``at``) the texts that count, as far as ``most`` + 1: keys in ``counted``.
+
+    ``members`` are a few texts of each line (``own``) by ``rank``: those that counted in earlier rounds, then others.
     """
-    rows = materialize(found.join(undecided, "at"), "line-texts")
-    slim = rows.select("family", "digest", "own").distinct()
-    needed = slim.select("own").distinct()
-    words = F.filter(F.split("text", GAP), lambda x: x != "")
-    shingled = (
-        texts.withColumn("own", _key("host", "digest"))
-        .join(needed, "own", "left_semi")
-        .groupBy("own")
-        .agg(F.any_value("text").alias("text"))
-        .select("own", words.alias("words"))
-        .select("own", _shingles(F.col("words"), WINDOW).alias("windows"), _shingles(F.col("words"), 2).alias("pairs"))
+    held = members.join(_of_keys(texts, members).select("own", _shingled(F.col("text")).alias("parts")), "own")
+    lists = held.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("rank", "own", "parts"))).alias("texts"))
+
+    def further(counted: Column, text: Column) -> Column:
+        known = F.exists(counted, lambda c: _near(c["parts"], text["parts"]))
+        return F.when((F.size(counted) > most) | known, counted).otherwise(F.concat(counted, F.array(text)))
+
+    counted = F.aggregate("texts", F.slice("texts", 1, 0), further)
+    return lists.select("at", F.transform(counted, lambda c: c["own"]).alias("counted"))
+
+
+def _copies(rows: DataFrame, leaders: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows (``at``, ``own``) whose text is a copy of one of the ``leaders`` (``at``, ``lead``) of its line.
+
+    A text meets each of its leaders once, on however many lines; texts are dealt out by their own key, and the few
+    leaders come to them.
+    """
+    met = materialize(rows.join(leaders, "at").select("own", "lead").distinct(), "copy-pairs")
+    parts = _of_keys(texts, met).select("own", _shingled(F.col("text")).alias("parts"))
+    leading = materialize(
+        _of_keys(texts, met.select(F.col("lead").alias("own"))).select(
+            F.col("own").alias("lead"), _shingled(F.col("text")).alias("lead_parts")
+        ),
+        "leaders",
     )
-    rest = materialize(slim.join(shingled, "own"), "texts")
-    settled = rows.select("family", "digest", F.lit(None).cast("long").alias("copy_of")).limit(0)
-    count, out = LEADERS, None
+    near = met.join(parts, "own").join(leading, "lead").filter(_near(F.col("parts"), F.col("lead_parts")))
+    near = materialize(near.select("own", "lead"), "copies")
+    return rows.join(leaders, "at").join(near, ["own", "lead"], "left_semi").select("at", "own").distinct()
+
+
+def _lines_of_different_texts(rows: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """``at`` and ``documents`` of the lines that more than ``most`` different texts have.
+
+    ``rows`` has the texts (``own``, by ``digest``) of each line, ``texts`` has ``own`` and ``text``. Every round goes
+    through the next few texts of each line that is not decided, and leaves out the copies of those that counted. A
+    line has at most ``most`` texts that count in a further round, so a round moves a bounded number of texts for each
+    line, and each of the others once.
+    """
+    order = Window.partitionBy("at").orderBy("digest", "own")
+    leaders, out = None, None
     while True:
-        first = Window.partitionBy("family").orderBy("digest")
-        leading = (
-            rest.select("family", "digest")
-            .withColumn("n", F.row_number().over(first))
-            .filter(F.col("n") <= count)
-            .select("family", "digest")
-        )
-        leaders = materialize(rest.join(leading, ["family", "digest"]), "leaders")
-        near = (
-            rest.alias("a")
-            .join(leaders.alias("b"), "family")
-            .filter((F.col("a.digest") == F.col("b.digest")) | _near("a", "b"))
-            .groupBy("family", F.col("a.digest").alias("digest"))
-            .agg(F.min("b.digest").alias("copy_of"))
-        )
-        settled = materialize(settled.unionByName(near), "copies")
-        counted = materialize(
-            rows.join(settled, ["family", "digest"], "left")
-            .groupBy("at", "limit", "family", "copy_of")
-            .agg(F.lit(1).alias("one"))
-            .groupBy("at", "limit")
-            .agg(F.count("copy_of").alias("documents"), F.max(F.col("copy_of").isNull()).alias("more")),
-            "line-documents",
-        )
-        over = counted.filter(F.col("documents") > F.col("limit")).select("at", "documents")
-        out = over if out is None else materialize(out.unionByName(over), "lines")
-        going = counted.filter(F.col("more") & (F.col("documents") <= F.col("limit"))).select("at")
-        rows = materialize(rows.join(going, "at", "left_semi"), "line-texts")
+        ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= BATCH)
+        batch = materialize(ranked.select("at", "own", "rank"), "line-batch")
+        members = batch
+        if leaders is not None:
+            members = batch.union(leaders.select("at", F.col("lead").alias("own"), F.lit(0).alias("rank")))
+        counted = materialize(_counted_texts(members, texts, most), "counted-texts")
+        over = counted.filter(F.size("counted") > most).select("at", F.size("counted").cast("long").alias("documents"))
+        out = over if out is None else materialize(out.union(over), "lines")
+        leaders = counted.filter(F.size("counted") <= most).select("at", F.explode("counted").alias("lead"))
+        rows = rows.join(leaders.select("at").distinct(), "at", "left_semi").join(batch, ["at", "own"], "left_anti")
+        rows = materialize(rows, "line-texts")
+        if rows.isEmpty():
+            return out
+        rows = materialize(rows.join(_copies(rows, leaders, texts), ["at", "own"], "left_anti"), "line-texts")
         if rows.isEmpty():
             return out
-        left = rows.select("family", "digest").distinct().join(settled, ["family", "digest"], "left_anti")
-        rest = materialize(rest.join(left, ["family", "digest"], "left_semi"), "texts")
-        count = min(2 * count, MOST_LEADERS)
 
 
 def removable_lines(measured: DataFrame, texts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``host``, ``line``, ``documents``: the lines too frequent on their host.
 
     Occurrences are made distinct per (host, line, text) first and counted by (host, line) from partial counts, so a
-    line of a third of all documents is no hot task. The number of sketches is the least number of different
-    documents, and that of texts the most: only for lines with the limit between them are ``texts`` (``host``,
-    ``text``) compared. ``documents`` is the number that was counted when the line was known to be over its limit.
+    line of a third of all documents is no hot task. Only the texts (``host``, ``text``) of lines that enough texts
+    have are compared. ``documents`` is the number that was counted when the line was known to be over its limit.
     """
-    documents = (
-        measured.select("host", "sketch").distinct().groupBy("host").agg(F.count("*").alias("host_documents"))
-    )
-    found = measured.select(
-        "host", "sketch", "digest", F.explode(F.array_distinct("lines.line")).alias("line")
-    ).distinct()
-    counted = (
-        found.groupBy("host", "line", "sketch")
-        .agg(F.count("*").alias("texts"))
-        .groupBy("host", "line")
-        .agg(F.count("*").alias("sketches"), F.sum("texts").alias("texts"))
-        .filter(F.col("texts") > limits.line_documents)
-    )
-    share = F.least(F.col("host_documents") * limits.line_share, F.lit(float(limits.most_documents)))
-    limit = F.greatest(F.lit(float(limits.line_documents)), share)
-    counted = materialize(
-        counted.alias("c")
-        .join(documents.alias("d"), F.col("c.host").eqNullSafe(F.col("d.host")))
-        .select("c.host", "line", "sketches", "texts", limit.alias("limit"), _key("c.host", "line").alias("at"))
-        .filter(F.col("texts") > F.col("limit")),
-        "line-counts",
-    )
-    over = counted.filter(F.col("sketches") > F.col("limit")).select("host", "line", F.col("sketches").alias("documents"))
-    undecided = counted.filter(F.col("sketches") <= F.col("limit")).select("at", "limit")
-    if undecided.isEmpty():
-        return over
-    more = _lines_of_different_texts(
-        found.select(
-            _key("host", "line").alias("at"), _key("host", "sketch").alias("family"), "digest",
-            _key("host", "digest").alias("own"),
-        ),
-        undecided,
-        texts.withColumn("digest", F.xxhash64("text")),
-    )
-    return over.unionByName(counted.join(more, "at").select("host", "line", "documents"))
+    found = measured.select("host", "digest", F.explode(F.array_distinct("lines.line")).alias("line")).distinct()
+    counted = found.groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > limits.line_documents)
+    counted = materialize(counted.select("host", "line", _key("host", "line").alias("at")), "line-counts")
+    rows = found.select(_key("host", "line").alias("at"), _key("host", "digest").alias("own"), "digest")
+    rows = materialize(rows.join(counted.select("at"), "at"), "line-texts")
+    keyed = texts.withColumn("digest", F.xxhash64("text")).select(_key("host", "digest").alias("own"), "text")
+    over = _lines_of_different_texts(rows, keyed, limits.line_documents)
+    return counted.join(over, "at").select("host", "line", "documents")
 
 
 def _with_hits(rows: DataFrame, lines: Column, frequent: DataFrame, name: str, limits: Limits) -> DataFrame:
@@ -304,8 +293,8 @@ def judge(measured: DataFrame, frequent: DataFrame, limits: Limits = Limits()) -
     )
     left = F.col("n_words") - F.col("removed_words")
     return (
-        hits.withColumn("removed_words", F.when(F.size("hits") > 0, removed).otherwise(0).cast("long"))
-        .withColumn("base_failed", _base_failed(limits))
+        hits.withColumn("base_failed", _base_failed(limits))
+        .withColumn("removed_words", F.when(F.size("hits") > 0, removed).otherwise(0).cast("long"))
         .withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * limits.keep_share))
     )
 
@@ -324,7 +313,7 @@ def line_quality(
     """
     measured = materialize(measure(docs, id_column, text_column, host_column), "line-quality")
     frequent = materialize(removable_lines(measured, _texts(docs, text_column, host_column), limits), "lines")
-    return judge(measured, frequent, limits).drop("sketch", "lines", "hits", "digest")
+    return judge(measured, frequent, limits).drop("lines", "hits", "digest")
 
 
 def _without(text: Column, hits: Column) -> Column:

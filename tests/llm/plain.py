@@ -45,23 +45,31 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def sketch(text: str | None) -> tuple[int, ...]:
-    words = WORD.findall(text or "")
-    hashes = [signed(spark_hash(words[i : i + 8])) for i in range(len(words) - 7)]
-    return (min(hashes), max(hashes)) if hashes else tuple(map(hash, words))
+def runs(words: list[str], n: int) -> set:
+    padded = [""] * (n - 1) + words + [""] * (n - 1)
+    return {tuple(padded[i : i + n]) for i in range(len(words) + n - 1)} if words else set()
 
 
-def frequent_lines(rows, documents: int, share: float) -> dict:
-    """Removable lines by host; rows are (text, host)."""
-    with_line, of_host = defaultdict(set), defaultdict(set)
+def near(a: str, b: str) -> bool:
+    """Whether two texts differ by scattered words only: two runs of 8 words or more for each five pairs of words."""
+    a, b = WORD.findall(a), WORD.findall(b)
+    eight, two = (runs(a, 8), runs(b, 8)), (runs(a, 2), runs(b, 2))
+    return all(2 * len(eight[i] - eight[1 - i]) >= 5 * len(two[i] - two[1 - i]) for i in (0, 1))
+
+
+def frequent_lines(rows, documents: int) -> dict:
+    """Removable lines by host; rows are (text, host). Texts count in the order of their hashes, copies do not."""
+    with_line = defaultdict(set)
     for text, host in rows:
-        own = sketch(text)
-        of_host[host].add(own)
         for line in filter(None, normal_lines(text)):
-            with_line[host, line].add(own)
+            with_line[host, line].add(text)
     out = defaultdict(set)
-    for (host, line), found in with_line.items():
-        if len(found) > documents and len(found) > share * len(of_host[host]):
+    for (host, line), texts in with_line.items():
+        counted = []
+        for text in sorted(texts, key=lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))):
+            if len(counted) <= documents and not any(near(text, c) for c in counted):
+                counted.append(text)
+        if len(counted) > documents:
             out[host].add(line)
     return out
 

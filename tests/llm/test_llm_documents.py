@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dqengine.llm import line_quality, links, mixing, simhash
 from dqengine.llm.line_quality import Limits
 
-SMALL = Limits(line_documents=3, line_share=0.1)
+SMALL = Limits(line_documents=3)
 
 
 @pytest.fixture(scope="module")
@@ -46,7 +46,7 @@ def test_measures_and_verdicts(spark, corpus, edge_rows):
     for rows, limits in ((corpus, SMALL), (edge_rows, Limits())):
         docs = spark.createDataFrame(rows, DOCS)
         got = line_quality.line_quality(docs, limits=limits).collect()
-        frequent = plain.frequent_lines([(r[1], r[3]) for r in rows], limits.line_documents, limits.line_share)
+        frequent = plain.frequent_lines([(r[1], r[3]) for r in rows], limits.line_documents)
         want = [(i, h, *plain.base(t), *plain.verdict(t, h, frequent)) for i, t, _, h, _ in rows]
         key = lambda r: tuple((x is None, x) for x in r)
         assert sorted(
@@ -60,14 +60,14 @@ def test_measures_and_verdicts(spark, corpus, edge_rows):
 
 def test_cleaning_both_ways(spark, corpus):
     docs = spark.createDataFrame(corpus, DOCS)
-    frequent = plain.frequent_lines([(r[1], r[3]) for r in corpus], 3, 0.1)
+    frequent = plain.frequent_lines([(r[1], r[3]) for r in corpus], 3)
     want = Counter()
     for i, text, lang, host, n in corpus:
         failed, kept, removed = plain.verdict(text, host, frequent)
         if kept:
             new = plain.cleaned(text, host, frequent) if removed else text
             want[i, new, lang, host, len(new) if removed else n] += 1
-    for limits in (SMALL, Limits(line_documents=3, line_share=0.1, broadcast_lines=0)):
+    for limits in (SMALL, Limits(line_documents=3, broadcast_lines=0)):
         kept = line_quality.clean(docs, length_column="n_chars", limits=limits)
         assert kept.schema.simpleString() == docs.schema.simpleString()
         assert Counter(map(tuple, kept.collect())) == want
@@ -91,6 +91,29 @@ def test_different_documents_of_one_passage_count_each(spark, own):
     assert all(r.kept and not r.removed_words for r in got if r.doc_id >= 100)
 
 
+@pytest.mark.parametrize("n, batch, keys", [(200, 32, 1_000_000), (1000, 8, 0)])
+def test_near_copies_are_treated_like_exact_ones(spark, monkeypatch, n, batch, keys):
+    """Five words of 300 changed at random places in each copy, beside different documents with one line of theirs."""
+    monkeypatch.setattr(line_quality, "BATCH", batch)
+    monkeypatch.setattr(line_quality, "MOST_KEYS", keys)
+    rnd = random.Random(n)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    lines = [[word() for _ in range(30)] for _ in range(10)]
+    rows = []
+    for i in range(n):
+        copy = [list(line) for line in lines]
+        for place in rnd.sample(range(300), 5):
+            copy[place // 30][place % 30] = word()
+        rows.append((i, "\n".join(map(" ".join, copy)), "en", "near", 1))
+        rows.append((n + i, "\n".join(map(" ".join, lines)), "en", "exact", 1))
+    common = " ".join(lines[0])
+    rows += [(10_000 + i, common + "\n" + " ".join(word() for _ in range(60)), "en", "near", 1) for i in range(60)]
+    got = line_quality.line_quality(spark.createDataFrame(rows, DOCS)).collect()
+    assert all(r.kept for r in got if r.doc_id < 10_000) and not any(r.removed_words for r in got if n <= r.doc_id < 2 * n)
+    assert {r.removed_words for r in got if r.doc_id < n} == {0, 30}  # only the line that others have too
+    assert {r.removed_words for r in got if r.doc_id >= 10_000} == {30}
+
+
 def test_limit_does_not_grow_with_the_host(spark):
     rnd = random.Random(8)
     text = lambda: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(25))
@@ -211,7 +234,7 @@ def test_long_chain(spark):
 def test_pipeline(spark, corpus, tmp_path):
     spark.createDataFrame(corpus, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     limits = Limits()
-    frequent = plain.frequent_lines([(r[1], r[3]) for r in corpus], limits.line_documents, limits.line_share)
+    frequent = plain.frequent_lines([(r[1], r[3]) for r in corpus], limits.line_documents)
     good = []
     for i, text, _, host, _ in corpus:
         _, kept, removed = plain.verdict(text, host, frequent)
