@@ -2,8 +2,11 @@
 
 Plain grouping combines copies before the shuffle but still moves every distinct row.
 Above ``FINGERPRINT_ROWS`` rows a first pass groups an 8-byte fingerprint of each row.
-Rows whose fingerprint occurs once are unique for certain and stay where they are; only
-the others are grouped on all their columns, which settles hash collisions exactly.
+The fingerprints that occur more than once set bits of a filter of fixed size, which is
+built by a distributed aggregation and sent to all tasks. Rows outside the filter are
+unique for certain and stay where they are; only the others are grouped on all their
+columns, which settles hash collisions and false hits exactly. More repeated fingerprints
+than the filter has bits for cost more grouping, and change no row.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from dqengine.functions.columns import col, groupable, holds_map
 from dqengine.session import materialize
 
 FINGERPRINT_ROWS = 100_000_000
-BROADCAST_FINGERPRINTS = 4_000_000
+#: The filter has so many maps of 32,768 bits (4 KB) each: 16 MB.
+FILTER_MAPS = 4096
+_MAP_BITS = 15
 
 
 def row_fingerprint(df: DataFrame) -> Column:
@@ -26,20 +31,31 @@ def row_fingerprint(df: DataFrame) -> Column:
     return F.xxhash64(*[col(c) for c in names], *[col(c).isNull() for c in names])
 
 
+def _place(fingerprint: str, maps: int) -> tuple[Column, Column]:
+    """Map and bit of a fingerprint in the filter."""
+    at = F.pmod(fingerprint, F.lit(maps << _MAP_BITS))
+    return F.shiftright(at, _MAP_BITS), at.bitwiseAND(F.lit((1 << _MAP_BITS) - 1))
+
+
+def repeat_filter(tagged: DataFrame, maps: int) -> DataFrame:
+    """At most ``maps`` rows (``__map``, ``__bits``): the bits of all fingerprints ``__fp`` that occur twice or more."""
+    repeated = tagged.groupBy("__fp").agg(F.count("*").alias("__c")).where("__c > 1")
+    number, bit = _place("__fp", maps)
+    return repeated.groupBy(number.alias("__map")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+
+
 def _split(df: DataFrame, fingerprint_rows: int) -> tuple[DataFrame, DataFrame] | None:
     """(rows that are unique, rows that may repeat), or None if plain grouping is better."""
     if df.count() <= fingerprint_rows:
         return None
     tagged = df.withColumn("__fp", row_fingerprint(df))
-    repeated = materialize(
-        tagged.groupBy("__fp").agg(F.count("*").alias("__c")).where("__c > 1").select("__fp")
-    )
-    if repeated.count() > BROADCAST_FINGERPRINTS:
-        return None
-    keys = F.broadcast(repeated)
-    unique = tagged.join(keys, "__fp", "left_anti").drop("__fp")
-    candidates = tagged.join(keys, "__fp", "left_semi").drop("__fp")
-    return unique, candidates
+    found = materialize(repeat_filter(tagged, FILTER_MAPS), "repeats")
+    number, bit = _place("__fp", FILTER_MAPS)
+    marked = tagged.withColumns({"__map": number, "__bit": bit}).join(F.broadcast(found), "__map", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright("__bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.col("__bit").bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    helpers = ("__fp", "__map", "__bit", "__bits")
+    return marked.where(~hit).drop(*helpers), marked.where(hit).drop(*helpers)
 
 
 def row_copies(df: DataFrame, fingerprint_rows: int = FINGERPRINT_ROWS) -> DataFrame:

@@ -12,7 +12,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +59,8 @@ ORDERED_FILLS = {"FILL_FORWARD": True, "FILL_BACKWARD": False}
 DROP_COLUMNS = "DROP_COLUMNS"
 CUSTOM = "CUSTOM_TRANSFORMATION"
 
+#: Methods that write fractions into numeric columns.
+REWRITTEN = ("FILL_MEAN", "FILL_MEDIAN", *CLIPS)
 QUANTILES = {"median": 0.5, "p05": 0.05, "p95": 0.95, "q1": 0.25, "q3": 0.75}
 NUMERIC_ONLY = {"FILL_MEAN", "FILL_MEDIAN", LOG_TRANSFORM, *CLIPS, *Z_FILTERS}
 
@@ -94,6 +95,42 @@ class Healed:
 
 Statistic = Callable[[str, str], Column]
 
+#: Whole numbers up to here are exact as double, as are decimals of this precision.
+DOUBLE_WHOLE, DOUBLE_DIGITS = 1 << 53, 15
+#: Decimal places that a filled-in or capped cell keeps at least, if the column has room for them.
+DECIMAL_PLACES = 6
+
+
+Kinds = dict[str, T.DataType]
+
+
+def _beyond(column: str) -> Column:
+    """Whether any whole number of a column is too large for a double."""
+    return F.bool_or(~col(column).between(-DOUBLE_WHOLE, DOUBLE_WHOLE))
+
+
+def _fractions_of(df: DataFrame, actions: Sequence[Action], large: set[str]) -> Kinds:
+    """The type that holds the old and the new cells of every column that a mean, median or cap rewrites.
+
+    That is double where it holds all cells exactly, else a decimal: for long decimals, and for the ``large`` columns
+    of whole numbers, which have some beyond 2 ** 53.
+    """
+    kinds: Kinds = {}
+    for name in {a.column for a in actions if a.method in REWRITTEN}:
+        kind = df.schema[name].dataType
+        kinds[name] = T.DoubleType()
+        if isinstance(kind, T.LongType) and name in large:
+            kinds[name] = T.DecimalType(38, DECIMAL_PLACES)
+        elif isinstance(kind, T.DecimalType) and kind.precision > DOUBLE_DIGITS:
+            scale = max(kind.scale, min(DECIMAL_PLACES, 38 - (kind.precision - kind.scale)))
+            kinds[name] = T.DecimalType(38, scale)
+    return kinds
+
+
+def _long_columns(df: DataFrame, actions: Sequence[Action]) -> list[str]:
+    names = {a.column for a in actions if a.method in REWRITTEN}
+    return sorted(c for c in names if isinstance(df.schema[c].dataType, T.LongType))
+
 
 def _needs(action: Action) -> tuple[str, ...]:
     method = action.method
@@ -179,21 +216,29 @@ def _changed(action: Action, stat: Statistic, rules: QualityRules) -> Column | N
     if action.method in Z_FILTERS:
         return ~F.coalesce(_within(action, stat, rules), F.lit(False))
     low, high = _clip_limits(action, stat, rules)
+    value = value.cast("double")
     return (value > high) | (value < low) if low is not None else value > high
 
 
 def _within(action: Action, stat: Statistic, rules: QualityRules) -> Column:
-    score = z_score(col(action.column), stat(action.column, "mean"), stat(action.column, "std"))
+    mean = stat(action.column, "mean").cast("double")
+    score = z_score(col(action.column), mean, stat(action.column, "std"))
     return score <= rules.outlier_std_threshold
 
 
-def _rewrite(df: DataFrame, action: Action, stat: Statistic, rules: QualityRules) -> DataFrame:
-    """The table after one action; lazy."""
+def _rewrite(
+    df: DataFrame, action: Action, stat: Statistic, rules: QualityRules, kinds: dict[str, T.DataType]
+) -> DataFrame:
+    """The table after one action; lazy. ``kinds`` are the types of columns whose cells become fractions.
+
+    Cells that do not change are only brought to that type, never computed with.
+    """
     method, name = action.method, action.column
     if method in FILL_FROM_STATISTIC:
         filler = stat(name, FILL_FROM_STATISTIC[method])
-        value = col(name) if method == "FILL_MODE" else col(name).cast("double")
-        return _replace(df, name, F.coalesce(value, filler))
+        if method == "FILL_MODE":
+            return _replace(df, name, F.coalesce(col(name), filler))
+        return _replace(df, name, F.coalesce(col(name).cast(kinds[name]), filler.cast(kinds[name])))
     if method == FILL_DEFAULT:
         return _replace(df, name, F.coalesce(col(name).cast("string"), F.lit(DEFAULT_TEXT)))
     if method in DROP_NULL_ROWS:
@@ -209,10 +254,10 @@ def _rewrite(df: DataFrame, action: Action, stat: Statistic, rules: QualityRules
     if method in CLIPS:
         low, high = _clip_limits(action, stat, rules)
         value = col(name).cast("double")
-        capped = F.when(value > high, high)
+        capped = F.when(value > high, high.cast(kinds[name]))
         if low is not None:
-            capped = capped.when(value < low, low)
-        return _replace(df, name, capped.otherwise(value))
+            capped = capped.when(value < low, low.cast(kinds[name]))
+        return _replace(df, name, capped.otherwise(col(name).cast(kinds[name])))
     if method == LOG_TRANSFORM:
         return _replace(df, name, F.log1p(col(name).cast("double")))
     if method in ORDERED_FILLS:
@@ -235,21 +280,24 @@ def _replace(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def _read_statistics(
     df: DataFrame, actions: Sequence[Action], direct_rows: int, count: bool
-) -> tuple[int | None, dict[tuple[str, str], object]]:
-    """Row count and the numbers the actions need: one aggregation, plus quantiles and modes."""
+) -> tuple[int | None, dict[tuple[str, str], object], Kinds]:
+    """Row count, the numbers the actions need, and types of fractions: one aggregation, plus quantiles and modes."""
     wanted = {(a.column, kind) for a in actions for kind in _needs(a)}
     if not wanted and not count:
-        return None, {}
+        return None, {}, {}
     moments = sorted(w for w in wanted if w[1] in ("mean", "std"))
-    sums = [
-        (F.avg(col(c)) if kind == "mean" else F.stddev_samp(col(c).cast("double"))).alias(f"__m{i}")
-        for i, (c, kind) in enumerate(moments)
-    ]
-    row = df.agg(F.count("*").alias("n"), *sums).first()
-    numbers: dict[tuple[str, str], object] = {
-        key: (None if row[f"__m{i}"] is None else float(row[f"__m{i}"]))
-        for i, key in enumerate(moments)
-    }
+    longs = _long_columns(df, actions)
+    row = df.agg(
+        F.count("*").alias("n"),
+        *[_moment(c, kind).alias(f"__m{i}") for i, (c, kind) in enumerate(moments)],
+        *[_exact_mean(df, c, kind).alias(f"__e{i}") for i, (c, kind) in enumerate(moments)],
+        *[_beyond(c).alias(f"__b{i}") for i, c in enumerate(longs)],
+    ).first()
+    kinds = _fractions_of(df, actions, {c for i, c in enumerate(longs) if row[f"__b{i}"]})
+    numbers: dict[tuple[str, str], object] = {}
+    for i, (c, kind) in enumerate(moments):
+        exact = isinstance(kinds.get(c), T.DecimalType) and row[f"__e{i}"] is not None
+        numbers[(c, kind)] = row[f"__e{i}"] if exact else row[f"__m{i}"]
     quantile_columns = sorted({c for c, kind in wanted if kind in QUANTILES})
     shares = sorted({QUANTILES[kind] for _, kind in wanted if kind in QUANTILES})
     found = quantile_values(df, quantile_columns, shares, direct_rows, rows=row["n"])
@@ -258,14 +306,28 @@ def _read_statistics(
     )
     modes = most_frequent_values(df, sorted(c for c, kind in wanted if kind == "mode"))
     numbers.update({(c, "mode"): text for c, text in modes.items()})
-    return row["n"], numbers
+    return row["n"], numbers, kinds
+
+
+def _moment(column: str, kind: str) -> Column:
+    return F.avg(col(column)).cast("double") if kind == "mean" else F.stddev_samp(col(column).cast("double"))
+
+
+def _exact_mean(df: DataFrame, column: str, kind: str) -> Column:
+    """Quotient of exact sums for whole numbers and decimals; null if it is no such mean or the sum does not fit."""
+    declared = df.schema[column].dataType
+    if kind != "mean" or not isinstance(declared, (T.LongType, T.DecimalType)):
+        return F.lit(None).cast("decimal(38,6)")
+    scale = 0 if isinstance(declared, T.LongType) else declared.scale
+    total = F.try_sum(col(column).cast(T.DecimalType(38, scale)))
+    return F.try_divide(total, F.count(col(column)))
 
 
 def _literals(df: DataFrame, numbers: dict[tuple[str, str], object]) -> Statistic:
     def stat(column: str, kind: str) -> Column:
         number = numbers[(column, kind)]
         if kind != "mode":
-            return F.lit(number).cast("double")
+            return F.lit(number).cast("double") if number is None or isinstance(number, float) else F.lit(number)
         wanted = df.schema[column].dataType
         if number is None or isinstance(number, str):
             return F.lit(number).cast(wanted)
@@ -275,12 +337,17 @@ def _literals(df: DataFrame, numbers: dict[tuple[str, str], object]) -> Statisti
     return stat
 
 
+def _reason(error: Exception) -> str:
+    """What a step failed with, in one line."""
+    return str(error).strip().split("\n")[0][:300] or type(error).__name__
+
+
 def _failure(run: Callable[[], object]) -> str | None:
-    """What a step failed with, in one line, or None."""
+    """What a step failed with, or None. Whatever an action raises, the others go on."""
     try:
         run()
-    except PySparkException as error:
-        return str(error).strip().split("\n")[0][:300] or type(error).__name__
+    except Exception as error:
+        return _reason(error)
     return None
 
 
@@ -295,8 +362,10 @@ def heal(
 ) -> Healed:
     """Apply the actions in order, each on the result of the one before.
 
-    Actions that cannot run are logged and skipped. ``measure`` counts changed cells and
-    removed rows for the log. Between stages the table is written to the shared folder
+    Actions that cannot run are logged and skipped. A custom transformation may fail on any
+    value, so the table is written before it (a savepoint) and after it, at once: if either the
+    function or its run raises, the fold goes on from the savepoint. ``measure`` counts changed
+    cells and removed rows for the log. Between stages the table is written to the shared folder
     after a step that shuffles it, and after every ``write_after`` row-changing steps:
     later scans then neither repeat the shuffle nor carry an ever longer plan.
     ``write_end`` does the same with the final table, for callers that scan it again.
@@ -315,18 +384,20 @@ def heal(
             else:
                 ready.append(action)
         try:
-            rows, numbers = _read_statistics(current, ready, direct_rows, measure)
-        except PySparkException:
+            rows, numbers, kinds = _read_statistics(current, ready, direct_rows, measure)
+        except Exception:
             # Find the actions whose numbers cannot be read; the others go on.
             for action in list(ready):
                 if error := _failure(lambda a=action: _read_statistics(current, [a], direct_rows, False)):
                     failed[action.key] = error
                     ready.remove(action)
-            rows, numbers = _read_statistics(current, ready, direct_rows, measure)
+            rows, numbers, kinds = _read_statistics(current, ready, direct_rows, measure)
         stat = _literals(current, numbers)
         for action in list(ready):
+            if action.method == CUSTOM:
+                continue
             # Analysis finds what cannot run on this table before anything is counted.
-            if error := _failure(lambda a=action: _rewrite(current, a, stat, rules).schema):
+            if error := _failure(lambda a=action: _rewrite(current, a, stat, rules, kinds).schema):
                 failed[action.key] = error
                 ready.remove(action)
         for action in list(ready):
@@ -339,13 +410,24 @@ def heal(
                 entries.append(_entry(action, rows, rows, 0, failed[action.key], len(entries)))
                 continue
             before = current
-            current = _rewrite(current, action, stat, rules)
+            if action.method == CUSTOM:
+                if unsaved:
+                    current, unsaved = materialize(current), 0
+                try:
+                    current = materialize(_rewrite(current, action, stat, rules, kinds))
+                except Exception as error:
+                    entries.append(_entry(action, rows, rows, 0, _reason(error), len(entries)))
+                    continue
+                rows, old = (current.count() if measure else None), rows
+                entries.append(_entry(action, old, rows, 0 if measure else None, None, len(entries)))
+                continue
+            current = _rewrite(current, action, stat, rules, kinds)
             after, cells = rows, counts.get(action.key)
             if not measure:
                 entries.append(_entry(action, None, None, None, None, len(entries)))
                 unsaved += _changes_rows(action)
                 continue
-            if action.method in DEDUPLICATE or action.method == CUSTOM:
+            if action.method in DEDUPLICATE:
                 if last and not write_end:
                     after = _rows_after(before, current, action, rows)
                 else:
@@ -364,7 +446,7 @@ def heal(
 
 
 def _rows_after(before: DataFrame, after: DataFrame, action: Action, rows: int) -> int:
-    if action.method == CUSTOM or action.options.get("keys"):
+    if action.options.get("keys"):
         return after.count()
     return rows - duplicate_count(before).first()["duplicates"]
 
@@ -517,10 +599,13 @@ def heal_by_group(
             def stat(column: str, kind: str) -> Column:
                 raise KeyError((column, kind))
 
+        longs = _long_columns(current, stage)
+        large = current.agg(*map(_beyond, longs)).first() if longs else ()
+        kinds = _fractions_of(current, stage, {c for c, found in zip(longs, large) if found})
         for action in stage:
             if action.method in DEDUPLICATE:
                 current = current.select(*[col(c) for c in columns])
-            current = _rewrite(current, action, stat, rules)
+            current = _rewrite(current, action, stat, rules, kinds)
         current = current.select(*[col(c) for c in columns if c in current.columns])
         if stage is not stages[-1] and any(a.method in DEDUPLICATE for a in stage):
             current = materialize(current)

@@ -35,9 +35,22 @@ def test_colliding_fingerprints_are_told_apart(frame, monkeypatch):
     assert D.drop_duplicate_rows(frame, 0).count() == len(set(rows))
 
 
-def test_too_many_fingerprints_fall_back(frame, monkeypatch):
-    monkeypatch.setattr(D, "BROADCAST_FINGERPRINTS", 1)
-    assert D.drop_duplicate_rows(frame, 0).count() == len(set(_rows()))
+@pytest.mark.parametrize("maps", [1, 7])
+def test_more_repeats_than_a_filter_has_room_for(spark, monkeypatch, maps):
+    monkeypatch.setattr(D, "FILTER_MAPS", maps)
+    rows = spark.range(60_000).selectExpr("id % 50000 as a", "cast(id % 50000 as string) as b")
+    assert D.drop_duplicate_rows(rows, 0).count() == 50_000
+    assert D.duplicate_count(rows, 0).first()[0] == 10_000
+    copies = {r["copies"]: r["n"] for r in D.row_copies(rows, 0).groupBy("copies").agg(F.count("*").alias("n")).collect()}
+    assert copies == {1: 40_000, 2: 10_000}
+
+
+def test_unique_rows_outside_the_filter_stay_in_place(spark):
+    rows = spark.range(40_000).selectExpr("id as a").union(spark.range(10).selectExpr("id as a"))
+    unique, candidates = D._split(rows, 0)
+    assert candidates.count() < 200 and unique.count() + candidates.count() == 40_010
+    plan = unique._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_null_positions_differ(spark):

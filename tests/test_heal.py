@@ -2,6 +2,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dqengine.operators import heal as H
 from dqengine.operators.heal import Action, heal, heal_by_group, repair
@@ -168,3 +169,42 @@ def test_a_failing_action_is_logged_and_the_fold_goes_on(spark):
     healed = heal(df, [broken, Action("HANDLE_NULLS", "FILL_MEAN", "x")])
     assert healed.df.where("x is null").count() == 0
     assert len(healed.entries) == 2
+
+
+def test_large_numbers_come_through_unchanged(spark):
+    from decimal import Decimal
+
+    big, fine = 9007199254740993, Decimal("1234567890123456789012345678.91")
+    rows = [(big, fine, 1), (big + 2, fine, 2), (None, None, None), (5, Decimal("1.00"), 3)]
+    df = spark.createDataFrame(rows, "n bigint, d decimal(30,2), small bigint")
+    for method in ("FILL_MEAN", "FILL_MEDIAN", "CAP_OUTLIERS", "OUTLIER_IQR"):
+        for column, cell in (("n", big), ("d", fine)):
+            healed = repair(df, method, column)
+            assert isinstance(healed.schema[column].dataType, T.DecimalType)
+            kept = [v for v in _values(healed, column) if v is not None]
+            assert cell in kept, (method, column)
+        assert dict(repair(df, method, "small").dtypes)["small"] == "double"
+    assert Decimal(6004799503160663) + Decimal(2) / 3 - repair(df, "FILL_MEAN", "n").where("small is null").first()["n"] < Decimal("0.00001")
+    by_group = heal_by_group(df.withColumn("g", F.lit("a")), [Action("HANDLE_NULLS", "FILL_MEDIAN", "n")], ["g"])
+    assert big in _values(by_group, "n") and big + 2 in _values(by_group, "n")
+
+
+def test_custom_steps_are_rolled_back(spark):
+    def refuse(d):
+        raise ValueError("no such thing")
+
+    df = spark.createDataFrame([(1.0, "a"), (1.0, "a"), (None, "b")], "x double, t string")
+    steps = [
+        Action("HANDLE_NULLS", "DELETE_ROWS", "t"),
+        Action("CUSTOM", "CUSTOM_TRANSFORMATION", options={"transform": refuse}),
+        Action("HANDLE_NULLS", "FILL_MEAN", "x"),
+        Action("CUSTOM", "CUSTOM_TRANSFORMATION", options={"transform": lambda d: d.withColumn("t", F.col("t").cast("int"))}),
+        Action("CUSTOM", "CUSTOM_TRANSFORMATION", options={"transform": lambda d: 5}),
+        Action("CUSTOM", "CUSTOM_TRANSFORMATION", options={"transform": lambda d: d.withColumn("u", F.lit(1))}),
+        Action("REMOVE_DUPLICATES", "KEEP_FIRST"),
+    ]
+    for measure in (True, False):
+        healed = heal(df, steps, measure=measure)
+        assert [e["success"] for e in healed.entries] == [True, False, True, False, False, True, True]
+        assert "no such thing" in healed.entries[1]["message"]
+        assert sorted(map(tuple, healed.df.collect())) == [(1.0, "a", 1), (1.0, "b", 1)]
