@@ -47,16 +47,16 @@ def manifest(leaves: DataFrame, group: str, order: str, leaf: str = "leaf") -> D
     # The one node left of each group is a leaf of the tree over the groups.
     tops = tables[-1].selectExpr("group as of", "digest as subroot", "'all' as group", "digest")
     tops = numbered(tops, ["group"], ["of"], "subroots")
-    n_groups = tops.agg(F.count("*").alias("n"))
-    over = _climb(tops.join(F.broadcast(n_groups)), "groups")
-    root = over[-1].select(F.col("digest").alias("root"))
+    over = _climb(tops.withColumn("n", F.lit(tops.count())), "groups")
+    top = over[-1].first()
+    root = F.lit(top["digest"] if top else None).cast("string").alias("root")
     above = _joined(over[:-1], ["of", "subroot"]).select(F.col("of").alias("group"), "subroot", F.col("siblings").alias("upper"))
     found = _joined(tables[:-1], [c for c in leaves.columns if c != group])
     other = above.withColumnRenamed("group", "g")
-    whole = found.join(other, found["group"].eqNullSafe(F.col("g"))).join(F.broadcast(root))
+    whole = found.join(other, found["group"].eqNullSafe(F.col("g")))
     return whole.select(
         *[F.col("group").alias(group) if c == group else F.col(c) for c in leaves.columns],
-        "subroot", "root", F.concat("siblings", "upper").alias("siblings"),
+        "subroot", root, F.concat("siblings", "upper").alias("siblings"),
     )
 
 

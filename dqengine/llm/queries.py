@@ -49,7 +49,8 @@ def op2(spark, sf_dir):
 
 @register("op3_line_quality")
 def op3(spark, sf_dir):
-    return line_quality.line_quality(table(spark, sf_dir, "documents")).drop("host")
+    found = line_quality.line_quality(table(spark, sf_dir, "documents"))
+    return found.select(*[c for c in found.columns if c not in ("host", "removed_words")], "removed_words")
 
 
 #: The mix in SQL: sizes, filled targets, ranks, the cut, and the document that closes the gap.
