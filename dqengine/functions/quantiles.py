@@ -1,11 +1,11 @@
 """Exact interpolated quantiles that never gather a whole column in one task.
 
 The built-in ``percentile`` is exact but keeps every distinct value of a group in one
-aggregation buffer, so it is used only for a small table. Groups of checked size are
-counted and sorted. Larger tables take three light scans: quantiles of a sample bracket
+aggregation buffer, so it is used only for a small table. The values of groups are
+counted and put in order over all tasks. Larger tables take three light scans: quantiles of a sample bracket
 each wanted rank, the rows around the brackets are counted, and the few values inside are
-grouped and ranked. Where those few would be many, and for large groups, the bracket is
-narrowed over several rounds.
+grouped and ranked. Where those few would be many, the bracket is narrowed over several
+rounds.
 All buffers are bounded, and the counts make the result exact whatever error the sample
 or the sketch has.
 """
@@ -57,20 +57,14 @@ def exact_quantiles(
             schema = "column_name string, probability double, value double"
             return df.sparkSession.createDataFrame(found, schema)
         return _narrowed(df, columns, probabilities, by, direct_rows)
-    large = (
-        df.groupBy(*[col(c) for c in by]).count().where(F.col("count") > direct_rows).drop("count")
-    )
-    if large.isEmpty():
-        return _sorted_groups(df, columns, probabilities, by)
-    # At most rows / direct_rows groups can be this large, so the list is broadcast.
-    large = materialize(large)
-    keys = large.select(*[col(c).alias(f"__k{i}") for i, c in enumerate(by)])
-    same = _all_equal([(col(c), F.col(f"__k{i}")) for i, c in enumerate(by)])
-    small_part = df.join(F.broadcast(keys), same, "left_anti")
-    large_part = df.join(F.broadcast(keys), same, "left_semi")
-    return _sorted_groups(small_part, columns, probabilities, by).unionByName(
-        _narrowed(large_part, columns, probabilities, by, direct_rows)
-    )
+    names = {(c, float(p)): f"__q{i}_{j}" for i, c in enumerate(columns) for j, p in enumerate(probabilities)}
+    wide = group_values(df, columns, probabilities, [], by, names)
+    entries = [
+        F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("probability"), F.col(name).alias("value"))
+        for (c, p), name in names.items()
+    ]
+    keys = [F.col(f"__k{i}").alias(c) for i, c in enumerate(by)]
+    return wide.select(*keys, F.inline(F.array(*entries))).where("value is not null")
 
 
 def quantile_values(
@@ -130,41 +124,95 @@ def _long(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     ).where(F.col("__v").isNotNull())
 
 
-def _sorted_groups(
-    df: DataFrame, columns: list[str], probabilities: Sequence[float], by: list[str]
+def group_values(
+    df: DataFrame,
+    quantile_columns: Sequence[str],
+    probabilities: Sequence[float],
+    mode_columns: Sequence[str],
+    by: Sequence[str],
+    names: dict[tuple[str, float | str], str],
 ) -> DataFrame:
-    """Many groups of checked size: counted values, sorted within each group.
+    """One row per group (``__k0``, …): exact quantiles and modes under the ``names`` of (column, share or "mode").
 
-    Sorting spills to disk, while one buffer of values per group would not.
+    One pass counts every value of every group and column, combined before the shuffle. The counted values are then
+    put in order over all tasks, so the values of a large group lie in many of them: each task sums its own, the sums
+    are passed on over the tasks, and only the values at the wanted ranks are kept. Modes come as text that casts back
+    to the column's type; the smallest value wins a tie. A group without a value of a column has null there.
     """
-    keys = [f"__k{i}" for i in range(len(by))] + ["column_name"]
-    counted = _long(df, columns, by).groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
-    group = Window.partitionBy(*keys)
-    ranked = counted.withColumn("__upto", F.sum("__c").over(group.orderBy("__v"))).withColumn(
-        "__n", F.sum("__c").over(group)
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column_name"),
+                (col(c).cast("double") if c in quantile_columns else F.lit(None).cast("double")).alias("__v"),
+                (col(c).cast("string") if c in mode_columns else F.lit(None).cast("string")).alias("__t"),
+            )
+            for c in dict.fromkeys([*quantile_columns, *mode_columns])
+        ]
     )
-
-    def at(rank: Column) -> Column:
-        covers = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
-        return F.max(F.when(covers, F.col("__v")))
-
-    picks = []
-    for j, p in enumerate(probabilities):
-        position = F.lit(float(p)) * (F.col("__n") - 1)
-        picks += [at(F.floor(position)).alias(f"__low{j}"), at(F.ceil(position)).alias(f"__high{j}")]
-    found = ranked.groupBy(*keys, "__n").agg(*picks)
-    entries = []
-    for j, p in enumerate(probabilities):
-        position = F.lit(float(p)) * (F.col("__n") - 1)
-        low, high = F.col(f"__low{j}"), F.col(f"__high{j}")
-        between = (F.ceil(position) - position) * low + (position - F.floor(position)) * high
-        value = F.when(F.floor(position) == F.ceil(position), low).otherwise(between)
-        entries.append(F.struct(F.lit(float(p)).alias("probability"), value.alias("value")))
-    return found.select(
-        *[F.col(f"__k{i}").alias(c) for i, c in enumerate(by)],
-        "column_name",
-        F.inline(F.array(*entries)),
+    keys = [f"__k{i}" for i in range(len(by))]
+    long = df.select(*[col(c).alias(k) for c, k in zip(by, keys)], F.inline(cells))
+    group = [*keys, "column_name"]
+    counted = (
+        long.where("__v is not null or __t is not null").groupBy(*group, "__v", "__t").agg(F.count("*").alias("__c"))
     )
+    found = []
+    if quantile_columns:
+        spread = counted
+        if mode_columns:  # both are read from one set of counts; text of one number may differ, as 0.0 and -0.0 do
+            counted = materialize(counted, "group-counts")
+            spread = counted.where("__v is not null").groupBy(*group, "__v").agg(F.sum("__c").alias("__c"))
+        found.append(_at_ranks(spread, group, probabilities))
+    if mode_columns:
+        best = F.min_by("__t", F.struct(-F.col("__c"), "__v", "__t")).alias("__t")
+        modes = counted.where("__t is not null").groupBy(*group).agg(best)
+        found.append(modes.select(*group, F.lit(None).cast("double").alias("__p"), F.lit(None).cast("double").alias("__v"), "__t"))
+    rows = reduce(DataFrame.unionByName, found)
+
+    def one(column: str, kind: float | str) -> Column:
+        own = (F.col("column_name") == column) & (F.col("__p").isNull() if kind == "mode" else F.col("__p") == kind)
+        return F.max(F.when(own, F.col("__t" if kind == "mode" else "__v")))
+
+    return rows.groupBy(*keys).agg(*[one(c, kind).alias(name) for (c, kind), name in names.items()])
+
+
+def _at_ranks(counted: DataFrame, group: list[str], probabilities: Sequence[float]) -> DataFrame:
+    """``(group..., __p, __v, __t)``: interpolated quantiles of counted values ``__v``, ``__c`` times each."""
+    order = [*group, "__v"]
+    placed = counted.select(*order, "__c").repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    placed = materialize(placed, "group-ranges")
+    parts = placed.groupBy("__part", *group).agg(F.sum("__c").alias("__sum"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *[F.col(c).alias(f"{c}_") for c in ("__part", *group)],
+        F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"),
+        F.sum("__sum").over(whole).alias("__n"),
+    )
+    same = _all_equal([(F.col(c), F.col(f"{c}_")) for c in ("__part", *group)])
+    inside = Window.partitionBy("__part", *group).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.withColumn("__upto", F.sum("__c").over(inside)).join(parts, same)
+    upto = F.col("__before") + F.col("__upto")
+    shares = F.array(*[F.lit(float(p)) for p in probabilities])
+    covers = ranked.select(*group, "__n", "__v", (upto - F.col("__c")).alias("__from"), upto.alias("__to"))
+    at = covers.withColumn("__p", F.explode(F.filter(shares, _covered))).withColumn("__pos", F.col("__p") * (F.col("__n") - 1))
+
+    def value(rank: Column) -> Column:
+        return F.max(F.when((F.col("__from") <= rank) & (rank < F.col("__to")), F.col("__v")))
+
+    picked = at.groupBy(*group, "__p", "__pos").agg(
+        value(F.floor("__pos")).alias("__low"), value(F.ceil("__pos")).alias("__high")
+    )
+    low, high = F.floor("__pos"), F.ceil("__pos")
+    between = (high - F.col("__pos")) * F.col("__low") + (F.col("__pos") - low) * F.col("__high")
+    found = F.when(low == high, F.col("__low")).otherwise(between)
+    return picked.select(*group, "__p", found.alias("__v"), F.lit(None).cast("string").alias("__t"))
+
+
+def _covered(share: Column) -> Column:
+    """Whether the rank before or after a share's position is among those of the value."""
+    position = share * (F.col("__n") - 1)
+    hits = [(F.col("__from") <= rank) & (rank < F.col("__to")) for rank in (F.floor(position), F.ceil(position))]
+    return hits[0] | hits[1]
 
 
 @dataclass(frozen=True)

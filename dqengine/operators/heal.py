@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from dqengine.functions.columns import col, nan_to_null
 from dqengine.functions.quantiles import (
     DIRECT_ROWS,
-    exact_quantiles,
+    group_values,
     most_frequent_values,
     quantile_values,
 )
@@ -506,6 +506,11 @@ def repair(df: DataFrame, method: str, column: str | None = None, **options: obj
 GROUP_BROADCAST = 200_000
 
 
+def _casts_back(df: DataFrame, column: str) -> bool:
+    """Whether values of a column, as text, sort and come back as they are."""
+    return isinstance(df.schema[column].dataType, (T.StringType, T.BooleanType, T.DateType))
+
+
 def _group_statistics(
     df: DataFrame, actions: Sequence[Action], group: Sequence[str], direct_rows: int
 ) -> tuple[DataFrame, dict[tuple[str, str], str]]:
@@ -531,25 +536,19 @@ def _group_statistics(
         )
         return stats.join(renamed, same, "left").drop(*[k + "r" for k in keys.values()])
 
-    quantile_columns = sorted({c for c, kind in wanted if kind in QUANTILES})
-    if quantile_columns:
-        shares = sorted({QUANTILES[kind] for _, kind in wanted if kind in QUANTILES})
-        long = exact_quantiles(df, quantile_columns, shares, by=group, direct_rows=direct_rows)
-        wide = long.groupBy(*[col(c).alias(k) for c, k in keys.items()]).agg(
-            *[
-                F.max(
-                    F.when(
-                        (F.col("column_name") == c) & (F.col("probability") == QUANTILES[kind]),
-                        F.col("value"),
-                    )
-                ).alias(names[(c, kind)])
-                for c, kind in wanted
-                if kind in QUANTILES
-            ]
+    plain = {c for c, kind in wanted if kind == "mode" and _casts_back(df, c)}
+    asked = [(c, kind) for c, kind in wanted if kind in QUANTILES or c in plain and kind == "mode"]
+    if asked:
+        shares = sorted({QUANTILES[kind] for _, kind in asked if kind in QUANTILES})
+        columns = sorted({c for c, kind in asked if kind in QUANTILES})
+        wide = group_values(
+            df, columns, shares, sorted(plain), group, {(c, QUANTILES.get(kind, kind)): names[(c, kind)] for c, kind in asked}
         )
-        stats = attach(wide)
+        for c in plain:
+            wide = wide.withColumn(names[(c, "mode")], F.col(names[(c, "mode")]).cast(df.schema[c].dataType))
+        stats = attach(wide.withColumnsRenamed({f"__k{i}": k for i, k in enumerate(keys.values())}))
     for c, kind in wanted:
-        if kind == "mode":
+        if kind == "mode" and c not in plain:
             counted = (
                 df.where(col(c).isNotNull())
                 .groupBy(*by, col(c).alias("__v"))
