@@ -196,26 +196,43 @@ def a08(spark, d):
     return L.parsed_feedback(table(spark, d, "feedback"))
 
 
-@check(
-    "a09_reinforced_patterns",
-    ("learning_log", "feedback"),
-    f"with {PATTERNS}, {PARSED}, "
-    "u as (select agent_name, coalesce(context, '') as context, feedback_at, action_id, 1 as part, "
-    "case when rating >= 4 then 1.1e0 when rating <= 2 then 0.9e0 end as m from parsed union all "
-    "select agent_name, case when coalesce(context, '') <> '' then context else target end, feedback_at, action_id, 2, "
-    "case when rating >= 4 then 1.05e0 when rating <= 2 then 0.9e0 end from parsed where feedback_type = 'nlp_parsed'), "
-    "j as (select p.agent_name, p.pattern, p.success_rate, p.confidence, "
-    "list(u.m order by u.feedback_at, u.action_id, u.part) filter (where u.m is not null) as steps "
-    "from rated p left join u on p.agent_name = u.agent_name and contains(p.pattern, u.context) group by all) "
-    "select agent_name, pattern, "
-    "round(list_reduce(list_prepend(success_rate, coalesce(steps, [])), lambda a, b: a * b), 6) as success_rate, "
-    "round(list_reduce(list_prepend(confidence, coalesce(steps, [])), lambda a, b: least(1e0, a * b)), 6) as confidence from j",
-)
+def _reinforced(parsed: str) -> str:
+    return (
+        f"with {PATTERNS}, {parsed}, "
+        "u as (select agent_name, coalesce(context, '') as context, feedback_at, action_id, 1 as part, "
+        "case when rating >= 4 then 1.1e0 when rating <= 2 then 0.9e0 end as m from parsed union all "
+        "select agent_name, case when coalesce(context, '') <> '' then context else target end, feedback_at, action_id, 2, "
+        "case when rating >= 4 then 1.05e0 when rating <= 2 then 0.9e0 end from parsed where feedback_type = 'nlp_parsed'), "
+        "j as (select p.agent_name, p.pattern, p.success_rate, p.confidence, "
+        "list(u.m order by u.feedback_at, u.action_id, u.part) filter (where u.m is not null) as steps "
+        "from rated p left join u on p.agent_name = u.agent_name and contains(p.pattern, u.context) group by all) "
+        "select agent_name, pattern, "
+        "round(list_reduce(list_prepend(success_rate, coalesce(steps, [])), lambda a, b: a * b), 6) as success_rate, "
+        "round(list_reduce(list_prepend(confidence, coalesce(steps, [])), lambda a, b: least(1e0, a * b)), 6) as confidence from j"
+    )
+
+
+@check("a09_reinforced_patterns", ("learning_log", "feedback"), _reinforced(PARSED))
 def a09(spark, d):
     result = L.reinforced_patterns(_patterns(spark, d), table(spark, d, "feedback"))
     return _rounded(result, "success_rate", "confidence")
 
 
+#: Nine of ten feedbacks fall into one hour.
+RUSH = (
+    "(select * replace (case when action_id % 10 < 9 then timestamp '2024-01-15 10:00:00' + to_seconds(action_id % 3600) "
+    "else feedback_at end as feedback_at) from feedback)"
+)
+
+
+@check("a09_reinforced_in_one_hour", ("learning_log", "feedback"), _reinforced(PARSED.replace("from feedback)", f"from {RUSH} f)")))
+def a09_rush(spark, d):
+    hour = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-15 10:00:00")) + F.col("action_id") % 3600)
+    rush = F.when(F.col("action_id") % 10 < 9, hour).otherwise(F.col("feedback_at"))
+    feedback = table(spark, d, "feedback").withColumn("feedback_at", rush)
+    return _rounded(L.reinforced_patterns(_patterns(spark, d), feedback), "success_rate", "confidence")
+
+
 BY_TYPE = (
     "words as (select *, regexp_split_to_array(lower(feedback_text), '\\s+') as w from feedback "
     f"where {_within('feedback_at', 30)}), "

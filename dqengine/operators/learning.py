@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dqengine.schemas import SeverityThresholds
+from dqengine.session import materialize
 
 # Limits, weights and word lists of the learning rules.
 CONFIDENT = 0.3
@@ -256,74 +257,85 @@ def pattern_updates(feedback: DataFrame) -> DataFrame:
     )
 
 
+#: Lengths of the pieces of pattern names by which contexts find them; a context looks for the longest it fills.
+GRAMS = (1, 2, 4, 8)
+
+
+def context_matches(names: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``(agent_name, pattern, context)`` where the name of the pattern contains the context.
+
+    Every name is indexed by its pieces of a few fixed lengths, and a context by the first such piece of its own; what
+    shares one is compared. The empty context is the empty piece, which every name has once.
+    """
+    pattern, context = F.col("pattern"), F.col("context")
+
+    def pieces(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(pattern) - (n - 1))
+        return F.when(F.length(pattern) >= n, F.transform(starts, lambda i: F.substring(pattern, i, F.lit(n))))
+
+    every = F.array_distinct(F.flatten(F.array_compact(F.array(F.array(F.lit("")), *map(pieces, GRAMS)))))
+    index = names.select("agent_name", "pattern", F.explode(every).alias("piece"))
+    fills = F.lit("")
+    for n in GRAMS:
+        fills = F.when(F.length(context) >= n, F.left(context, F.lit(n))).otherwise(fills)
+    wanted = contexts.select("agent_name", "context", fills.alias("piece"))
+    found = index.join(wanted, ["agent_name", "piece"]).where(F.contains(pattern, context))
+    return found.select("agent_name", "pattern", "context")
+
+
+def run_effects(steps: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """For each run of logarithms their sum ``total``, and the largest sum ``peak`` of a leading part.
+
+    The pairs (sum, largest leading sum) of neighbouring parts of a run combine to that of both. All steps are put in
+    order over all tasks, so a run may lie in many of them; each task forms the pairs of its own parts, and the few
+    pairs of a run are combined in order.
+    """
+    every = [*keys, *order, value]
+    placed = steps.select(*every).repartitionByRange(*every).withColumn("__part", F.spark_partition_id())
+    placed = materialize(placed, "runs")
+    inside = Window.partitionBy("__part", *keys).orderBy(*order, value).rowsBetween(Window.unboundedPreceding, 0)
+    parts = (
+        placed.withColumn("__run", F.sum(value).over(inside))
+        .groupBy("__part", *keys)
+        .agg(F.sum(value).alias("__sum"), F.max("__run").alias("__peak"))
+    )
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        parts.withColumn("__start", F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)))
+        .groupBy(*keys)
+        .agg(F.sum("__sum").alias("total"), F.max(F.col("__start") + F.col("__peak")).alias("peak"))
+    )
+
+
 def reinforced_patterns(patterns: DataFrame, feedback: DataFrame) -> DataFrame:
     """Patterns after all feedback whose context their name contains.
 
     The rate is multiplied freely; the confidence is cut at 1 after every step. A run of
     steps ``c -> min(1, c * m)`` equals ``min(c * A, A / P)``, where ``A`` is the product of
-    all multipliers and ``P`` the largest product of a leading part of the run. ``A`` and
-    ``P`` are sums and running maxima of logarithms, combined hour by hour, so no run of
-    feedback is gathered in one task. Contexts meet patterns through the substrings of the
-    pattern names, not through pairs.
+    all multipliers and ``P`` the largest product of a leading part of the run. Both come
+    from ``run_effects`` over logarithms, so no run of feedback is gathered in one task.
+    Patterns that the same contexts meet share one history, named by two hashes over its
+    contexts.
     """
-    updates = pattern_updates(feedback)
-    lengths = [
-        row["n"] for row in updates.select(F.length("context").alias("n")).distinct().collect()
-    ]
-    names = patterns.select("agent_name", "pattern")
-    spans = F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.expr("array()").cast("array<int>")
-    pieces = (
-        names.withColumn("__n", F.explode(spans))
-        .where(F.col("__n") <= F.length("pattern"))
-        .withColumn("__start", F.explode(F.sequence(F.lit(1), F.length("pattern") - F.col("__n") + 1)))
-        .select(
-            "agent_name",
-            "pattern",
-            F.expr("substring(pattern, __start, __n)").alias("context"),
-        )
-        .distinct()
-    )
+    updates = materialize(pattern_updates(feedback), "updates")
     contexts = updates.select("agent_name", "context").distinct()
-    matches = pieces.join(contexts, ["agent_name", "context"], "left_semi")
-    # Patterns met by the same contexts share one history.
-    histories = matches.groupBy("agent_name", "pattern").agg(
-        F.array_sort(F.collect_set("context")).alias("__contexts")
-    )
-    shared = (
-        histories.select("agent_name", "__contexts")
-        .distinct()
-        .select("agent_name", "__contexts", F.explode("__contexts").alias("context"))
-    )
-    steps = updates.join(shared, ["agent_name", "context"]).withColumn(
-        "__hour", F.date_trunc("hour", "at")
-    )
-    within = Window.partitionBy("agent_name", "__contexts", "__hour").orderBy(
-        "at", "action_id", "part"
-    )
-    hourly = (
-        steps.withColumn("__run", F.sum("ln_m").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("agent_name", "__contexts", "__hour")
-        .agg(F.sum("ln_m").alias("__sum"), F.max("__run").alias("__peak"))
-    )
-    before = Window.partitionBy("agent_name", "__contexts").orderBy("__hour")
-    totals = (
-        hourly.withColumn(
-            "__start",
-            F.coalesce(
-                F.sum("__sum").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)
-            ),
-        )
-        .groupBy("agent_name", "__contexts")
-        .agg(F.sum("__sum").alias("__all"), F.max(F.col("__start") + F.col("__peak")).alias("__top"))
-    )
-    effect = histories.join(totals, ["agent_name", "__contexts"]).drop("__contexts")
-    product = F.exp("__all")
+    names = patterns.select("agent_name", "pattern").distinct()
+    matches = materialize(context_matches(names, contexts), "matches")
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "context")).alias(f"__h{seed}") for seed in (1, 2)]
+    histories = matches.groupBy("agent_name", "pattern").agg(*marks)
+    keys = ["agent_name", "__h1", "__h2"]
+    first = histories.groupBy(*keys).agg(F.min("pattern").alias("pattern"))
+    shared = matches.join(first, ["agent_name", "pattern"]).select(*keys, "context")
+    steps = updates.join(shared, ["agent_name", "context"])
+    effects = run_effects(steps, keys, ["at", "action_id", "part"], "ln_m")
+    effect = histories.join(effects, keys).select("agent_name", "pattern", "total", "peak")
+    product = F.exp("total")
     return patterns.join(effect, ["agent_name", "pattern"], "left").select(
         "agent_name",
         "pattern",
         F.coalesce(F.col("success_rate") * product, F.col("success_rate")).alias("success_rate"),
         F.coalesce(
-            F.least(F.col("confidence") * product, F.exp(F.col("__all") - F.col("__top"))),
+            F.least(F.col("confidence") * product, F.exp(F.col("total") - F.col("peak"))),
             F.col("confidence"),
         ).alias("confidence"),
     )

@@ -1,3 +1,4 @@
+import itertools
 import random
 from datetime import datetime, timedelta
 
@@ -74,6 +75,28 @@ def test_reinforcement_equals_step_by_step_updates(spark):
         assert r["confidence"] == pytest.approx(confidence, rel=1e-9)
 
 
+def test_contexts_find_names_that_contain_them(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abc_") for _ in range(n))
+    names = {text(rng.randint(0, 14)) for _ in range(60)}
+    contexts = {text(rng.randint(0, 10)) for _ in range(60)} | {""}
+    got = L.context_matches(
+        spark.createDataFrame([("A", n) for n in names], "agent_name string, pattern string"),
+        spark.createDataFrame([(a, c) for a in "AB" for c in contexts], "agent_name string, context string"),
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(("A", n, c) for n in names for c in contexts if c in n)
+
+
+def test_runs_over_many_parts(spark):
+    rng = random.Random(5)
+    steps = [(rng.choice("ab") if i % 10 else "c", i, rng.uniform(-1, 1)) for i in range(3000)]
+    df = spark.createDataFrame(steps, "k string, at long, v double").repartition(6)
+    got = {r["k"]: (r["total"], r["peak"]) for r in L.run_effects(df, ["k"], ["at"], "v").collect()}
+    for key in "abc":
+        run = list(itertools.accumulate(v for k, _, v in steps if k == key))
+        assert got[key] == (pytest.approx(run[-1]), pytest.approx(max(run)))
+
+
 def test_no_feedback_changes_nothing(spark):
     patterns = spark.createDataFrame([("A", "x_y", 0.5, 0.7)], PATTERN)
     empty = spark.createDataFrame([], FEEDBACK)
