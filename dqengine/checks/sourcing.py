@@ -80,6 +80,62 @@ def s02_mixed(spark, d):
     return files.read_json(spark, path)
 
 
+@check(
+    "s01_csv_folder_of_headers",
+    (),
+    "select o_orderkey, o_orderstatus, case when o_orderkey % 3 = 2 then o_totalprice end as o_totalprice, "
+    "case when o_orderkey % 3 = 1 then concat('two', chr(10), 'lines') end as note from orders",
+)
+def s01_headers(spark, d):
+    """Three kinds of files in one folder: two orders of the same columns, and columns of their own, also in quotes."""
+    path = scratch_path(spark, "headers") + ".csv"
+    orders = table(spark, d, "orders").withColumn("note", F.lit("two\nlines"))
+    columns = (["o_orderkey", "o_orderstatus"], ["note", "o_orderstatus", "o_orderkey"], ["o_totalprice", "o_orderkey", "o_orderstatus"])
+    for i, names in enumerate(columns):
+        part = orders.where(F.col("o_orderkey") % 3 == i).select(*names)
+        store.export(part, path, "csv") if i == 0 else part.write.mode("append").options(header="true", escape='"').csv(path)
+    return files.read_table(spark, path)
+
+
+def _some_broken(spark, d, path):
+    """Orders as JSON lines, every seventh cut off in the middle."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    line = F.to_json(F.struct(*orders.columns))
+    cut = F.when(F.col("o_orderkey") % 7 == 0, F.left(line, F.lit(12))).otherwise(line)
+    orders.select(cut.alias("value")).write.text(path)
+
+
+@check("s02_json_broken_lines", (), "select o_orderkey, o_totalprice from orders where o_orderkey % 7 <> 0")
+def s02_broken(spark, d):
+    path = scratch_path(spark, "broken")
+    _some_broken(spark, d, path)
+    return files.read_json(spark, path).select("o_orderkey", "o_totalprice")
+
+
+@check(
+    "s02_json_rejected_lines",
+    (),
+    "select '{\"o_orderkey' as text, 'not JSON' as reason, count(*) as n from orders where o_orderkey % 7 = 0 having count(*) > 0",
+)
+def s02_rejected(spark, d):
+    path = scratch_path(spark, "broken")
+    _some_broken(spark, d, path)
+    return files.rejected_json(spark, path).groupBy("text", "reason").agg(F.count("*").alias("n"))
+
+
+@check("s02_json_array_documents", (), "select doc_id, text, lang from documents")
+def s02_arrays(spark, d):
+    """Files that are one array of objects, some on one line and some with a line for each field."""
+    path = scratch_path(spark, "arrays")
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    for part, glue in ((0, ","), (1, ",\n")):
+        record = F.to_json(F.struct("doc_id", "text", "lang"))
+        mine = docs.where(F.pmod("doc_id", F.lit(2)) == part).groupBy(F.pmod("doc_id", F.lit(8)).alias("file"))
+        text = mine.agg(F.concat(F.lit("[\n" if part else "["), F.array_join(F.collect_list(record), glue), F.lit("]")).alias("value"))
+        text.repartition("file").write.mode("append").partitionBy("file").text(path)
+    return files.read_json(spark, path)
+
+
 @check(
     "s01_csv_missing_values",
     (LI,),
@@ -398,17 +454,21 @@ def s16(spark, d):
     return original.unionByName(processed)
 
 
-@check("s17_exported_csv", (DOC,), f"select doc_id, lang, source, n_chars, cast(quality as bigint) as quality, cast(toxic as bigint) as toxic from {DOC}")
+def _labeled_texts(spark, d):
+    return table(spark, d, DOC).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+@check("s17_exported_csv", (DOC,), f"select l.doc_id, d.text, l.lang, l.source, l.n_chars, cast(quality as bigint) as quality, cast(toxic as bigint) as toxic from {DOC} l join documents d on l.doc_id = d.doc_id")
 def s17(spark, d):
     path = scratch_path(spark, "export") + ".csv"
-    store.export(table(spark, d, DOC), path, "csv")
+    store.export(_labeled_texts(spark, d), path, "csv")
     return files.read_csv(spark, path)
 
 
-@check("s17_exported_json", (DOC,), f"select doc_id, lang, source, n_chars, cast(quality as bigint) as quality, cast(toxic as bigint) as toxic from {DOC}")
+@check("s17_exported_json", (DOC,), f"select l.doc_id, d.text, l.lang, l.source, l.n_chars, cast(quality as bigint) as quality, cast(toxic as bigint) as toxic from {DOC} l join documents d on l.doc_id = d.doc_id")
 def s17_json(spark, d):
     path = scratch_path(spark, "export") + ".json"
-    store.export(table(spark, d, DOC), path, "json")
+    store.export(_labeled_texts(spark, d), path, "json")
     return files.read_json(spark, path)
 
 

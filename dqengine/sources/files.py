@@ -126,8 +126,7 @@ def _across_parts(pieces: DataFrame, separator: str) -> DataFrame:
     order = Window.partitionBy("file").orderBy("block", "number")
     edges = texts.where("number = 0 or number = last").withColumn("record", F.sum((F.col("number") > 0).cast("int")).over(order))
     crossing = edges.groupBy("file", "record").agg(F.min("seq").alias("seq"), joined("text"))
-    # Rows of one task keep the order of the file.
-    return inner.union(crossing.select("file", "seq", "text")).sortWithinPartitions("seq")
+    return inner.union(crossing.select("file", "seq", "text"))
 
 
 def _joined_records(lines: DataFrame) -> DataFrame:
@@ -195,7 +194,7 @@ def read_csv(
     each record go to the columns its file names. ``multi_line`` says whether quotes span lines, instead of looking.
 
     Texts that mean "missing" are null. Types are those of ``schema``, which then also chooses the columns (cells of
-    another type are null), or are found by one aggregation. Blank lines are no rows.
+    another type are null), or are found by one aggregation. Blank lines are no rows. Rows come in no certain order.
     """
     lines = _lines(spark, path)
     files = materialize(_csv_files(lines, multi_line), "csv-files")
@@ -274,9 +273,14 @@ def _json_files(lines: DataFrame) -> DataFrame:
 
 
 def _one_value(text: str) -> Column:
-    """The only JSON value of a text. A parser that stops after the first value would lose what stands behind it."""
+    """The only JSON value of a text.
+
+    The parser stops after the first value and would lose what stands behind it. Inside a list and inside an object
+    anything more is an error, but for a closing bracket of that kind; so both have to be read.
+    """
     values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
+    alone = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when((F.size(values) == 1) & alone, F.get(values, F.lit(0)))
 
 
 def _array_elements(pieces: DataFrame) -> DataFrame:
