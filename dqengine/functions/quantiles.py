@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -229,6 +229,26 @@ class _Target:
         return above if self.high is None else above & (value < self.high)
 
 
+def bracket_ends(columns: Sequence[str], probabilities: Sequence[float], margin: float = 2.0 / GRID_ACCURACY) -> list[Column]:
+    """Aggregates of a mergeable summary: for each column the ends of the brackets of all shares."""
+    asked = [min(1.0, max(0.0, e)) for p in probabilities for e in (p - margin, p + margin)]
+    return [
+        F.percentile_approx(col(c).cast("double"), asked, GRID_ACCURACY).alias(f"__e{i}") for i, c in enumerate(columns)
+    ]
+
+
+def bracket_targets(
+    sketch: Row, columns: Sequence[str], probabilities: Sequence[float], margin: float = 2.0 / GRID_ACCURACY
+) -> list[_Target]:
+    """The brackets that the row of ``bracket_ends`` gives; ends beyond the lowest and highest share are open."""
+    targets = []
+    for i, c in enumerate(columns):
+        for j, p in enumerate(probabilities):
+            low, high = sketch[f"__e{i}"][2 * j : 2 * j + 2] if sketch[f"__e{i}"] else (None, None)
+            targets.append(_Target(c, float(p), low if p > margin else None, high if p < 1.0 - margin else None))
+    return targets
+
+
 def _brackets(
     df: DataFrame, columns: list[str], probabilities: Sequence[float], rows: int
 ) -> list[_Target]:
@@ -237,68 +257,65 @@ def _brackets(
     if rows > SAMPLE_ROWS:
         margin += SAMPLE_SIGMAS * math.sqrt(0.25 / SAMPLE_ROWS)
         sample = df.sample(SAMPLE_ROWS / rows, seed=7)
-    ends = [(p - margin, p + margin) for p in probabilities]
-    asked = [min(1.0, max(0.0, e)) for pair in ends for e in pair]
-    sketch = sample.agg(
-        *[
-            F.percentile_approx(col(c).cast("double"), asked, GRID_ACCURACY).alias(f"e{i}")
-            for i, c in enumerate(columns)
+    sketch = sample.agg(*bracket_ends(columns, probabilities, margin)).first()
+    return bracket_targets(sketch, columns, probabilities, margin)
+
+
+def bracket_counts(columns: Sequence[str], targets: Sequence[_Target]) -> list[Column]:
+    """Aggregates: values of each column, and those below, at the ends of and inside each bracket."""
+    measures = [F.count(col(c)).alias(f"__n_{i}") for i, c in enumerate(columns)]
+    for k, t in enumerate(targets):
+        value, none = col(t.column).cast("double"), F.lit(0).cast("long")
+        measures += [
+            (none if t.low is None else F.count_if(value < t.low)).alias(f"__less{k}"),
+            (none if t.low is None else F.count_if(value == t.low)).alias(f"__low{k}"),
+            F.count_if(t.inside(value)).alias(f"__mid{k}"),
+            (none if t.high in (None, t.low) else F.count_if(value == t.high)).alias(f"__high{k}"),
         ]
-    ).first()
-    targets = []
-    for i, c in enumerate(columns):
-        for j, (p, (below, above)) in enumerate(zip(probabilities, ends)):
-            low, high = sketch[f"e{i}"][2 * j : 2 * j + 2] if sketch[f"e{i}"] else (None, None)
-            targets.append(
-                _Target(c, float(p), low if below > 0.0 else None, high if above < 1.0 else None)
-            )
-    return targets
+    return measures
 
 
 def _bracketed(
     df: DataFrame, columns: list[str], probabilities: Sequence[float], rows: int, direct_rows: int
 ) -> list[tuple[str, float, float | None]] | None:
-    """Three scans; None if a bracket missed its rank or holds too many rows.
+    """Three scans; None if a bracket missed its rank or holds too many rows."""
+    targets = _brackets(df, columns, probabilities, rows)
+    return at_brackets(df, columns, targets, df.agg(*bracket_counts(columns, targets)).first(), direct_rows)
+
+
+def at_brackets(
+    df: DataFrame, columns: Sequence[str], targets: list[_Target], counts: Row, direct_rows: int = DIRECT_ROWS
+) -> list[tuple[str, float, float | None]] | None:
+    """Exact quantiles from the counts around brackets, and a scan for the values inside; None if one missed its rank.
 
     A bracket spans a small share of the rows. A value that fills more than that share is
     itself an end of the bracket, so it does not count as inside.
     """
-    targets = _brackets(df, columns, probabilities, rows)
-    measures = [F.count(col(c)).alias(f"n_{i}") for i, c in enumerate(columns)]
-    for k, t in enumerate(targets):
-        value, none = col(t.column).cast("double"), F.lit(0).cast("long")
-        measures += [
-            (none if t.low is None else F.count_if(value < t.low)).alias(f"less{k}"),
-            (none if t.low is None else F.count_if(value == t.low)).alias(f"low{k}"),
-            F.count_if(t.inside(value)).alias(f"mid{k}"),
-            (none if t.high in (None, t.low) else F.count_if(value == t.high)).alias(f"high{k}"),
-        ]
-    counts = df.agg(*measures).first()
-
+    columns = list(columns)
     known: dict[tuple[int, int], float] = {}
     picks: list[tuple[int, int]] = []
     for k, t in enumerate(targets):
-        n = counts[f"n_{columns.index(t.column)}"]
+        n = counts[f"__n_{columns.index(t.column)}"]
         if not n:
             continue
         position = t.share * (n - 1)
-        first_mid = counts[f"less{k}"] + counts[f"low{k}"]
-        first_high = first_mid + counts[f"mid{k}"]
+        first_mid = counts[f"__less{k}"] + counts[f"__low{k}"]
+        first_high = first_mid + counts[f"__mid{k}"]
         for rank in {math.floor(position), math.ceil(position)}:
-            if counts[f"less{k}"] <= rank < first_mid:
+            if counts[f"__less{k}"] <= rank < first_mid:
                 known[(k, rank)] = t.low
-            elif first_mid <= rank < first_high and counts[f"mid{k}"] <= direct_rows:
+            elif first_mid <= rank < first_high and counts[f"__mid{k}"] <= direct_rows:
                 picks.append((k, rank - first_mid))
-            elif first_high <= rank < first_high + counts[f"high{k}"]:
+            elif first_high <= rank < first_high + counts[f"__high{k}"]:
                 known[(k, rank)] = t.high
             else:
                 return None
     for k, at, value in _ranked_inside(df, targets, picks):
-        known[(k, at + counts[f"less{k}"] + counts[f"low{k}"])] = value
+        known[(k, at + counts[f"__less{k}"] + counts[f"__low{k}"])] = value
 
     found = []
     for k, t in enumerate(targets):
-        n = counts[f"n_{columns.index(t.column)}"]
+        n = counts[f"__n_{columns.index(t.column)}"]
         if not n:
             found.append((t.column, t.share, None))
             continue

@@ -44,9 +44,11 @@ def repeat_filter(tagged: DataFrame, maps: int) -> DataFrame:
     return repeated.groupBy(number.alias("__map")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
 
 
-def _split(df: DataFrame, fingerprint_rows: int) -> tuple[DataFrame, DataFrame] | None:
+def _split(
+    df: DataFrame, fingerprint_rows: int, rows: int | None = None
+) -> tuple[DataFrame, DataFrame] | None:
     """(rows that are unique, rows that may repeat), or None if plain grouping is better."""
-    if df.count() <= fingerprint_rows:
+    if (df.count() if rows is None else rows) <= fingerprint_rows:
         return None
     tagged = df.withColumn("__fp", row_fingerprint(df))
     found = materialize(repeat_filter(tagged, FILTER_MAPS), "repeats")
@@ -71,10 +73,12 @@ def row_copies(df: DataFrame, fingerprint_rows: int = FINGERPRINT_ROWS) -> DataF
     )
 
 
-def duplicate_count(df: DataFrame, fingerprint_rows: int = FINGERPRINT_ROWS) -> DataFrame:
-    """One row ``duplicates``: rows equal to an earlier row on every column."""
+def duplicate_count(
+    df: DataFrame, fingerprint_rows: int = FINGERPRINT_ROWS, rows: int | None = None
+) -> DataFrame:
+    """One row ``duplicates``: rows equal to an earlier row on every column. ``rows`` saves counting them."""
     df = groupable(df)
-    parts = _split(df, fingerprint_rows)
+    parts = _split(df, fingerprint_rows, rows)
     candidates = df if parts is None else parts[1]
     return (
         candidates.groupBy(*[col(c) for c in df.columns])
@@ -83,7 +87,9 @@ def duplicate_count(df: DataFrame, fingerprint_rows: int = FINGERPRINT_ROWS) ->
     )
 
 
-def drop_duplicate_rows(df: DataFrame, fingerprint_rows: int = FINGERPRINT_ROWS) -> DataFrame:
+def drop_duplicate_rows(
+    df: DataFrame, fingerprint_rows: int = FINGERPRINT_ROWS, rows: int | None = None
+) -> DataFrame:
     """One copy of every row. Copies are equal, so first and last give the same table."""
     maps = [f.name for f in df.schema.fields if holds_map(f.dataType)]
     if maps:
@@ -91,7 +97,7 @@ def drop_duplicate_rows(df: DataFrame, fingerprint_rows: int = FINGERPRINT_ROWS)
         keyed = df.select("*", *[F.to_json(col(c)).alias(t) for c, t in texts.items()])
         subset = [texts.get(c, c) for c in df.columns]
         return keyed.dropDuplicates(subset).drop(*texts.values())
-    parts = _split(df, fingerprint_rows)
+    parts = _split(df, fingerprint_rows, rows)
     if parts is None:
         return df.dropDuplicates()
     unique, candidates = parts

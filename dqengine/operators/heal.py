@@ -24,6 +24,7 @@ from dqengine.functions.quantiles import (
     quantile_values,
 )
 from dqengine.operators.duplicates import FINGERPRINT_ROWS, drop_duplicate_rows, duplicate_count, keep_one_per_key
+from dqengine.operators.facts import Facts
 from dqengine.operators.fill import ROWS_PER_CHUNK, fill_along
 from dqengine.operators.profile import z_score
 from dqengine.schemas import (
@@ -227,9 +228,10 @@ def _within(action: Action, stat: Statistic, rules: QualityRules) -> Column:
 
 
 def _rewrite(
-    df: DataFrame, action: Action, stat: Statistic, rules: QualityRules, kinds: dict[str, T.DataType]
+    df: DataFrame, action: Action, stat: Statistic, rules: QualityRules, kinds: Kinds, rows: int | None = None
 ) -> DataFrame:
-    """The table after one action; lazy. ``kinds`` are the types of columns whose cells become fractions.
+    """The table after one action; lazy. ``kinds`` are the types of columns whose cells become fractions, ``rows``
+    is the number of rows of the table, if known.
 
     Cells that do not change are only brought to that type, never computed with.
     """
@@ -248,7 +250,7 @@ def _rewrite(
         if keys:
             keep = "last" if method.endswith("LAST") else "first"
             return keep_one_per_key(df, keys, action.options["order_by"], keep)
-        return drop_duplicate_rows(df, action.options.get("fingerprint_rows", FINGERPRINT_ROWS))
+        return drop_duplicate_rows(df, action.options.get("fingerprint_rows", FINGERPRINT_ROWS), rows)
     if method in Z_FILTERS:
         return df.where(_within(action, stat, rules))
     if method in CLIPS:
@@ -279,12 +281,22 @@ def _replace(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def _read_statistics(
-    df: DataFrame, actions: Sequence[Action], direct_rows: int, count: bool
+    df: DataFrame, actions: Sequence[Action], direct_rows: int, count: bool, known: Facts | None = None
 ) -> tuple[int | None, dict[tuple[str, str], object], Kinds]:
-    """Row count, the numbers the actions need, and types of fractions: one aggregation, plus quantiles and modes."""
+    """Row count, the numbers the actions need, and types of fractions: one aggregation, plus quantiles and modes.
+
+    Numbers that are ``known`` of this very table are not read again.
+    """
     wanted = {(a.column, kind) for a in actions for kind in _needs(a)}
     if not wanted and not count:
         return None, {}, {}
+    if known is not None and not _long_columns(df, actions):
+        kinds = _fractions_of(df, actions, set())
+        found = {w: known.number(*w, QUANTILES.get(w[1])) for w in wanted if w[1] != "mode"}
+        if all(have for have, _ in found.values()) and not any(isinstance(k, T.DecimalType) for k in kinds.values()):
+            numbers = {w: value for w, (_, value) in found.items()}
+            modes = most_frequent_values(df, sorted(c for c, kind in wanted if kind == "mode"))
+            return known.rows, numbers | {(c, "mode"): text for c, text in modes.items()}, kinds
     moments = sorted(w for w in wanted if w[1] in ("mean", "std"))
     longs = _long_columns(df, actions)
     row = df.agg(
@@ -359,6 +371,7 @@ def heal(
     write_end: bool = False,
     write_after: int = 4,
     direct_rows: int = DIRECT_ROWS,
+    known: Facts | None = None,
 ) -> Healed:
     """Apply the actions in order, each on the result of the one before.
 
@@ -369,6 +382,7 @@ def heal(
     after a step that shuffles it, and after every ``write_after`` row-changing steps:
     later scans then neither repeat the shuffle nor carry an ever longer plan.
     ``write_end`` does the same with the final table, for callers that scan it again.
+    ``known`` are facts of ``df``, which save the first stage from reading its numbers.
     """
     current = nan_to_null(df)
     entries: list[dict] = []
@@ -384,7 +398,8 @@ def heal(
             else:
                 ready.append(action)
         try:
-            rows, numbers, kinds = _read_statistics(current, ready, direct_rows, measure)
+            facts = known if number == 0 else None
+            rows, numbers, kinds = _read_statistics(current, ready, direct_rows, measure, facts)
         except Exception:
             # Find the actions whose numbers cannot be read; the others go on.
             for action in list(ready):
@@ -394,7 +409,7 @@ def heal(
             rows, numbers, kinds = _read_statistics(current, ready, direct_rows, measure)
         stat = _literals(current, numbers)
         for action in list(ready):
-            if action.method == CUSTOM:
+            if action.method == CUSTOM or action.method in DEDUPLICATE and not action.options.get("keys"):
                 continue
             # Analysis finds what cannot run on this table before anything is counted.
             if error := _failure(lambda a=action: _rewrite(current, a, stat, rules, kinds).schema):
@@ -421,7 +436,7 @@ def heal(
                 rows, old = (current.count() if measure else None), rows
                 entries.append(_entry(action, old, rows, 0 if measure else None, None, len(entries)))
                 continue
-            current = _rewrite(current, action, stat, rules, kinds)
+            current = _rewrite(current, action, stat, rules, kinds, rows)
             after, cells = rows, counts.get(action.key)
             if not measure:
                 entries.append(_entry(action, None, None, None, None, len(entries)))
@@ -448,7 +463,7 @@ def heal(
 def _rows_after(before: DataFrame, after: DataFrame, action: Action, rows: int) -> int:
     if action.options.get("keys"):
         return after.count()
-    return rows - duplicate_count(before).first()["duplicates"]
+    return rows - duplicate_count(before, rows=rows).first()["duplicates"]
 
 
 def _measure(

@@ -31,7 +31,7 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
-def _null_sums(df: DataFrame) -> list[Column]:
+def null_sums(df: DataFrame) -> list[Column]:
     return [
         (F.count("*") - F.count(col(c))).alias(f"__null{i}") for i, c in enumerate(df.columns)
     ]
@@ -40,7 +40,7 @@ def _null_sums(df: DataFrame) -> list[Column]:
 def null_counts(df: DataFrame) -> DataFrame:
     """Rows ``(column_name, affected_rows, total_rows, percentage)`` of columns with nulls."""
     df = nan_to_null(df)
-    wide = df.agg(F.count("*").alias("total_rows"), *_null_sums(df))
+    wide = df.agg(F.count("*").alias("total_rows"), *null_sums(df))
     entries = [
         F.struct(F.lit(c).alias("column_name"), F.col(f"__null{i}").alias("affected_rows"))
         for i, c in enumerate(df.columns)
@@ -60,7 +60,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 def missing_cells(df: DataFrame) -> DataFrame:
     """One row: missing cells over all columns."""
     df = nan_to_null(df)
-    wide = df.agg(*_null_sums(df))
+    wide = df.agg(*null_sums(df))
     total = sum((F.col(f"__null{i}") for i in range(len(df.columns))), F.lit(0).cast("long"))
     return wide.select(F.coalesce(total, F.lit(0)).alias("missing_cells"))
 
@@ -250,12 +250,17 @@ def find_issues(
     duplicates = duplicate_count(df, fingerprint_rows).scalar()
     wide = _with_moments(df, numeric).agg(
         F.count("*").alias("total_rows"),
-        *_null_sums(df),
+        *null_sums(df),
         *_outlier_sums(numeric, rules.outlier_std_threshold),
     ).withColumn("__dup", duplicates)
-    entries = [
-        _issue(NULL_VALUES, c, F.col(f"__null{i}"), "full_scan") for i, c in enumerate(df.columns)
-    ]
+    return graded_issues(wide, df.columns, numeric, limits)
+
+
+def graded_issues(
+    wide: DataFrame, columns: Sequence[str], numeric: Sequence[str], limits: SeverityThresholds
+) -> DataFrame:
+    """Issues from one row with ``total_rows``, ``__null<i>``, ``__dup`` and ``__out<i>``."""
+    entries = [_issue(NULL_VALUES, c, F.col(f"__null{i}"), "full_scan") for i, c in enumerate(columns)]
     entries.append(_issue(DUPLICATES, None, F.col("__dup"), "full_scan"))
     entries += [_issue(OUTLIERS, c, F.col(f"__out{i}"), "full_scan") for i, c in enumerate(numeric)]
     return _graded(wide, entries, limits)
@@ -278,7 +283,7 @@ def find_issues_sampled(
         F.count_if((col(c) < F.lit(low)) | (col(c) > F.lit(high))).alias(f"__out_{c}")
         for c, (low, high) in bounds.items()
     ]
-    wide = df.agg(F.count("*").alias("total_rows"), *_null_sums(df), *outlier_sums).withColumn(
+    wide = df.agg(F.count("*").alias("total_rows"), *null_sums(df), *outlier_sums).withColumn(
         "__dup", duplicates
     )
     entries = [
@@ -329,7 +334,7 @@ def recalculated_score(
     zero = F.lit(0).cast("long")
     wide = _with_moments(df, numeric).agg(
         F.count("*").alias("total_rows"),
-        *_null_sums(df),
+        *null_sums(df),
         *_outlier_sums(numeric, rules.outlier_std_threshold),
     )
     nulls = sum((F.col(f"__null{i}") for i in range(len(df.columns))), zero)
@@ -345,8 +350,11 @@ def recalculated_score(
     return counted.withColumn("quality_score", F.greatest(F.lit(0.0), 100.0 - share))
 
 
-def quality_report(df: DataFrame, name: str, issues: DataFrame) -> DataFrame:
-    """One-row report of a profiled table."""
+def quality_report(df: DataFrame, name: str, issues: DataFrame, rows: int | None = None) -> DataFrame:
+    """One-row report of a profiled table; its rows are counted unless ``rows`` tells."""
+    size = shape(df)
+    if rows is not None:
+        size = df.sparkSession.createDataFrame([(rows, len(df.columns))], "total_records bigint, total_columns bigint")
     worst = issues.agg(
         F.struct(
             F.count("*").alias("n"),
@@ -359,8 +367,7 @@ def quality_report(df: DataFrame, name: str, issues: DataFrame) -> DataFrame:
         ).alias("s")
     ).scalar()
     return (
-        shape(df)
-        .withColumn("__s", worst)
+        size.withColumn("__s", worst)
         .select(
             F.lit(name).alias("dataset_name"),
             "total_records",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dqengine.functions.columns import col, nan_to_null, numeric_columns, percent, round_cents
 from dqengine.functions.quantiles import DIRECT_ROWS, exact_quantiles
+from dqengine.operators.facts import Facts
 from dqengine.operators.heal import Action
 from dqengine.schemas import (
     DUPLICATES,
@@ -285,16 +286,22 @@ def plan_for(
     learning_confidence: float | Column = DEFAULT_LEARNING_CONFIDENCE,
     preferred_methods: Sequence[str] = (),
     direct_rows: int = DIRECT_ROWS,
+    facts: Facts | None = None,
 ) -> DataFrame:
     """Proposed repairs of a table with the given issues.
 
+    ``facts`` of the table save reading its statistics.
+
     Computes the issues once, and statistics only for numeric columns that miss values.
     Both are local afterwards, so the plan can be read again without scanning the table.
     """
     rows = issues.collect()
     missing = {r["column_name"] for r in rows if r["issue_type"] == NULL_VALUES}
     numeric = [c for c in numeric_columns(df) if c in missing]
-    statistics = local_copy(column_statistics(df, numeric, direct_rows=direct_rows))
+    if facts is None:
+        statistics = local_copy(column_statistics(df, numeric, direct_rows=direct_rows))
+    else:
+        statistics = facts.statistics(df, numeric)
     kept = issues.sparkSession.createDataFrame(rows, ISSUE_SCHEMA)
     return propose_actions(kept, statistics, learning_confidence, preferred_methods, numeric_columns(df))
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dqengine.functions.columns import nan_to_null, percent
+from dqengine.operators.facts import table_facts
 from dqengine.operators.heal import Healed, heal
-from dqengine.operators.profile import find_issues, quality_report, recalculated_score
+from dqengine.operators.profile import quality_report, recalculated_score
 from dqengine.plans.repair_plan import (
     DEFAULT_LEARNING_CONFIDENCE,
     apply_decisions,
@@ -52,14 +53,15 @@ def repair_feed(
     df: DataFrame, name: str, limits: SeverityThresholds = DEFAULT_THRESHOLDS, measure: bool = True
 ) -> FeedRepair:
     """Profile, run every recommended repair without approval, and validate the result."""
-    issues = local_copy(find_issues(df, limits))
-    actions = plan_for(df, issues)
+    facts = table_facts(df)
+    issues = local_copy(facts.issues(df, limits))
+    actions = plan_for(df, issues, facts=facts)
     steps = as_actions(actions)
-    healed = heal(df, steps, measure=measure, write_end=True)
-    after = local_copy(find_issues(healed.df, limits))
+    healed = heal(df, steps, measure=measure, write_end=True, known=facts)
+    rest = table_facts(healed.df, shares=())
     validation = validation_report(
-        quality_report(df, name, issues),
-        quality_report(healed.df, f"HEALED_{name}", after),
+        quality_report(df, name, issues, facts.rows),
+        quality_report(healed.df, f"HEALED_{name}", rest.issues(healed.df, limits), rest.rows),
         len(steps),
     )
     return FeedRepair(issues, actions, healed, validation)
@@ -233,14 +235,15 @@ def process_dataset(
     execute_auto_approved: bool = False,
 ) -> ProcessedDataset:
     """Profile, run only the automatic repairs, and list what an operator must approve."""
-    issues = local_copy(find_issues(df, limits))
-    actions = plan_for(df, issues, learning_confidence, preferred_methods)
+    facts = table_facts(df)
+    issues = local_copy(facts.issues(df, limits))
+    actions = plan_for(df, issues, learning_confidence, preferred_methods, facts=facts)
     run = ["AUTO_EXECUTED", "AUTO_APPROVED"] if execute_auto_approved else ["AUTO_EXECUTED"]
     steps = as_actions(actions.where(F.col("approval_status").isin(*run)))
-    healed = heal(df, steps, write_end=True)
+    healed = heal(df, steps, write_end=True, known=facts)
     waiting = not actions.where("approval_status = 'NEEDS_APPROVAL'").isEmpty()
     status = "PENDING_APPROVAL" if waiting else "COMPLETED"
-    report = quality_report(df, name, issues).withColumns(
+    report = quality_report(df, name, issues, facts.rows).withColumns(
         {
             "status": F.lit(status),
             "final_quality_score": recalculated_score(healed.df).select("quality_score").scalar()

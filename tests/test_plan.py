@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from dqengine.operators.facts import table_facts
 from dqengine.operators.profile import find_issues
 from dqengine.plans import repair_plan as R
 from dqengine.plans import workflows as W
@@ -157,3 +158,32 @@ def test_failed_execution_gives_one_log_row(spark, dirty):
 def test_summary_lists_types_once(spark, dirty):
     row = R.plan_summary(R.plan_for(dirty, find_issues(dirty))).first()
     assert tuple(row) == (3, "HANDLE_NULLS, REMOVE_DUPLICATES")
+
+
+def test_a_whole_repair_scans_the_table_few_times(spark):
+    """Profile, plan and first repairs share their scans; the table is read once more for every step that needs it."""
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    plain = spark.range(2000).selectExpr(
+        "if(id % 10 = 0, null, cast(id % 97 as double)) as a", "if(id % 200 = 0, 9e9, cast(id % 13 as double)) as b",
+        "if(id % 7 = 0, null, cast(id % 3 as string)) as t",
+    )
+    df = plain.mapInArrow(counted, plain.schema)
+    facts = table_facts(df)
+    assert rows.value <= 4 * 2000
+    expected = {tuple(r) for r in find_issues(plain).collect()}
+    assert {tuple(r) for r in facts.issues(df).collect()} == expected
+    statistics = {tuple(r) for r in R.column_statistics(plain, ["a", "b"]).collect()}
+    known = {tuple(r) for r in facts.statistics(df, ["a", "b"]).select("column_name", "mean_value", "std_value", "median_value").collect()}
+    assert sorted((r[0], *[round(v, 9) for v in r[1:]]) for r in known) == sorted(
+        (r[0], *[round(v, 9) for v in r[1:]]) for r in statistics
+    )
+    rows.value = 0
+    done = W.repair_feed(df, "few", measure=False)
+    assert rows.value <= 6 * 2000  # facts, modes, and the repair itself
+    assert {e["success"] for e in done.healed.entries} == {True} and done.healed.df.where("a is null or t is null").count() == 0
