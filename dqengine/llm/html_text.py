@@ -3,7 +3,12 @@
 A tree is built first, with the end tags and table rows that HTML lets authors leave out. Then the visible nodes are
 rendered: blocks on lines of their own, a blank line around paragraphs and headings, list items with their bullets or
 numbers and indented by depth, preformatted text as it stands, and tables with their cells in aligned columns. Both
-steps use explicit stacks, so deep nesting is no problem.
+steps use explicit stacks, so deep nesting is no problem, and the markup is read in one pass: a tag or comment that
+does not end is not read again from its next character.
+
+What bounds the output: a column is as wide as its widest line of up to ``WIDEST`` characters, longer lines are kept
+whole and push what follows to the right; columns without text take no space; and tables inside ``MOST_NESTED``
+others are laid out as blocks, a row to a line.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,6 +95,20 @@ def hidden_selectors(css: str) -> set[str]:
     return out
 
 
+#: Lines of cells up to this length are aligned; tables inside so many others are blocks.
+WIDEST, MOST_NESTED = 60, 6
+#: Cells span rows below only in tables of up to so many columns.
+MOST_SPANNED = 100
+#: Their content is text up to their end tag, with or without character references.
+RAW = frozenset("script style xmp iframe noembed noframes".split())
+RAW_WITH_REFERENCES = frozenset(("textarea", "title"))
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(
+    r"""[\s/]*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|(?!["'])[^\s>]++|(?=>)))?"""
+)
+TAG_END = re.compile(r"[\s/]*+>")
+
+
 @dataclass(slots=True)
 class Node:
     tag: str
@@ -97,17 +116,100 @@ class Node:
     children: list[Node | str] = field(default_factory=list)
 
 
-class Tree(HTMLParser):
+class Tree:
     """Builds the tree; open elements are a stack."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        self.unclosed = False  # a tag has run to the end of the page: quotes are not trusted any more
         self.root = Node("html")
         self.open = [self.root]
         self.count: Counter[str] = Counter()
         self.styles: list[Node] = []
         self.outside: dict[int, Node] = {}  # what holds the elements that stand before the table they were written in
 
+    def feed(self, html: str) -> None:
+        """Read a whole page, from left to right."""
+        at, length, last = 0, len(html), html.rfind(">")
+        while at < length:
+            sign = html.find("<", at)
+            if sign < 0:
+                break
+            after = html[sign + 1 : sign + 2]
+            name = NAME.match(html, sign + (2 if after == "/" else 1))
+            if not name and (after not in ("!", "?", "/") or after == "/" and sign > last):
+                # A sign that begins no tag is text.
+                stop = html.find("<", sign + 1)
+                stop = length if stop < 0 else stop
+                self.handle_data(unescape(html[at:stop]))
+                at = stop
+                continue
+            if sign > at:
+                self.handle_data(unescape(html[at:sign]))
+            if name and after != "/":
+                at = self._start_tag(html, sign, name)
+            elif name:
+                stop = html.find(">", name.end())
+                if stop < 0:
+                    at = sign
+                    break
+                self.handle_endtag(name[0].lower())
+                at = stop + 1
+            else:
+                at = self._comment(html, sign)
+        if at < length:
+            self.handle_data(unescape(html[at:]))
+
+    def _comment(self, html: str, sign: int) -> int:
+        """Where a comment or declaration ends; one that does not end takes the rest of the page."""
+        if html.startswith("<!--", sign):
+            if html.startswith((">", "->"), sign + 4):
+                return html.index(">", sign + 4) + 1
+            ends = [(html.find(mark, sign + 4), len(mark)) for mark in ("-->", "--!>")]
+            return min((at + n for at, n in ends if at >= 0), default=len(html))
+        if html[sign : sign + 9].upper() == "<![CDATA[":
+            stop = html.find("]]>", sign + 9)
+            return len(html) if stop < 0 else stop + 3
+        stop = html.find(">", sign + 1)
+        return len(html) if stop < 0 else stop + 1
+
+    def _start_tag(self, html: str, sign: int, name: re.Match) -> int:
+        """Read one start tag, and the content of an element that holds only text. Returns where to go on."""
+        tag, at, found = name[0].lower(), name.end(), []
+        if not self.unclosed:
+            while part := ATTRIBUTE.match(html, at):
+                found.append(part)
+                at = part.end()
+        end = TAG_END.match(html, at)
+        if not end:
+            # Cut off, or a quote without its other half: the tag ends at the next sign, whatever stands in quotes.
+            self.unclosed = True
+            stop = html.find(">", name.end())
+            if stop < 0:
+                self.handle_data(unescape(html[sign:]))
+                return len(html)
+            found = [p for p in ATTRIBUTE.finditer(html, name.end(), stop)]
+            at, end = stop, TAG_END.match(html, stop)
+        attributes = []
+        for part in found:
+            value = part[2]
+            if value is not None:
+                value = unescape(value[1:-1] if value[:1] in ("'", '"') and len(value) > 1 else value)
+            attributes.append((part[1].lower(), value))
+        # The first of two attributes of one name counts.
+        attributes = [*dict(reversed(attributes)).items()]
+        if html[end.end() - 2] == "/":
+            self.handle_startendtag(tag, attributes)
+            return end.end()
+        self.handle_starttag(tag, attributes)
+        drawn = self.count["svg"] or self.count["math"]
+        if tag not in RAW | RAW_WITH_REFERENCES or drawn and tag not in ("script", "style"):
+            return end.end()
+        close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, end.end())
+        text = html[end.end() : close.start() if close else len(html)]
+        if text:
+            self.handle_data(unescape(text) if tag in RAW_WITH_REFERENCES else text)
+        return close.start() if close else len(html)
+
     def _close(self, at: int) -> None:
         for node in self.open[at:]:
             self.count[node.tag] -= 1
@@ -264,31 +366,59 @@ def _shown(node: Node, hidden: set[str], visible: bool) -> tuple[bool, bool]:
     return True, (seen[-1].lower() == "visible") if seen else visible
 
 
-def _span(node: Node) -> int:
-    value = node.attributes.get("colspan") or ""
+def _span(node: Node, name: str = "colspan") -> int:
+    value = node.attributes.get(name) or ""
     return min(max(int(value), 1), 1000) if value.isascii() and value.isdigit() and len(value) < 6 else 1
 
 
-def _table(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of cells (text, columns) as lines with aligned columns. Lines inside a cell stay below each other."""
-    columns = max((sum(span for _, span in row) for row in rows), default=0)
-    widths = [0] * columns
-    for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                widths[at] = max(widths[at], max(map(len, text.split("\n"))))
-            at += span
+Cell = tuple[str, int, int]  # text, columns, rows
+
+
+def _placed(rows: list[list[Cell]]) -> list[list[tuple[list[str], int, int]]]:
+    """The cells of each row as (lines, first column, columns); places that cells of rows above span are left free."""
     out = []
+    below: list[tuple[int, int, int]] = []  # first column, columns, and rows still to come, by column
     for row in rows:
-        parts = [text.split("\n") for text, _ in row]
-        for i in range(max(map(len, parts), default=0)):
-            line, at = [], 0
-            for part, (_, span) in zip(parts, row):
-                width = sum(widths[at : at + span]) + 2 * (span - 1)
-                line.append((part[i] if i < len(part) else "").ljust(width))
-                at += span
-            out.append("  ".join(line).rstrip(" "))
+        cells, held, at = [], [], 0
+        taken = iter(below)
+        busy = next(taken, None)
+        for text, columns, spans in row:
+            while busy and busy[0] < at + columns:
+                at = max(at, busy[0] + busy[1])
+                busy = next(taken, None)
+            if text:
+                cells.append((text.split("\n"), at, columns))
+            if spans > 1 and at + columns <= MOST_SPANNED:
+                held.append((at, columns, spans))
+            at += columns
+        below = sorted((at, columns, spans - 1) for at, columns, spans in [*below, *held] if spans > 1)
+        out.append(cells)
+    return out
+
+
+def _table(rows: list[list[Cell]]) -> list[str]:
+    """Rows of cells as lines with aligned columns. Lines inside a cell stay below each other."""
+    placed = [cells for cells in _placed(rows) if cells]
+    widths: dict[int, int] = {}
+    for cells in placed:
+        for lines, at, columns in cells:
+            widths.setdefault(at, 0)
+            if columns == 1:
+                widths[at] = max(widths[at], max((len(x) for x in lines if len(x) <= WIDEST), default=0))
+    left, starts = 0, {}
+    for at in sorted(widths):
+        starts[at] = left
+        left += widths[at] + 2
+    out = []
+    for cells in placed:
+        for i in range(max(len(lines) for lines, _, _ in cells)):
+            line, length = [], 0
+            for lines, at, _ in cells:
+                if i < len(lines) and lines[i]:
+                    gap = max(starts[at] - length, 2 if length else 0)
+                    line.append(" " * gap + lines[i])
+                    length += gap + len(lines[i])
+            out.append("".join(line).rstrip(" "))
     return out
 
 
@@ -296,10 +426,9 @@ def render(html: str) -> str:
     """The visible text of one page."""
     tree = Tree()
     tree.feed(html)
-    tree.close()
     hidden = tree.hidden()
     pages = [Page()]
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[Cell]] | None] = []  # None: laid out as blocks
     counters: list[int | None] = []
     pre = 0
     # (node, whether its text is visible) on entry; (node, None) when its children are done.
@@ -320,15 +449,18 @@ def render(html: str) -> str:
             if tag == "pre":
                 pre -= 1
                 page.verbatim()
-            if tag in ("td", "th") and len(pages) > 1:
-                tables[-1][-1].append((pages.pop().whole(), _span(node)))
+            if tag in ("td", "th") and tables and tables[-1] is not None:
+                tables[-1][-1].append((pages.pop().whole(), _span(node), _span(node, "rowspan")))
+            elif tag == "tr" and tables and tables[-1] is None:
+                page.end_line()
             elif tag == "table":
-                rows = [row for row in tables.pop() if any(text for text, _ in row)]
-                lines = _table(rows)
+                rows = tables.pop()
                 page.end_line()
-                for line in lines:
-                    page._put(line)
-                page.end_line(1 if lines else 0)
+                if rows is not None:
+                    lines = _table(rows)
+                    for line in lines:
+                        page._put(line)
+                    page.end_line(1 if lines else 0)
             elif tag in BLOCKS:
                 page.end_line(BLOCKS[tag])
                 if tag in ("li", "dd", "blockquote") and page.indent:
@@ -351,13 +483,15 @@ def render(html: str) -> str:
                 stack.extend((child, own) for child in reversed(node.children))
                 continue
             pages.append(Page())
+        elif tag == "tr" and tables and tables[-1] is None:
+            page.end_line()
         elif tag == "text":
             page.text(" ")
         elif tag == "tr" and tables:
             tables[-1].append([])
         elif tag == "table":
-            page.end_line(1)
-            tables.append([])
+            page.end_line(0 if len(tables) >= MOST_NESTED else 1)
+            tables.append([] if len(tables) < MOST_NESTED else None)
         elif tag in BLOCKS:
             page.end_line(BLOCKS[tag])
             if tag in ("ul", "ol", "menu"):

@@ -7,6 +7,8 @@ import gzip
 import hashlib
 import io
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -301,3 +303,47 @@ def test_nearest_of_few(spark):
     three = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 0.5])], schema)
     got = neighbours.nearest(three, lambda i: i % 20 == 0).orderBy("rank").collect()
     assert [tuple(r) for r in got] == [(20, 1, 1, 1.0), (20, 2, 2, 0.5)]
+
+
+BAD = ["<a ", "<!--", "<a href='", '<a b="', "</", "<p x='y\">", "<table><tr><td>x", "<b><i>", "<script>", "<td rowspan=9>", "&#", "<![CDATA["]
+
+
+@pytest.mark.parametrize("piece", BAD)
+def test_a_megabyte_of_bad_markup_is_read_once(piece):
+    html = "start " + piece * (1_000_000 // len(piece)) + " end"
+    began = time.perf_counter()
+    assert html_text.render(html).startswith("start")
+    assert time.perf_counter() - began < 12
+
+
+def test_tables_stay_as_small_as_their_text():
+    rows = "".join(f"<tr><td>a{i}<td>b{i}" for i in range(2000))
+    html = f"<table><tr><td>{'long ' * 2000}<td>x{rows}</table>"
+    text = html_text.render(html)
+    assert len(text) < 200_000 and all(re.search(rf"^a{i} +b{i}$", text, re.M) for i in range(2000)) and "long " * 1999 in text
+    wide = "".join(f"<tr><td colspan=1000>a{i}<td>b{i}" for i in range(2000))
+    assert len(html_text.render(f"<table>{wide}</table>")) < 30_000
+    deep = "<table><tr><td>" * 1500 + "core" + "</table>" * 1500
+    assert html_text.render(deep) == "core"
+
+
+def test_cells_over_several_rows_keep_the_columns():
+    html = "<table><tr><td rowspan=2>A<td>b<td>c<tr><td>d<td>e<tr><td>f<td rowspan=3 colspan=2>g<tr><td>h<tr><td>i<tr><td>j<td>k<td>l</table>"
+    assert html_text.render(html).split("\n") == ["A  b  c", "   d  e", "f  g", "h", "i", "j  k  l"]
+
+
+def test_markup_that_is_none(spark):
+    cases = {
+        "a < b <c> d": "a < b d",
+        "1 <2 and 3> 2": "1 <2 and 3> 2",
+        "x <a href=it's>y</a> z": "x y z",
+        "x <a href='open>y</a> z": "x y z",
+        "x <!-- gone > y": "x",
+        "x <!-- gone --> y <!> z": "x y z",
+        "<title>T</title>a<textarea><b>&amp;</textarea>c": "a<b>&c",
+        "a<script>if (a < b) '</p>'</script>b": "ab",
+        "a</ b": "a</ b",
+        "&lt;p&gt; &copy &#65;": "<p> © A",
+    }
+    for html, text in cases.items():
+        assert html_text.render(html) == text, html
