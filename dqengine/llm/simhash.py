@@ -1,12 +1,15 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into segments, and every segment has a table of its own. A fingerprint enters the table of a
-segment once for every value of that segment in a small Hamming ball around its own, the other segments unchanged,
-and once as it is. Two fingerprints that differ in 2 r bits at most, r of them changed from each side, meet in some
-table under one key, so equal keys fetch all matches; their complete distance is then verified. A key is a complete
-fingerprint, so no more than a ball's number of different fingerprints can share it: there are no hot buckets, not
-in a group of thousands of near copies either, and no pairs are listed inside one. All members of a key are linked to
-its smallest, which keeps every connection.
+A fingerprint is cut into segments, and every segment has a table of its own, from the segment's value to the
+fingerprints that have it. Of two fingerprints that differ in a few bits, some segment differs in no more than its
+share of them: so a fingerprint looks up every value in a small Hamming ball around each of its segments, and the
+complete distance of what it finds is verified.
+
+Fingerprints of near copies share whole segments, and a value that very many of them have would list all their pairs.
+Such values are looked up no further; the fingerprints that meet them are linked through complete keys instead: each
+enters under every fingerprint of half the distance around it. Two within the distance share such a key, and no more
+than a ball's number of fingerprints can, so no group is too large, and all members of a key are linked to its
+smallest, which keeps every connection.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +29,8 @@ from dqengine.session import materialize
 
 SEED = 42
 SEGMENTS = 2
+#: A segment's value that more fingerprints have is not looked up.
+MOST_ALIKE = 64
 
 
 def fingerprint(text: bytes, words: int) -> int:
@@ -73,29 +78,22 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def balls(radius: int, segments: int = SEGMENTS) -> list[int]:
-    """Bit masks of the balls: up to ``radius`` flipped bits, spread over the segments in all ways; first none."""
-    width = 64 // segments
-    places = [range(s * width, 64 if s == segments - 1 else (s + 1) * width) for s in range(segments)]
-    inside = [[sum(1 << b for b in c) for k in range(1, radius + 1) for c in combinations(p, k)] for p in places]
-    masks = {0: None}
-    for segment in inside:
-        for mask in [*masks]:
-            for flipped in segment:
-                if (mask | flipped).bit_count() <= radius:
-                    masks[mask | flipped] = None
-    return [_signed(m) for m in masks]
+def balls(radius: int) -> list[int]:
+    """Bit masks of a ball: up to ``radius`` flipped bits; first none."""
+    return [_signed(sum(1 << b for b in c)) for k in range(radius + 1) for c in combinations(range(64), k)]
 
 
-def links(distinct: DataFrame, most_bits: int, segments: int = SEGMENTS) -> DataFrame:
-    """``a`` < ``b``: links between different fingerprints (column ``bits``), enough to connect all within ``most_bits``.
+def _linked(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    For an odd ``most_bits`` one side's balls are larger by one. The balls have 1 + 64 members for radius 1, so a
-    distance of 3 is as far as this is meant to go.
-    """
-    if not 0 <= most_bits <= 3:
-        raise ValueError("the balls are meant for distances from 0 to 3")
-    near, far = balls(most_bits // 2, segments), balls((most_bits + 1) // 2, segments)
+
+def _near(found: DataFrame, most_bits: int) -> DataFrame:
+    return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits)
+
+
+def key_links(distinct: DataFrame, most_bits: int) -> DataFrame:
+    """Links through complete keys; for an odd ``most_bits`` one side's balls are larger by one."""
+    near, far = balls(most_bits // 2), balls((most_bits + 1) // 2)
     at = lambda masks: F.explode(F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("bits").bitwiseXOR(m)))
     probes = distinct.select("bits", at(far).alias("key"))
     if near == far:
@@ -103,12 +101,52 @@ def links(distinct: DataFrame, most_bits: int, segments: int = SEGMENTS) -> Data
         found = probes.select("bits", first.alias("a")).filter("a < bits").select("a", F.col("bits").alias("b"))
     else:
         table = distinct.select(F.col("bits").alias("other"), at(near).alias("key"))
-        found = (
-            probes.join(table, "key")
-            .filter("bits <> other")
-            .select(F.least("bits", "other").alias("a"), F.greatest("bits", "other").alias("b"))
-        )
-    return found.distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits)
+        found = probes.join(table, "key").filter("bits <> other").select(*_linked("bits", "other"))
+    return _near(found.distinct(), most_bits)
+
+
+def segment_keys(segments: int, flipped: int) -> Column:
+    """Of every segment of ``bits``, numbered above its value, the value itself and, if asked, all with one bit set more.
+
+    Of two values that differ in one bit, one has it set: the other one looks for it, so each pair is found once.
+    """
+    width = 64 // segments
+    keys = []
+
+    def one_more(value: Column, own: Column, wide: int) -> Column:
+        unset = F.filter(F.array(*[F.lit(1 << b) for b in range(wide)]), lambda m: value.bitwiseAND(m) == 0)
+        return F.transform(unset, lambda m: own.bitwiseOR(m))
+
+    for s in range(segments):
+        wide = 64 - width * s if s == segments - 1 else width
+        value = F.shiftrightunsigned("bits", width * s).bitwiseAND(F.lit((1 << wide) - 1))
+        own = value.bitwiseOR(F.lit(s << 60)) if wide <= 56 else value
+        keys.append(F.array(own))
+        if flipped:
+            keys.append(one_more(value, own, wide))
+    return F.explode(F.flatten(F.array(*keys)))
+
+
+def links(distinct: DataFrame, most_bits: int, segments: int = SEGMENTS) -> DataFrame:
+    """``a`` < ``b``: links between different fingerprints (column ``bits``), enough to connect all within ``most_bits``.
+
+    With one segment all go through complete keys, whose balls are meant for distances up to 3. Else a segment may
+    differ in ``most_bits // segments`` bits, of which one is supported.
+    """
+    if not 0 <= most_bits <= 3 or segments > 1 and most_bits // segments > 1:
+        raise ValueError("distances go from 0 to 3, and a segment may differ in one bit")
+    if segments == 1:
+        return key_links(distinct, most_bits)
+    table = distinct.select(F.col("bits").alias("other"), segment_keys(segments, 0).alias("key"))
+    probes = distinct.select("bits", segment_keys(segments, most_bits // segments).alias("key"))
+    common = table.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MOST_ALIKE).select("key")
+    common = materialize(common, "common-segments")
+    rare = probes.join(common, "key", "left_anti").join(table, "key").filter("bits <> other")
+    found = _near(rare.select(*_linked("bits", "other")), most_bits).distinct()
+    if common.isEmpty():
+        return found
+    met = materialize(probes.join(common, "key", "left_semi").select("bits").distinct(), "alike")
+    return found.union(key_links(met, most_bits)).distinct()
 
 
 def near_duplicates(
@@ -140,7 +178,8 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """One document of each component stays, that with the smallest id, in the columns of ``docs``.
 
-    Among rows of one id the smallest text hash decides, and of repeated rows one stays.
+    Among rows of one id the smallest text hash decides; of those with equal texts, the first by all other columns, as
+    far as these can be sorted.
     """
     classes = near_duplicates(docs, words, most_bits, id_column, text_column)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("best")
@@ -151,6 +190,7 @@ def drop_near_duplicates(
     keep = keep.withColumnsRenamed({"doc_id": wanted_id, "digest": wanted_digest})
     rows = docs.withColumn(digest, F.xxhash64(whole_text(text_column)))
     same = F.col(f"`{id_column}`").eqNullSafe(F.col(wanted_id)) & (F.col(digest) == F.col(wanted_digest))
-    alike = Window.partitionBy(f"`{id_column}`", digest).orderBy(F.lit(0))
+    columns = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    alike = Window.partitionBy(f"`{id_column}`", digest).orderBy(*(columns or [F.lit(0)]))
     kept = rows.join(keep, same, "left_semi").withColumn(number, F.row_number().over(alike))
     return kept.filter(F.col(number) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -193,7 +193,11 @@ def test_fingerprints_and_components(spark, corpus, edge_docs, edge_rows, no_doc
 
 @pytest.mark.parametrize("most_bits", [0, 1, 2, 3])
 @pytest.mark.parametrize("segments", [1, 2, 4])
-def test_links_connect_what_is_near(spark, most_bits, segments):
+@pytest.mark.parametrize("alike", [64, 1])
+def test_links_connect_what_is_near(spark, monkeypatch, most_bits, segments, alike):
+    if segments == 2 and most_bits // segments > 1:
+        return
+    monkeypatch.setattr(simhash, "MOST_ALIKE", alike)
     rnd = random.Random(most_bits)
     prints = set()
     for _ in range(12):
@@ -216,6 +220,17 @@ def test_links_connect_what_is_near(spark, most_bits, segments):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
 
 
+def test_candidates_of_a_segment_are_verified(spark):
+    """The same lower half, and an upper half that differs in three bits: found in the table, and rejected."""
+    base = 0x0123456789ABCDEF
+    prints = [base, base ^ (0b111 << 40), base ^ (0b11 << 50)]
+    table = spark.createDataFrame([(plain.signed(p),) for p in prints], "bits long")
+    keys = table.select(simhash.segment_keys(2, 0).alias("key")).groupBy("key").count().filter("count > 1")
+    assert keys.count() == 1
+    found = [(r.a, r.b) for r in simhash.links(table, 2).collect()]
+    assert found == [tuple(sorted((plain.signed(prints[0]), plain.signed(prints[2]))))]
+
+
 def test_a_group_of_near_copies_lists_no_pairs(spark):
     rnd = random.Random(3)
     prints = {0} | {1 << i | 1 << j for i in range(64) for j in range(i)}
