@@ -24,6 +24,7 @@ from dqengine.llm.common import one_each, ship, small_batches, whole_text
 from dqengine.llm.links import components
 from dqengine.session import materialize
 
+GZIP = b"\x1f\x8b\x08"
 #: A file is closed when it has so many bytes.
 FILE_BYTES = 64 << 20
 NAMES = uuid.uuid5(uuid.NAMESPACE_URL, "warc-capture")
@@ -150,22 +151,44 @@ def write(
     return materialize(ready.mapInArrow(store, "file string"), "warc-files")
 
 
-def unpacked(stream, piece: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a file in pieces: those of its gzip members one after the other, or as they are if it has none."""
+class Damaged(bytes):
+    """What could be read of a record before its archive member turned out to be damaged."""
+
+
+def unpacked(stream, piece: int = 1 << 20) -> Iterator[bytes | None]:
+    """The bytes of a file in pieces: those of its gzip members one after the other, or as they are if it has none.
+
+    What stands between members (padding, line breaks) is skipped. Where a member is damaged, None is given, and
+    reading goes on with the next one.
+    """
     data = stream.read(piece)
-    if not data.startswith(b"\x1f"):
+    if not data.startswith(GZIP):
         while data:
             yield data
             data = stream.read(piece)
         return
-    unpacker = zlib.decompressobj(31)
-    while data:
-        yield unpacker.decompress(data, 16 * piece)
-        data = unpacker.unconsumed_tail
+    unpacker, fresh = None, True
+    while True:
+        if unpacker is None:
+            while (at := data.find(GZIP)) < 0:
+                more = stream.read(piece)
+                if not more:
+                    return
+                data = data[-len(GZIP) + 1 :] + more
+            data, unpacker, fresh = data[at:], zlib.decompressobj(31), True
+        if not data and not (data := stream.read(piece)):
+            yield unpacker.flush()
+            return
+        try:
+            out = unpacker.decompress(data, 16 * piece)
+        except zlib.error:
+            yield None
+            data, unpacker = data[1:] if fresh else data, None
+            continue
+        yield out
+        data, fresh = unpacker.unconsumed_tail, False
         if unpacker.eof:
-            data, unpacker = unpacker.unused_data, zlib.decompressobj(31)
-        data = data or stream.read(piece)
-    yield unpacker.flush()
+            data, unpacker = unpacker.unused_data, None
 
 
 def _length(headers: dict[str, str]) -> int | None:
@@ -177,14 +200,20 @@ def split_records(stream) -> Iterator[bytes]:
     """The records of a file, one at a time: each may be a gzip member, several may share one, or none is packed.
 
     A record ends by its Content-Length; without one it goes on to the next record. What is between records is skipped,
-    and the last one of a file that was cut off is given as far as it goes.
+    and the last one of a file that was cut off is given as far as it goes. A record in a damaged member is given as
+    ``Damaged``, as far as it was read.
     """
-    pieces, buffer = unpacked(stream), bytearray()
+    pieces, buffer, end_of_file, damaged = unpacked(stream), bytearray(), object(), False
 
     def more() -> bool:
-        piece = next(pieces, None)
-        buffer.extend(piece or b"")
-        return piece is not None
+        """Read on; not past the place of a damage, before it was told."""
+        nonlocal damaged
+        piece = end_of_file if damaged else next(pieces, end_of_file)
+        damaged = damaged or piece is None
+        if damaged or piece is end_of_file:
+            return False
+        buffer.extend(piece)
+        return True
 
     def find(mark: bytes, start: int) -> int:
         """Where the mark is after ``start``, reading on as far as needed; -1 if it does not come."""
@@ -199,7 +228,11 @@ def split_records(stream) -> Iterator[bytes]:
             at = buffer.find(b"\nWARC/")
             del buffer[: at + 1 if at >= 0 else max(0, len(buffer) - 5)]
             if at < 0 and not more():
-                return
+                if not damaged:
+                    return
+                damaged = False
+                buffer.clear()
+                yield Damaged()
         head = find(b"\r\n\r\n", 0)
         length = _length(_head(bytes(buffer[:head]))[1]) if head >= 0 else None
         if length is None:
@@ -209,8 +242,13 @@ def split_records(stream) -> Iterator[bytes]:
             end = head + 4 + length
             while len(buffer) < end and more():
                 pass
-        yield bytes(buffer[:end])
-        del buffer[:end]
+        if damaged and (length is None or len(buffer) < end):
+            damaged = False
+            yield Damaged(buffer)
+            buffer.clear()
+        else:
+            yield bytes(buffer[:end])
+            del buffer[:end]
 
 
 def _pairs(head: bytes) -> tuple[str, list[tuple[str, str]]]:
@@ -230,13 +268,18 @@ def _head(data: bytes) -> tuple[str, dict[str, str], bytes]:
 
 
 def parse(data: bytes, keep_payload: bool) -> dict | None:
-    """One record as a row; None for anything else than a WARC record."""
+    """One record as a row; None for anything else than a WARC record.
+
+    Of a damaged record the type is ``damaged``; it has the headers that could be read, and no content.
+    """
+    if isinstance(data, Damaged) and (not data.startswith(b"WARC/") or b"\r\n\r\n" not in data):
+        return {"type": "damaged", "concurrent_to": [], "headers": []}
     if not data.startswith(b"WARC/"):
         return None
     _, headers, rest = _head(data)
     length = _length(headers)
     block = rest if length is None else rest[:length]
-    kind = headers.get("warc-type")
+    kind = "damaged" if isinstance(data, Damaged) else headers.get("warc-type")
     row = {
         "record_id": headers.get("warc-record-id"),
         "type": kind,
@@ -263,7 +306,8 @@ def parse(data: bytes, keep_payload: bool) -> dict | None:
 def read(files: DataFrame, keep_payload: bool = True) -> DataFrame:
     """The records of WARC files, packed or not, as rows; see ``RECORD``. ``files`` has the column ``file``.
 
-    The digest of a response is computed from the payload that was read, that of a revisit is its header's.
+    The digest of a response is computed from the payload that was read, that of a revisit is its header's. Records
+    in damaged members have the type ``damaged`` and belong to no capture.
     """
     ship(files.sparkSession)
     kinds = {"concurrent_to": "a", "headers": "m", "http_headers": "m", "fields": "m", "payload_bytes": "l", "payload": "b"}
