@@ -493,8 +493,8 @@ def nearest(
     ``queries`` is a condition on the id column that picks the query rows; candidates are all rows but the query's
     own id. Nearest is the largest inner product in double precision, ties go to the smaller id. Vectors that are null,
     zero, or hold null or non-finite parts take no part, nor do those of another length than most have, nor rows
-    without id. Rows that repeat an id and vector count once; of one id with several vectors each counts. An empty
-    table gives an empty result. How many of the true nearest are found depends on the data; tests measure it.
+    without id. Rows that repeat an id and vector count once; of one id with several vectors each asks and is found,
+    and the nearest pair of vectors gives the score of two ids. An empty table gives an empty result. How many of the true nearest are found depends on the data; tests measure it.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -509,9 +509,9 @@ def nearest(
     members = materialize(
         rows.select("vec_id", "v").withColumn("n", F.row_number().over(first)).filter(F.col("n") <= most + 1), "members"
     )
-    distinct = materialize(
-        members.groupBy("v").agg(F.min("vec_id").alias("id"), F.array_sort(F.collect_list("vec_id")).alias("ids")), "nodes"
-    )
+    distinct = members.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    # Nodes have numbers of their own, fixed by writing them: an id may have several vectors.
+    distinct = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "nodes")
     graph = Graph(distinct.select("id", F.col("v").cast("array<float>").alias("vec")), dimensions, settings)
     asking = materialize(
         rows.filter("asks").join(distinct.select("v", "id"), "v").select("vec_id", "id"), "queries"
@@ -525,16 +525,14 @@ def nearest(
         found.alias("f").join(q, F.col("f.query") == F.col("q.id")).join(c, F.col("f.id") == F.col("c.id"))
         .select(F.col("f.query").alias("node"), product.alias("score"), F.col("c.ids").alias("ids"))
     )
-    listed = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("away"), i.alias("vec_id")))
-    lists = scored.groupBy("node").agg(
-        F.slice(F.sort_array(F.flatten(F.collect_list(listed))), 1, most + 1).alias("near")
-    )
-    lists = lists.withColumnRenamed("node", "id")
-    answers = asking.join(lists, "id").select(
-        F.col("vec_id").alias("query_id"),
-        F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("vec_id")), 1, most).alias("near"),
-    )
-    return answers.select("query_id", F.posexplode("near").alias("place", "n")).select(
-        "query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"),
-        (-F.col("n.away")).alias("score"),
+    scored = scored.select("node", (-F.col("score")).alias("away"), F.explode("ids").alias("vec_id"))
+    pairs = (
+        asking.select(F.col("vec_id").alias("query_id"), F.col("id").alias("node"))
+        .join(scored, "node")
+        .filter("vec_id <> query_id")
+        .groupBy("query_id", "vec_id")
+        .agg(F.min("away").alias("away"))
     )
+    nearest_first = Window.partitionBy("query_id").orderBy("away", "vec_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(nearest_first)).filter(F.col("rank") <= most)
+    return ranked.select("query_id", "rank", "vec_id", (-F.col("away")).alias("score"))
