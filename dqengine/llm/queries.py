@@ -53,7 +53,7 @@ def op3(spark, sf_dir):
     return found.select(*[c for c in found.columns if c not in ("host", "removed_words")], "removed_words")
 
 
-#: The mix in SQL: sizes, filled targets, ranks, the cut, and the document that closes the gap.
+#: The mix in SQL: sizes, filled targets, probabilities, ranks, the ranking gone down, and the document that closes the gap.
 MIXING_SQL = """
 with d as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
@@ -77,26 +77,42 @@ t as (
   from w),
 r as (
   select *, case when source_size > 0 then target / source_size else 0e0 end as ratio from t),
-k as (
-  select d.*, r.source_size, r.target, cast(floor(ratio) as bigint) as whole, ratio - floor(ratio) as p,
-    (ratio - floor(ratio)) * r.source_size as rest
-  from d join r on d.source is not distinct from r.source),
-g as (
-  select source, u, rest, sum(size) as words from k where p > 0 group by source, u, rest),
-c as (
-  select *, sum(words) over (partition by source order by u) as upto from g),
-cut as (
-  select source, min(u) as cut, arg_min(rest - (upto - words), u) as gap from c where upto >= rest group by source),
-fit as (
-  select k.source, min({'off': abs(size - gap), 'u': u}) as fit, max(gap) as gap
-  from k join cut on k.source is not distinct from cut.source where p > 0 and u >= cut group by k.source),
+n as (
+  select source, doc_id, size, u, count(*) as n, cast(size * count(*) as bigint) as words from d group by all),
+m as (
+  select source, sum(words) / sum(n) as mean from n group by source),
 x as (
-  select k.*, case when p > 0 and (k.u < cut or (fit.fit['off'] < fit.gap and k.u = fit.fit['u'])) then 1 else 0 end as extra
-  from k left join cut on k.source is not distinct from cut.source
-    left join fit on k.source is not distinct from fit.source)
-select doc_id, source, size, source_size, target, cast(whole + extra as integer) as copies,
-  cast(size * (whole + extra) as bigint) as taken
-from x
+  select n.*, case when mean > 0 then mean / (mean + size) else 0e0 end as x
+  from n join m on n.source is not distinct from m.source),
+c as (
+  select source, sum(words * x) as centre from x group by source),
+k as (
+  select x.*, r.source_size, r.target, r.ratio, cast(floor(ratio) as bigint) as whole, ratio - floor(ratio) as p0,
+    (ratio - floor(ratio)) * r.source_size as rest,
+    p0 + least(p0, 1 - p0) * (x.x - c.centre / nullif(r.source_size, 0)) as p,
+    (u / (1 - u)) / nullif(p / (1 - p), 0) as odds
+  from x join r on x.source is not distinct from r.source join c on x.source is not distinct from c.source),
+l as (
+  select source, max(rest) as rest, list({'rank': odds, 'words': words} order by odds) as ranked
+  from k where p0 > 0 group by source),
+f as (
+  select source, list_reduce(ranked, lambda a, e: case
+      when e.words <= a.missing and (a.cut is null or e.words > 0)
+        then {'missing': a.missing - e.words, 'cut': a.cut, 'taken': list_append(a.taken, e.rank)}
+      else {'missing': a.missing, 'cut': coalesce(a.cut, e.rank), 'taken': a.taken} end,
+    {'missing': rest, 'cut': cast(null as double), 'taken': cast([] as double[])}) as filled
+  from l),
+e as (
+  select k.source, min({'off': abs(words - filled.missing), 'rank': odds}) as fit, max(filled.missing) as missing
+  from k join f on k.source is not distinct from f.source
+  where p0 > 0 and odds >= filled.cut and not list_contains(filled.taken, odds) group by k.source),
+y as (
+  select k.*, case when p0 > 0 and (list_contains(f.filled.taken, odds)
+      or (e.fit['off'] < e.missing and odds = e.fit['rank'])) then 1 else 0 end as extra
+  from k left join f on k.source is not distinct from f.source left join e on k.source is not distinct from e.source)
+select doc_id, size, source_size, target, cast(size * (whole + extra) as bigint) as taken, source,
+  cast(whole + extra as integer) as copies
+from y, range(n) as copies_of_row
 """
 
 

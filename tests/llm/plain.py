@@ -137,36 +137,45 @@ def random_number(doc_id, seed: int = 42) -> float:
 
 
 def mix(rows) -> list[int]:
-    """Copies of each row (doc_id, text, source)."""
+    """Copies of each row (doc_id, text, source): down the ranking, past what does not fit."""
     size = [len(WORD.findall(text or "")) for _, text, _ in rows]
-    total = Counter()
+    total, number = Counter(), Counter()
     for (_, _, source), n in zip(rows, size):
         total[source] += n
+        number[source] += 1
     target = fill(total)
     copies = [0] * len(rows)
     for source in total:
         ratio = target[source] / total[source] if total[source] else 0.0
-        whole = int(ratio + 1e-12) if abs(ratio - round(ratio)) < 1e-12 else int(ratio)
-        p, mine = ratio - whole, [i for i, r in enumerate(rows) if r[2] == source]
-        rest = p * total[source]
+        whole = round(ratio) if abs(ratio - round(ratio)) < 1e-12 else int(ratio)
+        p0, mine = ratio - whole, [i for i, r in enumerate(rows) if r[2] == source]
         for i in mine:
             copies[i] = whole
-        if p <= 1e-12:
+        if p0 <= 1e-12:
             continue
-        by_rank = defaultdict(list)
+        mean = total[source] / number[source]
+        x = {i: mean / (mean + size[i]) for i in mine}
+        centre = sum(size[i] * x[i] for i in mine) / total[source]
+        units = defaultdict(list)
         for i in mine:
-            by_rank[random_number(rows[i][0])].append(i)
-        taken = 0
-        ranks = sorted(by_rank)
-        cut = next((r for r, upto in zip(ranks, np.cumsum([sum(size[i] for i in by_rank[r]) for r in ranks])) if upto >= rest), None)
-        chosen = [r for r in ranks if cut is None or r < cut]
-        taken = sum(size[i] for r in chosen for i in by_rank[r])
+            p = p0 + min(p0, 1 - p0) * (x[i] - centre)
+            assert 0 < p < 1
+            u = random_number(rows[i][0])
+            units[(u / (1 - u)) / (p / (1 - p))].append(i)
+        left, cut, chosen = p0 * total[source], None, []
+        words = {r: sum(size[i] for i in found) for r, found in units.items()}
+        for r in sorted(units):
+            if words[r] <= left and (cut is None or words[r]):
+                chosen.append(r)
+                left -= words[r]
+            elif cut is None:
+                cut = r
         if cut is not None:
-            off, best = min((abs(size[i] - (rest - taken)), r) for r in ranks if r >= cut for i in by_rank[r])
-            if off < rest - taken:
+            off, best = min((abs(words[r] - left), r) for r in units if r >= cut and r not in chosen)
+            if off < left:
                 chosen.append(best)
         for r in chosen:
-            for i in by_rank[r]:
+            for i in units[r]:
                 copies[i] += 1
     return copies
 

@@ -166,6 +166,30 @@ def test_rows_of_one_id_close_the_gap_together(spark):
             assert abs(r.taken - r.target) <= 1500
 
 
+def test_probabilities_are_unequal_and_add_up(spark):
+    """Shorter documents are more probable, the expected words are those wanted, and that changes the ranking."""
+    rnd = random.Random(4)
+    rows = [(i, "w " * rnd.choice((5, 50, 500)), "en", "ab"[i % 2], 1) for i in range(3000)]
+    got = mixing.allocate(spark.createDataFrame(rows, DOCS)).filter("source = 'a'").collect()
+    whole = min(r.copies for r in got)
+    share = {n: sum(r.copies - whole for r in got if r.size == n) / sum(r.size == n for r in got) for n in (5, 50, 500)}
+    assert share[5] > share[50] > share[500] > 0
+    by_u = sorted(got, key=lambda r: plain.random_number(r.doc_id))
+    extra = [r.copies > whole for r in by_u]
+    assert extra != sorted(extra, reverse=True)  # not simply those with the smallest numbers
+    assert abs(sum(r.taken for r in got) - got[0].target) < 5
+
+
+def test_what_does_not_fit_is_passed_over(spark):
+    """One very long document early in the ranking leaves its place to those that fit."""
+    long = min(range(400), key=plain.random_number)
+    rows = [(i, "w " * (20_000 if i == long else 10), "en", "a", 1) for i in range(400)]
+    rows += [(1000 + i, "w " * 10, "en", "b", 1) for i in range(1900)]
+    got = mixing.allocate(spark.createDataFrame(rows, DOCS)).collect()
+    want = plain.mix([(r[0], r[1], r[3]) for r in rows])
+    assert Counter((r.doc_id, r.copies) for r in got) == Counter((r[0], c) for r, c in zip(rows, want))
+
+
 def test_preference_raises_the_odds(spark):
     rows = [(i, "one two three", "ab"[i % 2], 9.0 if i % 4 < 2 else 1.0) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, liked double")

@@ -347,3 +347,50 @@ def test_markup_that_is_none(spark):
     }
     for html, text in cases.items():
         assert html_text.render(html) == text, html
+
+
+def _members(n: int) -> list[bytes]:
+    return [r for i in range(n) for r in warc.capture_records(i, f"http://a/{i}", b"x" * 3000 + bytes([65 + i]), 0, None, False)]
+
+
+@pytest.mark.parametrize("between", [b"", b"\0" * 2000, b"\r\n\r\n", b"\n"])
+def test_bytes_between_members_are_skipped(between):
+    members = _members(4)
+    rows = [warc.parse(r, True) for r in warc.split_records(io.BytesIO(between.join(members) + between))]
+    assert [r["type"] for r in rows] == ["response", "request", "metadata"] * 4
+    assert [r["payload"] for r in rows if r["type"] == "response"] == [b"x" * 3000 + bytes([65 + i]) for i in range(4)]
+
+
+@pytest.mark.parametrize("at", [2, 12, -6])
+@pytest.mark.parametrize("number", [0, 3, 11])
+def test_damaged_members_are_told_and_passed_over(at, number):
+    members = _members(4)
+    good = [warc.parse(r, True) for r in warc.split_records(io.BytesIO(b"".join(members)))]
+    broken = bytearray(members[number])
+    broken[at] ^= 0xFF
+    members[number] = bytes(broken)
+    if number == 0 and at == 2:
+        members.insert(0, members[1])  # a file is known by its first member
+    rows = [warc.parse(r, True) for r in warc.split_records(io.BytesIO(b"".join(members)))]
+    ids = {r["record_id"] for r in rows if r["type"] != "damaged"}
+    assert {r["record_id"] for i, r in enumerate(good) if i != number} <= ids
+    assert sum(r["type"] == "damaged" for r in rows) == (0 if at == 2 else 1)
+    assert all(r.get("payload") is None for r in rows if r["type"] == "damaged")
+
+
+def test_an_id_with_several_vectors(spark):
+    rnd = np.random.default_rng(5)
+    vectors = rnd.normal(size=(82, 16))
+    ids = [*range(80), 20, 33]  # two ids have a second vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, lambda i: i % 20 == 0, most=5).collect()
+    for query in (0, 20, 40, 60):
+        best = {}
+        for i, v in zip(ids, vectors):
+            if i == query:
+                for j, w in zip(ids, vectors):
+                    if j != query:
+                        best[j] = max(best.get(j, -np.inf), float(sum(a * b for a, b in zip(v, w))))
+        want = sorted(best, key=lambda j: (-best[j], j))[:5]
+        mine = sorted((r.rank, r.vec_id) for r in got if r.query_id == query)
+        assert [r for r, _ in mine] == [1, 2, 3, 4, 5] and [v for _, v in mine] == want
