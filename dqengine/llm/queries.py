@@ -77,42 +77,47 @@ t as (
   from w),
 r as (
   select *, case when source_size > 0 then target / source_size else 0e0 end as ratio from t),
-n as (
-  select source, doc_id, size, u, count(*) as n, cast(size * count(*) as bigint) as words from d group by all),
-m as (
-  select source, sum(words) / sum(n) as mean from n group by source),
-x as (
-  select n.*, case when mean > 0 then mean / (mean + size) else 0e0 end as x
-  from n join m on n.source is not distinct from m.source),
-c as (
-  select source, sum(words * x) as centre from x group by source),
+units as (
+  select source, doc_id, size, u, count(*) as times, cast(size * count(*) as bigint) as words
+  from d group by source, doc_id, size, u),
+means as (
+  select source, sum(words) / sum(times) as mean from units group by source),
+weighed as (
+  select units.*, case when mean > 0 then mean / (mean + size) else 0e0 end as x
+  from units join means on units.source is not distinct from means.source),
+centres as (
+  select source, sum(words * x) as centre from weighed group by source),
 k as (
-  select x.*, r.source_size, r.target, r.ratio, cast(floor(ratio) as bigint) as whole, ratio - floor(ratio) as p0,
+  select weighed.*, r.source_size, r.target, cast(floor(ratio) as bigint) as whole, ratio - floor(ratio) as p0,
     (ratio - floor(ratio)) * r.source_size as rest,
-    p0 + least(p0, 1 - p0) * (x.x - c.centre / nullif(r.source_size, 0)) as p,
-    (u / (1 - u)) / nullif(p / (1 - p), 0) as odds
-  from x join r on x.source is not distinct from r.source join c on x.source is not distinct from c.source),
-l as (
+    ratio - floor(ratio) + least(ratio - floor(ratio), 1 - ratio + floor(ratio))
+      * (x - centre / nullif(r.source_size, 0)) as p
+  from weighed join r on weighed.source is not distinct from r.source
+    join centres on weighed.source is not distinct from centres.source),
+ranks as (
+  select *, (u / (1 - u)) / nullif(p / (1 - p), 0) as odds from k),
+lists as (
   select source, max(rest) as rest, list({'rank': odds, 'words': words} order by odds) as ranked
-  from k where p0 > 0 group by source),
-f as (
-  select source, list_reduce(ranked, lambda a, e: case
-      when e.words <= a.missing and (a.cut is null or e.words > 0)
-        then {'missing': a.missing - e.words, 'cut': a.cut, 'taken': list_append(a.taken, e.rank)}
-      else {'missing': a.missing, 'cut': coalesce(a.cut, e.rank), 'taken': a.taken} end,
-    {'missing': rest, 'cut': cast(null as double), 'taken': cast([] as double[])}) as filled
-  from l),
-e as (
-  select k.source, min({'off': abs(words - filled.missing), 'rank': odds}) as fit, max(filled.missing) as missing
-  from k join f on k.source is not distinct from f.source
-  where p0 > 0 and odds >= filled.cut and not list_contains(filled.taken, odds) group by k.source),
-y as (
-  select k.*, case when p0 > 0 and (list_contains(f.filled.taken, odds)
-      or (e.fit['off'] < e.missing and odds = e.fit['rank'])) then 1 else 0 end as extra
-  from k left join f on k.source is not distinct from f.source left join e on k.source is not distinct from e.source)
+  from ranks where p0 > 0 group by source),
+filled as (
+  select source, list_reduce(ranked, lambda acc, unit: case
+      when unit.words <= acc.missing and (acc.cut is null or unit.words > 0)
+        then {'missing': acc.missing - unit.words, 'cut': acc.cut, 'taken': list_append(acc.taken, unit.rank)}
+      else {'missing': acc.missing, 'cut': coalesce(acc.cut, unit.rank), 'taken': acc.taken} end,
+    {'missing': rest, 'cut': cast(null as double), 'taken': cast([] as double[])}) as done
+  from lists),
+closing as (
+  select ranks.source, min({'off': abs(words - done.missing), 'rank': odds}) as fit, max(done.missing) as missing
+  from ranks join filled on ranks.source is not distinct from filled.source
+  where p0 > 0 and odds >= done.cut and not list_contains(done.taken, odds) group by ranks.source),
+mixed as (
+  select ranks.*, case when p0 > 0 and (list_contains(done.taken, odds)
+      or (fit['off'] < missing and odds = fit['rank'])) then 1 else 0 end as extra
+  from ranks left join filled on ranks.source is not distinct from filled.source
+    left join closing on ranks.source is not distinct from closing.source)
 select doc_id, size, source_size, target, cast(size * (whole + extra) as bigint) as taken, source,
   cast(whole + extra as integer) as copies
-from y, range(n) as copies_of_row
+from (select *, unnest(range(times)) as copy_of_row from mixed)
 """
 
 
