@@ -258,8 +258,26 @@ def test_catalog_counts(spark):
     assert catalog.import_table(spark, "seven_rows").count() == 7
     row = catalog.import_registration(spark.range(7), "dbo", "t", "20240101_000000").first()
     assert tuple(row) == ("dbo_t_import_20240101_000000", "PENDING", 7)
-    with pytest.raises(ValueError):
-        catalog.import_jdbc(spark, "jdbc:x", "t", partition_column="id")
+    with pytest.raises(ValueError, match="one task"):
+        catalog.import_jdbc(spark, "jdbc:x", "t")
+
+
+KEYS = [
+    "i * i", "case when i % 3 = 0 then null else i end", "case when i < 900 then 7 else i end",
+    "concat('o' || chr(39), i % 50)", "timestamp '2024-01-01' + to_seconds(i * 60)",
+    "date '2024-01-01' + cast(i % 9 as int)", "7", "null::int", "i / 8",
+]
+
+
+@pytest.mark.parametrize("keys", KEYS)
+def test_database_reads_are_cut_by_the_keys_of_the_table(keys):
+    db = duckdb.connect()
+    db.execute(f"create table t as select i, {keys} as k from range(1000) r(i)")
+    cuts = [k for _, k in db.execute(catalog.cut_query("t", "k", 8)).fetchall()]
+    parts = [db.execute(f"select i from t where {p}").fetchall() for p in catalog.range_predicates("k", cuts)]
+    assert sorted(row for part in parts for row in part) == [(i,) for i in range(1000)]
+    if keys in ("i * i", "i / 8") or keys.startswith("timestamp"):
+        assert len(parts) == 8 and {len(p) for p in parts} == {125}
 
 
 def test_sales_sample_equals_sql(spark):
