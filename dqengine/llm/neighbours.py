@@ -23,6 +23,8 @@ from dqengine.llm.common import ship
 from dqengine.session import materialize
 
 EMPTY = np.iinfo(np.int64).min
+#: Queries whose beams are kept in one group.
+QUERIES = 256
 
 
 @dataclass(frozen=True)
@@ -353,7 +355,7 @@ class Graph:
         """
         s, width, blocks = self.s, self.width, self.blocks
         kept = max(s.kept, most)
-        state_schema = "id long, vec binary, ids binary, scores binary, done binary, open int"
+        state_schema = "part int, id long, vec binary, ids binary, scores binary, done binary, open int"
 
         def enter(batches):
             for batch in batches:
@@ -363,10 +365,11 @@ class Graph:
                 vectors = _matrix(batch["vec"], np.float32, width).copy()
                 own = _rows((vectors**2).sum(axis=1, keepdims=True).astype(np.float32))
                 yield pd.DataFrame(
-                    {"id": batch["id"], "vec": batch["vec"], "ids": _rows(batch["id"].to_numpy()[:, None]), "scores": own, "done": [b"\0"] * n, "open": 1}
+                    {"part": block_of(batch["id"].to_numpy(), parts), "id": batch["id"], "vec": batch["vec"], "ids": _rows(batch["id"].to_numpy()[:, None]), "scores": own, "done": [b"\0"] * n, "open": 1}
                 )
 
-        wanted = queries.select("id").distinct()
+        wanted = materialize(queries.select("id").distinct(), "asking")
+        parts = max(1, -(-wanted.count() // QUERIES))
         state = materialize(
             self.nodes.select("id", "vec").join(wanted, "id", "left_semi").mapInPandas(enter, state_schema), "beams"
         )
@@ -443,35 +446,59 @@ class Graph:
                         best = np.argpartition(-value, kept - 1)[:kept]
                         ids, value = ids[best], value[best]
                     out.append((query[place[a]], ids.tobytes(), value.astype(np.float32).tobytes()))
-            return pd.DataFrame(out, columns=["id", "ids", "scores"])
+            found = pd.DataFrame(out, columns=["id", "ids", "scores"])
+            found["part"] = block_of(found["id"].to_numpy(np.int64), parts)
+            return found
 
         def take(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            vec = old["vec"].iloc[0]
-            ids, scores, done = (np.frombuffer(old[c].iloc[0], k) for c, k in (("ids", np.int64), ("scores", np.float32), ("done", bool)))
-            done = done.copy()
-            done[: s.beam] = True  # all of these were asked for
-            more, _ = _unpacked(new["ids"], np.int64)
+            """The beams of a part of the queries, with the nodes that were scored for them."""
+            old = old.sort_values("id")
+            query = old["id"].to_numpy()
+            ids, sizes = _unpacked(old["ids"], np.int64)
+            scores, _ = _unpacked(old["scores"], np.float32)
+            done = np.frombuffer(b"".join(old["done"]), bool).copy()
+            owner = np.repeat(np.arange(len(query)), sizes)
+            done[np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < s.beam] = True  # all were asked for
+            more, counts = _unpacked(new["ids"], np.int64)
             value, _ = _unpacked(new["scores"], np.float32)
-            one = np.zeros(len(ids) + len(more), np.int64)
-            _, ids, scores, done, _ = _best(one, np.r_[ids, more], np.r_[scores, value], np.r_[done, np.zeros(len(more), bool)], kept)
-            return pd.DataFrame({"id": [old["id"].iloc[0]], "vec": [vec], "ids": [ids.tobytes()], "scores": [scores.tobytes()], "done": [done.tobytes()], "open": int((~done[: s.beam]).sum())})
+            owner = np.r_[owner, np.repeat(np.searchsorted(query, new["id"].to_numpy(np.int64)), counts)]
+            owner, ids, scores, done, _ = _best(
+                owner, np.r_[ids, more], np.r_[scores, value], np.r_[done, np.zeros(len(more), bool)], kept
+            )
+            cuts = np.searchsorted(owner, np.arange(len(query) + 1))
+            lists = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+            return old.assign(
+                ids=[ids[x].tobytes() for x in lists],
+                scores=[scores[x].tobytes() for x in lists],
+                done=[done[x].tobytes() for x in lists],
+                open=[int((~done[x][: s.beam]).sum()) for x in lists],
+            )
 
+        ended = []
         while True:  # every round expands nodes for good, so it ends
-            asked = state.mapInPandas(ask, asked_schema)
-            lists = self.nodes.select("block", "id", "ids", "back")
+            asked = materialize(state.mapInPandas(ask, asked_schema), "asked")
+            lists = self.nodes.select("block", "id", "ids", "back").join(asked.select("block").distinct(), "block", "left_semi")
             near = lists.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(expand, asked_schema)
             vectors = self.nodes.select("block", "id", "vec")
-            scored = vectors.groupBy("block").cogroup(near.groupBy("block")).applyInPandas(score, "id long, ids binary, scores binary")
-            state = materialize(state.groupBy("id").cogroup(scored.groupBy("id")).applyInPandas(take, state_schema), "beams")
-            if not state.agg(F.max("open")).first()[0]:
+            scored = vectors.groupBy("block").cogroup(near.groupBy("block")).applyInPandas(
+                score, "id long, ids binary, scores binary, part int"
+            )
+            state = state.groupBy("part").cogroup(scored.groupBy("part")).applyInPandas(take, state_schema)
+            state = materialize(state, "beams")
+            ended.append(state.filter("open = 0").select("id", "ids"))
+            state = state.filter("open > 0")
+            if state.isEmpty():
                 break
+        found = ended[0]
+        for more in ended[1:]:
+            found = found.union(more)
 
         def out(batches):
             for batch in batches:
                 for query, ids in zip(batch["id"], batch["ids"]):
                     yield pd.DataFrame({"query": query, "id": np.frombuffer(ids, np.int64)[:most]})
 
-        return state.mapInPandas(out, "query long, id long")
+        return found.mapInPandas(out, "query long, id long")
 
 
 def _usable(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[DataFrame, int]:
