@@ -486,6 +486,7 @@ def _entry(
     failure: str | None,
     done: int,
 ) -> dict:
+    # These texts are results.
     message = (
         f"Execution failed: {failure}"
         if failure

@@ -430,6 +430,7 @@ def recommendations(issues: DataFrame) -> DataFrame:
     n, c = F.col("affected_rows").cast("string"), F.col("column_name")
     share = F.concat(F.lit(" ("), F.col("percentage").cast("string"), F.lit("%)"))
     kind, high = F.col("issue_type"), F.col("severity") == "HIGH"
+    # These texts are results.
     text = (
         F.when(
             (kind == NULL_VALUES) & high,

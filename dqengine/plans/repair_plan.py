@@ -92,6 +92,7 @@ def _option(method: str, description: Column) -> Column:
 
 
 def _options() -> Column:
+    # These texts are results.
     delete = F.format_string("Delete %d rows with null values", F.col("affected_rows"))
     numeric = F.array(
         _option("FILL_MEAN", F.format_string("Fill with mean value (%.2f)", F.col("mean_value"))),

@@ -95,6 +95,7 @@ def processing_log(
 
     ``report`` is the one-row quality report with ``final_quality_score``; all inputs are small.
     """
+    # The agents, kinds and texts of the log are results.
     share = F.format_string("%.0f%%", F.col("confidence") * 100)
     where = F.coalesce("column_name", F.lit("multiple"))
     score = F.format_string("%.1f/100", "quality_score")
