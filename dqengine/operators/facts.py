@@ -1,8 +1,8 @@
-"""What a whole repair needs to know of a table, in three scans.
+"""What a whole repair needs to know of a table, in few scans.
 
-Profile, plan and repair ask for the same numbers. One scan gives moments, missing cells and mergeable summaries of
-all quantiles; one counts outliers by those moments and the values around the summaries' brackets; one picks the few
-values inside the brackets. Duplicates are one grouping.
+Profile, plan and repair ask for the same numbers. One scan gives moments and missing cells; one counts outliers by
+those moments and sums up the quantiles of the columns that miss values; for these alone, one light scan counts the
+values around the summaries' brackets, and one picks the few inside. Duplicates are one grouping.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from dqengine.operators.duplicates import FINGERPRINT_ROWS, duplicate_count
 from dqengine.operators.profile import graded_issues, null_sums, z_score
 from dqengine.schemas import DEFAULT_THRESHOLDS, RULES, QualityRules, SeverityThresholds
 
-#: Shares that the plan and the recommended methods ask for.
-SHARES = (0.5, 0.95)
+#: Shares that the plan and the recommended fills ask for.
+SHARES = (0.5,)
 
 
 @dataclass(frozen=True)
 class Facts:
-    """Numbers of one table. ``quantiles`` is by column and share, and empty if none were asked for."""
+    """Numbers of one table. ``quantiles`` is by column and share, for numeric columns that miss values."""
 
     rows: int
     columns: tuple[str, ...]
@@ -69,14 +69,13 @@ def table_facts(
     fingerprint_rows: int = FINGERPRINT_ROWS,
     direct_rows: int = DIRECT_ROWS,
 ) -> Facts:
-    """All numbers of a table: three scans and one grouping, two scans and one grouping without ``shares``."""
+    """All numbers of a table: two scans and one grouping, and two light scans if ``shares`` are asked for."""
     df = nan_to_null(df)
     columns, numeric = df.columns, numeric_columns(df)
     moments = [F.avg(col(c)).cast("double").alias(f"__m{i}") for i, c in enumerate(numeric)]
     moments += [F.stddev_samp(col(c).cast("double")).alias(f"__s{i}") for i, c in enumerate(numeric)]
-    first = df.agg(
-        F.count("*").alias("rows"), *null_sums(df), *moments, *(bracket_ends(numeric, shares) if shares else [])
-    ).first()
+    first = df.agg(F.count("*").alias("rows"), *null_sums(df), *moments).first()
+    missing = {c: first[f"__null{i}"] for i, c in enumerate(columns)}
     means = {c: first[f"__m{i}"] for i, c in enumerate(numeric)}
     deviations = {c: first[f"__s{i}"] for i, c in enumerate(numeric)}
 
@@ -84,15 +83,16 @@ def table_facts(
         mean, deviation = (F.lit(x[column]).cast("double") for x in (means, deviations))
         return z_score(col(column), mean, deviation) > rules.outlier_std_threshold
 
-    targets = bracket_targets(first, numeric, shares) if shares else []
+    filled = [c for c in numeric if missing[c]] if shares else []
     counts = [F.count_if(outside(c)).alias(f"__out{i}") for i, c in enumerate(numeric)]
-    counts += bracket_counts(numeric, targets) if shares else []
-    second = df.agg(F.lit(0).alias("__none"), *counts).first()
+    second = df.agg(F.lit(0).alias("__none"), *counts, *bracket_ends(filled, shares)).first()
     quantiles: dict[str, dict[float, float | None]] = {}
-    if shares and numeric:
-        found = at_brackets(df, numeric, targets, second, direct_rows)
+    if filled:
+        targets = bracket_targets(second, filled, shares)
+        around = df.agg(*bracket_counts(filled, targets)).first()
+        found = at_brackets(df, filled, targets, around, direct_rows)
         if found is None:  # a bracket missed its rank, or holds too many rows
-            quantiles = quantile_values(df, numeric, list(shares), direct_rows, rows=first["rows"])
+            quantiles = quantile_values(df, filled, list(shares), direct_rows, rows=first["rows"])
         else:
             for c, share, value in found:
                 quantiles.setdefault(c, {})[share] = value
@@ -100,7 +100,7 @@ def table_facts(
         first["rows"],
         tuple(columns),
         tuple(numeric),
-        {c: first[f"__null{i}"] for i, c in enumerate(columns)},
+        missing,
         {c: second[f"__out{i}"] for i, c in enumerate(numeric)},
         duplicate_count(df, fingerprint_rows, first["rows"]).first()["duplicates"],
         means,
