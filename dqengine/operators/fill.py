@@ -13,6 +13,10 @@ from dqengine.functions.columns import col, groupable
 from dqengine.session import materialize
 
 ROWS_PER_CHUNK = 1_000_000
+#: Spark's ranges of a large table hold this many rows at least: each costs the driver a task's result and a sample.
+ROWS_PER_RANGE = 100_000
+#: Smaller ranges than that, for all tasks to have some, are made up to this number.
+SMALL_RANGES = 32
 
 
 def fill_along(
@@ -52,9 +56,12 @@ def fill_along(
         window = Window.partitionBy(*[col(c) for c in keys]).orderBy(*ordering)
         return df.withColumn(column, nearest(window, value))
 
-    ranges = df.repartitionByRange(math.ceil(size["rows"] / rows_per_chunk), *ordering)
+    most = max(math.ceil(size["rows"] / ROWS_PER_RANGE), SMALL_RANGES)
+    ranges = df.repartitionByRange(min(math.ceil(size["rows"] / rows_per_chunk), most), *ordering)
+    # A row's id holds its range and its place there, so ids ascend in the whole order.
+    chunk = F.expr(f"monotonically_increasing_id() div {rows_per_chunk}")
     # Written once, so that every later step sees the same cuts.
-    chunked = materialize(ranges.withColumn("__chunk", F.spark_partition_id()), "ranges")
+    chunked = materialize(ranges.sortWithinPartitions(*ordering).withColumn("__chunk", chunk), "ranges")
     window = Window.partitionBy(*[col(c) for c in keys], "__chunk").orderBy(*ordering)
     local = chunked.withColumn("__filled", nearest(window, value))
 

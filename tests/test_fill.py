@@ -3,6 +3,7 @@ import random
 import pandas as pd
 import pytest
 
+from dqengine import session
 from dqengine.operators.fill import fill_along
 
 
@@ -45,3 +46,18 @@ def test_timestamps_and_null_keys(spark):
 def test_one_order_value_only(spark):
     df = spark.createDataFrame([("a", 1, 5.0, 0)] * 30, "k string, t int, v double, id int")
     assert fill_along(df, "v", ["t"], ["k"], True, 4).count() == 30
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_small_chunks_do_not_add_ranges(spark, forward):
+    df = spark.range(4000, numPartitions=4).selectExpr("id", "if(id % 50 = 7, id, null) v")
+    filled = fill_along(df, "v", ["id"], forward=forward, rows_per_chunk=10)
+    chunked = spark.read.parquet(session._scratch[-1])
+    # The driver gets a result and a sample from each range: one for every chunk before, 400 of them.
+    assert len(chunked.inputFiles()) <= 32
+    chunks = chunked.groupBy("__chunk").agg({"*": "count", "id": "min"}).toDF("chunk", "rows", "first").orderBy("chunk").collect()
+    assert len(chunks) >= 400 and max(r["rows"] for r in chunks) <= 10
+    assert [r["first"] for r in chunks] == sorted(r["first"] for r in chunks)
+    got = {r["id"]: r["v"] for r in filled.collect()}
+    step = (lambda i: (i - 7) // 50 * 50 + 7) if forward else (lambda i: -(-(i - 7) // 50) * 50 + 7)
+    assert got == {i: v if 0 <= (v := step(i)) < 4000 else None for i in range(4000)}
