@@ -5,7 +5,11 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,49 +117,140 @@ def _across_parts(pieces: DataFrame, separator: str) -> DataFrame:
     Every part of a file joins its own pieces; only the first and the last text of each part meet those of other parts.
     """
 
-    def joined(text: str) -> Column:
-        held = F.sort_array(F.collect_list(F.struct("seq", text)))
-        return F.array_join(F.transform(held, lambda s: s[text]), separator).alias("text")
-
     own = Window.partitionBy("file", "block")
     upto = own.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     pieces = pieces.withColumn("number", F.sum(F.col("starts").cast("int")).over(upto))
     pieces = pieces.withColumn("last", F.max("number").over(own))
-    texts = pieces.groupBy("file", "block", "number", "last").agg(F.min("seq").alias("seq"), joined("value"))
+    texts = pieces.groupBy("file", "block", "number", "last").agg(F.min("seq").alias("seq"), _in_order("value", separator))
     inner = texts.where("0 < number and number < last").select("file", "seq", "text")
+    return inner.union(_crossing(texts.where("number = 0 or number = last"), separator))
+
+
+def _in_order(text: str, separator: str) -> Column:
+    """Texts of a group put together by ``seq``."""
+    held = F.sort_array(F.collect_list(F.struct("seq", text)))
+    return F.array_join(F.transform(held, lambda s: s[text]), separator).alias("text")
+
+
+def _crossing(edges: DataFrame, separator: str) -> DataFrame:
+    """Texts that cross from one part of a file into the next, out of the first and the last text of each part."""
     order = Window.partitionBy("file").orderBy("block", "number")
-    edges = texts.where("number = 0 or number = last").withColumn("record", F.sum((F.col("number") > 0).cast("int")).over(order))
-    crossing = edges.groupBy("file", "record").agg(F.min("seq").alias("seq"), joined("text"))
-    return inner.union(crossing.select("file", "seq", "text"))
+    edges = edges.withColumn("record", F.sum((F.col("number") > 0).cast("int")).over(order))
+    crossing = edges.groupBy("file", "record").agg(F.min("seq").alias("seq"), _in_order("text", separator))
+    return crossing.select("file", "seq", "text")
 
 
-def _joined_records(lines: DataFrame) -> DataFrame:
+def _joined_records(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Lines put together where quotes span them: ``file``, ``seq`` of the first line, and ``text`` of each record.
 
     Whether a line starts inside quotes depends on all before it. Every line either leaves that as it is, turns it
     round, or settles it, and so does every part of a file: all parts are summed up in parallel, and the state is
-    passed on over the few parts of a file.
+    passed on over the few parts of a file. Then every task that reads a part puts its records together as it goes:
+    lines come in the order of the file there, so none is sorted or moved. Only the first and the last text of each
+    part, ``edges``, meet those of other parts. ``files`` are those to read.
     """
     quote, line = F.contains("value", F.lit('"')), _ended("value")
     # The state after the line if it starts outside quotes, and if it starts inside them; 1 is inside.
     outside = F.when(quote & ~line.rlike(CLOSED), 1).otherwise(0)
     inside = F.when(quote & line.rlike(CLOSES), 0).otherwise(1)
-    marked = lines.select("file", "block", "seq", "value", outside.alias("o"), inside.alias("i"))
-    marked = marked.select(
-        "file", "block", "seq", "value",
+    # Broadcast, since other joins would take the lines out of their order.
+    held = lines.join(F.broadcast(files.select("file")), "file")
+    marked = held.select("file", "block", "seq", F.col("value").cast("binary").alias("value"), outside.alias("o"), inside.alias("i"))
+    ends, records = _line_joiners()
+    parts = marked.select("file", "block", "o", "i").mapInArrow(ends, "file string, block long, o int, i int")
+    parts = parts.select(
+        "file", "block",
         F.when(F.col("o") == F.col("i"), F.col("o")).alias("settled"),
         F.when(F.col("o") > F.col("i"), 1).otherwise(0).alias("turned"),
     )
-    marked = _states(marked, Window.partitionBy("file", "block").orderBy("seq"))
-    whole = marked.groupBy("file", "block").agg(F.max_by(F.struct("after_settled", "after_turned"), "seq").alias("w"))
-    settled = (F.col("w.after_settled") + F.col("w.after_turned")) % 2
-    turned = F.when(settled.isNull(), F.col("w.after_turned")).otherwise(0)
-    whole = whole.select("file", "block", settled.alias("settled"), turned.alias("turned"))
-    whole = _states(whole, Window.partitionBy("file").orderBy("block"))
-    enters = (F.coalesce("before_settled", F.lit(0)) + F.col("before_turned")) % 2
-    marked = marked.join(whole.select("file", "block", enters.alias("enters")), ["file", "block"])
-    state = (F.coalesce("before_settled", "enters") + F.col("before_turned")) % 2
-    return _across_parts(marked.select("file", "block", "seq", "value", (state == 0).alias("starts")), "\n")
+    parts = _states(parts, Window.partitionBy("file").orderBy("block"))
+    enters = ((F.coalesce("before_settled", F.lit(0)) + F.col("before_turned")) % 2).cast("int").alias("enters")
+    parts = materialize(parts.select("file", "block", enters), "csv-parts")
+    marked = marked.join(F.broadcast(parts), ["file", "block"])
+    texts = marked.mapInArrow(records, "file string, block long, number long, seq long, edge boolean, text binary")
+    edges = materialize(texts.where("edge").drop("edge"), "csv-edges").withColumn("text", F.col("text").cast("string"))
+    inner = texts.where("not edge").select("file", "seq", F.col("text").cast("string").alias("text"))
+    return inner.union(_crossing(edges, "\n"))
+
+
+def _line_joiners() -> tuple[Callable, Callable]:
+    """What tasks do with the lines of their parts of files; it is sent to them as it is, so it names nothing of here."""
+
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int, int]]:
+        """Where the lines of each part are: the part, from, up to."""
+        file, block, n = batch.column("file"), batch.column("block"), batch.num_rows
+        other = [pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False) for c in (file, block)]
+        bounds = [0, *(np.flatnonzero(other[0] | other[1]) + 1).tolist(), n] if n else []
+        for start, end in zip(bounds, bounds[1:]):
+            yield (file[start].as_py(), block[start].as_py()), start, end
+
+    def states(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column("o").to_numpy(), batch.column("i").to_numpy()
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each part, the state after it if it starts outside quotes, and if it starts inside them."""
+
+        def row(part: tuple[str, int], state: tuple[int, int]) -> pa.RecordBatch:
+            columns = zip("file block o i".split(), (*part, *state), (pa.string(), pa.int64(), pa.int32(), pa.int32()))
+            return pa.record_batch({name: pa.array([value], kind) for name, value, kind in columns})
+
+        at, state = None, (0, 1)
+        for batch in batches:
+            o, i = states(batch)
+            for part, start, end in runs(batch):
+                if part != at:
+                    if at is not None:
+                        yield row(at, state)
+                    at, state = part, (0, 1)
+                a, b = o[start:end], i[start:end]
+                settled = np.flatnonzero(a == b)
+                if settled.size:
+                    state = (int(a[settled[-1]]),) * 2
+                    a, b = a[settled[-1] + 1 :], b[settled[-1] + 1 :]
+                turned = int(np.count_nonzero(a > b)) % 2
+                state = (state[0] ^ turned, state[1] ^ turned)
+        if at is not None:
+            yield row(at, state)
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of each part, numbered from 0, the text before the first start; that and the last text are edges."""
+        at, inside, number, first, held = None, 0, 0, 0, []
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        names = ("file", "block", "number", "seq", "edge", "text")
+        kind, rows = pa.binary(), []
+
+        def found() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (*kinds, kind))], names)
+
+        for batch in batches:
+            (o, i), values, kind = states(batch), batch.column("value").to_pylist(), batch.column("value").type
+            seqs, enters = batch.column("seq").to_numpy(), batch.column("enters").to_numpy()
+            rows = []
+            for part, start, end in runs(batch):
+                if part != at:
+                    if held:
+                        rows.append((*at, number, first, True, b"\n".join(held)))
+                    at, inside, number, first, held = part, int(enters[start]), 0, int(seqs[start]), []
+                a, b = o[start:end], i[start:end]
+                settled = np.maximum.accumulate(np.where(a == b, np.arange(end - start), -1))
+                turns = np.cumsum(a > b)
+                since = turns - np.where(settled < 0, 0, turns[settled])
+                after = (np.where(settled < 0, inside, a[settled]) + since) % 2
+                starts = start + np.flatnonzero(np.append(inside, after[:-1]) == 0)
+                inside, upto = int(after[-1]), start
+                for next_start in starts.tolist():
+                    held += values[upto:next_start]
+                    if held:
+                        rows.append((*at, number, first, number == 0, b"\n".join(held)))
+                    number, first, held, upto = number + 1, int(seqs[next_start]), [], next_start
+                held += values[upto:end]
+            if rows:
+                yield found()
+        if held:
+            rows = [(*at, number, first, True, b"\n".join(held))]
+            yield found()
+
+    return ends, records
 
 
 def _states(rows: DataFrame, order: WindowSpec) -> DataFrame:
@@ -223,10 +318,11 @@ def _headers(lines: DataFrame, files: DataFrame) -> list[tuple[str, list[str]]]:
     plain = files.where(F.col("header").rlike(CLOSED)).select("header", F.col("header").alias("line"))
     # A header may span lines itself: then the whole record is the header of the files that begin with its first line.
     spans = files.where(~F.col("header").rlike(CLOSED)).select("file", "at", "header", "foreign")
-    held = lines.join(spans, "file").select("file", "block", "seq", "value")
-    whole = _joined_records(held).join(spans, "file").where("seq = at").withColumn("text", _decoded("text", "foreign"))
-    whole = whole.select(_ended("text").alias("header"), F.col("header").alias("line"))
-    found = plain.union(whole).distinct().limit(MOST_HEADERS + 1).collect()
+    if not spans.isEmpty():
+        whole = _joined_records(lines, spans).join(spans, "file").where("seq = at")
+        whole = whole.withColumn("text", _decoded("text", "foreign"))
+        plain = plain.union(whole.select(_ended("text").alias("header"), F.col("header").alias("line")))
+    found = plain.distinct().limit(MOST_HEADERS + 1).collect()
     if len(found) > MOST_HEADERS:
         raise ValueError(f"More than {MOST_HEADERS} different headers")
     return [(r.header, r.line) for r in found]
@@ -236,14 +332,16 @@ def _cells_by_header(lines: DataFrame, files: DataFrame, headers: list[tuple[str
     """Rows of all files as text columns, the cells placed by the header of their own file."""
     own = {line: _header_names(text) for text, line in sorted(headers)}
     names = list(dict.fromkeys(n for line in own for n in own[line]))
-    places = [(line, [own[line].index(n) if n in own[line] else None for n in names]) for line in own]
-    known = F.broadcast(files.sparkSession.createDataFrame(places, "header string, places array<int>"))
-    files = files.join(known, "header").drop("header")
-    held = lines.join(files, "file")
-    plain = held.where("not quoted").select("seq", "at", "foreign", "places", F.col("value").alias("text"))
-    joined = _joined_records(held.where("quoted").select("file", "block", "seq", "value")).join(files, "file")
-    records = plain.union(joined.select("seq", "at", "foreign", "places", "text")).where("seq <> at")
+    places = [(i, line, [own[line].index(n) if n in own[line] else None for n in names]) for i, line in enumerate(own)]
+    known = F.broadcast(files.sparkSession.createDataFrame(places, "kind int, header string, places array<int>"))
+    # Broadcast, since other joins would move all lines. Places are joined to the headers: a file needs only its kind.
+    files = files.join(known, "header").select("file", "at", "foreign", "quoted", "kind")
+    held = lines.join(F.broadcast(files), "file")
+    plain = held.where("not quoted").select("seq", "at", "foreign", "kind", F.col("value").alias("text"))
+    joined = _joined_records(lines, files.where("quoted")).join(F.broadcast(files), "file")
+    records = plain.union(joined.select("seq", "at", "foreign", "kind", "text")).where("seq <> at")
     records = records.withColumn("text", _decoded("text", "foreign")).withColumn("text", _ended("text"))
+    records = records.join(known.drop("header"), "kind")
     width = max(map(len, own.values()))
     options = {"multiLine": "true", "escape": '"', "maxColumns": str(max(2 * width, 20_480))}
     cells = F.from_csv("text", ", ".join(f"c{i} string" for i in range(width)), options)

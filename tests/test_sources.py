@@ -99,6 +99,44 @@ def test_csv_records_across_parts(spark, tmp_path, tiny_parts, end):
     assert files._lines(spark, path).rdd.getNumPartitions() > 20
 
 
+@pytest.mark.parametrize("part_bytes", ["300", "100000"])
+def test_csv_lines_stay_in_the_task_that_reads_them(spark, tmp_path, part_bytes):
+    rnd = random.Random(2)
+    texts, want = {}, set()
+    for name in "abcdef":
+        rows = [[f"{name}{i}", "\n".join(rnd.choice(("x", 'y"', '"', "", "z,")) for _ in range(rnd.randint(1, 30)))] for i in range(40)]
+        buffer = io.StringIO()
+        csv.writer(buffer, lineterminator="\n").writerows([["i", "p"], *rows])
+        texts[f"{name}.csv"] = buffer.getvalue()
+        want |= {(i, None if p in files.MISSING_MARKERS else p) for i, p in rows}
+    path = _write_all(tmp_path / "s", texts)
+    conf = {
+        "spark.sql.files.maxPartitionBytes": part_bytes,  # parts of files, or several files in a task
+        "spark.sql.files.openCostInBytes": "1",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "3",  # records are longer
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = files.read_csv(spark, path)
+        assert {tuple(r) for r in df.collect()} == want and df.count() == len(want)
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in plan]
+    scans = [i for i, line in enumerate(plan) if "FileScan text" in line]
+    assert scans
+    for i in scans:  # what is above a scan of the files
+        at = depth[i]
+        for j in range(i, -1, -1):
+            if depth[j] < at:
+                at = depth[j]
+                assert "Exchange" not in plan[j] or "BroadcastExchange" in plan[j], "\n".join(plan)
+
+
 def test_json_lines_are_judged_one_by_one(spark, tmp_path):
     lines = '{"a": 1}\n{"a": 2}\n{"a":\n{"a": 4} x\n\n{"a": 5},\n{"a": 5}]\n{"a": 5}}\n7\n[{"a": 6}, 8]\n{"a": 9007199254740993}\n{"a": 1.5}\n'
     path = _write_all(tmp_path / "j", {"l.json": lines})
