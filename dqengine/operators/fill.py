@@ -70,15 +70,10 @@ def fill_along(
     edge = chunked.groupBy(
         *[col(c).alias(f"__key{i}") for i, c in enumerate(keys)], F.col("__chunk").alias("__at")
     ).agg(pick(value, order).alias("__edge"))
-    across = Window.partitionBy(*[f"__key{i}" for i in range(len(keys))]).orderBy("__at")
-    if forward:
-        carried = F.last("__edge", ignorenulls=True).over(
-            across.rowsBetween(Window.unboundedPreceding, -1)
-        )
-    else:
-        carried = F.first("__edge", ignorenulls=True).over(
-            across.rowsBetween(1, Window.unboundedFollowing)
-        )
+    # Backward the cuts are passed in descending order: a frame up to the end would be read anew for every cut.
+    at = F.col("__at").asc() if forward else F.col("__at").desc()
+    across = Window.partitionBy(*[f"__key{i}" for i in range(len(keys))]).orderBy(at)
+    carried = F.last("__edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
     carry = edge.withColumn("__carry", carried).drop("__edge")
     same = [col(c).eqNullSafe(F.col(f"__key{i}")) for i, c in enumerate(keys)]
     joined = local.join(carry, reduce(lambda a, b: a & b, [F.col("__chunk") == F.col("__at"), *same]), "left")
