@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import io
 import random
 import re
+import threading
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from dqengine.llm import html_text, neighbours, url_filter, warc
 from dqengine.llm.queries import URL_RULES
-from dqengine.session import scratch_path
+from dqengine.session import scratch_path, shared_dir
 
 PAGES = "page_id long, url string, html string"
 URLS = [
@@ -288,6 +291,52 @@ def test_recall_of_production_settings_as_the_table_grows(spark, n):
     assert recall >= 0.97
 
 
+def _bytes_below(folders):
+    return sum(p.stat().st_size for folder in folders for p in Path(folder).rglob("*") if p.is_file())
+
+
+def test_disk_holds_the_graph_and_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SMALL", 4 << 20)
+    rnd = np.random.default_rng(6)
+    vectors = rnd.normal(size=(6000, 32)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [*(str(f) for f in manager.localDirs()), shared_dir(spark).removeprefix("file://")]
+    before, most, ended = _bytes_below(folders), 0, threading.Event()
+
+    def watch():
+        nonlocal most
+        while not ended.wait(0.1):
+            with contextlib.suppress(OSError):  # a file may go meanwhile
+                most = max(most, _bytes_below(folders) - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        found = neighbours.nearest(table, lambda i: i % 20 == 0)
+        left = _bytes_below(folders) - before
+    finally:
+        ended.set()
+        watcher.join()
+    print(f"at most {most} bytes, {left} left")
+    assert left < 4 * vectors.nbytes and most < 30 << 20
+    got = found.groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect()
+    hits = 0
+    for r in got:
+        scores = vectors @ vectors[r.query_id]
+        scores[r.query_id] = -np.inf
+        hits += len({*np.argsort(-scores)[:20].tolist()} & {*r.ids})
+    assert len(got) == 300 and hits >= 0.97 * 20 * 300
+
+
+def test_blocks_are_few_and_of_one_size():
+    for nodes in (1, 2048, 2049, 51_282, 256_410, 1_000_000, 15_000_000, 300_000_000):
+        size = neighbours.block_size(nodes, 2048)
+        blocks = -(-nodes // size)
+        assert size <= neighbours.LARGEST and size * (blocks - 1) < nodes <= size * blocks
+        assert blocks <= max(neighbours.BLOCKS, -(-nodes // neighbours.LARGEST))
+
+
 def test_budgets_grow_with_the_table():
     one, large, huge = (neighbours.Settings().grown(n) for n in (2_000, 200_000, 200_000_000))
     assert one == neighbours.Settings()
