@@ -479,11 +479,12 @@ class Graph:
         self._drop(f"lists-{state}", f"low-{state}", "back")
 
     def _turns(self) -> int:
-        """Passes of a round, so that the vectors that are asked for in one of them stay under ``most_bytes``."""
-        turns, per_block = 1, self.meeting / self.blocks
+        """Passes of a round, so that the vectors asked for in one stay under ``most_bytes``, and all found under twice that."""
+        item, per_block = self.kind().itemsize, self.meeting / self.blocks
+        turns = max(1, int(-(-self.meeting * self.s.sent * (2 * item + 4) // (2 * self.most_bytes))))
         while turns < self.size:
             wanted = self.count * -np.expm1(-per_block / turns / self.count)  # different nodes that a block asks for
-            if self.blocks * wanted * (2 * self.width + 2 * self.kind().itemsize + 4) <= self.most_bytes:
+            if self.blocks * wanted * (2 * self.width + 2 * item + 4) <= self.most_bytes:
                 break
             turns += 1
         return turns
@@ -591,7 +592,7 @@ class Graph:
         total, s = queries.count(), self.s
         # All of a beam expanded at once, the query in all blocks, and two states of the beams.
         each = s.beam * -(-self.edges // self.count) * 2 * self.kind().itemsize + self.blocks * 4 * self.width
-        each += 2 * max(s.kept, most) * (self.kind().itemsize + 5) + self.width * self.item.itemsize
+        each += 2 * max(s.kept, most) * (self.kind().itemsize + 13) + self.width * self.item.itemsize
         batches = max(1, int(-(-total * each // self.most_bytes)))
         parts = (queries.filter(F.pmod("node", F.lit(batches)) == i) for i in range(batches))
         return _together([self._batch(f"beams-{i}", part, most, -(-total // batches)) for i, part in enumerate(parts)])
@@ -616,8 +617,8 @@ class Graph:
             query, vectors = _unpacked(group["query"], np.int64)[0], np.frombuffer(b"".join(group["vec"]), item)
             n = len(query)
             files.write(
-                f"{name}-0", part, query, vectors.reshape(n, width - 1), np.arange(n), query.astype(kind),
-                np.full(n, np.inf, np.float32), np.zeros(n, bool), np.zeros(n, np.int64),
+                f"{name}-0", part, query, vectors.reshape(n, width - 1), np.arange(n, dtype=np.int32), query.astype(kind),
+                np.full(n, np.inf, np.float32), np.zeros(n, bool), np.zeros(n, np.int32),
             )
             return pd.DataFrame({"part": [part], "open": [n]})
 
@@ -654,7 +655,7 @@ class Graph:
             part = int(near["part"].iloc[0])
             _, vectors, owner, ids, scores, _, place = files.read(f"{name}-{turn}", part)
             both = np.unique(_unpacked(near["which"], np.int32)[0].astype(np.int64) << 40 | _unpacked(near["ids"], kind)[0])
-            known = owner << 40 | ids
+            known = owner.astype(np.int64) << 40 | ids
             at = np.searchsorted(both, known)
             at = at[at < len(both)][both[at[at < len(both)]] == known[at < len(both)]]
             both = np.delete(both, at)
@@ -692,6 +693,7 @@ class Graph:
                 np.r_[scores, _unpacked(new["scores"], np.float32)[0]], np.r_[done, np.zeros(len(more), bool)], kept,
             )
             still = int((~done & (place < s.beam)).sum())
+            place = place.astype(np.int32)
             files.write(f"{name}-{turn + 1}" if still else f"{name}-ended", part, query, vectors, owner, ids, scores, done, place)
             return pd.DataFrame({"part": [part], "open": [still]})
 
